@@ -37,6 +37,19 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to which ``keep_keys`` broadcasts them; a table with more is joined by shuffling.
+BROADCAST_KEYS = 1 << 20
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in the one-column, already written table ``keys``.
+
+    The keys are counted first: a bounded number of them is broadcast, so that wide rows need no shuffle.
+    """
+    small = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if small else keys, column, "left_semi")
+
+
 def crc_of_id(id_column: str) -> Column:
     """crc32 of the id written as text."""
     return F.crc32(F.col(id_column).cast("string").cast("binary"))

@@ -5,8 +5,8 @@ similarity t or more shares a shingle among the first ``n - ceil(t n) + 1`` of e
 those leading shingles deal the classes into blocks; a fixed-size count sketch of all shingles puts rare ones
 first. Blocks led by the same class meet in one group, and large groups are cut into tiles. In each tile a
 signature tree (nodes hold OR-combined bitmaps and size ranges) is traversed against itself: node pairs whose
-largest possible overlap is too small are pruned, pairs already connected are skipped, and the rest are compared
-exactly. A tile returns a spanning set of links, never all pairs of a group.
+largest possible overlap is too small are pruned, and pairs already connected are skipped. Only rows that bitmaps
+leave are joined with their texts and compared exactly. A tile returns a spanning set of links, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestay.llm.common import list_array, runs, text_slices, write_shared
+from lodestay.llm.common import keep_keys, list_array, runs, text_slices, write_shared
 from lodestay.llm.graph import components
 from lodestay.llm.shingles import shingle_sets
 
@@ -28,26 +28,23 @@ SKETCH = 1 << 18
 _CHUNK = 1 << 12
 #: Rows in one tile, and shingles in it, at which a group is cut.
 TILE_ROWS, TILE_SHINGLES = 512, 1 << 20
-_WORDS, _LEAF, _FAN = 16, 8, 4
+_LEAF, _FAN = 8, 4
 
 
 class SignatureTree:
-    """Hierarchy over sets: each node has the OR of its members' bitmaps, their size range and most bit excess."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), _WORDS * 64), bool)
-        for row, s in zip(bits, sets, strict=True):
-            row[(s >> np.uint64(54)).astype(np.int64)] = True
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-        self.order = np.lexsort((packed[:, 0], sizes))
-        self.sets = [sets[i] for i in self.order]
-        self.size = sizes[self.order]
-        self.bitmap = packed[self.order]
+    """Hierarchy over sets of one bitmap width: each node has its members' OR-ed bitmaps, size range and bit excess.
+
+    The excess of a set is by how much its size exceeds the bits it sets. Two sets share at most their common bits
+    plus the smaller excess.
+    """
+
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
+        self.order = np.lexsort((bitmaps[:, 0], sizes))
+        self.size, self.bitmap = sizes[self.order], bitmaps[self.order]
         self.excess = self.size - np.bitwise_count(self.bitmap).sum(1).astype(np.int64)
-        #: Levels from the leaves up; each is (first row, bitmaps, least size, greatest size, greatest excess).
+        #: Levels from the leaves up; each is (first rows, bitmaps, least size, greatest size, greatest excess).
         self.levels = []
-        at, level = np.arange(0, len(sets), _LEAF), (self.bitmap, self.size, self.size, self.excess)
+        at, level = np.arange(0, len(sizes), _LEAF), (self.bitmap, self.size, self.size, self.excess)
         step = at
         while True:
             level = (
@@ -56,7 +53,7 @@ class SignatureTree:
                 np.maximum.reduceat(level[2], step),
                 np.maximum.reduceat(level[3], step),
             )
-            self.levels.append((np.append(at, len(sets)), *level))
+            self.levels.append((np.append(at, len(sizes)), *level))
             if len(at) == 1:
                 return
             step = np.arange(0, len(at), _FAN)
@@ -73,17 +70,14 @@ class SignatureTree:
         shared = min(shared, int(most[i]), int(most[j]))
         return (num + den) * shared >= num * int(least[i] + least[j])
 
-    def links(self, labels: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """Pairs (of the input's row numbers) that link sets with different labels; linking joins their labels."""
-        root = np.unique(labels, return_inverse=True)[1][self.order]
+    def candidates(self, num: int, den: int, settled: Callable[[np.ndarray, np.ndarray], bool]) -> Iterator[tuple[int, int]]:
+        """Pairs of rows that may reach num / den, leaving out node pairs and pairs that are ``settled`` by then."""
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, i, j = stack.pop()
             at = self.levels[level][0]
             a, b = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
-            if (root[a] == root[at[i]]).all() and (root[b] == root[at[i]]).all():
-                continue
-            if not self.may_match(level, i, j, num, den):
+            if settled(self.order[a], self.order[b]) or not self.may_match(level, i, j, num, den):
                 continue
             if level:
                 below = len(self.levels[level - 1][0]) - 1
@@ -92,19 +86,84 @@ class SignatureTree:
                 continue
             shared = np.bitwise_count(self.bitmap[a][:, None] & self.bitmap[b][None]).sum(2).astype(np.int64)
             shared += np.minimum(self.excess[a][:, None], self.excess[b][None])
+            least = np.minimum(self.size[a][:, None], self.size[b][None])
             both = self.size[a][:, None] + self.size[b][None]
-            for x, y in zip(*np.nonzero((num + den) * shared >= num * both), strict=True):
-                x, y = x + at[i], y + at[j]
-                if root[x] == root[y] or (i == j and x >= y):
+            possible = ((num + den) * np.minimum(shared, least) >= num * both) & (den * least >= num * (both - least))
+            for x, y in zip(*np.nonzero(possible), strict=True):
+                if i == j and x >= y:
                     continue
-                common = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
-                if den * common >= num * (len(self.sets[x]) + len(self.sets[y]) - common):
-                    root[root == root[y]] = root[x]
-                    yield int(self.order[x]), int(self.order[y])
+                pair = self.order[at[i] + x], self.order[at[j] + y]
+                if not settled(pair[0], pair[1]):
+                    yield int(pair[0]), int(pair[1])
+
+
+def width_of(size: int) -> int:
+    """Words of a set's bitmap: a power of two with two bits or more for each member."""
+    return max(8, 1 << max(0, (2 * size - 1).bit_length() - 6))
+
+
+def bitmap_of(members: np.ndarray) -> np.ndarray:
+    width = width_of(len(members))
+    bits = np.zeros(width * 64, bool)
+    bits[(members >> np.uint64(64 - 6 - (width.bit_length() - 1))).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def candidate_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], num: int, den: int, settled: Callable) -> Iterator[tuple[int, int]]:
+    """Pairs of all rows that may reach num / den (above one half), by one tree for each bitmap width.
+
+    Sets of a wider bitmap than their partner's are at most twice as large, so a tree of one width also takes
+    the sets of the next one, their bitmaps halved by OR-ing neighbouring bits.
+    """
+    widths = np.array([len(b) for b in bitmaps])
+    for width in np.unique(widths):
+        rows = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(rows) > 1:
+            narrow = np.stack([_halved(bitmaps[r]) if widths[r] > width else bitmaps[r] for r in rows])
+            tree = SignatureTree(sizes[rows], narrow)
+            for x, y in tree.candidates(num, den, lambda a, b, rows=rows: settled(rows[a], rows[b])):
+                yield int(rows[x]), int(rows[y])
+
+
+def _halved(bitmap: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(bitmap.view(np.uint8))
+    return np.packbits(bits[0::2] | bits[1::2]).view(np.uint64)
+
+
+def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that link sets with different labels, found by exact comparison; linking joins their labels."""
+    root = np.unique(labels, return_inverse=True)[1]
+
+    def settled(a: np.ndarray, b: np.ndarray) -> bool:
+        if np.ndim(a) == 0:
+            return root[a] == root[b]
+        return bool((root[a] == root[a[0]]).all() and (root[b] == root[a[0]]).all())
+
+    sizes = np.array([len(s) for s in sets])
+    for x, y in candidate_pairs(sizes, [bitmap_of(s) for s in sets], num, den, settled):
+        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if den * common >= num * (sizes[x] + sizes[y] - common):
+            root[root == root[y]] = root[x]
+            yield x, y
+
+
+def possible_rows(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows have a partner of another label that they may link with, by their bitmaps alone."""
+    found = np.zeros(len(sizes), bool)
+    root = np.unique(labels, return_inverse=True)[1]
+
+    def settled(a: np.ndarray, b: np.ndarray) -> bool:
+        if np.ndim(a) == 0:
+            return bool(found[a] and found[b]) or root[a] == root[b]
+        return bool(found[a].all() and found[b].all()) or bool((root[a] == root[a[0]]).all() and (root[b] == root[a[0]]).all())
+
+    for x, y in candidate_pairs(sizes, bitmaps, num, den, settled):
+        found[x] = found[y] = True
+    return found
 
 
 def _facts(size: int) -> Callable:
-    """Rows of two kinds: (doc_id, n, fingerprint) per document, and (chunk, counts) of the task's sketch."""
+    """Rows of two kinds: (doc_id, n, fingerprint, bitmap) per document, and (counts, chunk) of the task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -116,13 +175,13 @@ def _facts(size: int) -> Callable:
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    ["doc_id", "n_shingles", "fingerprint", "chunk", "counts"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.string()), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32())],
+                    ["doc_id", "n_shingles", "fingerprint", "bits", "chunk"],
                 )
         chunks = SKETCH // _CHUNK
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.string()), pa.array(range(chunks), pa.int32()), pa.array([c.tobytes() for c in sketch.reshape(-1, _CHUNK)], pa.binary())],
-            ["doc_id", "n_shingles", "fingerprint", "chunk", "counts"],
+            [pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.string()), pa.array([c.tobytes() for c in sketch.reshape(-1, _CHUNK)], pa.binary()), pa.array(range(chunks), pa.int32())],
+            ["doc_id", "n_shingles", "fingerprint", "bits", "chunk"],
         )
 
     return run
@@ -141,10 +200,9 @@ def _prefixes(size: int, num: int, den: int, sketch) -> Callable:
         rank = (np.minimum(sketch.value, (1 << 24) - 1).astype(np.uint64)) << np.uint64(40)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                keys, lengths, sizes = [], [], []
+                keys, lengths = [], []
                 for s in shingle_sets(part.column(1), size):
                     n = len(s)
-                    sizes.append(n)
                     if n:
                         p = n - -(-num * n // den) + 1
                         order = rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] | (s >> np.uint64(24))
@@ -152,7 +210,22 @@ def _prefixes(size: int, num: int, den: int, sketch) -> Callable:
                     keys.append(s)
                     lengths.append(len(s))
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), list_array(flat, lengths)], ["id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), list_array(flat, lengths)], ["id", "keys"])
+
+    return run
+
+
+def _tile_rows(num: int, den: int, keys: list[str]) -> Callable:
+    """The rows of each tile that may link with another one of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in runs(batches, keys):
+            if tile.num_rows < 2:
+                continue
+            bitmaps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
+            found = possible_rows(tile.column("n").to_numpy(), bitmaps, tile.column("label").to_numpy(), num, den)
+            if found.any():
+                yield from tile.select([*keys, "id", "label"]).filter(pa.array(found)).combine_chunks().to_batches()
 
     return run
 
@@ -164,7 +237,7 @@ def _tile_links(size: int, num: int, den: int, keys: list[str]) -> Callable:
                 continue
             tile = tile.combine_chunks()
             ids, labels = tile.column("id").to_numpy(), tile.column("label").to_numpy()
-            found = list(SignatureTree(shingle_sets(tile.column("text").chunk(0), size)).links(labels, num, den))
+            found = list(linked_pairs(shingle_sets(tile.column("text").chunk(0), size), labels, num, den))
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
@@ -172,10 +245,15 @@ def _tile_links(size: int, num: int, den: int, keys: list[str]) -> Callable:
     return run
 
 
-def _link_tiles(tiles: DataFrame, texts: DataFrame, keys: list[str], size: int, num: int, den: int) -> DataFrame:
-    """Links found in tiles (keys, id, label); texts come by join and each tile's rows meet in one task."""
-    rows = tiles.join(texts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
-    return rows.mapInArrow(_tile_links(size, num, den, keys), "a long, b long")
+def _link_tiles(tiles: DataFrame, signs: DataFrame, docs: DataFrame, keys: list[str], size: int, num: int, den: int) -> DataFrame:
+    """Links found in tiles (keys, id, label). Bitmaps thin the tiles out; the texts of what stays settle it."""
+    rows = tiles.join(signs, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+    kept = rows.mapInArrow(_tile_rows(num, den, keys), ", ".join(f"{k} long" for k in [*keys, "id", "label"]))
+    kept = write_shared(kept, "kept")
+    ids = write_shared(kept.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    texts = keep_keys(docs, ids, "doc_id").select(F.col("doc_id").alias("id"), "text")
+    rows = kept.join(texts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return write_shared(rows.mapInArrow(_tile_links(size, num, den, keys), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -188,9 +266,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = write_shared(docs.mapInArrow(_facts(size), "doc_id long, n_shingles long, fingerprint string, chunk int, counts binary"), "facts")
-    facts = both.where("chunk is null").drop("chunk", "counts")
-    sums = both.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
+    both = write_shared(docs.mapInArrow(_facts(size), "doc_id long, n_shingles long, fingerprint string, bits binary, chunk int"), "facts")
+    facts = both.where("chunk is null").drop("chunk", "bits")
+    sums = both.where("chunk is not null").select("chunk", F.col("bits").alias("counts")).repartition(16, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
     sketch = np.zeros(SKETCH, np.int64)
     for row in sums.collect():
         sketch[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.int64)
@@ -198,36 +276,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
 
     named = facts.where("fingerprint is not null and doc_id is not null")
     classes = write_shared(named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "classes")
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(size, num, den, shared_sketch), "id long, n long, keys array<long>")
-    signs = write_shared(prefixes.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi"), "prefixes")
-
-    # Blocks of two classes or more; of blocks with the same members one is enough.
-    listed = signs.select("id", "n", F.explode("keys").alias("key"))
-    blocks = listed.groupBy("key").agg(
-        F.count("*").alias("members"),
-        F.bit_xor(F.xxhash64("id")).alias("who"),
-        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("also"),
-        F.min(F.struct(F.xxhash64(F.lit(7), "id").alias("rank"), "id")).getField("id").alias("leader"),
-    )
-    blocks = blocks.where("members > 1").groupBy("members", "who", "also").agg(F.min("key").alias("key"), F.min("leader").alias("leader"))
-    groups = listed.join(blocks.select("key", "leader"), "key").select("leader", "id", "n").distinct()
-    groups = write_shared(groups, "groups")
-    texts = docs.join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = write_shared(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
+    class_ids = classes.select(F.col("class_id").alias("id"))
+    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(size, num, den, shared_sketch), "id long, keys array<long>")
+    listed = write_shared(keep_keys(prefixes, class_ids, "id"), "prefixes").select("id", F.explode("keys").alias("key"))
+
+    # Blocks of two classes or more; those led by the same class form one group.
+    blocks = listed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+    groups = write_shared(listed.join(blocks.select("key", "leader"), "key").select("leader", "id").distinct(), "groups")
+    signs = keep_keys(both.where("chunk is null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), class_ids, "id")
+    signs = write_shared(signs.where("n > 0"), "signs")
 
     # A group of one tile is settled there; a larger one is first cut at random, each part with its leader.
-    sized = groups.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    sized = groups.join(signs.select("id", "n"), "id").groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     tiles = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     sized = write_shared(sized.select("leader", tiles.alias("tiles")), "sized")
-    dealt = groups.join(sized, "leader")
     part = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64(F.lit(3), "id"), F.col("tiles")).cast("int"))
     )
-    first = dealt.select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile"))
-    links = write_shared(_link_tiles(first, texts, ["leader", "tile"], size, num, den), "links")
+    first = groups.join(sized, "leader").select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile")).withColumn("tile", F.col("tile").cast("long"))
+    links = _link_tiles(first, signs, docs, ["leader", "tile"], size, num, den)
     large = sized.where("tiles > 1")
     if not large.isEmpty():
-        links = write_shared(links.unionByName(_between_tiles(groups, large, texts, links, size, num, den)), "links")
+        links = links.unionByName(_between_tiles(groups.join(signs.select("id", "n"), "id"), large, signs, docs, links, size, num, den))
     reached = components(links, "a", "b")
 
     classes = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -244,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     return out.unionByName(lost)
 
 
-def _between_tiles(groups: DataFrame, large: DataFrame, texts: DataFrame, links: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _between_tiles(groups: DataFrame, large: DataFrame, signs: DataFrame, docs: DataFrame, links: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links between different tiles of the large groups.
 
     After the first pass nearly all of a group of copies is one component, the main one. Pairs inside it need no
@@ -274,5 +344,5 @@ def _between_tiles(groups: DataFrame, large: DataFrame, texts: DataFrame, links:
         F.transform(F.sequence(F.lit(0), F.col("of_main") - 1), lambda b: pair(F.col("mine"), -1 - b)),
     )
     rows = rows.withColumn("where", F.explode(F.when(is_main, of_main).otherwise(of_rest)))
-    rows = rows.select("leader", "id", "label", F.col("where.a").alias("tile"), F.col("where.b").alias("other"))
-    return _link_tiles(rows, texts, ["leader", "tile", "other"], size, num, den)
+    rows = rows.select("leader", "id", "label", F.col("where.a").cast("long").alias("tile"), F.col("where.b").cast("long").alias("other"))
+    return _link_tiles(rows, signs, docs, ["leader", "tile", "other"], size, num, den)

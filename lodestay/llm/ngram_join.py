@@ -1,9 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
-Documents with equal shingle sets form a class at once. Between classes, every pair of sets with Jaccard
-similarity t or more shares a shingle among the first ``n - ceil(t n) + 1`` of each set in any fixed order, so
-those leading shingles deal the classes into blocks; a fixed-size count sketch of all shingles puts rare ones
-first. Blocks led by the same class meet in one group, and large groups are cut into tiles. In each tile a
+Documents with equal shingle sets form a class at once. Each class is dealt into blocks by its segment keys, of
+which any two sets similar enough share one (see ``segment_keys``). Blocks led by the same class meet in one
+group, and large groups are cut into tiles. In each tile a
 signature tree (nodes hold OR-combined bitmaps and size ranges) is traversed against itself: node pairs whose
 largest possible overlap is too small are pruned, and pairs already connected are skipped. Only rows that bitmaps
 leave are joined with their texts and compared exactly. A tile returns a spanning set of links, never all pairs of a group.
@@ -21,11 +20,8 @@ from pyspark.sql import functions as F
 
 from lodestay.llm.common import keep_keys, list_array, runs, text_slices, write_shared
 from lodestay.llm.graph import components
-from lodestay.llm.shingles import shingle_sets
+from lodestay.llm.shingles import mix, shingle_sets
 
-#: Buckets of the shingle count sketch, a fixed number at every input size.
-SKETCH = 1 << 18
-_CHUNK = 1 << 12
 #: Rows in one tile, and shingles in it, at which a group is cut.
 TILE_ROWS, TILE_SHINGLES = 512, 1 << 20
 _LEAF, _FAN = 8, 4
@@ -162,55 +158,51 @@ def possible_rows(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarr
     return found
 
 
-def _facts(size: int) -> Callable:
-    """Rows of two kinds: (doc_id, n, fingerprint, bitmap) per document, and (counts, chunk) of the task's sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                sets = shingle_sets(part.column(1), size)
-                if sets:
-                    sketch += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-                n = len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.string()), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32())],
-                    ["doc_id", "n_shingles", "fingerprint", "bits", "chunk"],
-                )
-        chunks = SKETCH // _CHUNK
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.int64()), pa.nulls(chunks, pa.string()), pa.array([c.tobytes() for c in sketch.reshape(-1, _CHUNK)], pa.binary()), pa.array(range(chunks), pa.int32())],
-            ["doc_id", "n_shingles", "fingerprint", "bits", "chunk"],
-        )
-
-    return run
-
-
-def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[k] = sums.get(k, 0) + np.frombuffer(v, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+def segment_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a sorted set such that any two sets of similarity num / den or more share one.
 
+    Sizes are dealt into classes by powers of two; a set also takes part in the next class if it is large enough
+    for a partner there. A class cuts the range of hashes into m segments. Sets that differ in at most k members
+    agree in at least m - k segments, so each set can leave out the m - k - 1 last ones in one fixed order of
+    contents; that order puts segments of many members first, which others seldom share by chance.
+    """
+    n = len(members)
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    keys = []
+    own = n.bit_length() - 1
+    for c in (own, own + 1):
+        most = (2 << c) - 1
+        partner = min(most, den * n // num)
+        if partner < 1 << c:
+            continue
+        differ = lambda a, b: (den - num) * (a + b) // (den + num)
+        m = 5 * (differ(most, most) + 1) // 4 + 1
+        emit = min(m, differ(n, partner) + 1)
+        bounds = np.arange(m, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // m)
+        at = np.append(np.searchsorted(members, bounds), n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members))])
+        count, content = np.diff(at), mix((total[at[1:]] - total[at[:-1]]) + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
+        keys.append(content[np.lexsort((content, -count))[:emit]])
+    return np.concatenate(keys)
+
+
+def _facts(size: int, num: int, den: int) -> Callable:
+    """(doc_id, n, fingerprint, bitmap, segment keys) of each document."""
 
-def _prefixes(size: int, num: int, den: int, sketch) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = (np.minimum(sketch.value, (1 << 24) - 1).astype(np.uint64)) << np.uint64(40)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                keys, lengths = [], []
-                for s in shingle_sets(part.column(1), size):
-                    n = len(s)
-                    if n:
-                        p = n - -(-num * n // den) + 1
-                        order = rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] | (s >> np.uint64(24))
-                        s = s[order <= np.partition(order, p - 1)[p - 1]]
-                    keys.append(s)
-                    lengths.append(len(s))
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(flat, lengths)], ["id", "keys"])
+                sets = shingle_sets(part.column(1), size)
+                keys = [segment_keys(s, num, den) for s in sets]
+                columns = [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
+                    pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()),
+                    list_array(np.concatenate(keys).view(np.int64), [len(k) for k in keys]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fingerprint", "bits", "keys"])
 
     return run
 
@@ -264,27 +256,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     shingles and link with nothing. Rows that repeat a doc_id count as that one document; a null doc_id keeps its
     row, with a null component_id. Further columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = write_shared(docs.mapInArrow(_facts(size), "doc_id long, n_shingles long, fingerprint string, bits binary, chunk int"), "facts")
-    facts = both.where("chunk is null").drop("chunk", "bits")
-    sums = both.where("chunk is not null").select("chunk", F.col("bits").alias("counts")).repartition(16, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-    sketch = np.zeros(SKETCH, np.int64)
-    for row in sums.collect():
-        sketch[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.int64)
-    shared_sketch = spark.sparkContext.broadcast(sketch)
-
+    both = docs.mapInArrow(_facts(size, num, den), "doc_id long, n_shingles long, fingerprint string, bits binary, keys array<long>")
+    both = write_shared(both, "facts")
+    facts = both.select("doc_id", "n_shingles", "fingerprint")
     named = facts.where("fingerprint is not null and doc_id is not null")
     classes = write_shared(named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "classes")
     class_ids = classes.select(F.col("class_id").alias("id"))
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(size, num, den, shared_sketch), "id long, keys array<long>")
-    listed = write_shared(keep_keys(prefixes, class_ids, "id"), "prefixes").select("id", F.explode("keys").alias("key"))
+    signs = both.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits", "keys")
+    signs = keep_keys(signs, class_ids, "id")
 
     # Blocks of two classes or more; those led by the same class form one group.
+    listed = signs.select("id", F.explode("keys").alias("key"))
     blocks = listed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     groups = write_shared(listed.join(blocks.select("key", "leader"), "key").select("leader", "id").distinct(), "groups")
-    signs = keep_keys(both.where("chunk is null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), class_ids, "id")
-    signs = write_shared(signs.where("n > 0"), "signs")
 
     # A group of one tile is settled there; a larger one is first cut at random, each part with its leader.
     sized = groups.join(signs.select("id", "n"), "id").groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
@@ -293,6 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     part = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64(F.lit(3), "id"), F.col("tiles")).cast("int"))
     )
+    signs = signs.drop("keys")
     first = groups.join(sized, "leader").select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile")).withColumn("tile", F.col("tile").cast("long"))
     links = _link_tiles(first, signs, docs, ["leader", "tile"], size, num, den)
     large = sized.where("tiles > 1")

@@ -23,6 +23,32 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestay.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestay.llm.warc import read_archive, write_archive
+
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestay.llm.secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestay.llm.binary_codes import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestay.llm.packing import pack
 
@@ -30,6 +56,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestay.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, crc32 of the little-endian ids, and whether decoding gives the text back."""
+    from lodestay.llm.sentencepieces import decode, encode
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    hexed = F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0"))
+    little = F.transform(hexed, lambda h: F.concat(*(F.substring(h, 7 - 2 * k, 2) for k in range(4))))
+    crc = F.crc32(F.unhex(F.array_join(little, "")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), crc.alias("ids_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestay.llm.wavelet import read_documents, write_tokens
 
@@ -38,13 +82,39 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op10_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestay.llm.inner_products import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_ngram_jaccard": op1_ngram_jaccard,
-        "op6_packing": op6_packing,
-        "op9_wavelet_tokens": op9_wavelet_tokens,
-    }
+    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products)
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose rows it can state: the archive's digests and the exact product search."""
+    return {"op3_warc": _WARC, "op10_inner_products": _PRODUCTS}
+
+
+#: Base32 from the SHA-1's hex digits: every five bits, most significant first, pick a letter.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h FROM p),
+b AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1), '' ORDER BY i) AS payload_digest
+      FROM (SELECT DISTINCT h FROM d), range(32) r(i) GROUP BY h),
+m AS (SELECT h, max(page_id) AS last FROM d GROUP BY h)
+SELECT d.page_id, d.payload_bytes, b.payload_digest,
+       CASE WHEN d.page_id = m.last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id = m.last THEN NULL ELSE m.last END AS refers_to
+FROM d JOIN b ON d.h = b.h JOIN m ON d.h = m.h
+"""
+
+_PRODUCTS = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

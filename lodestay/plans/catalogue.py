@@ -1,52 +1,4 @@
-"""All queries of the engine's own operators: name -> function of (spark, sf_dir), and the SQL beside each."""
+"""All queries of the engine's own operators."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@query(
-    "group_yield",
-    """SELECT d.source, count(*) AS total, count(*) FILTER (WHERE l.quality = 1) AS good,
-       count(*) FILTER (WHERE l.quality = 0) AS poor, count(*) FILTER (WHERE l.toxic = 1) AS toxic,
-       count(*) FILTER (WHERE l.toxic = 0) AS clean
-       FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source""",
-)
-def group_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = load(spark, sf_dir, "documents").select("doc_id", "source").join(load(spark, sf_dir, "labels"), "doc_id")
-    return both.groupBy("source").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("quality") == 1).alias("good"),
-        F.count_if(F.col("quality") == 0).alias("poor"),
-        F.count_if(F.col("toxic") == 1).alias("toxic"),
-        F.count_if(F.col("toxic") == 0).alias("clean"),
-    )
+from lodestay.plans import operations, places, relational, texts  # noqa: F401
+from lodestay.plans.registry import oracle_sql, queries  # noqa: F401

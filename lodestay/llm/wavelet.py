@@ -24,7 +24,7 @@ from lodestay.llm.tokens import UnitEncoder
 _MAGIC = b"WVMX0001"
 _HEAD = struct.Struct("<8sQBQ")  # magic, ids, planes, documents
 #: Ids at which a task closes one matrix and begins the next.
-MATRIX_TOKENS = 1 << 21
+MATRIX_TOKENS = 1 << 19
 
 
 class WaveletMatrix:

@@ -22,8 +22,8 @@ from lodestay.llm.common import keep_keys, list_array, runs, text_slices, write_
 from lodestay.llm.graph import components
 from lodestay.llm.shingles import mix, shingle_sets
 
-#: Rows in one tile, and shingles in it, at which a group is cut.
-TILE_ROWS, TILE_SHINGLES = 512, 1 << 20
+#: Rows in one tile, and shingles in it, at which a group is cut; groups of few rows are not measured.
+TILE_ROWS, TILE_SHINGLES, FEW_ROWS = 4096, 1 << 22, 64
 _LEAF, _FAN = 8, 4
 
 
@@ -272,18 +272,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     groups = write_shared(listed.join(blocks.select("key", "leader"), "key").select("leader", "id").distinct(), "groups")
 
     # A group of one tile is settled there; a larger one is first cut at random, each part with its leader.
-    sized = groups.join(signs.select("id", "n"), "id").groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    tiles = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    sized = write_shared(sized.select("leader", tiles.alias("tiles")), "sized")
+    signs = signs.drop("keys")
+    many = write_shared(groups.groupBy("leader").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW_ROWS).select("leader"), "many")
+    measured = groups.join(many, "leader").join(signs.select("id", "n"), "id")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    large = write_shared(measured.groupBy("leader").agg(tiles.alias("tiles")).where("tiles > 1"), "large")
     part = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64(F.lit(3), "id"), F.col("tiles")).cast("int"))
     )
-    signs = signs.drop("keys")
-    first = groups.join(sized, "leader").select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile")).withColumn("tile", F.col("tile").cast("long"))
+    first = groups.join(large, "leader", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile")).withColumn("tile", F.col("tile").cast("long"))
     links = _link_tiles(first, signs, docs, ["leader", "tile"], size, num, den)
-    large = sized.where("tiles > 1")
     if not large.isEmpty():
-        links = links.unionByName(_between_tiles(groups.join(signs.select("id", "n"), "id"), large, signs, docs, links, size, num, den))
+        links = links.unionByName(_between_tiles(measured.join(large, "leader"), signs, docs, links, size, num, den))
     reached = components(links, "a", "b")
 
     classes = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -300,15 +300,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     return out.unionByName(lost)
 
 
-def _between_tiles(groups: DataFrame, large: DataFrame, signs: DataFrame, docs: DataFrame, links: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links between different tiles of the large groups.
+def _between_tiles(groups: DataFrame, signs: DataFrame, docs: DataFrame, links: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links between different tiles of the large ``groups`` (leader, id, n).
 
     After the first pass nearly all of a group of copies is one component, the main one. Pairs inside it need no
     test; each other row must meet all tiles of the main component and all other such rows. Those rows are dealt
     into tiles too, and every pair of tiles is one task.
     """
     reached = components(links, "a", "b")
-    rows = groups.join(large, "leader").join(reached, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    rows = groups.join(reached, "id", "left").withColumn("label", F.coalesce("component", "id"))
     count = rows.groupBy("leader", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     main = count.groupBy("leader").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"))
     main = main.where("labels > 1").select("leader", "main")

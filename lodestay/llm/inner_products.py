@@ -20,6 +20,8 @@ from lodestay.llm.vectors import BLOCK, against_blocks, best, matrix, result, us
 
 #: Vectors from which the rotation is taken at most; any rotation gives the same results.
 SAMPLE = 4096
+#: Norm bins at most; a bin of more vectors than a block is dealt into several blocks of the same lengths.
+BINS = 64
 _STEPS = (0.25, 0.5)
 
 
@@ -88,7 +90,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
     turns = {d: np.linalg.svd(np.array([v for v in sample if len(v) == d]), full_matrices=True)[2].T for d in {len(v) for v in sample}}
     turn = spark.sparkContext.broadcast(turns)
-    blocks = max(1, -(-rows.count() // block))
+    blocks = min(BINS, max(1, -(-rows.count() // block)))
     edges = rows.approxQuantile("norm", [i / blocks for i in range(blocks - 1, 0, -1)], 0.1 / blocks) if blocks > 1 else []
     edges = sorted(set(edges), reverse=True)
     # Vectors of one length may be more than a block: those of a bin are dealt on by their ids.

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestay.llm.common import list_array, text_slices
+from lodestay.llm.common import text_buffers, text_slices
 from lodestay.llm.shingles import mix
+from lodestay.llm.tokens import UnitCache
 
 BLANK = "▁"
 #: How far below the lowest piece score an uncovered character lies.
@@ -134,58 +135,77 @@ def best_paths(codes: np.ndarray, vocabulary: Vocabulary) -> list[list[int]]:
     return [path[length - n :] for path, n in zip(paths.tolist(), count.tolist(), strict=True)]
 
 
-def _words(text: str) -> list[str]:
-    """The words of a text with its dummy prefix; each begins with all blanks before it, trailing blanks stand alone."""
-    if not text:
-        return []
-    out, begin, inside = [], 0, False
-    marked = BLANK + text.replace(" ", BLANK)
-    for i, part in enumerate(marked.split(BLANK)):
-        if i and part:
-            out.append(BLANK * (i - begin) + part)
-            begin = i
-        inside = not part
-    if inside:
-        out.append(BLANK * (i - begin))
-    return out
-
-
-class ViterbiEncoder:
-    def __init__(self, path: str, remembered: int = 500_000):
-        self.vocabulary, self.remembered = load(path), remembered
-        self.known: dict[str, list[int]] = {}
-        v = self.vocabulary
-        self.spelt = [p.encode() for p in v.pieces]
-        for b, i in enumerate(v.bytes.tolist()):
-            if i != v.unknown:
-                self.spelt[i] = bytes([b])
-
-    def _solve(self, words: list[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
+class ViterbiEncoder(UnitCache):
+    """Units are the words with the blanks before them; a blank goes before the whole text, as its dummy prefix."""
+
+    def __init__(self, path: str):
+        self.vocabulary = load(path)
+        super().__init__()
+
+    def _bytes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, ends = text_buffers(texts)
+        filled = ends[:-1][np.diff(ends) > 0]
+        added = np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
+        return np.insert(data, filled, 32), ends + added
+
+    def _cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blank = data == 32
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[ends] = True
+        cuts = np.flatnonzero(cut)
+        return cuts[:-1], cuts[1:]
+
+    def _encode(self, units: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(units)
+        by_length: dict[int, list[int]] = {}
+        for i, unit in enumerate(units):
+            by_length.setdefault(len(unit), []).append(i)
+        of_bytes = self.vocabulary.bytes
         for length, group in by_length.items():
-            step = max(1, (1 << 19) // (length * min(length, self.vocabulary.longest)))
+            step = max(1, (1 << 18) // (length * min(length, self.vocabulary.longest)))
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
-                codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
-                for word, path in zip(some, best_paths(codes, self.vocabulary), strict=True):
+                words = [units[i].replace(" ", BLANK) for i in some]
+                codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, length)
+                for i, word, path in zip(some, words, best_paths(codes, self.vocabulary), strict=True):
                     if min(path) < 0:
-                        spelt = [self.vocabulary.bytes[list(word[-1 - p].encode("utf-8", "replace"))].tolist() if p < 0 else [p] for p in path]
-                        path = [i for s in spelt for i in s]
-                    self.known[word] = path
+                        spelt = [of_bytes[list(word[-1 - p].encode())].tolist() if p < 0 else [p] for p in path]
+                        path = [x for part in spelt for x in part]
+                    out[i] = path
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        cut = [_words(t or "") for t in texts]
-        self._solve(list({w for words in cut for w in words if w not in self.known}))
-        return [np.array([i for w in words for i in self.known[w]], np.int32) for words in cut]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: byte pieces join into UTF-8, the dummy prefix goes, blanks return."""
-        raw = b"".join([self.spelt[i] for i in ids.tolist()])
-        return raw.decode("utf-8", "replace").replace(BLANK, " ")[1:]
+class Speller:
+    """Texts of ids: byte pieces join into UTF-8, the dummy prefix goes, blanks return."""
+
+    def __init__(self, path: str):
+        v = load(path)
+        spelt = [p.replace(BLANK, " ").encode() for p in v.pieces]
+        for b, i in enumerate(v.bytes.tolist()):
+            if i != v.unknown:
+                spelt[i] = bytes([b])
+        self.count = np.array([len(p) for p in spelt])
+        self.start = np.cumsum(self.count) - self.count
+        self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """One text for each of ``lengths`` ids in turn; bytes that are no UTF-8 become replacement marks."""
+        n = self.count[ids]
+        done = np.concatenate([[0], np.cumsum(n)])
+        data = self.flat[np.repeat(self.start[ids] - done[:-1], n) + np.arange(done[-1])]
+        ends = done[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])]
+        prefix = ends[:-1][np.diff(ends) > 0]
+        keep = np.ones(len(data), bool)
+        keep[prefix] = data[prefix] != 32
+        data, ends = data[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+        texts = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            raw = data.tobytes()
+            texts = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+        return texts
 
 
 def _encode(path: str) -> Callable:
@@ -193,20 +213,23 @@ def _encode(path: str) -> Callable:
         encoder = ViterbiEncoder(path)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = encoder.encode(part.column(1).to_pylist())
-                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array(flat, [len(f) for f in found])], ["doc_id", "text", "ids"])
+                ids, lengths = encoder.encode(part.column(1))
+                ends = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["doc_id", "text", "ids"])
 
     return run
 
 
 def _decode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ViterbiEncoder(path)
+        speller = Speller(path)
         for batch in batches:
-            place = batch.schema.get_field_index("ids")
-            texts = [encoder.decode(np.array(i or [], np.int64)) for i in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for part in text_slices(batch, "text"):
+                packed = part.column(2).to_pylist()
+                lengths = np.array([len(b or b"") // 4 for b in packed])
+                ids = np.frombuffer(b"".join(b or b"" for b in packed), "<u4")
+                yield pa.RecordBatch.from_arrays([*part.columns, speller.decode(ids, lengths)], ["doc_id", "text", "ids", "decoded"])
 
     return run
 
@@ -214,14 +237,14 @@ def _decode(path: str) -> Callable:
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, text, ids) for every row of ``docs``; null and empty texts have no ids. Further columns are ignored.
 
-    ids are the path of the highest summed piece score; of equal ones the last piece is the longest. A character
+    ids, as little-endian unsigned 32-bit, are the path of the highest summed piece score; of equal ones the last piece is the longest. A character
     ``▁`` of a text counts as a blank.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model), "doc_id long, text string, ids array<int>")
+    return rows.mapInArrow(_encode(model), "doc_id long, text string, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The rows of ``encoded`` (doc_id, text, ids) with the text that the ids spell as ``decoded``."""
     rows = encoded.select("doc_id", "text", "ids")
-    return rows.mapInArrow(_decode(model), "doc_id long, text string, ids array<int>, decoded string")
+    return rows.mapInArrow(_decode(model), "doc_id long, text string, ids binary, decoded string")

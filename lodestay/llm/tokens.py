@@ -47,7 +47,75 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class UnitEncoder:
+class UnitCache:
+    """Encodes texts by their units; a subclass says where units begin and end, and what their ids are."""
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
+        self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def _bytes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that are cut, and the row offsets into them."""
+        return text_buffers(texts)
+
+    def _cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def _encode(self, units: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        collecting = gc.isenabled()
+        gc.disable()  # a pass over so many small lists costs more than the encoding
+        try:
+            found = self._encode(units)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
+            del found
+        finally:
+            if collecting:
+                gc.enable()
+        base, k = self.used, len(self.known)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + len(units) > len(self.count):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        self.ids[base : base + len(flat)] = flat
+        self.used += len(flat)
+        self.start[k : k + len(units)] = base + np.cumsum(n) - n
+        self.count[k : k + len(units)] = n
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.number = np.insert(self.number, place, np.arange(k, k + len(units)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each text has; null is an empty text."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        data, ends = self._bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        starts, stops = self._cut(data, ends)
+        hashes, first, which = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, hashes)
+        new = self.known[np.minimum(place, len(self.known) - 1)] != hashes if len(self.known) else np.ones(len(hashes), bool)
+        if new.any():
+            raw = data.tobytes()
+            spans = zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in spans])
+        at = self.number[np.searchsorted(self.known, hashes)][which]
+        n = self.count[at]
+        done = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=done[1:])
+        place = np.repeat(self.start[at] - done[:-1], n) + np.arange(done[-1])
+        return self.ids[place], np.diff(done[np.searchsorted(starts, ends)])
+
+
+class UnitEncoder(UnitCache):
     """Encodes lists of texts into one flat id array with lengths; equal to the library's ``encode`` of each text."""
 
     def __init__(self, path: str):
@@ -59,13 +127,8 @@ class UnitEncoder:
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.bytes = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in _byte_alphabet().items()})
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.marks: dict[str, list[int]] = {"": []}
-        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        super().__init__()
 
     def _piece(self, text: str) -> list[int]:
         if not text.isascii() or text[0] == " ":
@@ -92,30 +155,6 @@ class UnitEncoder:
                 out[i] = e.ids
         return out
 
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        collecting = gc.isenabled()
-        gc.disable()  # a pass over so many small lists costs more than the encoding
-        try:
-            found = self._encode(units)
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
-            del found
-        finally:
-            if collecting:
-                gc.enable()
-        base, k = self.used, len(self.known)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(units) > len(self.count):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.ids[base : base + len(flat)] = flat
-        self.used += len(flat)
-        self.start[k : k + len(units)] = base + np.cumsum(n) - n
-        self.count[k : k + len(units)] = n
-        place = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, place, hashes)
-        self.number = np.insert(self.number, place, np.arange(k, k + len(units)))
-
     def _cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where units start and stop. Words alone if the vocabulary drops white space, else all bytes."""
         if self.lower:
@@ -139,25 +178,3 @@ class UnitEncoder:
         cut[1:] |= alone & (data == 10)
         cuts = np.flatnonzero(cut)
         return cuts[:-1], cuts[1:]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and how many each text has; null is an empty text."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        data, ends = text_buffers(texts)
-        if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        starts, stops = self._cut(data, ends)
-        hashes, first, which = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, hashes)
-        new = self.known[np.minimum(place, len(self.known) - 1)] != hashes if len(self.known) else np.ones(len(hashes), bool)
-        if new.any():
-            raw = data.tobytes()
-            spans = zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
-            self._learn(hashes[new], [raw[a:b].decode() for a, b in spans])
-        at = self.number[np.searchsorted(self.known, hashes)][which]
-        n = self.count[at]
-        done = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=done[1:])
-        place = np.repeat(self.start[at] - done[:-1], n) + np.arange(done[-1])
-        return self.ids[place], np.diff(done[np.searchsorted(starts, ends)])

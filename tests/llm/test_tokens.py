@@ -122,7 +122,7 @@ def test_viterbi_reaches_the_best_score_and_decodes(spark):
 
     encoder = ViterbiEncoder(path)
     for word in ["hello", "unbelievable", "and", "Zürich", "aaaa", "internationalisation"]:
-        assert reached(encoder.encode([word])[0].tolist()) == (best("▁" + word), 0)
+        assert reached(encoder.encode(pa.array([word]))[0].tolist()) == (best("▁" + word), 0)
     rows = spark.createDataFrame(list(enumerate([*ODD, "a\nb 😀", "end  "])), "doc_id long, text string")
     for r in decode(encode(rows, path), path).collect():
         assert r.decoded == (r.text or "")

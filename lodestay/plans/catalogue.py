@@ -1,4 +1,4 @@
 """All queries of the engine's own operators."""
 
-from lodestay.plans import operations, places, relational, texts  # noqa: F401
+from lodestay.plans import entities, operations, places, relational, streams, texts  # noqa: F401
 from lodestay.plans.registry import oracle_sql, queries  # noqa: F401

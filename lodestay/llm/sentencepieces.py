@@ -1,13 +1,15 @@
-"""SentencePiece encoding and decoding by a batched Viterbi search in numpy.
+"""SentencePiece encoding and decoding by batched searches in numpy.
 
 A text is cut before every run of blanks; no piece crosses such a place, so each distinct word is solved once
-per batch. Words of one length advance together: for each end position and piece length, hashes of the substrings
-probe the sorted hashes of the pieces, and a maximum over the piece lengths leaves the best score and its back
-pointer. Characters that no piece covers become byte pieces.
+per task. Words of one length advance together, and hashes of substrings probe the sorted hashes of the pieces.
+The scores of a BPE model are ranks of merges: each pass joins the best-ranked adjacent pair of every word, the
+leftmost of equal ones. The scores of a unigram model are log-probabilities: a Viterbi search takes for each end
+position the maximum over the piece lengths. Characters that no piece covers become byte pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +26,9 @@ from lodestay.llm.tokens import UnitCache
 BLANK = "▁"
 #: How far below the lowest piece score an uncovered character lies.
 UNKNOWN_PENALTY = 10.0
+#: Longer words, and words of a length that fewer share, are merged one by one with a heap: a pass joins one pair a word.
+LONG, FEW = 64, 16
+UNIGRAM, BPE = 1, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +44,8 @@ class Vocabulary:
     unknown: int
     unknown_score: float
     longest: int
+    plain: dict[str, int]
+    kind: int  # UNIGRAM or BPE
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, or -1."""
@@ -70,6 +77,42 @@ def _substring_hashes(prefixes: np.ndarray, width: int) -> np.ndarray:
     return mix((prefixes[:, width:] - prefixes[:, :n]) * inverse)
 
 
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (data[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if data[at - 1] < 128:
+            return value, at
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message."""
+    at = 0
+    while at < len(data):
+        tag, at = _varint(data, at)
+        if tag & 7 == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = _varint(data, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def _kind(proto: bytes) -> int:
+    """The model type; what this module does not search right is refused."""
+    trainer, user_defined = {}, False
+    for number, value in _fields(proto):
+        if number == 1:
+            user_defined |= dict(_fields(value)).get(3, 1) == 4
+        elif number == 2:
+            trainer = dict(_fields(value))
+    kind = trainer.get(3, UNIGRAM)
+    if kind not in (UNIGRAM, BPE) or user_defined:
+        raise ValueError("only unigram and BPE models without user-defined symbols are encoded")
+    return kind
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
     """Pieces, scores and kinds of a model file, read through the sentencepiece library."""
@@ -80,6 +123,11 @@ def load(path: str) -> Vocabulary:
     pieces = [model.id_to_piece(i) for i in range(n)]
     scores = np.array([model.get_score(i) for i in range(n)])
     plain = [i for i in range(n) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    kind = _kind(model.serialized_model_proto())
+    if kind == BPE and (any(map(model.is_unused, range(n))) or not any(map(model.is_byte, range(n)))):
+        raise ValueError("BPE models are encoded with byte pieces and without unused ones only")
+    if any(BLANK in pieces[i].lstrip(BLANK) for i in plain):
+        raise ValueError("a piece crosses the place where texts are cut")
     by_length: dict[int, list[int]] = {}
     for i in plain:
         by_length.setdefault(len(pieces[i]), []).append(i)
@@ -98,7 +146,7 @@ def load(path: str) -> Vocabulary:
     flat, numbers = np.append(flat[order], np.uint64(2**64 - 1)), np.append(numbers[order], -1)
     bucket = np.searchsorted(flat[:-1], np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(48), "left")
     bucket[-1] = len(flat) - 1
-    return Vocabulary(pieces, of_bytes, flat, numbers, bucket, int(np.diff(bucket).max()), scores, model.unk_id(), lowest - UNKNOWN_PENALTY, max(by_length))
+    return Vocabulary(pieces, of_bytes, flat, numbers, bucket, int(np.diff(bucket).max()), scores, model.unk_id(), lowest - UNKNOWN_PENALTY, max(by_length), {pieces[i]: i for i in plain}, kind)
 
 
 def best_paths(codes: np.ndarray, vocabulary: Vocabulary) -> list[list[int]]:
@@ -135,6 +183,86 @@ def best_paths(codes: np.ndarray, vocabulary: Vocabulary) -> list[list[int]]:
     return [path[length - n :] for path, n in zip(paths.tolist(), count.tolist(), strict=True)]
 
 
+def merged_paths(codes: np.ndarray, vocabulary: Vocabulary) -> list[list[int]]:
+    """As ``best_paths``, by merges: the best-scored adjacent pair first, the leftmost of equal ones.
+
+    A symbol is known by its first character. ``after`` and ``before`` are the symbols beside it, ``joined`` is the
+    piece that it makes with the next one.
+    """
+    rows, length = codes.shape
+    prefixes = _prefix_hashes(codes)
+    inverse = np.multiply.accumulate(np.array([1] + [_INVERSE] * length, np.uint64))
+    piece = vocabulary.probe(_substring_hashes(prefixes, 1))
+    begins = np.ones((rows, length), bool)
+    joined = np.full((rows, length + 1), -1)  # the last column takes what is written beside the word
+    if length > 1:
+        joined[:, : length - 1] = vocabulary.probe(_substring_hashes(prefixes, 2))
+    score = np.where(joined >= 0, vocabulary.scores[joined], -np.inf)
+    after = np.tile(np.minimum(np.arange(1, length + 2), length), (rows, 1))
+    before = np.tile(np.arange(-1, length), (rows, 1))  # -1, before the first, is the last column too
+    alive = np.arange(rows)
+
+    def join(first: np.ndarray, ends: np.ndarray, real: np.ndarray) -> None:
+        number = np.full(len(alive), -1)
+        some, a, b = alive[real], first[real], ends[real]
+        number[real] = vocabulary.probe(mix((prefixes[some, b] - prefixes[some, a]) * inverse[a]))
+        joined[alive, first] = number
+        score[alive, first] = np.where(number >= 0, vocabulary.scores[number], -np.inf)
+
+    while True:
+        best = np.argmax(score[alive], 1)
+        more = score[alive, best] > -np.inf
+        alive, left = alive[more], best[more]
+        if not len(alive):
+            break
+        right = after[alive, left]
+        end = after[alive, right]
+        piece[alive, left] = joined[alive, left]
+        begins[alive, right] = False
+        score[alive, right] = -np.inf
+        after[alive, left] = end
+        before[alive, end] = left
+        join(left, after[alive, end], end < length)
+        join(before[alive, left], end, left > 0)
+    path = np.where(piece >= 0, piece, -1 - np.arange(length))[begins].tolist()
+    ends = np.cumsum(begins.sum(1)).tolist()
+    return [path[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def merged_path(word: str, vocabulary: Vocabulary) -> list[int]:
+    """The same for one word, with a heap of its pairs."""
+    plain, scores, length = vocabulary.plain, vocabulary.scores, len(word)
+    after, before = list(range(1, length + 2)), list(range(-1, length))
+    piece = [plain.get(c, -1 - i) for i, c in enumerate(word)]
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def join(a: int, b: int) -> None:
+        if a < 0 or b >= length or after[b] - a > vocabulary.longest:
+            return
+        number = plain.get(word[a : after[b]])
+        if number is not None:
+            heapq.heappush(heap, (-scores[number], a, b, after[b], number))
+
+    for i in range(length - 1):
+        join(i, i + 1)
+    while heap:
+        _, left, right, end, number = heapq.heappop(heap)
+        if after[left] != right or after[right] != end:
+            continue
+        piece[left], after[left], after[right], before[end] = number, end, -1, left
+        join(left, end)
+        join(before[left], left)
+    out, at = [], 0
+    while at < length:
+        out.append(piece[at])
+        at = after[at]
+    return out
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+
+
 class ViterbiEncoder(UnitCache):
     """Units are the words with the blanks before them; a blank goes before the whole text, as its dummy prefix."""
 
@@ -156,6 +284,10 @@ class ViterbiEncoder(UnitCache):
         cuts = np.flatnonzero(cut)
         return cuts[:-1], cuts[1:]
 
+    def _paths(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of one length, as ``best_paths`` gives them."""
+        return best_paths(_codes(words), self.vocabulary)
+
     def _encode(self, units: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(units)
         by_length: dict[int, list[int]] = {}
@@ -167,8 +299,7 @@ class ViterbiEncoder(UnitCache):
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
                 words = [units[i].replace(" ", BLANK) for i in some]
-                codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, length)
-                for i, word, path in zip(some, words, best_paths(codes, self.vocabulary), strict=True):
+                for i, word, path in zip(some, words, self._paths(words), strict=True):
                     if min(path) < 0:
                         spelt = [of_bytes[list(word[-1 - p].encode())].tolist() if p < 0 else [p] for p in path]
                         path = [x for part in spelt for x in part]
@@ -176,6 +307,20 @@ class ViterbiEncoder(UnitCache):
         return out
 
 
+class MergeEncoder(ViterbiEncoder):
+    """The same units, merged as the scores of a BPE model rank them."""
+
+    def _paths(self, words: list[str]) -> list[list[int]]:
+        if len(words) < FEW or len(words[0]) > LONG:
+            return [merged_path(w, self.vocabulary) for w in words]
+        return merged_paths(_codes(words), self.vocabulary)
+
+
+def encoder(path: str) -> ViterbiEncoder:
+    """The encoder that gives the ids of the model: merges for BPE, the best sum of scores for unigram."""
+    return (MergeEncoder if load(path).kind == BPE else ViterbiEncoder)(path)
+
+
 class Speller:
     """Texts of ids: byte pieces join into UTF-8, the dummy prefix goes, blanks return."""
 
@@ -210,10 +355,10 @@ class Speller:
 
 def _encode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ViterbiEncoder(path)
+        coder = encoder(path)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids, lengths = encoder.encode(part.column(1))
+                ids, lengths = coder.encode(part.column(1))
                 ends = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
                 packed = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["doc_id", "text", "ids"])
@@ -237,8 +382,8 @@ def _decode(path: str) -> Callable:
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, text, ids) for every row of ``docs``; null and empty texts have no ids. Further columns are ignored.
 
-    ids, as little-endian unsigned 32-bit, are the path of the highest summed piece score; of equal ones the last piece is the longest. A character
-    ``▁`` of a text counts as a blank.
+    ids, as little-endian unsigned 32-bit, are those of the sentencepiece library for BPE models; for unigram models the path of the
+    highest summed piece score, of equal ones that whose last piece is the longest. A character ``▁`` of a text counts as a blank.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encode(model), "doc_id long, text string, ids binary")

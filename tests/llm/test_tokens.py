@@ -9,7 +9,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from lodestay.llm.packing import SumOfSquares, pack  # noqa: E402
-from lodestay.llm.sentencepieces import ViterbiEncoder, decode, encode, load  # noqa: E402
+from lodestay.llm.sentencepieces import ViterbiEncoder, decode, encode, load, merged_path, merged_paths  # noqa: E402
 from lodestay.llm.tokens import UnitEncoder  # noqa: E402
 from lodestay.llm.wavelet import WaveletMatrix, read_documents, write_tokens  # noqa: E402
 
@@ -126,3 +126,29 @@ def test_viterbi_reaches_the_best_score_and_decodes(spark):
     rows = spark.createDataFrame(list(enumerate([*ODD, "a\nb 😀", "end  "])), "doc_id long, text string")
     for r in decode(encode(rows, path), path).collect():
         assert r.decoded == (r.text or "")
+
+
+def test_bpe_ids_equal_the_library_on_whole_texts(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += [*ODD, "the information", "      six     blanks ", "日本語の文章です" * 40, "ab" * 500, "x▁y ▁▁ z", "aaaaaaaaaaaaaaaaaaaaaaa", "😀" * 70]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in encode(rows, path).collect():
+        assert np.frombuffer(r.ids or b"", "<u4").tolist() == library.encode(r.text or ""), r.text
+
+
+def test_bpe_merges_batched_and_by_heap_equal_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, v = sentencepiece.SentencePieceProcessor(model_file=path), load(path)
+    random = np.random.default_rng(0)
+    for length in (1, 2, 3, 7, 20, 60):
+        words = ["".join(random.choice(list("etaoinshrdlu▁"), length)) for _ in range(200)]
+        wanted = [library.encode(w) for w in words]
+        given = ["▁" + w for w in words]
+        codes = np.frombuffer("".join(given).encode("utf-32-le"), "<u4").reshape(200, -1)
+        assert merged_paths(codes, v) == wanted and [merged_path(w, v) for w in given] == wanted

@@ -1,8 +1,9 @@
 """Secret scans: three base patterns, and dictionary-primed zstandard novelty.
 
 A candidate is an unbroken token near a sensitive word. Its novelty is what it adds to the zstandard frame of the
-text around it, with a dictionary of common identifiers already known to the compressor. Words and identifiers
-repeat what is near them or in the dictionary and add little; random strings add nearly their whole length.
+text around it, copies of itself left out, with a dictionary of common identifiers already known to the compressor.
+Words and identifiers repeat what is near them or in the dictionary and add little; random strings add nearly their
+whole length. A token that is novel once is reported wherever it stands in the text.
 """
 
 from __future__ import annotations
@@ -39,14 +40,36 @@ _IDENTIFIERS = (
 )
 
 
+def core(token: str) -> str:
+    """The longest part of a token between equals signs, or all of it if no part is long enough for a candidate."""
+    longest = max(token.split("="), key=len)
+    return longest if len(longest) >= 16 else token
+
+
+def _without(text: str, value: str, lo: int, hi: int, least: int, most: int) -> str:
+    """text[lo:hi] without what belongs to copies of ``value`` that lie in text[least:most]."""
+    kept, at = [], lo
+    place = text.find(value, least, most)
+    while place >= 0:
+        kept.append(text[at : min(place, hi)])
+        at = place + len(value)
+        place = text.find(value, at, most)
+    return "".join([*kept, text[at:hi]])
+
+
 class NoveltyMeter:
     def __init__(self) -> None:
         primed = zstandard.ZstdCompressionDict(_IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def of(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters."""
-        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "replace")
+        """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters.
+
+        Copies of itself do not count as surroundings, else a secret that stands twice would be no news at both places.
+        """
+        same, lo, hi = core(text[start:end]), max(0, start - AROUND), end + AROUND
+        before = _without(text, same, lo, start, max(0, lo - len(same) + 1), start)
+        around = (before + _without(text, same, end, hi, end, hi + len(same) - 1)).encode("utf-8", "replace")
         value = text[start:end].encode()
         added = len(self.compressor.compress(around + b"\n" + value)) - len(self.compressor.compress(around + b"\n"))
         return added / len(value)
@@ -72,7 +95,24 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter
                 continue
             if meter.of(text, m.start(), end) >= NOVELTY:
                 found.append((m.start(), 3, end))
-    return found
+    return found + repeats(text, base, found)
+
+
+def repeats(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Every further occurrence of a found token in the text that no span touches."""
+    taken = bytearray(len(text))
+    for a, _, b in [*base, *found]:
+        taken[a:b] = b"\1" * (b - a)
+    more = []
+    for value in sorted({core(text[a:b]) for a, _, b in found}, key=lambda v: (-len(v), v)):
+        place = text.find(value)
+        while place >= 0:
+            end = place + len(value)
+            if 1 not in taken[place:end]:
+                more.append((place, 3, end))
+                taken[place:end] = b"\1" * len(value)
+            place = text.find(value, end)
+    return more
 
 
 def _long_hex_rows(texts: pa.Array) -> np.ndarray:

@@ -83,6 +83,23 @@ def test_secret_spans(spark):
     assert clean[0] is None and clean[2] == "[SECRET]' token=short" and clean[4] == "é [SECRET]" and clean[7] == texts[7]
 
 
+def _cleaned(text):
+    base, out, at = secrets.base_spans(text), "", 0
+    for a, _, b in sorted(base + secrets.novel_spans(text, base, secrets.NoveltyMeter())):
+        out, at = (out + text[at:a] + "[SECRET]" if a >= at else out), max(at, b)
+    return out + text[at:]
+
+
+def test_repeated_secrets_are_all_found():
+    x = "ghp_9aKd83JsLq02ZmXnB47tYw"
+    call = f"curl -H 'Authorization: Bearer {x}' https://example.org/a\n"
+    far = "and so on, with words. " * 40
+    for text, n in [(call * 2, 2), (call + far + call, 2), (call + far + f"see {x} again", 2), (f"bearer auth_a={x} and auth_b={x}", 2)]:
+        assert x not in _cleaned(text) and _cleaned(text).count("[SECRET]") == n
+    for k in range(200, 280):  # the edge of the surroundings cuts a copy
+        assert x not in _cleaned(f"Bearer {x} " + ("q w " * 80)[:k] + f"Bearer {x}")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     from pyspark.sql import functions as F

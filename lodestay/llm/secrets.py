@@ -1,6 +1,7 @@
 """Secret scans: three base patterns, and dictionary-primed zstandard novelty.
 
-A candidate is an unbroken token near a sensitive word. Its novelty is what it adds to the zstandard frame of the
+A candidate is an unbroken token on the line of a sensitive word, near it or in a block of a private key; unbroken
+lines beside a found one belong to it. Its novelty is what it adds to the zstandard frame of the
 text around it, copies of itself left out, with a dictionary of common identifiers already known to the compressor.
 Words and identifiers repeat what is near them or in the dictionary and add little; random strings add nearly their
 whole length. A token that is novel once is reported wherever it stands in the text.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,13 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A text without any of these has no base match but a hexadecimal one, and no sensitive context.
 _SENSITIVE = re.compile(r"password|passwd|secret|token|api[_-]?key|credential|private[_ -]?key|access[_ -]?key|bearer|authorization|auth_|passphrase|client_id", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters after a sensitive word that count as its context, and characters kept around a candidate.
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----.*?(?=-----END |\Z)", re.DOTALL)
+_TOKEN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+#: A line that is one token but for marks around it, and what may follow a token on its line.
+_ALONE = re.compile(r"[^A-Za-z0-9+/_=\n-]*([A-Za-z0-9+/_=-]+)(?:\\[nr]|[^A-Za-z0-9+/_=\n-])*(?=\n|\Z)")
+_LINE_REST = re.compile(r"(?:\\[nr]|[^A-Za-z0-9+/_=\n-])*\n")
+_UNBROKEN = re.compile(r"^[^A-Za-z0-9+/_=\n-]*[A-Za-z0-9+/_=-]{16,}[^A-Za-z0-9+/_=\n-]*$", re.MULTILINE)
+#: Characters on both sides of a sensitive word that count as its context beside its line, and characters kept around a candidate.
 REACH, AROUND = 64, 256
 #: A candidate is reported when it adds this many bytes for each of its characters.
 NOVELTY = 0.7
@@ -65,11 +73,13 @@ class NoveltyMeter:
     def of(self, text: str, start: int, end: int) -> float:
         """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters.
 
-        Copies of itself do not count as surroundings, else a secret that stands twice would be no news at both places.
+        Copies of itself do not count as surroundings, else a secret that stands twice would be no news at both places;
+        nor do unbroken lines, which may be parts of the same key.
         """
         same, lo, hi = core(text[start:end]), max(0, start - AROUND), end + AROUND
         before = _without(text, same, lo, start, max(0, lo - len(same) + 1), start)
-        around = (before + _without(text, same, end, hi, end, hi + len(same) - 1)).encode("utf-8", "replace")
+        after = _without(text, same, end, hi, end, hi + len(same) - 1)
+        around = (_UNBROKEN.sub("", before) + _UNBROKEN.sub("", after)).encode("utf-8", "replace")
         value = text[start:end].encode()
         added = len(self.compressor.compress(around + b"\n" + value)) - len(self.compressor.compress(around + b"\n"))
         return added / len(value)
@@ -83,19 +93,108 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _contexts(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What belongs to the sensitive words: their lines, ``REACH`` characters on both sides, and whole blocks of private keys."""
+    found = [(m.start(), m.end()) for m in _KEY_BLOCK.finditer(text)]
+    line_end = -1
+    for start, end in words:
+        lo = start
+        if end > line_end:
+            lo = text.rfind("\n", 0, start) + 1
+            line_end = text.find("\n", end)
+            line_end = len(text) if line_end < 0 else line_end
+        found.append((min(lo, start - REACH), max(line_end, end + REACH)))
+    merged: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
+def _plain(token: str) -> bool:
+    return token.isalpha() and (token.islower() or token.isupper() or token.istitle())
+
+
+def _parts(text: str, start: int, end: int, words: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
+    """What of an unbroken token may be the secret, widest first: a sensitive word may be part of the token."""
+    at = bisect_left(words, (start, start))
+    inside = at < len(words) and words[at][1] <= end
+    if not inside:
+        return [(start, end)]
+    first, last = words[at]
+    digit = lambda a, b: any(c.isdigit() for c in text[a:b])
+    led = bisect_right(ends, start)
+    whole = led and start - ends[led - 1] <= REACH or digit(start, end)
+    return [(start, end)] * bool(whole) + [(last, end)] + [(start, first)] * digit(start, first)
+
+
+def _carried(text: str, start: int, end: int, taken: bytearray) -> Iterator[tuple[int, int]]:
+    """Unbroken lines that go on from a found span, after it and before it, as those of a wrapped key do.
+
+    ``taken`` is 1 under base spans and 2 under novel ones, which are carried on by themselves.
+    """
+    head = start
+    while head and text[head - 1] != "\n" and text[head - 1] not in _TOKEN_CHARACTERS:
+        head -= 1
+    alone = not head or text[head - 1] == "\n"
+    at, body = end, alone and end - start >= 16
+    while (rest := _LINE_REST.match(text, at)) and (line := _ALONE.match(text, rest.end())):
+        a, b = line.span(1)
+        token, last = text[a:b], text.startswith("-----END", line.end() + 1)
+        full = len(token) >= 16 and not (_plain(token) or token.strip("-_=") == "")
+        if not full and not (token.strip("-_=") and (last or body and not _plain(token) or token.endswith("="))):
+            break
+        if 2 in taken[a:b]:
+            break
+        if 0 in taken[a:b]:
+            yield a, b
+        at, body = b, full
+        if not full:
+            break
+    while alone and head:
+        lo = text.rfind("\n", 0, head - 1) + 1
+        line = _ALONE.match(text, lo, head - 1)
+        if not line or len(line[1]) < 16 or _plain(line[1]) or not line[1].strip("-_=") or 2 in taken[line.start(1) : line.end(1)]:
+            break
+        if 0 in taken[line.start(1) : line.end(1)]:
+            yield line.span(1)
+        head = lo
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter) -> list[tuple[int, int, int]]:
-    """Incompressible tokens with a digit or mixed case in a sensitive context that no base span touches."""
-    found, done = [], 0
-    for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(done, word.end()), word.end() + REACH):
-            end = _CANDIDATE.match(text, m.start()).end()
-            token = text[m.start() : end]
-            done = end
-            if token.isalpha() and (token.islower() or token.isupper() or token.istitle()) or any(a < end and m.start() < b for a, _, b in base):
-                continue
-            if meter.of(text, m.start(), end) >= NOVELTY:
-                found.append((m.start(), 3, end))
-    return found + repeats(text, base, found)
+    """Incompressible tokens with a digit or mixed case in a sensitive context that no base span touches.
+
+    Unbroken lines beside a found token belong to it, however many there are; a base span may touch those.
+    """
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    ends = [e for _, e in words]
+    taken = bytearray(len(text))
+    for a, _, b in base:
+        taken[a:b] = b"\1" * (b - a)
+    contexts, found = _contexts(text, words), []
+    at = 0
+    for m in _CANDIDATE.finditer(text):
+        while at < len(contexts) and contexts[at][1] <= m.start():
+            at += 1
+        if at == len(contexts):
+            break
+        if m.end() <= contexts[at][0]:
+            continue
+        for a, b in _parts(text, m.start(), m.end(), words, ends):
+            if b - a >= 16 and not _plain(text[a:b]) and 1 not in taken[a:b] and meter.of(text, a, b) >= NOVELTY:
+                found.append((a, 3, b))
+                break
+    for a, _, b in found:
+        taken[a:b] = b"\2" * (b - a)
+    for a, _, b in [*found, *(x for x in base if x[1] == 0)]:
+        for c, d in _carried(text, a, b, taken):
+            found.append((c, 3, d))
+            taken[c:d] = b"\2" * (d - c)
+    return found + repeats(text, base, [x for x in found if x[2] - x[0] >= 16])
 
 
 def repeats(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -100,6 +100,27 @@ def test_repeated_secrets_are_all_found():
         assert x not in _cleaned(f"Bearer {x} " + ("q w " * 80)[:k] + f"Bearer {x}")
 
 
+def test_secrets_of_a_line_and_of_key_bodies():
+    raw = base64.b64encode(hashlib.shake_256(b"key").digest(700)).decode() + "Zg9="
+    lines = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    for body in ["\n".join(lines), "\n".join("  " + x for x in lines), "\r\n".join(lines), "\\n".join(lines), "\n".join(f'"{x}\\n"' for x in lines)]:
+        for text in [f"{head}\n{body}\n{foot}\nThe end.", f"{head}\n{body}", f"{head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{foot}", f"{body}\n{foot}" if "\n" in body else f"{body}\\n{foot}"]:
+            cleaned = _cleaned(text)
+            assert not any(x in cleaned for x in lines if len(x) >= 16), cleaned
+            assert ("The end." in text) == ("The end." in cleaned)
+    assert lines[-1] not in _cleaned(f"{head}\n" + "\n".join(lines) + f"\n{foot}")
+    x, y = "ghp_9aKd83JsLq02ZmXnB47tYw", "Qz7LmV03bXe9RtUw5KpJ1sHd"
+    for text in [f"{x} # stripe secret", f"bearer {x}, used with many words between the two of them, which is more than the reach was, then {y}", f"{y} and {x} are what the words before the end of this line call a credential", f"access-key={x}"]:
+        cleaned = _cleaned(text)
+        assert x not in cleaned and y not in cleaned, cleaned
+    for seed in range(50):
+        bare = base64.b64encode(hashlib.shake_256(bytes([seed])).digest(48 * 20)).decode()
+        body = [bare[i : i + 64] for i in range(0, len(bare), 64)]
+        assert _cleaned("private_key\n" + "\n".join(body)).split() == ["private_key"] + ["[SECRET]"] * len(body)
+    assert _cleaned(f"the secret is out\n\n{'words and words ' * 8}\n{y}") == f"the secret is out\n\n{'words and words ' * 8}\n{y}"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     from pyspark.sql import functions as F

@@ -121,6 +121,29 @@ def anchor_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(have, ["l_suppkey", "n"], "left_anti")
 
 
+@query(
+    "anchor_gap_ranges",
+    """WITH r AS (SELECT l_suppkey, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY 1),
+       w AS (SELECT DISTINCT l_suppkey, l_partkey AS n, b FROM lineitem JOIN r USING (l_suppkey) WHERE (l_partkey - a) % 2 = 0),
+       g AS (SELECT l_suppkey, n, coalesce(lead(n) OVER (PARTITION BY l_suppkey ORDER BY n), b + 2 - (b - n) % 2) AS m FROM w)
+       SELECT l_suppkey, n + 2 AS first_n, m - 2 AS last_n, (m - n) // 2 - 1 AS missing FROM g WHERE m > n + 2""",
+)
+def anchor_gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gaps of every street: numbers of its first one's parity that are missing up to its last one, a row for each run of them."""
+    return gap_ranges(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+
+
+def gap_ranges(rows: DataFrame, street: str, number: str) -> DataFrame:
+    """(street, first_n, last_n, missing): runs of missing numbers as ranges, so that there are no more of them than numbers."""
+    have = rows.where(F.col(number).isNotNull()).select(street, F.col(number).alias("n")).distinct()
+    whole, n = Window.partitionBy(street), F.col("n")
+    sided = have.withColumn("a", F.min("n").over(whole)).withColumn("b", F.max("n").over(whole)).where((n - F.col("a")) % 2 == 0)
+    beyond = F.col("b") + 2 - (F.col("b") - n) % 2
+    m = F.coalesce(F.lead("n").over(Window.partitionBy(street).orderBy("n")), beyond)
+    gaps = sided.withColumn("m", m).where(F.col("m") > n + 2)
+    return gaps.select(street, (n + 2).alias("first_n"), (F.col("m") - 2).alias("last_n"), (F.floor((F.col("m") - n) / 2) - 1).alias("missing"))
+
+
 @query(
     "median_gap",
     """WITH g AS (SELECT o_custkey, date_diff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate) AS d FROM orders),

@@ -54,3 +54,17 @@ def test_signature_ignores_marks_and_spacing(spark):
 def test_search_parse():
     found = search.parse("<1500 3rooms amber score>60 lift")
     assert (found.max_price, found.rooms, found.tier, found.min_score, found.terms) == (1500.0, 3, "AMBER", 60, ["lift"])
+
+
+def test_gap_ranges_equal_brute_force(spark):
+    import random
+
+    from lodestay.plans.operations import gap_ranges
+
+    draw = random.Random(0)
+    streets = {s: [draw.randint(1, 400) for _ in range(draw.randint(1, 40))] for s in range(1, 60)} | {60: [1, 5000], 61: [2, 4, 9], 62: [7, 7]}
+    rows = spark.createDataFrame([(s, n) for s, ns in streets.items() for n in ns] + [(63, None)], "street long, n long")
+    found = gap_ranges(rows, "street", "n").collect()
+    missing = sorted((r.street, n) for r in found for n in range(r.first_n, r.last_n + 1, 2))
+    assert missing == sorted((s, n) for s, ns in streets.items() for n in range(min(ns), max(ns) + 1, 2) if n not in ns)
+    assert all(r.missing == len(range(r.first_n, r.last_n + 1, 2)) for r in found)

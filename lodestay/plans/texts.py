@@ -37,10 +37,23 @@ def merge_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_jaccard")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns alike at 0.72 or more, eight tokens at least; the inverted index does without a pair join."""
-    rows = load(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), text_functions.tokens(F.col("text")).alias("tokens"))
-    one = rows.groupBy("tokens").agg(F.min("key").alias("key"))
-    return similarity.similar_texts(one, "key", "tokens", 0.72)
+    """Documents alike at 0.72 or more, eight tokens at least; the inverted index does without a pair join."""
+    return alike(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text_functions.tokens(F.col("text")).alias("tokens")))
+
+
+def alike(rows: DataFrame, threshold: float = 0.72, least: int = 8) -> DataFrame:
+    """(a, b, similarity, kind) for rows (key, tokens): what every similar pair follows from, without a row for each pair of copies.
+
+    Keys with equal tokens are a class, named by its least key. A ``member`` row says that b is in the class of a, at
+    similarity 1; a ``pair`` row that all keys of the class of a are alike with all keys of the class of b.
+    """
+    rows = rows.where(F.size("tokens") >= least).withColumn("h", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
+    classes = rows.groupBy("h").agg(F.min("key").alias("a"), F.first("tokens").alias("tokens"), F.count_distinct("key").alias("keys"))
+    several = classes.where("keys > 1").select("h", "a")
+    copies = rows.select("h", F.col("key").alias("b")).distinct().join(several, "h").where("a <> b")
+    members = copies.select("a", "b", F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    pairs = similarity.similar_texts(classes, "a", "tokens", threshold, least).withColumn("kind", F.lit("pair"))
+    return pairs.unionByName(members)
 
 
 @query("near_post_text", "SELECT doc_id FROM documents WHERE contains(lower(text), 'token')")

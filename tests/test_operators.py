@@ -56,6 +56,19 @@ def test_search_parse():
     assert (found.max_price, found.rooms, found.tier, found.min_score, found.terms) == (1500.0, 3, "AMBER", 60, ["lift"])
 
 
+def test_alike_gives_every_pair_of_copies_and_near_copies(spark):
+    from lodestay.plans.texts import alike
+
+    words = [f"w{i:02}" for i in range(12)]
+    sets = {1: words, 2: words, 3: words, 4: words[:11], 5: words[:11], 6: [*words[:7], "zz"], 7: [f"q{i}" for i in range(9)], 8: [f"q{i}" for i in range(9)], 9: words[:5], 10: words[:5], 11: None}
+    rows = alike(spark.createDataFrame(list(sets.items()), "key long, tokens array<string>")).collect()
+    of = {k: k for k in sets} | {r.b: r.a for r in rows if r.kind == "member"}
+    linked = {(r.a, r.b) for r in rows if r.kind == "pair"}
+    found = {(i, j) for i in sets for j in sets if i < j and (of[i] == of[j] or tuple(sorted((of[i], of[j]))) in linked)}
+    big = {k: set(v) for k, v in sets.items() if v and len(v) >= 8}
+    assert found == {(i, j) for i in big for j in big if i < j and len(big[i] & big[j]) / len(big[i] | big[j]) >= 0.72}
+
+
 def test_gap_ranges_equal_brute_force(spark):
     import random
 

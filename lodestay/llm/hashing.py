@@ -10,7 +10,7 @@ import pyarrow as pa
 from lodestay.llm.common import text_buffers
 from lodestay.llm.shingles import word_hashes
 
-#: Names of the structure and metadata columns that follow the hashed words.
+#: Names of the structure columns that follow the hashed words.
 STRUCTURE = (
     "bias", "log_bytes", "log_words", "mean_word", "upper", "digit", "punctuation", "pipe", "exclamation", "symbol",
     "line_breaks", "wide", "space", "distinct_words", "repeats_last_word", "top_word", "no_text", "symbol_words",

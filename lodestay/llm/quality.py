@@ -1,4 +1,7 @@
-"""Quality classifier: a factorisation machine (Rendle, 2010) over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine (Rendle, 2010) over hashed words and structure statistics.
+
+No metadata is used: of the columns of documents only n_chars would be allowed, and it is the length of the text,
+which the structure statistics hold already.
 
 The score of a document is a bias, a weight for each of its features and, for each pair of features, the inner
 product of their low-rank vectors. The pairs are summed in linear time: for each rank, half of the squared sum

@@ -2,8 +2,8 @@
 
 Words are runs of bytes other than space and 0x09-0x0D; A-Z are lower-cased. A set of n-word shingles is a
 sorted array of distinct hashes; a text of fewer words has its whole sequence as one shingle, a text without
-words has none. Hashes stand for shingles: with 64 bits, two different shingles of a pair of documents are
-mistaken for each other about once in 10^13 pairs.
+words has none. Hashes stand for shingles. A word's hash mixes each eight bytes with their place before they are
+added up, so it is no polynomial of the bytes, for which words exist that collide whatever the base.
 """
 
 from __future__ import annotations
@@ -17,21 +17,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _powers = (out[0], out[1])
-    return _powers
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the lowest 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,12 +29,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    """``data`` with zeros behind it, so that eight bytes can be read at each of its places."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def span_blocks(spaced: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of ``padded`` bytes, one after another, as words of eight bytes; the place of each in its span; first words."""
+    count = (sizes + 7) >> 3
+    ends = np.cumsum(count)
+    first = ends - count
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(first, count)
+    eight = np.ndarray(len(spaced) - 7, "<u8", spaced, 0, (1,))
+    words = eight[np.repeat(starts, count) + 8 * place]
+    words &= _FIRST[np.minimum(np.repeat(sizes, count) - 8 * place, 8)]
+    return words, place, first
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, stop) of ``data``; equal spans have equal hashes wherever they lie."""
-    power, inverse = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * inverse[starts])
+    """64-bit hashes of the non-empty byte spans [start, stop) of ``data``; equal spans have equal hashes wherever they lie.
+
+    Up to eight bytes the hash is one-to-one among spans of one size.
+    """
+    sizes = stops - starts
+    spaced = padded(data)
+    out = np.ndarray(len(spaced) - 7, "<u8", spaced, 0, (1,))[starts]
+    out &= _FIRST[np.minimum(sizes, 8)]
+    out = mix(out + mix(_STEP[None]))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        words, place, first = span_blocks(spaced, starts[long], sizes[long])
+        out[long] = np.add.reduceat(mix(words + mix((place.astype(np.uint64) + np.uint64(1)) * _STEP)), first)
+    return mix(out ^ (sizes.astype(np.uint64) * _STEP))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray) -> np.ndarray:
+    """Whether each non-empty span of ``data`` has the bytes of the span of ``other``, both ``padded`` and of one size."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    words, _, first = span_blocks(data, starts, sizes)
+    return ~np.logical_or.reduceat(words != span_blocks(other, other_starts, sizes)[0], first)
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,8 @@
 
 A text is cut at places where its vocabulary always ends a pre-token, so that the ids of a text are those of its
 units in order: around all white space if the vocabulary drops it, else before a space, and on both sides of a line
-break, that has no white space beside it. Units are told apart by 64-bit hashes. A task keeps the ids of the units
-it has met; only new ones go to the tokenizers library.
+break, that has no white space beside it. A task keeps the bytes and ids of the units it has met; only new ones go
+to the tokenizers library. Units are looked up by 64-bit hashes; where these could collide, bytes are compared with what was stored.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 
 from lodestay.llm.common import text_buffers
-from lodestay.llm.shingles import span_hashes
+from lodestay.llm.shingles import mix, padded, same_spans, span_hashes
 
-#: Units that a task remembers; beyond it, it forgets them all and goes on.
-REMEMBERED = 1_000_000
+#: Units that a task remembers, and their bytes; beyond either, it forgets them all and goes on.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 26
 
 _WORD = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _SPACE = np.zeros(256, bool)
@@ -56,7 +56,10 @@ class UnitCache:
     def _forget(self) -> None:
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
+        #: By number: where the ids and the bytes of a unit begin, and how many there are.
         self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.place, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.spelt, self.spelt_used = np.zeros(1 << 22, np.uint8), 0
 
     def _bytes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that are cut, and the row offsets into them."""
@@ -68,46 +71,77 @@ class UnitCache:
     def _encode(self, units: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return span_hashes(data, starts, stops)
+
+    def doubtful(self, sizes: np.ndarray) -> np.ndarray:
+        """Which units of one size and one hash may have different bytes."""
+        return sizes > 8
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
         collecting = gc.isenabled()
         gc.disable()  # a pass over so many small lists costs more than the encoding
         try:
-            found = self._encode(units)
+            found = self._encode([u.decode() for u in units])
             n = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
             del found
         finally:
             if collecting:
                 gc.enable()
-        base, k = self.used, len(self.known)
+        k, more = len(self.known), len(units)
+        size = np.fromiter(map(len, units), np.int64, more)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(units) > len(self.count):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.ids[base : base + len(flat)] = flat
-        self.used += len(flat)
-        self.start[k : k + len(units)] = base + np.cumsum(n) - n
-        self.count[k : k + len(units)] = n
-        place = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, place, hashes)
-        self.number = np.insert(self.number, place, np.arange(k, k + len(units)))
+        while self.spelt_used + int(size.sum()) + 8 > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
+        while k + more > len(self.count):
+            self.start, self.count, self.place, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.place, self.size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[k : k + more], self.count[k : k + more] = self.used + np.cumsum(n) - n, n
+        self.spelt[self.spelt_used : self.spelt_used + int(size.sum())] = np.frombuffer(b"".join(units), np.uint8)
+        self.place[k : k + more], self.size[k : k + more] = self.spelt_used + np.cumsum(size) - size, size
+        self.used, self.spelt_used = self.used + len(flat), self.spelt_used + int(size.sum())
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.number = np.insert(self.number, at, np.arange(k, k + more))
+
+    def _find(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Numbers of the units, learning new ones. A unit whose hash belongs to other bytes takes the next hash of it."""
+        hashes, sizes, spaced = self._hashes(data, starts, stops), stops - starts, padded(data)
+        while True:
+            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            same = sizes == sizes[first][which]
+            rest = np.flatnonzero(same & self.doubtful(sizes))
+            same[rest] = same_spans(spaced, starts[rest], sizes[rest], spaced, starts[first][which[rest]])
+            place = np.searchsorted(self.known, distinct)
+            met = self.known[np.minimum(place, len(self.known) - 1)] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+            old, lead = self.number[place[met]], first[met]
+            alike = self.size[old] == sizes[lead]
+            rest = np.flatnonzero(alike & self.doubtful(sizes[lead]))
+            alike[rest] = same_spans(spaced, starts[lead[rest]], sizes[lead[rest]], self.spelt, self.place[old[rest]])
+            other = np.zeros(len(distinct), bool)
+            other[np.flatnonzero(met)[~alike]] = True
+            # Of a new hash the first unit has it; of a known one that is stored under other bytes, none.
+            again = np.where(other[which], True, ~same)
+            if not again.any():
+                break
+            hashes[again] = mix(hashes[again] + np.uint64(1))
+        if not met.all():
+            spans = zip(starts[first[~met]].tolist(), stops[first[~met]].tolist(), strict=True)
+            raw = data.tobytes()
+            self._learn(distinct[~met], [raw[a:b] for a, b in spans])
+        return self.number[np.searchsorted(self.known, distinct)][which]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each text has; null is an empty text."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.spelt_used > REMEMBERED_BYTES:
             self._forget()
         data, ends = self._bytes(texts)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         starts, stops = self._cut(data, ends)
-        hashes, first, which = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, hashes)
-        new = self.known[np.minimum(place, len(self.known) - 1)] != hashes if len(self.known) else np.ones(len(hashes), bool)
-        if new.any():
-            raw = data.tobytes()
-            spans = zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
-            self._learn(hashes[new], [raw[a:b].decode() for a, b in spans])
-        at = self.number[np.searchsorted(self.known, hashes)][which]
+        at = self._find(data, starts, stops)
         n = self.count[at]
         done = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=done[1:])

@@ -4,7 +4,9 @@ A text is cut before every run of blanks; no piece crosses such a place, so each
 per task. Words of one length advance together, and hashes of substrings probe the sorted hashes of the pieces.
 The scores of a BPE model are ranks of merges: each pass joins the best-ranked adjacent pair of every word, the
 leftmost of equal ones. The scores of a unigram model are log-probabilities: a Viterbi search takes for each end
-position the maximum over the piece lengths. Characters that no piece covers become byte pieces.
+position the maximum over the piece lengths. Characters that no piece covers become byte pieces. Long words are cut
+further, between characters that stand side by side in no piece. A path is spelt out and compared with its word, so
+that a collision of hashes is found out, and the word solved by the pieces themselves.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ class Vocabulary:
     longest: int
     plain: dict[str, int]
     kind: int  # UNIGRAM or BPE
+    pairs: np.ndarray  # sorted pairs of code points that stand side by side in a piece
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, or -1."""
@@ -146,7 +149,11 @@ def load(path: str) -> Vocabulary:
     flat, numbers = np.append(flat[order], np.uint64(2**64 - 1)), np.append(numbers[order], -1)
     bucket = np.searchsorted(flat[:-1], np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(48), "left")
     bucket[-1] = len(flat) - 1
-    return Vocabulary(pieces, of_bytes, flat, numbers, bucket, int(np.diff(bucket).max()), scores, model.unk_id(), lowest - UNKNOWN_PENALTY, max(by_length), {pieces[i]: i for i in plain}, kind)
+    pairs = np.array(sorted({ord(a) << 32 | ord(b) for i in plain for a, b in zip(pieces[i], pieces[i][1:], strict=False)}), np.uint64)
+    return Vocabulary(
+        pieces, of_bytes, flat, numbers, bucket, int(np.diff(bucket).max()), scores, model.unk_id(), lowest - UNKNOWN_PENALTY,
+        max(by_length), {pieces[i]: i for i in plain}, kind, pairs,
+    )
 
 
 def best_paths(codes: np.ndarray, vocabulary: Vocabulary) -> list[list[int]]:
@@ -259,10 +266,40 @@ def merged_path(word: str, vocabulary: Vocabulary) -> list[int]:
     return out
 
 
+def best_path(word: str, vocabulary: Vocabulary) -> list[int]:
+    """As ``best_paths`` for one word, by the pieces themselves."""
+    best, back = [0.0], [(0, 0)]
+    for end in range(1, len(word) + 1):
+        options = []
+        for start in range(max(0, end - vocabulary.longest), end):
+            number = vocabulary.plain.get(word[start:end])
+            if number is not None:
+                options.append((best[start] + vocabulary.scores[number], -start, number))
+        if word[end - 1] not in vocabulary.plain:
+            options.append((best[end - 1] + vocabulary.unknown_score, 1 - end, -end))
+        score, start, number = max(options)
+        best.append(score)
+        back.append((-start, number))
+    path, end = [], len(word)
+    while end:
+        end, number = back[end]
+        path.append(number)
+    return path[::-1]
+
+
 def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
 
 
+def _parted(word: str, vocabulary: Vocabulary) -> list[str]:
+    """The word cut between characters that no piece has side by side."""
+    codes = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64)
+    pair = codes[:-1] << np.uint64(32) | codes[1:]
+    place = np.minimum(np.searchsorted(vocabulary.pairs, pair), len(vocabulary.pairs) - 1)
+    cuts = (np.flatnonzero(vocabulary.pairs[place] != pair) + 1).tolist()
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+
 class ViterbiEncoder(UnitCache):
     """Units are the words with the blanks before them; a blank goes before the whole text, as its dummy prefix."""
 
@@ -288,24 +325,38 @@ class ViterbiEncoder(UnitCache):
         """Ids of words of one length, as ``best_paths`` gives them."""
         return best_paths(_codes(words), self.vocabulary)
 
-    def _encode(self, units: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(units)
+    def _path(self, word: str) -> list[int]:
+        return best_path(word, self.vocabulary)
+
+    def _solve(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words, those of one length together."""
+        out: list[list[int]] = [[]] * len(words)
         by_length: dict[int, list[int]] = {}
-        for i, unit in enumerate(units):
-            by_length.setdefault(len(unit), []).append(i)
-        of_bytes = self.vocabulary.bytes
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        pieces, of_bytes = self.vocabulary.pieces, self.vocabulary.bytes
         for length, group in by_length.items():
             step = max(1, (1 << 18) // (length * min(length, self.vocabulary.longest)))
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
-                words = [units[i].replace(" ", BLANK) for i in some]
-                for i, word, path in zip(some, words, self._paths(words), strict=True):
+                for i, path in zip(some, self._paths([words[i] for i in some]), strict=True):
+                    word = words[i]
+                    if "".join([pieces[p] if p >= 0 else word[-1 - p] for p in path]) != word:
+                        path = self._path(word)
                     if min(path) < 0:
                         spelt = [of_bytes[list(word[-1 - p].encode())].tolist() if p < 0 else [p] for p in path]
                         path = [x for part in spelt for x in part]
                     out[i] = path
         return out
 
+    def _encode(self, units: list[str]) -> list[list[int]]:
+        words = [u.replace(" ", BLANK) for u in units]
+        long = {i: _parted(w, self.vocabulary) for i, w in enumerate(words) if len(w) > LONG}
+        parts = list(dict.fromkeys(part for cut in long.values() for part in cut))
+        known = dict(zip(parts, self._solve(parts), strict=True))
+        short = iter(self._solve([w for i, w in enumerate(words) if i not in long]))
+        return [[x for part in long[i] for x in known[part]] if i in long else next(short) for i in range(len(words))]
+
 
 class MergeEncoder(ViterbiEncoder):
     """The same units, merged as the scores of a BPE model rank them."""
@@ -315,6 +366,9 @@ class MergeEncoder(ViterbiEncoder):
             return [merged_path(w, self.vocabulary) for w in words]
         return merged_paths(_codes(words), self.vocabulary)
 
+    def _path(self, word: str) -> list[int]:
+        return merged_path(word, self.vocabulary)
+
 
 def encoder(path: str) -> ViterbiEncoder:
     """The encoder that gives the ids of the model: merges for BPE, the best sum of scores for unigram."""

@@ -2,8 +2,9 @@
 
 Each task packs the documents of its input split as they come. A document's whole windows stand alone; what is
 left of it goes to the fill level where the sum of the squared counts of partially filled windows, kept in an
-array by level, is least (Csirik et al., 2006). At the end of a task the windows that are still open are laid one
-after another and cut anew, the last one into lengths that are powers of two, which need no padding.
+array by level, is least (Csirik et al., 2006). At the end of a task so many of the fullest open windows stay as they
+are as all open ones fill; the emptier ones are cut to fill them up, and what then is left into lengths that are
+powers of two. No sequence needs padding.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from lodestay.llm.common import text_slices
 from lodestay.llm.tokens import UnitEncoder
 
-Piece = tuple  # (doc_id, start, doc_tokens, ids)
+Piece = tuple  # (doc_id, start, doc_tokens, ids, whether it was cut or moved when the task closed)
 _NEVER = np.iinfo(np.int64).max
-_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, recut boolean, ids binary"
 
 
 class SumOfSquares:
@@ -45,7 +46,7 @@ class SumOfSquares:
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[list[Piece]]:
         n, capacity = len(ids), self.capacity
         for start in range(0, n - capacity + 1, capacity):
-            yield [(doc_id, start, n, ids[start : start + capacity])]
+            yield [(doc_id, start, n, ids[start : start + capacity], False)]
         rest = n % capacity
         if not rest:
             return
@@ -54,7 +55,7 @@ class SumOfSquares:
         if level:
             window = self.windows[level].pop()
             self.count[level] -= 1
-        window.append((doc_id, n - rest, n, ids[n - rest :]))
+        window.append((doc_id, n - rest, n, ids[n - rest :].copy(), False))  # a copy, so as not to hold the whole batch
         if level + rest == capacity:
             yield window
         else:
@@ -62,34 +63,41 @@ class SumOfSquares:
             self.count[level + rest] += 1
 
     def close(self) -> Iterator[list[Piece]]:
-        pieces = [p for level in sorted(self.windows, reverse=True) for window in self.windows[level] for p in window]
-        left = sum(len(p[3]) for p in pieces)
-        sizes = [self.capacity] * (left // self.capacity)
-        sizes += [1 << b for b in reversed(range((left % self.capacity).bit_length())) if left % self.capacity >> b & 1]
+        open_windows = [w for level in sorted(self.windows, reverse=True) for w in self.windows[level]]
+        left = sum(len(p[3]) for w in open_windows for p in w)
+        full, tail = divmod(left, self.capacity)
+        # Any ``full`` of the fullest windows lack as many ids as the others hold beyond the tail.
+        kept, donors = open_windows[:full], [p for w in open_windows[full:] for p in w]
         at, used = 0, 0
-        for size in sizes:
-            window = []
+
+        def take(size: int) -> Iterator[Piece]:
+            nonlocal at, used
             while size:
-                doc_id, start, n, ids = pieces[at]
+                doc_id, start, n, ids, _ = donors[at]
                 cut = ids[used : used + size]
-                window.append((doc_id, start + used, n, cut))
+                yield doc_id, start + used, n, cut, True
                 size -= len(cut)
                 used += len(cut)
                 if used == len(ids):
                     at, used = at + 1, 0
-            yield window
+
+        for window in kept:
+            yield window + list(take(self.capacity - sum(len(p[3]) for p in window)))
+        for bit in reversed(range(tail.bit_length())):
+            if tail >> bit & 1:
+                yield list(take(1 << bit))
         self.__init__(self.capacity)
 
 
 def _rows(windows: list[list[Piece]], first: int) -> pa.RecordBatch:
-    columns: list[list] = [[] for _ in range(7)]
+    columns: list[list] = [[] for _ in range(8)]
     for sequence, window in enumerate(windows, first):
         offset = 0
-        for doc_id, start, n, ids in window:
-            for column, value in zip(columns, (doc_id, start, len(ids), n, sequence, offset, ids.astype("<u4").tobytes()), strict=True):
+        for doc_id, start, n, ids, recut in window:
+            for column, value in zip(columns, (doc_id, start, len(ids), n, sequence, offset, recut, ids.astype("<u4").tobytes()), strict=True):
                 column.append(value)
             offset += len(ids)
-    kinds = [pa.int64()] * 6 + [pa.binary()]
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
 
@@ -101,9 +109,10 @@ def _pack(tokenizer: str, end_id: int, capacity: int) -> Callable:
             for part in text_slices(batch, "text"):
                 ids, lengths = encoder.encode(part.column(1))
                 windows: list[list[Piece]] = []
+                ended = np.insert(ids, np.cumsum(lengths), end_id)
                 at = 0
-                for doc_id, n in zip(part.column(0).to_pylist(), lengths.tolist(), strict=True):
-                    windows += packer.add(doc_id, np.append(ids[at : at + n], end_id))
+                for doc_id, n in zip(part.column(0).to_pylist(), (lengths + 1).tolist(), strict=True):
+                    windows += packer.add(doc_id, ended[at : at + n])
                     at += n
                 yield _rows(windows, sequence)
                 sequence += len(windows)
@@ -113,12 +122,13 @@ def _pack(tokenizer: str, end_id: int, capacity: int) -> Callable:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
-    """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of the packed ``docs`` (doc_id, text).
+    """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, recut, ids) of the packed ``docs`` (doc_id, text).
 
     A document is its ids by the tokenizers file, then ``end_id``; null and empty texts are the end id alone.
     Every row counts, repeated ids and null ids too. ids are little-endian unsigned 32-bit. A sequence holds
     ``capacity`` ids, or a power of two of them. There is no shuffle: a sequence never spans two input splits, and a
-    task that is run again gives the same sequences. An empty table gives no pieces. Further columns are ignored.
+    task that is run again gives the same sequences. ``recut`` marks the pieces of windows that were taken apart when
+    their task closed. An empty table gives no pieces. Further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_pack(tokenizer, end_id, capacity), _SCHEMA)

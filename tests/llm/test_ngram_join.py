@@ -47,6 +47,11 @@ def test_components_equal_brute_force(spark, monkeypatch, limits, size, num, den
     monkeypatch.setattr(ngram_join, "TILE_ROWS", limits[0])
     monkeypatch.setattr(ngram_join, "FEW_ROWS", limits[1])
     rows = near_copies(60, 90, 1) + [(i + 100, t) for i, t in near_copies(30, 40, 2)]
+    a, b = "ab", "ba"
+    for _ in range(9):
+        a, b = a + b, b + a
+    long = " ".join(f"v{i * i % 7919}" for i in range(30_000))
+    rows += [(300, a), (301, b), (302, f"p q {a} r"), (303, f"p q {b} r"), (304, a), (310, long), (311, long + " more"), (312, long[: len(long) // 2])]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "One two"), (204, "one TWO\t"), (205, "one"), (206, "Ä b c d e"), (207, "ä b c d e")]
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, label long")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, size, num, den).collect()}

@@ -30,7 +30,7 @@ def test_packing_places_every_id_once(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
-    texts = [*ODD, "word " * 5000, *["some words here. " * k for k in range(40)]]
+    texts = [*ODD, "word " * 5000, "a long text of words, " * 20_000, *thue_morse(9), *["some words here. " * k for k in range(40)]]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, offset long").coalesce(2)
     rows = pack(docs, path).collect()
     sequences = {}
@@ -71,15 +71,40 @@ def test_sum_of_squares_chooses_the_least_change():
 
 
 def test_wavelet_access_count_and_occurrence():
-    ids = np.random.default_rng(0).integers(0, 70000, 3000)
-    ids[:1000] %= 40
-    m, docs, lengths = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes([1, None], np.array([1000, 2000])))
-    assert (m.to_array() == ids).all() and docs == [1, None] and lengths.tolist() == [1000, 2000]
-    assert all(m.access(i) == ids[i] for i in range(0, 3000, 41))
-    for token in (3, 39, int(ids[2500]), 69999):
-        places = np.flatnonzero(ids == token)
-        assert m.count(token) == len(places) and m.count(token, 500) == (ids[:500] == token).sum()
-        assert [m.occurrence(token, k) for k in range(len(places) + 1)] == [*places.tolist(), -1]
+    for n in (0, 1, 511, 512, 513, 16384, 40000):
+        ids = np.random.default_rng(n).integers(0, 70000, n)
+        ids[: n // 3] %= 40
+        m = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes())
+        assert (m.to_array() == ids).all()
+        places = np.arange(0, n, 41)
+        assert (m.access(places) == ids[places]).all()
+        tokens = np.array([3, 39, 69999, 1 << 30, -1, *ids[-1:]])
+        assert m.count(tokens).tolist() == [(ids == t).sum() for t in tokens]
+        assert m.count(tokens, np.full(len(tokens), n // 2)).tolist() == [(ids[: n // 2] == t).sum() for t in tokens]
+        for t in tokens.tolist():
+            found = np.flatnonzero(ids == t).tolist()
+            assert m.occurrence(t, np.arange(-1, len(found) + 1)).tolist() == [-1, *found, -1]
+    assert (m.supers.nbytes + m.blocks.nbytes) / m.planes.nbytes < 0.1
+
+
+def test_wavelet_questions_to_shard_files(spark, tmp_path, monkeypatch):
+    from lodestay.llm import wavelet
+
+    monkeypatch.setattr(wavelet, "MATRIX_TOKENS", 500)
+    r = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["ant", "bee", "cow", "dog"], int(r.integers(0, 900))))) for i in range(20)], "doc_id long, text string")
+    path = str(tmp_path / "t")
+    write_tokens(docs.repartition(3), path, public_tokenizers.path("byte_bpe_50k.json"), shards=3)
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.array([x for d in docs.orderBy("doc_id").collect() for x in [*whole.encode(d.text, add_special_tokens=False).ids, 2]])
+    asked = spark.createDataFrame([(int(i),) for i in [0, 1, 499, 500, 501, len(ids) - 1, len(ids), 10**9, -1, *r.integers(0, len(ids), 60)]], "position long")
+    found = {x.position: x.token for x in wavelet.access(spark, path, asked).collect()}
+    assert found == {x.position: ids[x.position] for x in asked.collect() if 0 <= x.position < len(ids)}
+    tokens = [2, int(ids[0]), int(ids[700]), 49999]
+    assert {x.token: x.occurrences for x in wavelet.count(spark, path, tokens).collect()} == {t: (ids == t).sum() for t in tokens}
+    places = np.flatnonzero(ids == ids[700])
+    ks = [0, 1, 5, len(places) // 2, len(places) - 1, len(places), -1]
+    assert {x.k: x.position for x in wavelet.occurrence(spark, path, int(ids[700]), ks).collect()} == {k: places[k] for k in ks[:5]}
 
 
 def test_token_files_in_id_order(spark, tmp_path):
@@ -96,6 +121,89 @@ def test_token_files_in_id_order(spark, tmp_path):
     assert sorted(map(tuple, read_documents(spark, str(tmp_path / "t")).collect())) == wanted
 
 
+def test_token_files_of_odd_tables(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    long = "many words in a very long text. " * 40_000
+    rows = [(4, "b", 1), (4, "a", 2), (None, "c", 3), (2, None, 4), (3, long, 5), (4, "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long")
+    write_tokens(docs, str(tmp_path / "t"), path)
+    found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in read_documents(spark, str(tmp_path / "t")).collect())
+    whole = Tokenizer.from_file(path)
+    wanted, at = [], 0
+    for i, t in [(None, "c"), (2, ""), (3, long), (4, "a"), (4, "a"), (4, "b")]:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 2]
+        wanted.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert found == wanted
+    write_tokens(docs.limit(0), str(tmp_path / "u"), path)
+    assert read_documents(spark, str(tmp_path / "u")).collect() == []
+
+
+def thue_morse(doublings):
+    """Two words that every polynomial hash modulo a power of two takes for each other."""
+    a, b = "ab", "ba"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_with_equal_polynomial_hashes_are_told_apart(spark):
+    import sentencepiece
+
+    pair = [w for k in (7, 8, 9, 10) for w in thue_morse(k)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        ids, lengths = UnitEncoder(path).encode(pa.array(pair))
+        wanted = [whole.encode(x, add_special_tokens=False).ids for x in pair]
+        assert lengths.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text) for r in encode(rows, path).collect())
+
+
+def test_colliding_units_keep_their_own_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+
+    class Poor(UnitEncoder):
+        def _hashes(self, data, starts, stops):
+            return (stops - starts).astype(np.uint64) % np.uint64(3)
+
+        def doubtful(self, sizes):
+            return sizes > 0
+
+    coder, texts = Poor(path), ["the cat sat on the mat", "a dog and the cat ate a bat", None, "", "mat sat", *thue_morse(7)]
+    for some in (texts, texts[::-1], [*texts, "quite new words"]):
+        ids, _ = coder.encode(pa.array(some, pa.string()))
+        assert ids.tolist() == [i for t in some for i in whole.encode(t or "", add_special_tokens=False).ids]
+
+
+def test_share_of_windows_taken_apart_is_small():
+    r = np.random.default_rng(2)
+    packer, windows = SumOfSquares(2048), []
+    for n in r.lognormal(5.5, 1.1, 1250).astype(int):
+        windows += packer.add(0, np.arange(n))
+    windows += packer.close()
+    assert all(sum(len(p[3]) for p in w) in {1 << b for b in range(12)} for w in windows)
+    placed = [(len(p[3]), p[4]) for w in windows for p in w if len(p[3]) < 2048]
+    assert sum(n for n, recut in placed if recut) < 0.2 * sum(n for n, _ in placed)
+
+
+def test_pieces_of_odd_tables(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    long = "".join(np.random.default_rng(0).choice(list("abcdefgh+/019XYZ"), 100_000))
+    rows = [(1, "twice", b"x"), (1, "twice", b"x"), (None, None, b"x"), (2, long, b"x"), (3, "", b"x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids binary")
+    back = decode(encode(docs, path), path).collect()
+    assert len(back) == 5 and all(r.decoded == (r.text or "") and np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text or "") for r in back)
+    assert encode(docs.limit(0), path).collect() == []
+
+
 def test_viterbi_reaches_the_best_score_and_decodes(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     v = load(path)

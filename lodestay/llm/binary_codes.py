@@ -1,24 +1,31 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes (RaBitQ: Gao and Long, 2024).
 
 Vectors less a centre are padded, rotated by one random orthogonal matrix and reduced to the signs of their
-coordinates, packed as bits, with two correction scalars: the vector's length, and the inner product of its
+coordinates, packed as bits, with correction scalars: the vector's length, and the inner product of its
 direction with its code. From a query's few-bit rotated coordinates, bit counts give an unbiased estimate of each
 inner product with an error bound; vectors whose bound reaches the best distances are ranked by exact distances.
+
+The index holds the codes alone, in cells around centroids. A query looks through its nearest cells first; of the
+others it then sees those that, by the distance to the plane between the centroids and by the cell's radius, can hold
+something nearer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestay.llm.vectors import BLOCK, against_blocks, best, matrix, result, usable
+from lodestay.llm.vectors import BLOCK, against_blocks, best, into_tiles, matrix, result, usable
+from lodestay.storage import Scratch
 
-#: Vectors from which the centre is taken at most, bits of a query coordinate, and the width of the error bound.
+#: Vectors from which the centre and the centroids are taken at most, bits of a query coordinate, width of the error bound.
 SAMPLE, QUERY_BITS, EPSILON = 4096, 4, 2.4
+#: Rows for each centroid at least, centroids at most, and rows that the first cells of a query hold together.
+CELL_ROWS, CELLS, FIRST_ROWS = 1024, 256, 2048
 
 
 def code_length(dims: int) -> int:
@@ -33,16 +40,19 @@ def rotation(dims: int, length: int, seed: int = 11) -> np.ndarray:
 
 
 class Codes:
-    """Packed sign codes of rows with their correction scalars."""
+    """Packed sign codes of rows with their correction scalars: length, agreement with the code, ones."""
+
+    def __init__(self, bits: np.ndarray, norm: np.ndarray, agree: np.ndarray):
+        self.bits, self.norm, self.agree = bits, norm, agree
+        self.length = 64 * bits.shape[1]
+        self.ones = np.bitwise_count(bits).sum(1).astype(np.float64)
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+    @classmethod
+    def of(cls, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
         moved = vectors - centre
-        self.norm = np.linalg.norm(moved, axis=1)
-        turned = moved @ turn / np.maximum(self.norm, 1e-300)[:, None]
-        self.length = turn.shape[1]
-        self.bits = np.packbits(turned > 0, axis=1).view(np.uint64)
-        self.ones = np.bitwise_count(self.bits).sum(1).astype(np.float64)
-        self.agree = np.maximum(np.abs(turned).sum(1) / np.sqrt(self.length), 1e-9)
+        norm = np.linalg.norm(moved, axis=1)
+        turned = moved @ turn / np.maximum(norm, 1e-300)[:, None]
+        return cls(np.packbits(turned > 0, axis=1).view(np.uint64), norm, np.maximum(np.abs(turned).sum(1) / np.sqrt(turn.shape[1]), 1e-9))
 
     def bounds(self, query: np.ndarray, norm: float, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the squared distances to a query, given as its rotated unit vector and length."""
@@ -61,50 +71,168 @@ class Codes:
         return near, far
 
 
-def _search(centre_of, k: int) -> Callable:
+def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances (row, centroid)."""
+    return np.maximum((x**2).sum(1)[:, None] + (centroids**2).sum(1) - 2 * x @ centroids.T, 0)
+
+
+def centroids_of(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """At most ``count`` distinct centroids of a bounded sample by Lloyd's rounds."""
+    start = np.unique(sample, axis=0)
+    out = start[np.random.default_rng(seed).permutation(len(start))[:count]]
+    for _ in range(rounds if len(out) > 1 else 0):
+        nearest = _distances(sample, out).argmin(1)
+        sums = np.stack([np.bincount(nearest, sample[:, d], len(out)) for d in range(sample.shape[1])], 1)
+        some = np.bincount(nearest, minlength=len(out))
+        out = np.where(some[:, None] > 0, sums / np.maximum(some, 1)[:, None], out)
+    return np.unique(out, axis=0)
+
+
+def _encode(shared) -> Callable:
+    """(rid, vec_id, dims, cell, from_centroid, bits, norm, agree) of rows (rid, vec_id, vector, dims)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_dims = batch.column(3).to_numpy()
+            for dims in np.unique(of_dims).tolist():
+                rows = batch.filter(pa.array(of_dims == dims))
+                x = matrix(rows, "vector")
+                centroids = shared.value.get(dims, np.zeros((1, dims)))
+                codes = Codes.of(x, centroids.mean(0), rotation(dims, code_length(dims)))
+                far = _distances(x, centroids)
+                cell = far.argmin(1)
+                columns = [rows.column(0), rows.column(1), rows.column(3), pa.array(cell, pa.int32()), pa.array(np.sqrt(far.min(1)))]
+                columns += [pa.array([b.tobytes() for b in codes.bits], pa.binary()), pa.array(codes.norm), pa.array(codes.agree)]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "vec_id", "dims", "cell", "from_centroid", "bits", "norm", "agree"])
+
+    return run
+
+
+def _plan(shared, cells) -> Callable:
+    """Queries (rid, vec_id, vector, dims) with their first cells, and the others with the squares of their lower bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, later, bounds = [], [], []
+            for vector in batch.column(2).to_pylist():
+                q = np.array(vector)[None]
+                centroids = shared.value.get(q.shape[1], np.zeros((1, q.shape[1])))
+                rows, radius = cells.value[q.shape[1]]
+                far = _distances(q, centroids)[0]
+                order = np.argsort(far, kind="stable")
+                order = order[rows[order] > 0]
+                enough = 1 + int(np.searchsorted(np.cumsum(rows[order]), FIRST_ROWS))
+                rest, nearest = order[enough:], far.argmin()
+                apart = np.sqrt(_distances(centroids[nearest][None], centroids[rest])[0])
+                plane = (far[rest] - far[nearest]) / np.maximum(2 * apart, 1e-300)
+                ball = np.sqrt(far[rest]) - radius[rest]
+                first.append(order[:enough].tolist())
+                later.append(rest.tolist())
+                bounds.append((np.maximum(np.maximum(plane, ball), 0) ** 2).tolist())
+            added = [pa.array(first, pa.list_(pa.int32())), pa.array(later, pa.list_(pa.int32())), pa.array(bounds, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "first", "later", "bounds"])
+
+    return run
+
+
+def _search(shared, k: int) -> Callable:
+    """Of each query and block: the rows whose lower bound reaches the k-th upper bound, or the query's limit."""
+
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        if not queries.num_rows or not candidates.num_rows:
-            return result([], pa.float64())
-        q, x = matrix(queries, "vector"), matrix(candidates, "vector")
-        query_ids, ids = queries.column("vec_id").to_numpy(), candidates.column("vec_id").to_numpy()
-        dims = x.shape[1]
-        centre = centre_of.value.get(dims, np.zeros(dims))
-        turn = rotation(dims, code_length(dims))
-        codes = Codes(x, centre, turn)
-        random = np.random.default_rng(3)
         rows = []
-        for query_id, vector in zip(query_ids, q, strict=True):
-            moved = vector - centre
-            norm = np.linalg.norm(moved)
-            near, far = codes.bounds(moved @ turn / max(norm, 1e-300), norm, random)
-            other = ids != query_id
-            near, far = near[other], far[other]
-            if not len(near):
-                continue
-            limit = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
-            picked = np.flatnonzero(other)[near <= limit]
-            distance = np.sqrt(((x[picked] - vector) ** 2).sum(1))
-            first = np.lexsort((ids[picked], distance))[:k]
-            rows.append((np.full(len(first), query_id), ids[picked][first], distance[first]))
-        return result(rows, pa.float64())
+        if queries.num_rows and candidates.num_rows:
+            bits = np.frombuffer(b"".join(candidates.column("bits").to_pylist()), np.uint64).reshape(candidates.num_rows, -1)
+            codes = Codes(bits, *(candidates.column(c).to_numpy() for c in ("norm", "agree")))
+            rids, ids = (candidates.column(c).to_numpy() for c in ("rid", "vec_id"))
+            q = matrix(queries, "vector")
+            centre = shared.value.get(q.shape[1], np.zeros((1, q.shape[1]))).mean(0)
+            turned = (q - centre) @ rotation(q.shape[1], codes.length)
+            norms = np.linalg.norm(q - centre, axis=1)
+            random = np.random.default_rng(5)
+            limits = queries.column("limit").to_numpy()
+            for i, (rid, vec_id) in enumerate(zip(queries.column("rid").to_numpy(), queries.column("vec_id").to_numpy(), strict=True)):
+                near, far = codes.bounds(turned[i] / max(norms[i], 1e-300), norms[i], random)
+                other = np.flatnonzero(ids != vec_id)
+                near, far = near[other], far[other]
+                limit = min(limits[i], np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf)
+                picked = np.flatnonzero(near <= limit)
+                rows.append((np.full(len(picked), rid), rids[other[picked]], near[picked], far[picked]))
+        return result(rows, ["query", "rid", "near", "far"], [pa.int64(), pa.int64(), pa.float64(), pa.float64()])
 
     return run
 
 
+def _limits(found: DataFrame, k: int) -> DataFrame:
+    """(query, limit): the k-th smallest upper bound of each query that has so many."""
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far"))).where(F.col("n") <= k)
+    return ranked.groupBy("query").agg(F.max("far").alias("limit"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance for each vec_id divisible by ``every``.
 
     All rows (vec_id, embedding) are indexed; a query's own vec_id is no candidate. Vectors that are null, empty,
     all zero or hold null or non-finite numbers take no part; vectors are compared with those of their own length
-    only. Equal distances go to the smaller vec_id, rows that repeat a vec_id count each. Further columns are ignored.
+    only. Equal distances go to the smaller vec_id, rows that repeat a vec_id count each. Of equal vectors only those
+    of the k + 1 smallest vec_ids can be results, and only they get codes. An empty table gives no rows. Further
+    columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors, zero=False)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
-    dims = {len(v) for v in sample}
-    centres = spark.sparkContext.broadcast({d: np.mean([v for v in sample if len(v) == d], 0) for d in dims})
-    count = max(1, -(-rows.count() // block))
-    candidates = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0)
-    found = against_blocks(queries, candidates, F.sequence(F.lit(0), F.lit(count - 1)), _search(centres, k), "query_id long, vec_id long, score double")
-    return best(found, k, [F.col("score"), F.col("vec_id")])
+    with Scratch(vectors.sparkSession) as scratch:
+        return scratch.keep(_nearest(usable(vectors, zero=False), scratch, every, k, block), "nearest")
+
+
+def _nearest(rows: DataFrame, scratch: Scratch, every: int, k: int, block: int) -> DataFrame:
+    spark = scratch.spark
+    rows = scratch.write(rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "vector", "dims"), "rows")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "rid").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
+    sizes = {r["dims"]: r["rows"] for r in rows.groupBy("dims").agg(F.count("*").alias("rows")).collect()}
+    by_dims = {d: np.array([v for v in sample if len(v) == d]) for d in {len(v) for v in sample}}
+    centroids = {d: centroids_of(x, min(CELLS, 1 + sizes[d] // CELL_ROWS)) for d, x in by_dims.items()}
+    shared = spark.sparkContext.broadcast(centroids)
+
+    same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id")
+    distinct = rows.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).drop("n")
+    schema = "rid long, vec_id long, dims int, cell int, from_centroid double, bits binary, norm double, agree double"
+    codes = scratch.write(distinct.mapInArrow(_encode(shared), schema), "codes")
+    stats = codes.groupBy("dims", "cell").agg(F.count("*").alias("rows"), F.max("from_centroid").alias("radius")).collect()
+    cells, numbers, base = {}, [], 0
+    for d in sizes:
+        n = len(centroids.get(d, [0]))
+        cells[d] = (np.zeros(n, np.int64), np.zeros(n))
+    for r in sorted(stats):
+        cells[r["dims"]][0][r["cell"]], cells[r["dims"]][1][r["cell"]] = r["rows"], r["radius"]
+        parts = -(-r["rows"] // block)
+        numbers.append((r["dims"], r["cell"], base, parts))
+        base += parts
+    blocks = scratch.write(spark.createDataFrame(numbers, "dims int, cell int, base int, parts int"), "blocks")
+    dealt = codes.join(F.broadcast(blocks), ["dims", "cell"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64(F.lit(9), "rid"), "parts").cast("int"))
+    dealt = dealt.select("rid", "vec_id", "dims", "bits", "norm", "agree", "block")
+
+    asked = rows.where(F.col("vec_id") % every == 0)
+    planned = asked.mapInArrow(_plan(shared, spark.sparkContext.broadcast(cells)), "rid long, vec_id long, vector array<double>, dims int, first array<int>, later array<int>, bounds array<double>")
+    planned = into_tiles(scratch.write(planned, "planned"), "rid")
+    into_blocks = F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)).alias("block")
+    columns = ["rid", "vec_id", "vector", "dims", "tile", "limit"]
+    near_cells = planned.withColumn("limit", F.lit(float("inf"))).withColumn("cell", F.explode("first"))
+    near_cells = near_cells.join(F.broadcast(blocks), ["dims", "cell"]).select(*columns, into_blocks)
+    schema = "query long, rid long, near double, far double"
+    found = scratch.write(against_blocks(near_cells, dealt, _search(shared, k), schema), "near-cells")
+    limits = scratch.write(_limits(found, k), "limits")
+
+    known = planned.join(limits.withColumnRenamed("query", "rid"), "rid", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    open_cells = known.withColumn("c", F.explode(F.arrays_zip("later", "bounds"))).where("c.bounds <= limit").withColumn("cell", F.col("c.later"))
+    open_cells = open_cells.join(F.broadcast(blocks), ["dims", "cell"]).select(*columns, into_blocks)
+    found = found.unionByName(scratch.write(against_blocks(open_cells, dealt, _search(shared, k), schema), "far-cells"))
+    limits = _limits(found, k)
+    found = found.join(limits, "query", "left").where("limit is null or near <= limit").select("query", "rid")
+
+    exact = found.join(rows.select("rid", "vec_id", "vector"), "rid")
+    exact = exact.join(asked.select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("of_query")), "query")
+    square = F.aggregate(F.zip_with("vector", "of_query", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return _ranked(exact.select("query", "query_id", "vec_id", F.sqrt(square).alias("score")), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; rows that repeat a query's vec_id find the same, once."""
+    one = found.groupBy("query_id").agg(F.min("query").alias("query"))
+    return best(found.join(one, ["query_id", "query"], "left_semi"), k, [F.col("score"), F.col("vec_id")])

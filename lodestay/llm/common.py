@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass works on at a time.
 SLICE_BYTES = 1 << 20
@@ -20,21 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "lodestay-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns of these very names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
-def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with columns called c0, c1 and so on, so that no name can clash with a new one or hold dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """``schema`` with one more field."""
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
 
 
 #: Keys up to which ``keep_keys`` broadcasts them; a table with more is joined by shuffling.

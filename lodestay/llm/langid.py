@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is cut into windows of consecutive bytes. Two recurrent networks read each window, one from either end;
-from both states a softmax labels every position, and the mean over all positions of all windows gives the
-document's probabilities. The network is trained here, in numpy, by backpropagation through time.
+A text is read in windows of consecutive bytes. Two recurrent networks read each window, one from either end, with a
+margin of the neighbouring bytes before and after it, so that their states know what surrounds the window; from both
+states a softmax labels every position once, and the mean over all positions of all windows gives the document's
+probabilities. The network is trained here, in numpy, by backpropagation through time over whole texts.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestay.llm.common import held_out, text_buffers, text_slices
+from lodestay.llm.common import by_place, held_out, text_buffers, text_slices, with_field
 
-#: Documents that training takes at most (those of the smallest hashed ids) and windows from each; bytes of a
-#: window; hidden units of each direction; passes over the windows.
-SAMPLE, WINDOWS, WINDOW, HIDDEN, EPOCHS = 3000, 4, 64, 8, 10
-#: Windows that are read side by side.
-_SIDE = 4096
+#: Documents that training takes at most (those of the smallest hashed ids), and bytes of their texts: a document is
+#: taken whole or, if it would not fit any more, not at all.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 20
+#: Bytes of a window and of the margin on either side of it; hidden units of each direction; passes over the windows.
+WINDOW, MARGIN, HIDDEN, EPOCHS = 128, 16, 8, 8
+#: Windows that are read side by side, and those of one training step.
+_SIDE, _STEP = 2048, 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -76,7 +80,7 @@ class Gru:
     def slopes(self, saved: list, upstream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of table and turn, from those of the states (step, unit, window)."""
         h = self.turn.shape[1]
-        of_table, of_turn = np.zeros_like(self.table), np.zeros_like(self.turn)
+        of_turn, by_step = np.zeros_like(self.turn), []
         back = np.zeros_like(upstream[0])
         for t in reversed(range(len(saved))):
             codes, state, gates, new, kept = saved[t]
@@ -87,11 +91,12 @@ class Gru:
             d_reset = d_new * kept * reset * (1 - reset)
             d_given = np.concatenate([d_update, d_reset, d_new])
             d_kept = np.concatenate([d_update, d_reset, d_new * reset])
-            for row in range(3 * h):
-                of_table[row] += np.bincount(codes, d_given[row], 256)
+            by_step.append(d_given)
             of_turn += d_kept @ state.T
             back = d * update + self.turn.T @ d_kept
-        return of_table, of_turn
+        codes = np.concatenate([x[0] for x in reversed(saved)])
+        of_bytes = np.concatenate(by_step, 1)
+        return np.stack([np.bincount(codes, row, 256) for row in of_bytes]).astype(self.table.dtype), of_turn
 
 
 @dataclass
@@ -117,22 +122,20 @@ class ByteTagger:
         scores /= scores.sum(1, keepdims=True)
         return scores
 
-    def window_sums(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Summed position probabilities (window, language) of rows of bytes; what is past a row's length counts not."""
-        out = np.zeros((len(windows), len(self.languages)), np.float32)
-        for lo in range(0, len(windows), _SIDE):
-            steps = np.ascontiguousarray(windows[lo : lo + _SIDE].T).astype(np.intp)
-            steps = steps[: int(lengths[lo : lo + _SIDE].max(initial=1))]
+    def window_sums(self, windows: Windows) -> np.ndarray:
+        """Summed position probabilities (window, language), margins left out."""
+        out = np.zeros((len(windows.row), len(self.languages)), np.float32)
+        order = np.argsort(windows.length, kind="stable")  # windows of like lengths need the fewest steps together
+        for lo in range(0, len(order), _SIDE):
+            pick = order[lo : lo + _SIDE]
+            steps, valid = windows.steps(pick)
             p = self._softmax(self.ahead.read(steps), self.behind.read(steps[::-1])[::-1])
-            valid = np.arange(len(steps))[:, None] < lengths[lo : lo + _SIDE]
-            out[lo : lo + _SIDE] = np.einsum("tlb,tb->bl", p, valid.astype(np.float32))
+            out[pick] = np.einsum("tlb,tb->bl", p, valid)
         return out
 
-    def learn(self, windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rate: float) -> float:
-        """One Adam step on the mean cross-entropy over positions."""
-        steps = windows.T.astype(np.intp)
-        valid = (np.arange(len(steps))[:, None] < lengths).astype(np.float32)
-        valid /= max(valid.sum(), 1)
+    def learn(self, steps: np.ndarray, valid: np.ndarray, labels: np.ndarray, rate: float) -> float:
+        """One Adam step on the mean cross-entropy over the ``valid`` positions (step, window)."""
+        valid = valid / max(valid.sum(), 1)
         ahead, saved_ahead = self.ahead.read_for_training(steps)
         behind, saved_behind = self.behind.read_for_training(steps[::-1])
         behind = behind[::-1]
@@ -157,57 +160,71 @@ class ByteTagger:
         return loss
 
     @classmethod
-    def fit(cls, languages: list[str], windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> ByteTagger:
+    def fit(cls, languages: list[str], windows: Windows, labels: np.ndarray, epochs: int = EPOCHS) -> ByteTagger:
+        """Learn from windows, each with the number of its language."""
         model, random = cls.new(languages), np.random.default_rng(9)
-        total = epochs * max(1, len(labels) // 256)
+        total = epochs * max(1, len(labels) // _STEP)
         done = 0
         for _ in range(epochs if len(languages) > 1 else 0):
             order = random.permutation(len(labels))
-            for lo in range(0, len(order), 256):
-                pick = order[lo : lo + 256]
-                model.learn(windows[pick], lengths[pick], labels[pick], 0.02 * max(0.1, 1 - done / total))
+            for lo in range(0, len(order), _STEP):
+                pick = order[lo : lo + _STEP]
+                model.learn(*windows.steps(pick), labels[pick], 0.02 * max(0.1, 1 - done / total))
                 done += 1
         model._moments = {}
         return model
 
 
-def cut_windows(data: np.ndarray, ends: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of consecutive bytes of all rows, zero-padded; their lengths; the row of each."""
-    sizes = np.diff(ends)
-    count = -(-sizes // size)
-    row = np.repeat(np.arange(len(sizes)), count)
-    first = np.cumsum(count) - count
-    start = ends[row] + size * (np.arange(len(row)) - first[row])
-    padded = np.concatenate([data, np.zeros(size, np.uint8)])
-    lengths = np.minimum(size, ends[row + 1] - start)
-    windows = padded[start[:, None] + np.arange(size)]
-    windows[np.arange(size) >= lengths[:, None]] = 0
-    return windows, lengths, row
-
-
-def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to WINDOWS windows of each text, spread evenly over it."""
-    for batch in batches:
-        for part in text_slices(batch, "text"):
-            windows, lengths, row = cut_windows(*text_buffers(part.column(2)))
-            of_row = np.bincount(row, minlength=part.num_rows)
-            begin = np.cumsum(of_row) - of_row
-            picked = [b + (np.arange(min(n, WINDOWS)) * n) // min(n, WINDOWS) for b, n in zip(begin, of_row, strict=True) if n]
-            take = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-            columns = [part.column(0).take(pa.array(row[take])), part.column(1).take(pa.array(row[take]))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([w.tobytes() for w in windows[take]], pa.binary()), pa.array(lengths[take])], ["doc_id", "lang", "window", "length"])
-
-
-def train(docs: DataFrame, sample: int = SAMPLE) -> ByteTagger:
-    """Fit on at most ``sample`` documents with a text, a language and an id that is not held out."""
+@dataclass
+class Windows:
+    """Windows of the bytes of several texts: where each begins with its margin, its length, the positions that count
+    (from ``head`` on, ``counted`` of them) and the row of its text."""
+
+    data: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    head: np.ndarray
+    counted: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def cut(cls, data: np.ndarray, ends: np.ndarray, size: int = WINDOW, margin: int = MARGIN) -> Windows:
+        """Every byte of every row counts in one window."""
+        sizes = np.diff(ends)
+        count = -(-sizes // size)
+        row = np.repeat(np.arange(len(sizes)), count)
+        begin = ends[row] + size * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+        counted = np.minimum(size, ends[row + 1] - begin)
+        start = np.maximum(begin - margin, ends[row])
+        length = np.minimum(begin + counted + margin, ends[row + 1]) - start
+        return cls(np.concatenate([data, np.zeros(size + 2 * margin, np.uint8)]), start, length, begin - start, counted, row)
+
+    def steps(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes (step, window) of some windows, and which of their positions count."""
+        step = np.arange(int(self.length[pick].max(initial=1)))[:, None]
+        head = self.head[pick]
+        valid = (step >= head) & (step < head + self.counted[pick])
+        codes = self.data[self.start[pick] + step].astype(np.intp)
+        codes[step >= self.length[pick]] = 0
+        return codes, valid.astype(np.float32)
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ByteTagger:
+    """Fit on whole documents with a text, a language and an id that is not held out, within both bounds."""
     usable = docs.where("text is not null and text <> '' and lang is not null and doc_id is not null").where(~held_out("doc_id"))
-    chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample).select("doc_id").distinct()
-    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    found = rows.mapInArrow(_sample_windows, "doc_id long, lang string, window binary, length long").toArrow().sort_by([("doc_id", "ascending"), ("window", "ascending")])
+    sized = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h"))
+    chosen, left = {}, sample_bytes
+    for doc_id, size, _ in sized.orderBy("h", "doc_id", "bytes").limit(sample).collect():
+        if doc_id not in chosen and (size <= left or not chosen):
+            chosen[doc_id], left = size, left - size
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    found = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("d")).select("doc_id", "d.lang", "d.text").toArrow().sort_by("doc_id")
     names = found.column("lang").to_pylist()
     languages = sorted(set(names))
-    windows = np.frombuffer(b"".join(found.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    return ByteTagger.fit(languages, windows, found.column("length").to_numpy(), np.array([languages.index(x) for x in names], np.int64))
+    windows = Windows.cut(*text_buffers(found.column("text").combine_chunks())) if names else Windows.cut(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    labels = np.array([languages.index(x) for x in names], np.int64)
+    return ByteTagger.fit(languages, windows, labels[windows.row])
 
 
 def _has_letter(texts: pa.Array, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -222,10 +239,10 @@ def _has_letter(texts: pa.Array, data: np.ndarray, ends: np.ndarray) -> np.ndarr
 def label_batch(model: ByteTagger, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language of each text, ``und`` if it has no letter, and the pooled probability."""
     data, ends = text_buffers(texts)
-    windows, lengths, row = cut_windows(data, ends)
     pooled = np.zeros((len(texts), len(model.languages)))
     if len(model.languages):
-        np.add.at(pooled, row, model.window_sums(windows, lengths))
+        windows = Windows.cut(data, ends)
+        np.add.at(pooled, windows.row, model.window_sums(windows))
     pooled /= np.maximum(np.diff(ends), 1)[:, None]
     known = _has_letter(texts, data, ends) & (len(model.languages) > 0)
     best = pooled.argmax(1) if len(model.languages) else np.zeros(len(texts), np.int64)
@@ -234,17 +251,23 @@ def label_batch(model: ByteTagger, texts: pa.Array) -> tuple[list[str], np.ndarr
     return names, score
 
 
-def label_beside(columns: list[str], model) -> Callable:
-    """The rows of ``columns`` with lang_pred and lang_score."""
-    at = columns.index("text")
+def keep_known(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs`` with a language of probability ``least`` or more, all their columns as they are.
+
+    Null texts and texts without a letter have none.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    at, plain = docs.columns.index("text"), by_place(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, batch.schema.names[at]):
                 names, score = label_batch(model.value, part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "lang_score"])
+                score = np.where(np.array(names) == "und", -1.0, score)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "score"])
 
-    return run
+    found = plain.mapInArrow(run, with_field(plain.schema, "score", T.DoubleType()))
+    return found.where(F.col("score") >= least).drop("score").toDF(*docs.columns)
 
 
 def identify(docs: DataFrame, model: ByteTagger | None = None) -> DataFrame:

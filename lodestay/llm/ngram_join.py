@@ -6,6 +6,7 @@ group, and large groups are cut into tiles. In each tile a
 signature tree (nodes hold OR-combined bitmaps and size ranges) is traversed against itself: node pairs whose
 largest possible overlap is too small are pruned, and pairs already connected are skipped. Only rows that bitmaps
 leave are joined with their texts and compared exactly. A tile returns a spanning set of links, never all pairs of a group.
+Tiles of one group meet in pairs only where their size ranges allow a link.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestay.llm.common import keep_keys, list_array, runs, text_slices, write_shared
-from lodestay.llm.graph import components
+from lodestay.llm.common import keep_keys, list_array, runs, text_slices
 from lodestay.llm.shingles import mix, shingle_sets
+from lodestay.operators.graph import components
+from lodestay.storage import Scratch
 
-#: Rows in one tile, and shingles in it, at which a group is cut; groups of few rows are not measured.
-TILE_ROWS, TILE_SHINGLES, FEW_ROWS = 4096, 1 << 22, 64
+#: Rows in one tile, and shingles in it, at which a group is cut.
+TILE_ROWS, TILE_SHINGLES = 1024, 1 << 22
 _LEAF, _FAN = 8, 4
 
 
@@ -31,11 +33,11 @@ class SignatureTree:
     """Hierarchy over sets of one bitmap width: each node has its members' OR-ed bitmaps, size range and bit excess.
 
     The excess of a set is by how much its size exceeds the bits it sets. Two sets share at most their common bits
-    plus the smaller excess.
+    plus the smaller excess. Rows of different ``sides`` go to different nodes as far as possible.
     """
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
-        self.order = np.lexsort((bitmaps[:, 0], sizes))
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, sides: np.ndarray):
+        self.order = np.lexsort((bitmaps[:, 0], sizes, sides))
         self.size, self.bitmap = sizes[self.order], bitmaps[self.order]
         self.excess = self.size - np.bitwise_count(self.bitmap).sum(1).astype(np.int64)
         #: Levels from the leaves up; each is (first rows, bitmaps, least size, greatest size, greatest excess).
@@ -105,7 +107,7 @@ def bitmap_of(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def candidate_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], num: int, den: int, settled: Callable) -> Iterator[tuple[int, int]]:
+def candidate_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], sides: np.ndarray, num: int, den: int, settled: Callable) -> Iterator[tuple[int, int]]:
     """Pairs of all rows that may reach num / den (above one half), by one tree for each bitmap width.
 
     Sets of a wider bitmap than their partner's are at most twice as large, so a tree of one width also takes
@@ -116,7 +118,7 @@ def candidate_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], num: int, den:
         rows = np.flatnonzero((widths == width) | (widths == 2 * width))
         if len(rows) > 1:
             narrow = np.stack([_halved(bitmaps[r]) if widths[r] > width else bitmaps[r] for r in rows])
-            tree = SignatureTree(sizes[rows], narrow)
+            tree = SignatureTree(sizes[rows], narrow, sides[rows])
             for x, y in tree.candidates(num, den, lambda a, b, rows=rows: settled(rows[a], rows[b])):
                 yield int(rows[x]), int(rows[y])
 
@@ -126,34 +128,55 @@ def _halved(bitmap: np.ndarray) -> np.ndarray:
     return np.packbits(bits[0::2] | bits[1::2]).view(np.uint64)
 
 
-def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of rows that link sets with different labels, found by exact comparison; linking joins their labels."""
+def _one(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all rows of two nodes have one value."""
+    return bool((values[a] == values[a[0]]).all() and (values[b] == values[a[0]]).all())
+
+
+def _same_side(sides: np.ndarray) -> Callable:
+    """Whether two rows or nodes lie on one side, whose pairs are tested elsewhere; side -1 is not left out."""
+
+    def same(a: np.ndarray, b: np.ndarray) -> bool:
+        if np.ndim(a) == 0:
+            return sides[a] == sides[b] >= 0
+        return bool(sides[a[0]] >= 0) and _one(sides, a, b)
+
+    return same
+
+
+def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that link sets with different labels, found by exact comparison; linking joins their labels.
+
+    Rows of one side from 0 on are not compared with each other.
+    """
     root = np.unique(labels, return_inverse=True)[1]
+    apart = _same_side(sides)
 
     def settled(a: np.ndarray, b: np.ndarray) -> bool:
         if np.ndim(a) == 0:
-            return root[a] == root[b]
-        return bool((root[a] == root[a[0]]).all() and (root[b] == root[a[0]]).all())
+            return root[a] == root[b] or apart(a, b)
+        return _one(root, a, b) or apart(a, b)
 
     sizes = np.array([len(s) for s in sets])
-    for x, y in candidate_pairs(sizes, [bitmap_of(s) for s in sets], num, den, settled):
+    for x, y in candidate_pairs(sizes, [bitmap_of(s) for s in sets], sides, num, den, settled):
         common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         if den * common >= num * (sizes[x] + sizes[y] - common):
             root[root == root[y]] = root[x]
             yield x, y
 
 
-def possible_rows(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> np.ndarray:
+def possible_rows(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which rows have a partner of another label that they may link with, by their bitmaps alone."""
     found = np.zeros(len(sizes), bool)
     root = np.unique(labels, return_inverse=True)[1]
+    apart = _same_side(sides)
 
     def settled(a: np.ndarray, b: np.ndarray) -> bool:
         if np.ndim(a) == 0:
-            return bool(found[a] and found[b]) or root[a] == root[b]
-        return bool(found[a].all() and found[b].all()) or bool((root[a] == root[a[0]]).all() and (root[b] == root[a[0]]).all())
+            return bool(found[a] and found[b]) or root[a] == root[b] or apart(a, b)
+        return bool(found[a].all() and found[b].all()) or _one(root, a, b) or apart(a, b)
 
-    for x, y in candidate_pairs(sizes, bitmaps, num, den, settled):
+    for x, y in candidate_pairs(sizes, bitmaps, sides, num, den, settled):
         found[x] = found[y] = True
     return found
 
@@ -215,9 +238,9 @@ def _tile_rows(num: int, den: int, keys: list[str]) -> Callable:
             if tile.num_rows < 2:
                 continue
             bitmaps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
-            found = possible_rows(tile.column("n").to_numpy(), bitmaps, tile.column("label").to_numpy(), num, den)
+            found = possible_rows(*(tile.column(c).to_numpy() if c else bitmaps for c in ("n", "", "label", "side")), num, den)
             if found.any():
-                yield from tile.select([*keys, "id", "label"]).filter(pa.array(found)).combine_chunks().to_batches()
+                yield from tile.select([*keys, "id", "label", "side"]).filter(pa.array(found)).combine_chunks().to_batches()
 
     return run
 
@@ -228,8 +251,8 @@ def _tile_links(size: int, num: int, den: int, keys: list[str]) -> Callable:
             if tile.num_rows < 2:
                 continue
             tile = tile.combine_chunks()
-            ids, labels = tile.column("id").to_numpy(), tile.column("label").to_numpy()
-            found = list(linked_pairs(shingle_sets(tile.column("text").chunk(0), size), labels, num, den))
+            ids, labels, sides = (tile.column(c).to_numpy() for c in ("id", "label", "side"))
+            found = list(linked_pairs(shingle_sets(tile.column("text").chunk(0), size), labels, sides, num, den))
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
@@ -237,15 +260,15 @@ def _tile_links(size: int, num: int, den: int, keys: list[str]) -> Callable:
     return run
 
 
-def _link_tiles(tiles: DataFrame, signs: DataFrame, docs: DataFrame, keys: list[str], size: int, num: int, den: int) -> DataFrame:
-    """Links found in tiles (keys, id, label). Bitmaps thin the tiles out; the texts of what stays settle it."""
+def _link_tiles(tiles: DataFrame, signs: DataFrame, docs: DataFrame, keys: list[str], scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
+    """Links found in tiles (keys, id, label, side). Bitmaps thin the tiles out; the texts of what stays settle it."""
     rows = tiles.join(signs, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
-    kept = rows.mapInArrow(_tile_rows(num, den, keys), ", ".join(f"{k} long" for k in [*keys, "id", "label"]))
-    kept = write_shared(kept, "kept")
-    ids = write_shared(kept.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    kept = rows.mapInArrow(_tile_rows(num, den, keys), ", ".join(f"{k} long" for k in [*keys, "id", "label", "side"]))
+    kept = scratch.write(kept, "kept")
+    ids = scratch.write(kept.select(F.col("id").alias("doc_id")).distinct(), "ids")
     texts = keep_keys(docs, ids, "doc_id").select(F.col("doc_id").alias("id"), "text")
     rows = kept.join(texts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
-    return write_shared(rows.mapInArrow(_tile_links(size, num, den, keys), "a long, b long"), "links")
+    return scratch.write(rows.mapInArrow(_tile_links(size, num, den, keys), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -257,11 +280,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     row, with a null component_id. Further columns of ``docs`` are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_components(docs, scratch, size, num, den), "near-duplicates")
+
+
+def _components(docs: DataFrame, scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
     both = docs.mapInArrow(_facts(size, num, den), "doc_id long, n_shingles long, fingerprint string, bits binary, keys array<long>")
-    both = write_shared(both, "facts")
+    both = scratch.write(both, "facts")
     facts = both.select("doc_id", "n_shingles", "fingerprint")
     named = facts.where("fingerprint is not null and doc_id is not null")
-    classes = write_shared(named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = scratch.write(named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "classes")
     class_ids = classes.select(F.col("class_id").alias("id"))
     signs = both.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits", "keys")
     signs = keep_keys(signs, class_ids, "id")
@@ -269,22 +297,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     # Blocks of two classes or more; those led by the same class form one group.
     listed = signs.select("id", F.explode("keys").alias("key"))
     blocks = listed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    groups = write_shared(listed.join(blocks.select("key", "leader"), "key").select("leader", "id").distinct(), "groups")
+    groups = scratch.write(listed.join(blocks.select("key", "leader"), "key").select("leader", "id").distinct(), "groups")
 
     # A group of one tile is settled there; a larger one is first cut at random, each part with its leader.
     signs = signs.drop("keys")
-    many = write_shared(groups.groupBy("leader").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW_ROWS).select("leader"), "many")
-    measured = groups.join(many, "leader").join(signs.select("id", "n"), "id")
+    measured = groups.join(signs.select("id", "n"), "id")
     tiles = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-    large = write_shared(measured.groupBy("leader").agg(tiles.alias("tiles")).where("tiles > 1"), "large")
+    large = scratch.write(measured.groupBy("leader").agg(tiles.alias("tiles")).where("tiles > 1"), "large")
     part = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64(F.lit(3), "id"), F.col("tiles")).cast("int"))
     )
-    first = groups.join(large, "leader", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile")).withColumn("tile", F.col("tile").cast("long"))
-    links = _link_tiles(first, signs, docs, ["leader", "tile"], size, num, den)
+    first = groups.join(large, "leader", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    first = first.select("leader", "id", F.col("id").alias("label"), F.explode(part).alias("tile"))
+    first = first.select("leader", "id", "label", F.col("tile").cast("long").alias("tile"), F.lit(-1).cast("long").alias("side"))
+    links = _link_tiles(first, signs, docs, ["leader", "tile"], scratch, size, num, den)
     if not large.isEmpty():
-        links = links.unionByName(_between_tiles(measured.join(large, "leader"), signs, docs, links, size, num, den))
-    reached = components(links, "a", "b")
+        links = links.unionByName(_between_tiles(measured.join(large, "leader"), signs, docs, links, scratch, size, num, den))
+    reached = components(links, "a", "b", scratch)
 
     classes = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left")
     classes = classes.select("fingerprint", F.coalesce("component", "class_id").alias("component"))
@@ -292,43 +321,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     # A repeated doc_id may have several texts, hence several classes: their components are one.
     repeats = alike.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     if not repeats.isEmpty():
-        ties = alike.where("component is not null").join(repeats.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
-        merged = components(ties.unionByName(alike.where("component is not null").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))), "a", "b")
+        own = alike.where("component is not null").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+        merged = components(own, "a", "b", scratch)
         alike = alike.drop("component").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = alike.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     lost = facts.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost)
 
 
-def _between_tiles(groups: DataFrame, signs: DataFrame, docs: DataFrame, links: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _size_tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (leader, main, id, label, n) with the number of a tile: each holds sizes next to each other.
+
+    Only the counts of equal sizes are put in order, not the rows; many rows of one size share several tiles.
+    """
+    load = F.greatest(F.lit(1 / TILE_ROWS), F.col("n") / TILE_SHINGLES)
+    counted = rows.groupBy("leader", "main", "n").agg((F.count("*") * F.first(load)).alias("load"))
+    before = F.sum("load").over(Window.partitionBy("leader", "main").orderBy("n")) - F.col("load")
+    counted = counted.select("leader", "main", "n", F.floor(before).alias("base"), F.ceil("load").alias("spread"))
+    placed = rows.join(counted, ["leader", "main", "n"])
+    return placed.withColumn("tile", F.col("base") + F.pmod(F.xxhash64(F.lit(5), "id"), F.col("spread"))).drop("base", "spread")
+
+
+def _between_tiles(groups: DataFrame, signs: DataFrame, docs: DataFrame, links: DataFrame, scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
     """Links between different tiles of the large ``groups`` (leader, id, n).
 
     After the first pass nearly all of a group of copies is one component, the main one. Pairs inside it need no
-    test; each other row must meet all tiles of the main component and all other such rows. Those rows are dealt
-    into tiles too, and every pair of tiles is one task.
+    test; each other row must meet the main component and all other such rows whose sizes allow a link. Rows are
+    dealt anew into tiles of like sizes, and each pair of tiles whose size ranges fit is one task.
     """
-    reached = components(links, "a", "b")
+    reached = components(links, "a", "b", scratch)
     rows = groups.join(reached, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    count = rows.groupBy("leader", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    main = count.groupBy("leader").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"))
-    main = main.where("labels > 1").select("leader", "main")
-    number = lambda rows, n: F.greatest(F.ceil(rows / TILE_ROWS), F.ceil(n / TILE_SHINGLES), F.lit(1)).cast("int")
-    is_main = F.col("label") == F.col("main")
-    cut = count.join(main, "leader").groupBy("leader", "main").agg(
-        number(F.sum(F.when(is_main, F.col("rows")).otherwise(0)), F.sum(F.when(is_main, F.col("shingles")).otherwise(0))).alias("of_main"),
-        number(F.sum(F.when(is_main, 0).otherwise(F.col("rows"))), F.sum(F.when(is_main, 0).otherwise(F.col("shingles")))).alias("of_rest"),
-    )
-    rows = rows.join(cut, "leader")
-    mine = F.pmod(F.xxhash64(F.lit(5), "id"), F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int")
-    rows = rows.withColumn("mine", mine)
-    rest = F.sequence(F.lit(0), F.col("of_rest") - 1)
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    # Main tiles are numbered below zero: (rest tile, -1 - main tile); pairs of rest tiles are (smaller, larger).
-    of_main = F.transform(rest, lambda a: pair(a, -1 - F.col("mine")))
-    of_rest = F.concat(
-        F.transform(rest, lambda b: pair(F.least(F.col("mine"), b), F.greatest(F.col("mine"), b))),
-        F.transform(F.sequence(F.lit(0), F.col("of_main") - 1), lambda b: pair(F.col("mine"), -1 - b)),
-    )
-    rows = rows.withColumn("where", F.explode(F.when(is_main, of_main).otherwise(of_rest)))
-    rows = rows.select("leader", "id", "label", F.col("where.a").cast("long").alias("tile"), F.col("where.b").cast("long").alias("other"))
-    return _link_tiles(rows, signs, docs, ["leader", "tile", "other"], size, num, den)
+    count = rows.groupBy("leader", "label").agg(F.count("*").alias("rows"))
+    most = count.groupBy("leader").agg(F.max_by("label", F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"))
+    rows = rows.join(most.where("labels > 1"), "leader").withColumn("main", F.col("label") == F.col("most"))
+    rows = scratch.write(_size_tiles(rows.select("leader", "main", "id", "label", "n")), "dealt")
+
+    ranges = scratch.write(rows.groupBy("leader", "main", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most")), "ranges")
+    a, b = ranges.where("not main").alias("a"), ranges.alias("b")
+    fits = den * F.least("a.most", "b.most") >= num * F.greatest("a.least", "b.least")
+    pairs = a.join(b, (F.col("a.leader") == F.col("b.leader")) & fits & (F.col("b.main") | (F.col("a.tile") <= F.col("b.tile"))))
+    # Main tiles are numbered below zero.
+    other = F.when(F.col("b.main"), -1 - F.col("b.tile")).otherwise(F.col("b.tile"))
+    pairs = scratch.write(pairs.select(F.col("a.leader").alias("leader"), F.col("a.tile").alias("tile"), other.alias("other")), "pairs")
+
+    rows = rows.select("leader", "id", "label", F.when(F.col("main"), -1 - F.col("tile")).otherwise(F.col("tile")).alias("mine"))
+    side = lambda n: F.when(F.col("tile") == F.col("other"), -1).otherwise(n).cast("long").alias("side")
+    left = rows.join(pairs, (rows["leader"] == pairs["leader"]) & (rows["mine"] == pairs["tile"])).drop(pairs["leader"])
+    right = rows.join(pairs, (rows["leader"] == pairs["leader"]) & (rows["mine"] == pairs["other"]) & (pairs["tile"] != pairs["other"])).drop(pairs["leader"])
+    dealt = left.select("leader", "id", "label", "tile", "other", side(0)).unionByName(right.select("leader", "id", "label", "tile", "other", side(1)))
+    return _link_tiles(dealt, signs, docs, ["leader", "tile", "other"], scratch, size, num, den)

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestay.llm.common import held_out, list_array, text_slices
+from lodestay.llm.common import by_place, held_out, list_array, text_slices, with_field
 from lodestay.llm.hashing import STRUCTURE, SparseRows, document_rows
 
 #: Labelled rows that training takes at most (those of the smallest hashed ids), hashed-word buckets, rank, passes.
@@ -99,17 +100,19 @@ def _score(model, buckets: int) -> Callable:
     return run
 
 
-def score_beside(columns: list[str], model, buckets: int = BUCKETS) -> Callable:
-    """The rows of ``columns`` with quality_score."""
-    at = columns.index("text")
+def keep_good(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all their columns as they are; null texts count as empty."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at, plain = docs.columns.index("text"), by_place(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                scores = model.value.scores(document_rows(part.column(at), buckets))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*columns, "quality_score"])
+            for part in text_slices(batch, batch.schema.names[at]):
+                scores = model.value.scores(document_rows(part.column(at), BUCKETS))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, "score"])
 
-    return run
+    found = plain.mapInArrow(run, with_field(plain.schema, "score", T.DoubleType()))
+    return found.where(F.col("score") >= least).drop("score").toDF(*docs.columns)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestay.llm.common import shared_dir, table
+from lodestay.llm.common import table
+from lodestay.storage import kept_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,7 +32,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestay.llm.warc import read_archive, write_archive
 
-    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    path = kept_path(spark, "archive")
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path)
 
@@ -74,7 +74,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestay.llm.wavelet import read_documents, write_tokens
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = kept_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return read_documents(spark, path)
 

@@ -1,10 +1,11 @@
 """Secret scans: three base patterns, and dictionary-primed zstandard novelty.
 
-A candidate is an unbroken token on the line of a sensitive word, near it or in a block of a private key; unbroken
-lines beside a found one belong to it. Its novelty is what it adds to the zstandard frame of the
-text around it, copies of itself left out, with a dictionary of common identifiers already known to the compressor.
-Words and identifiers repeat what is near them or in the dictionary and add little; random strings add nearly their
-whole length. A token that is novel once is reported wherever it stands in the text.
+A candidate is an unbroken token on the line of a sensitive word, near it or in a block of a private key, or the
+password of a connection string; unbroken lines beside a found one belong to it. Its novelty is what it adds to the
+zstandard frame of the text around it, copies of itself left out, with a dictionary already known to the compressor:
+common identifiers, and the words of the sensitive lines of all documents that stand in the most different ones. Words and
+identifiers repeat what is near them or in the dictionary and add little; random strings add nearly their whole
+length. A token that is novel once is reported wherever it stands in the text. The novelty of base spans is measured too.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestay.llm.common import list_array, text_slices
+from lodestay.llm.common import by_place, list_array, text_slices
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -34,11 +35,17 @@ _TOKEN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvw
 #: A line that is one token but for marks around it, and what may follow a token on its line.
 _ALONE = re.compile(r"[^A-Za-z0-9+/_=\n-]*([A-Za-z0-9+/_=-]+)(?:\\[nr]|[^A-Za-z0-9+/_=\n-])*(?=\n|\Z)")
 _LINE_REST = re.compile(r"(?:\\[nr]|[^A-Za-z0-9+/_=\n-])*\n")
+_URL_PASSWORD = re.compile(r"://[^\s:/@]+:([^\s@/]{8,})@")
+#: What the dictionary is learned from: runs of letters of one case, a capital before them or not.
+_PART = re.compile(r"[A-Z]?[a-z]{3,23}|[A-Z]{4,24}")
+_JOINTS = re.compile(r"[/_=+-]+")
 _UNBROKEN = re.compile(r"^[^A-Za-z0-9+/_=\n-]*[A-Za-z0-9+/_=-]{16,}[^A-Za-z0-9+/_=\n-]*$", re.MULTILINE)
 #: Characters on both sides of a sensitive word that count as its context beside its line, and characters kept around a candidate.
 REACH, AROUND = 64, 256
 #: A candidate is reported when it adds this many bytes for each of its characters.
 NOVELTY = 0.7
+#: Words of the learned dictionary at most, and the different lines that one must stand in.
+WORDS, LEAST_LINES = 2000, 3
 _IDENTIFIERS = (
     "import from return class function const public private static void string integer boolean true false null none self this "
     "password passwd secret token api_key apikey access_key secret_key private_key credential authorization bearer client_id "
@@ -66,8 +73,12 @@ def _without(text: str, value: str, lo: int, hi: int, least: int, most: int) ->
 
 
 class NoveltyMeter:
-    def __init__(self) -> None:
-        primed = zstandard.ZstdCompressionDict(_IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Measures candidates against their surroundings; ``words`` add to the dictionary, the commonest first."""
+
+    def __init__(self, words: list[str] | None = None) -> None:
+        # What the compressor needs most should be nearest to the text, at the end.
+        known = " ".join(reversed(words or [])) + " " + _IDENTIFIERS
+        primed = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def of(self, text: str, start: int, end: int) -> float:
@@ -114,7 +125,9 @@ def _contexts(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _plain(token: str) -> bool:
-    return token.isalpha() and (token.islower() or token.isupper() or token.istitle())
+    """Whether a token is words of one case, alone or joined as in paths and identifiers, with short numbers at most."""
+    parts = [p for p in _JOINTS.split(token) if p]
+    return bool(parts) and all(p.isalpha() and (p.islower() or p.isupper() or p.istitle()) or p.isdigit() and len(p) <= 4 for p in parts)
 
 
 def _parts(text: str, start: int, end: int, words: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
@@ -169,13 +182,18 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter
     Unbroken lines beside a found token belong to it, however many there are; a base span may touch those.
     """
     words = [m.span() for m in _SENSITIVE.finditer(text)]
-    if not words:
+    urls = [m.span(1) for m in _URL_PASSWORD.finditer(text)] if "://" in text else []
+    if not words and not urls:
         return []
     ends = [e for _, e in words]
     taken = bytearray(len(text))
     for a, _, b in base:
         taken[a:b] = b"\1" * (b - a)
     contexts, found = _contexts(text, words), []
+    for a, b in urls:
+        if not _plain(text[a:b]) and 1 not in taken[a:b] and meter.of(text, a, b) >= NOVELTY:
+            found.append((a, 3, b))
+            taken[a:b] = b"\1" * (b - a)
     at = 0
     for m in _CANDIDATE.finditer(text):
         while at < len(contexts) and contexts[at][1] <= m.start():
@@ -225,84 +243,116 @@ def _long_hex_rows(texts: pa.Array) -> np.ndarray:
     return np.unique(np.searchsorted(ends, start, "right") - 1)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    meter = NoveltyMeter()
+def _spans(text: str, hexed: bool, meter: NoveltyMeter) -> list[tuple[int, int, int]]:
+    """All spans of a text by start and kind; ``hexed`` says that it holds 32 hexadecimal digits in a row."""
+    if not (hexed or "AKIA" in text or _SENSITIVE.search(text) or "://" in text):
+        return []
+    base = base_spans(text)
+    return sorted(base + novel_spans(text, base, meter))
+
+
+def _scan(words_of) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = NoveltyMeter(words_of.value)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                hexed = set(_long_hex_rows(part.column(1)).tolist())
+                columns, counts = ([], [], [], []), []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    spans = _spans(text, i in hexed, meter) if text else []
+                    counts.append(len(spans))
+                    for start, kind, end in spans:
+                        for column, value in zip(columns, (start, kind, end, meter.of(text, start, end)), strict=True):
+                            column.append(value)
+                arrays = [list_array(np.array(x, np.int64), counts) for x in columns[:3]] + [list_array(np.array(columns[3], np.float64), counts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "starts", "kinds", "ends", "novelties"])
+
+    return run
+
+
+def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each sensitive line, with a hash of the line."""
     for batch in batches:
         for part in text_slices(batch, "text"):
-            hexed = set(_long_hex_rows(part.column(1)).tolist())
-            starts, kinds, ends, counts = [], [], [], []
-            for i, text in enumerate(part.column(1).to_pylist()):
-                spans: list[tuple[int, int, int]] = []
-                if text and (i in hexed or "AKIA" in text or _SENSITIVE.search(text)):
-                    spans = base_spans(text)
-                    spans = sorted(spans + novel_spans(text, spans, meter))
-                counts.append(len(spans))
-                for start, kind, end in spans:
-                    starts.append(start)
-                    kinds.append(kind)
-                    ends.append(end)
-            arrays = [list_array(np.array(x, np.int64), counts) for x in (starts, kinds, ends)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "starts", "kinds", "ends"])
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, end>>) for every row of ``docs`` (doc_id, text).
+            words, lines = [], []
+            for text in part.column(0).to_pylist():
+                at = 0
+                while text and (m := _SENSITIVE.search(text, at)):
+                    lo = text.rfind("\n", 0, m.start()) + 1
+                    at = text.find("\n", m.end())
+                    at = len(text) if at < 0 else at
+                    line = text[max(lo, m.start() - AROUND) : min(at, m.end() + AROUND)]
+                    at = min(at, m.end() + AROUND)
+                    found = sorted(set(_PART.findall(line)))
+                    words += found
+                    lines += [int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(lines, pa.int64())], ["word", "line"])
+
+
+def learn_words(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """The ``most`` words of sensitive lines of all ``docs`` (text) that stand in the most different lines, commonest first.
+
+    Copies of a line count once, so a secret that many documents repeat is no word. Lines are counted approximately.
+    """
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_line_words, "word string, line long")
+    counted = rows.groupBy("word").agg(F.approx_count_distinct("line").alias("lines")).where(F.col("lines") >= LEAST_LINES)
+    return [r["word"] for r in counted.orderBy(F.desc("lines"), "word").limit(most).collect()]
+
+
+def scan(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """(doc_id, spans array<struct<kind, start, end, novelty>>) for every row of ``docs`` (doc_id, text).
 
     Spans are in code points, the end exclusive, by start and then by kind as listed in ``KINDS``; null and empty
-    texts have none, repeated rows have theirs each. Further columns are ignored.
+    texts have none, repeated rows have theirs each, an empty table gives no rows. novelty is in bytes for each
+    character. ``words`` are the dictionary's, learned from ``docs`` if not given. Further columns are ignored.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(learn_words(docs) if words is None else words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_scan, "doc_id long, starts array<long>, kinds array<long>, ends array<long>")
+    found = rows.mapInArrow(_scan(shared), "doc_id long, starts array<long>, kinds array<long>, ends array<long>, novelties array<double>")
     names = F.array(*(F.lit(k) for k in KINDS))
-    span = lambda x: F.struct(F.element_at(names, (x["kinds"] + 1).cast("int")).alias("kind"), x["starts"].alias("start"), x["ends"].alias("end"))
-    return found.select("doc_id", F.transform(F.arrays_zip("starts", "kinds", "ends"), span).alias("spans"))
+    span = lambda x: F.struct(
+        F.element_at(names, (x["kinds"] + 1).cast("int")).alias("kind"), x["starts"].alias("start"), x["ends"].alias("end"), x["novelties"].alias("novelty")
+    )
+    return found.select("doc_id", F.transform(F.arrays_zip("starts", "kinds", "ends", "novelties"), span).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans): counts and joined spans of ``scan``'s rows."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, novelties): counts and joined spans of ``scan``'s rows.
+
+    novelties has what each span adds in bytes for each of its characters, to two decimals.
+    """
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != "novel")
-    return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
-
-
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of the text replaced by ``mark``; texts without one and null texts stay as they are."""
-    columns = docs.columns
-    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    # What follows the last secret begins at its end; overlapping spans are taken as one.
-    fold = lambda a, s: F.struct(
-        F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise("")).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    cleaned = F.aggregate(spans, start, fold, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))))
-    found = docs.mapInArrow(_scan_beside(columns), _scanned_schema(docs))
-    kept = found.withColumn("text", F.when(F.size("_spans") > 0, cleaned).otherwise(F.col("text")))
-    return kept.select(*columns)
+    measured = F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["novelty"])), ",")
+    return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), measured.alias("novelties"))
 
 
-def _scanned_schema(docs: DataFrame):
-    from pyspark.sql import types as T
+def redact(docs: DataFrame, mark: str = "[SECRET]", words: list[str] | None = None) -> DataFrame:
+    """``docs`` with every secret of the text replaced by ``mark``, overlapping ones by one; all other columns stay.
 
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    return T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(span))])
-
-
-def _scan_beside(columns: list[str]) -> Callable:
-    """The rows themselves with their spans, so that no join has to bring them back to their texts."""
+    Texts without a secret and null texts stay as they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn_words(docs) if words is None else words)
+    at, plain = docs.columns.index("text"), by_place(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_at = columns.index("text")
+        meter = NoveltyMeter(shared.value)
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                pair = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column(text_at)], ["doc_id", "text"])
-                for scanned in _scan([pair]):
-                    starts, ends = scanned.column(1), scanned.column(3)
-                    span = pa.StructArray.from_arrays([starts.flatten(), ends.flatten()], ["start", "end"])
-                    spans = pa.ListArray.from_arrays(starts.offsets, span)
-                    yield pa.RecordBatch.from_arrays([*part.columns, spans], [*columns, "_spans"])
-                    part = part.slice(scanned.num_rows)
-
-    return run
+            for part in text_slices(batch, batch.schema.names[at]):
+                hexed = set(_long_hex_rows(part.column(at)).tolist())
+                texts = part.column(at).to_pylist()
+                clean = [_redacted(t, _spans(t, i in hexed, meter), mark) if t else t for i, t in enumerate(texts)]
+                yield part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])

@@ -1,4 +1,4 @@
-"""Vectors in tasks: whole rows as matrices, and the best results of each query."""
+"""Vectors in tasks: whole rows as matrices, queries in tiles against blocks of candidates, and the best of each query."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in one block of candidates.
-BLOCK = 16_384
+#: Candidates of one block and queries of one tile, about.
+BLOCK, TILE = 4096, 512
 
 
 def usable(df: DataFrame, zero: bool) -> DataFrame:
@@ -22,20 +22,27 @@ def usable(df: DataFrame, zero: bool) -> DataFrame:
     return rows.withColumn("dims", F.size("vector"))
 
 
-def matrix(table: pa.Table, column: str) -> np.ndarray:
-    values = table.column(column).combine_chunks()
+def matrix(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    values = table.column(column)
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     return values.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
 
 
-def against_blocks(queries: DataFrame, candidates: DataFrame, blocks: Column, search: Callable, schema: str) -> DataFrame:
-    """Run ``search(queries, candidates)`` on Arrow tables, for the queries of each block and its candidates.
+def into_tiles(queries: DataFrame, key: str, tile: int = TILE) -> DataFrame:
+    """``queries`` with a tile each, so many that one has about ``tile`` of them."""
+    return queries.withColumn("tile", F.pmod(F.xxhash64(F.lit(7), key), F.lit(max(1, -(-queries.count() // tile)))).cast("int"))
 
-    ``candidates`` have a block; ``blocks`` is the array of blocks that a query must see. Both sides of one
-    number of dimensions and one block meet in one task.
+
+def against_blocks(queries: DataFrame, candidates: DataFrame, search: Callable, schema: str) -> DataFrame:
+    """Run ``search(queries, candidates)`` on Arrow tables for each tile of queries and each block that one of them must see.
+
+    ``queries`` have dims, a tile and a block, one row for each block of a query; ``candidates`` have dims and a block.
+    Neither side of a group grows with the input; a block is copied for the tiles that need it, and for no others.
     """
-    dealt = queries.withColumn("block", F.explode(blocks)).toDF(*queries.columns, "block")
-    keys = ("dims", "block")
-    return dealt.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(search, schema)
+    keys = ("dims", "block", "tile")
+    queries = queries.toDF(*queries.columns)  # both sides may come from one table, and need columns of their own
+    copies = candidates.join(queries.select(*keys).distinct().toDF(*keys), ["dims", "block"])
+    return queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(search, schema)
 
 
 def best(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -44,6 +51,6 @@ def best(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def result(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: pa.DataType) -> pa.Table:
-    columns = [np.concatenate(c) if rows else np.zeros(0) for c in (zip(*rows, strict=True) if rows else ((), (), ()))]
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], score_type)], ["query_id", "vec_id", "score"])
+def result(rows: list[tuple[np.ndarray, ...]], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0) for _ in names]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

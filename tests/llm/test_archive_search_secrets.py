@@ -62,6 +62,43 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nearest(df.limit(0)).collect() == []
 
 
+def test_nearest_in_cells_and_tiles(spark, monkeypatch):
+    from lodestay.llm import binary_codes, vectors
+
+    for name, value in (("CELL_ROWS", 40), ("FIRST_ROWS", 60)):
+        monkeypatch.setattr(binary_codes, name, value)
+    monkeypatch.setattr(vectors.into_tiles, "__defaults__", (7,))
+    df, known = _vectors(spark)
+    twice = df.unionByName(df.where("vec_id in (40, 41)"))
+    found = {}
+    for r in nearest(twice, every=20, block=16).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = total = 0
+    for q in (i for i in known if i % 20 == 0):
+        order = sorted((float(np.sqrt(((known[i] - known[q]) ** 2).sum())), i) for i in [*known, 40, 41] if i != q)[:10]
+        hits += len({i for _, i in order} & set(found[q]))
+        total += len({i for _, i in order})
+        assert len(found[q]) == 10
+    assert hits / total >= 0.9
+    assert found[0] == found[400][:0] + [*range(400, 410)]
+
+
+def test_nearest_recall_on_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in df.select("vec_id", "embedding").collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    found = {}
+    for r in nearest(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        far = np.sqrt(((x - rows[q]) ** 2).sum(1))
+        order = [i for i in ids[np.lexsort((ids, far))] if i != q][:10]
+        hits += len(set(order) & found[q])
+    assert set(found) == set(ids[ids % 100 == 0]) and hits / (10 * len(found)) >= 0.9
+
+
 def test_top_products_are_exact(spark):
     df, known = _vectors(spark)
     whole = {i: np.floor(v * 256).astype(int) for i, v in known.items()} | {600: np.zeros(16, int)}
@@ -70,6 +107,9 @@ def test_top_products_are_exact(spark):
         order = sorted((-int(whole[i] @ whole[q]), i) for i in whole if i != q)[:5]
         wanted += [(q, n, i, -s) for n, (s, i) in enumerate(order, 1)]
     assert sorted(map(tuple, top_products(df, every=20, block=64).collect())) == sorted(wanted)
+    twice = df.unionByName(df.where("vec_id in (20, 21)"))
+    again = top_products(twice, every=20, block=64).where("query_id <> 20").groupBy("query_id").count().collect()
+    assert all(r["count"] == 5 for r in again)
     assert top_products(df.limit(0)).collect() == []
 
 
@@ -83,6 +123,105 @@ def test_secret_spans(spark):
     assert clean[0] is None and clean[2] == "[SECRET]' token=short" and clean[4] == "é [SECRET]" and clean[7] == texts[7]
 
 
+def test_base_spans_equal_a_plain_loop():
+    r = np.random.default_rng(4)
+    parts = ["password", "API_KEY", "apikey", "toKen", "secret", "passwd", '"', "'", " ", "=", ":", "abcdefgh", "A1b2C3d4", "=.-_", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "\n", "é", "ſ", "x"]
+
+    def plain(text):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        found, at = [], 0
+        while at < len(text):
+            for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if not low.startswith(word, at):
+                    continue
+                i = at + len(word)
+                i += text[i : i + 1] in ("'", '"') and i < len(text)
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] not in (":", "=") or i >= len(text):
+                    continue
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ("'", '"') and i < len(text)
+                j = i
+                while j < len(text) and (text[j].isascii() and text[j].isalnum() or text[j] in "+/_.=-"):
+                    j += 1
+                if j > i:
+                    found += [(at, 0, j)] if j - i >= 8 else []
+                    at = j - 1
+                    break
+            at += 1
+        for kind, head, good, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), (2, "", "0123456789abcdef", 32)):
+            at = 0
+            while at < len(text):
+                j = at + len(head)
+                while text.startswith(head, at) and j < len(text) and text[j] in good:
+                    j += 1
+                if text.startswith(head, at) and j > at + len(head):
+                    found += [(at, kind, j)] if j - at >= least else []
+                    at = j
+                else:
+                    at += 1
+        return sorted(found)
+
+    for _ in range(4000):
+        text = "".join(r.choice(parts, int(r.integers(1, 14))))
+        assert secrets.base_spans(text) == plain(text), text
+
+
+LETTERS_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _planted(r):
+    """(text, secret) of other shapes than the base patterns, each among some prose."""
+    draw = lambda n, letters=LETTERS_DIGITS: "".join(r.choice(list(letters), n))
+    secret = [
+        lambda: ("git remote set-url with bearer {}", "ghp_" + draw(36)),
+        lambda: ("Authorization: Bearer {}", f"eyJ{draw(30)}.eyJ{draw(50)}.{draw(43)}"),
+        lambda: ("the credential {} was used in the old job", draw(40, LETTERS_DIGITS + "/+")),
+        lambda: ("postgres://admin:{}@db.example.org:5432/shop", draw(14)),
+        lambda: ("access_key_id is set, private key follows: {}", draw(44)),
+        lambda: ("hook uses passphrase {}", "xoxb-" + draw(12, "0123456789") + "-" + draw(24)),
+    ][int(r.integers(6))]
+    line, value = secret()
+    return "Some words before it.\n" + line.format(value) + "\nAnd some words that follow, as in any text.", value
+
+
+_HARMLESS = [
+    "sha of the file in the release notes: see get_user_authentication_token_from_request_headers for the token",
+    "The secret of good bread is patience, which nobody calls authentication_and_authorization_middleware.",
+    "request 550e8400-e29b-41d4-a716-446655440000 was answered in time",
+    "bearer_token_expiration_in_seconds and bearer_token_expiration_in_minutes are credential settings",
+    "https://example.org/a/very/long/path/that/mentions/no/credential/at/all/and/goes/on/and/on",
+    "password_reset_confirmation_email_template_name",
+    "the passphrase is ---------------------------------------- hidden",
+    "authorization: internationalisation internationalisation internationalisation",
+]
+
+
+def test_secrets_of_other_shapes_are_found_and_harmless_lines_left(spark):
+    r = np.random.default_rng(8)
+    planted = [_planted(r) for _ in range(300)]
+    harmless = [f"{x} {i}" for i in range(40) for x in _HARMLESS]
+    rows = list(enumerate([t for t, _ in planted] + harmless))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    left = [value for i, (_, value) in enumerate(planted) if max(value.replace(".", " ").split(), key=len) in found[i]]
+    touched = [t for i, t in rows[len(planted) :] if found[i] != t]
+    assert len(left) <= 0.1 * len(planted), left[:5]
+    assert len(touched) <= 0.1 * (len(planted) - len(left)), touched[:5]
+    measured = [s.novelty for x in secrets.scan(docs).collect() for s in x.spans]
+    assert measured and min(measured) >= 0
+
+
+def test_dictionary_counts_different_lines_of_all_documents(spark):
+    same = [("the token Zanzibar is here",)] * 50
+    many = [(f"line {i} has a secret Walrus\nno word of this line",) for i in range(10)]
+    words = secrets.learn_words(spark.createDataFrame([*same, *many, (None,), ("",)], "text string"))
+    assert "Walrus" in words and "Zanzibar" not in words and "word" not in words
+
+
 def _cleaned(text):
     base, out, at = secrets.base_spans(text), "", 0
     for a, _, b in sorted(base + secrets.novel_spans(text, base, secrets.NoveltyMeter())):
@@ -137,5 +276,12 @@ def test_pipeline_stages(spark):
     assert kept.join(good, "doc_id", "left_semi").count() <= 0.05 * good.count()
     spans = secrets.scan(kept).where(F.size("spans") > 0)
     assert spans.count() == 0
+    odd = spark.createDataFrame([(1, None, 1, 2.0, "a"), (None, "", 1, 2.0, "b"), (1, "some words here", 1, 2.0, "c")], "doc_id long, text string, lang_score int, quality_score double, `_spans.x` string")
+    odd = odd.withColumn("lang", F.lit("en")).withColumn("Lang_Score_", F.lit(1)).withColumn("n_chars", F.lit(3).cast("long"))
+    for table in (odd, odd.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, table, sf)
+            assert out.columns == table.columns and out.count() <= table.count(), name
+        assert p.packing(spark, table, sf).count() == table.count()
     pieces = p.packing(spark, kept, sf)
     assert pieces.select("doc_id").distinct().count() == kept.count()

@@ -41,11 +41,11 @@ def near_copies(n, length, seed):
     return rows
 
 
-@pytest.mark.parametrize("limits", [(4096, 64), (8, 4)])
+@pytest.mark.parametrize("limits", [(1024, 1 << 22), (8, 1 << 22), (20, 1500)])
 @pytest.mark.parametrize("size,num,den", [(4, 85, 100), (5, 4, 5)])
 def test_components_equal_brute_force(spark, monkeypatch, limits, size, num, den):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", limits[0])
-    monkeypatch.setattr(ngram_join, "FEW_ROWS", limits[1])
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", limits[1])
     rows = near_copies(60, 90, 1) + [(i + 100, t) for i, t in near_copies(30, 40, 2)]
     a, b = "ab", "ba"
     for _ in range(9):
@@ -66,6 +66,17 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
+    import os
+
+    from lodestay import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame(near_copies(20, 30, 3), "doc_id long, text string")
+    found = near_duplicates(docs)
+    assert [x.split("-")[0] for x in os.listdir(tmp_path)] == ["near"] and found.count() == 20
+
+
 def test_similar_sets_share_a_segment_key():
     r = np.random.default_rng(0)
     for n in [*range(1, 40), 100, 511, 512, 513, 2000]:
@@ -97,6 +108,9 @@ def test_tree_finds_all_links():
             root = [x if v == y else v for v in root]
         return [root.index(v) for v in root]
 
-    found = list(linked_pairs(sets, np.arange(len(sets)), 4, 5))
+    found = list(linked_pairs(sets, np.arange(len(sets)), np.full(len(sets), -1), 4, 5))
     assert groups(found) == groups(wanted) and len(found) < len(sets)
     assert {tuple(sorted(p)) for p in found} <= wanted
+    sides = np.arange(len(sets)) % 2
+    across = list(linked_pairs(sets, np.arange(len(sets)), sides, 4, 5))
+    assert groups(across) == groups({p for p in wanted if sides[p[0]] != sides[p[1]]})

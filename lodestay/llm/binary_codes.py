@@ -5,9 +5,9 @@ coordinates, packed as bits, with correction scalars: the vector's length, and t
 direction with its code. From a query's few-bit rotated coordinates, bit counts give an unbiased estimate of each
 inner product with an error bound; vectors whose bound reaches the best distances are ranked by exact distances.
 
-The index holds the codes alone, in cells around centroids. A query looks through its nearest cells first; of the
+The index holds codes and vectors in cells around centroids. A query looks through its nearest cells first; of the
 others it then sees those that, by the distance to the plane between the centroids and by the cell's radius, can hold
-something nearer.
+something nearer than its k-th neighbour so far, and in them it ranks only vectors whose bound does.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def centroids_of(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3)
 
 
 def _encode(shared) -> Callable:
-    """(rid, vec_id, dims, cell, from_centroid, bits, norm, agree) of rows (rid, vec_id, vector, dims)."""
+    """(rid, vec_id, vector, dims, cell, from_centroid, bits, norm, agree) of rows (rid, vec_id, vector, dims)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +101,9 @@ def _encode(shared) -> Callable:
                 codes = Codes.of(x, centroids.mean(0), rotation(dims, code_length(dims)))
                 far = _distances(x, centroids)
                 cell = far.argmin(1)
-                columns = [rows.column(0), rows.column(1), rows.column(3), pa.array(cell, pa.int32()), pa.array(np.sqrt(far.min(1)))]
+                columns = [*rows.columns, pa.array(cell, pa.int32()), pa.array(np.sqrt(far.min(1)))]
                 columns += [pa.array([b.tobytes() for b in codes.bits], pa.binary()), pa.array(codes.norm), pa.array(codes.agree)]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "vec_id", "dims", "cell", "from_centroid", "bits", "norm", "agree"])
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "vec_id", "vector", "dims", "cell", "from_centroid", "bits", "norm", "agree"])
 
     return run
 
@@ -136,38 +136,34 @@ def _plan(shared, cells) -> Callable:
 
 
 def _search(shared, k: int) -> Callable:
-    """Of each query and block: the rows whose lower bound reaches the k-th upper bound, or the query's limit."""
+    """Of each query and block the k nearest rows, among those whose lower bound reaches the k-th upper bound and the query's limit."""
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         rows = []
         if queries.num_rows and candidates.num_rows:
             bits = np.frombuffer(b"".join(candidates.column("bits").to_pylist()), np.uint64).reshape(candidates.num_rows, -1)
             codes = Codes(bits, *(candidates.column(c).to_numpy() for c in ("norm", "agree")))
-            rids, ids = (candidates.column(c).to_numpy() for c in ("rid", "vec_id"))
+            x, ids = matrix(candidates, "vector"), candidates.column("vec_id").to_numpy()
             q = matrix(queries, "vector")
             centre = shared.value.get(q.shape[1], np.zeros((1, q.shape[1]))).mean(0)
             turned = (q - centre) @ rotation(q.shape[1], codes.length)
             norms = np.linalg.norm(q - centre, axis=1)
             random = np.random.default_rng(5)
-            limits = queries.column("limit").to_numpy()
-            for i, (rid, vec_id) in enumerate(zip(queries.column("rid").to_numpy(), queries.column("vec_id").to_numpy(), strict=True)):
+            limits = queries.column("limit").to_numpy() ** 2 * (1 + 1e-9)
+            for i, vec_id in enumerate(queries.column("vec_id").to_numpy()):
                 near, far = codes.bounds(turned[i] / max(norms[i], 1e-300), norms[i], random)
                 other = np.flatnonzero(ids != vec_id)
                 near, far = near[other], far[other]
                 limit = min(limits[i], np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf)
-                picked = np.flatnonzero(near <= limit)
-                rows.append((np.full(len(picked), rid), rids[other[picked]], near[picked], far[picked]))
-        return result(rows, ["query", "rid", "near", "far"], [pa.int64(), pa.int64(), pa.float64(), pa.float64()])
+                picked = other[near <= limit]
+                distance = np.sqrt(((x[picked] - q[i]) ** 2).sum(1))
+                first = np.lexsort((ids[picked], distance))[:k]
+                rows.append((np.full(len(first), vec_id), ids[picked][first], distance[first]))
+        return result(rows, ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()])
 
     return run
 
 
-def _limits(found: DataFrame, k: int) -> DataFrame:
-    """(query, limit): the k-th smallest upper bound of each query that has so many."""
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far"))).where(F.col("n") <= k)
-    return ranked.groupBy("query").agg(F.max("far").alias("limit"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
-
-
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance for each vec_id divisible by ``every``.
 
@@ -192,47 +188,33 @@ def _nearest(rows: DataFrame, scratch: Scratch, every: int, k: int, block: int)
 
     same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id")
     distinct = rows.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).drop("n")
-    schema = "rid long, vec_id long, dims int, cell int, from_centroid double, bits binary, norm double, agree double"
+    schema = "rid long, vec_id long, vector array<double>, dims int, cell int, from_centroid double, bits binary, norm double, agree double"
     codes = scratch.write(distinct.mapInArrow(_encode(shared), schema), "codes")
     stats = codes.groupBy("dims", "cell").agg(F.count("*").alias("rows"), F.max("from_centroid").alias("radius")).collect()
-    cells, numbers, base = {}, [], 0
-    for d in sizes:
-        n = len(centroids.get(d, [0]))
-        cells[d] = (np.zeros(n, np.int64), np.zeros(n))
+    cells = {d: (np.zeros(len(centroids.get(d, [0])), np.int64), np.zeros(len(centroids.get(d, [0])))) for d in sizes}
+    numbers, base = [], 0
     for r in sorted(stats):
         cells[r["dims"]][0][r["cell"]], cells[r["dims"]][1][r["cell"]] = r["rows"], r["radius"]
-        parts = -(-r["rows"] // block)
-        numbers.append((r["dims"], r["cell"], base, parts))
-        base += parts
-    blocks = scratch.write(spark.createDataFrame(numbers, "dims int, cell int, base int, parts int"), "blocks")
+        numbers.append((r["dims"], r["cell"], base, -(-r["rows"] // block)))
+        base += numbers[-1][3]
+    blocks = spark.createDataFrame(numbers, "dims int, cell int, base int, parts int")
     dealt = codes.join(F.broadcast(blocks), ["dims", "cell"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64(F.lit(9), "rid"), "parts").cast("int"))
-    dealt = dealt.select("rid", "vec_id", "dims", "bits", "norm", "agree", "block")
+    dealt = dealt.select("vec_id", "vector", "dims", "bits", "norm", "agree", "block")
 
-    asked = rows.where(F.col("vec_id") % every == 0)
-    planned = asked.mapInArrow(_plan(shared, spark.sparkContext.broadcast(cells)), "rid long, vec_id long, vector array<double>, dims int, first array<int>, later array<int>, bounds array<double>")
-    planned = into_tiles(scratch.write(planned, "planned"), "rid")
+    # Rows that repeat a query's vec_id ask once.
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("rid", "vector", "dims")).alias("q"))
+    asked = asked.select(F.col("q.rid").alias("rid"), "vec_id", F.col("q.vector").alias("vector"), F.col("q.dims").alias("dims"))
+    schema = "rid long, vec_id long, vector array<double>, dims int, first array<int>, later array<int>, bounds array<double>"
+    planned = into_tiles(scratch.write(asked.mapInArrow(_plan(shared, spark.sparkContext.broadcast(cells)), schema), "planned"), "rid")
     into_blocks = F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)).alias("block")
-    columns = ["rid", "vec_id", "vector", "dims", "tile", "limit"]
+    columns = ["vec_id", "vector", "dims", "tile", "limit"]
     near_cells = planned.withColumn("limit", F.lit(float("inf"))).withColumn("cell", F.explode("first"))
     near_cells = near_cells.join(F.broadcast(blocks), ["dims", "cell"]).select(*columns, into_blocks)
-    schema = "query long, rid long, near double, far double"
-    found = scratch.write(against_blocks(near_cells, dealt, _search(shared, k), schema), "near-cells")
-    limits = scratch.write(_limits(found, k), "limits")
-
-    known = planned.join(limits.withColumnRenamed("query", "rid"), "rid", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-    open_cells = known.withColumn("c", F.explode(F.arrays_zip("later", "bounds"))).where("c.bounds <= limit").withColumn("cell", F.col("c.later"))
-    open_cells = open_cells.join(F.broadcast(blocks), ["dims", "cell"]).select(*columns, into_blocks)
-    found = found.unionByName(scratch.write(against_blocks(open_cells, dealt, _search(shared, k), schema), "far-cells"))
-    limits = _limits(found, k)
-    found = found.join(limits, "query", "left").where("limit is null or near <= limit").select("query", "rid")
-
-    exact = found.join(rows.select("rid", "vec_id", "vector"), "rid")
-    exact = exact.join(asked.select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("of_query")), "query")
-    square = F.aggregate(F.zip_with("vector", "of_query", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    return _ranked(exact.select("query", "query_id", "vec_id", F.sqrt(square).alias("score")), k)
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; rows that repeat a query's vec_id find the same, once."""
-    one = found.groupBy("query_id").agg(F.min("query").alias("query"))
-    return best(found.join(one, ["query_id", "query"], "left_semi"), k, [F.col("score"), F.col("vec_id")])
+    schema, order = "query_id long, vec_id long, score double", [F.col("score"), F.col("vec_id")]
+    found = scratch.write(best(against_blocks(near_cells, dealt, _search(shared, k), schema), k, order), "near-cells")
+
+    limits = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("limit"))
+    known = planned.join(limits, "vec_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    open_cells = known.withColumn("c", F.explode(F.arrays_zip("later", "bounds"))).where(F.col("c.bounds") <= F.col("limit") * F.col("limit"))
+    open_cells = open_cells.withColumn("cell", F.col("c.later")).join(F.broadcast(blocks), ["dims", "cell"]).select(*columns, into_blocks)
+    return best(found.drop("rank").unionByName(against_blocks(open_cells, dealt, _search(shared, k), schema)), k, order)

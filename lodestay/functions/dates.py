@@ -29,10 +29,11 @@ def entry_dates(text: Column) -> Column:
 
 
 def age_hours(text: Column) -> Column:
-    """Hours of ``5 min``, ``3 h``, ``2 d`` or ``1 w``; null for anything else."""
-    number = F.regexp_extract(text, r"(?i)^\s*(\d+)\s*(min|m|h|d|w)", 1)
-    unit = F.lower(F.regexp_extract(text, r"(?i)^\s*(\d+)\s*(min|m|h|d|w)", 2))
-    hours = F.when(unit.isin("min", "m"), 1 / 60).when(unit == "h", 1.0).when(unit == "d", 24.0).when(unit == "w", 168.0)
+    """Hours of ``5 min``, ``3 h``, ``2 d``, ``1 w`` or these words in full; null for anything else."""
+    pattern = r"(?i)^\s*(\d+)\s*(m|min|mins|minutes?|h|hrs?|hours?|d|days?|w|weeks?)(?![\p{L}\d])"
+    number = F.regexp_extract(text, pattern, 1)
+    unit = F.lower(F.substring(F.regexp_extract(text, pattern, 2), 1, 1))
+    hours = F.when(unit == "m", 1 / 60).when(unit == "h", 1.0).when(unit == "d", 24.0).when(unit == "w", 168.0)
     return F.when(number != "", number.cast("double")) * hours
 
 

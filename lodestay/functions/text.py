@@ -16,8 +16,8 @@ def signature(text: Column) -> Column:
 
 
 def tokens(text: Column, least: int = 3) -> Column:
-    """Sorted distinct lower-case ASCII words of ``least`` letters or more."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[a-z]{{{least},}}"), F.lit(0))))
+    """Sorted distinct lower-case words of ``least`` letters or more, in any script."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -37,13 +37,95 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+_NAMED = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def html_text(html: Column) -> Column:
+    """Text of a message: scripts and styles go, ends of blocks are line breaks, common entities and numbers become characters."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    bare = F.regexp_replace(bare, r"(?i)<br\s*/?>|</(?:p|div|tr|li|table|h[1-6])\s*>", "\n")
+    bare = F.regexp_replace(bare, r"(?s)<[^>]+>", " ")
+    pieces = F.regexp_extract_all(bare, F.lit(r"(?s)&#x?[0-9a-fA-F]{1,6};|&|[^&]+"), F.lit(0))
+    number = lambda p: F.coalesce(F.conv(F.nullif(F.regexp_extract(p, "(?i)^&#x([0-9a-f]+);$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(p, "^&#([0-9]+);$", 1), F.lit(""))).cast("int")
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    decoded = F.array_join(F.transform(pieces, lambda p: F.when(number(p).between(1, 0x10FFFF), letter(number(p))).otherwise(p)), "")
+    for name, mark in _NAMED.items():
+        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(mark))
+    decoded = F.regexp_replace(F.replace(decoded, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(decoded, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+
+
 def blocks(text: Column, least: int = 40) -> Column:
-    """Paragraphs between line breaks that have ``least`` characters or more."""
+    """Lines that have ``least`` characters or more."""
     return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda b: F.length(b) >= least)
 
 
-def price_near_marker(text: Column, marker: str, reach: int = 20, low: int = 500, high: int = 3000) -> Column:
-    """First number of three or four digits within ``reach`` characters after a marker, in [low, high]."""
-    found = F.regexp_extract(text, rf"(?i){marker}\D{{0,{reach}}}?(\d{{3,4}})(?!\d)", 1)
-    value = F.when(found != "", found.cast("int"))
-    return F.when(value.between(low, high), value)
+def sections(text: Column, heading: str, chrome: str | None = None, least: int = 40) -> Column:
+    """The advertisements of a message: cut before each ``heading`` if it has two or more, else at blank lines.
+
+    Sections that match ``chrome`` or have fewer than ``least`` characters go.
+    """
+    seams = F.size(F.regexp_extract_all(text, F.lit(f"(?m){heading}"), F.lit(0)))
+    parts = F.when(seams >= 2, F.split(text, f"(?m)(?={heading})")).otherwise(F.split(text, r"\n\s*\n"))
+    good = lambda b: (F.length(b) >= least) & (~F.regexp_like(b, F.lit(chrome)) if chrome else F.lit(True))
+    return F.filter(F.transform(parts, F.trim), good)
+
+
+def post_id(url: Column) -> Column:
+    """The number of a post in its address."""
+    return F.nullif(F.regexp_extract(url, r"/(?:posts|permalink)/([0-9]+)|[?&]story_fbid=([0-9]+)", 1), F.lit(""))
+
+
+def clean_url(url: Column) -> Column:
+    """An address without its query and its last slash."""
+    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
+
+
+def chat_link(contact: Column) -> Column:
+    """A link to write to the first mobile number of a contact, or the link that it is."""
+    digits = F.regexp_replace(F.regexp_extract(contact, r"0?5[0-9][\s\-]?[0-9]{3}[\s\-]?[0-9]{4}", 0), "[^0-9]", "")
+    return F.when(F.startswith(contact, F.lit("http")), contact).when(digits != "", F.concat(F.lit("https://wa.me/972"), F.regexp_replace(digits, "^0", "")))
+
+
+def story(text: Column, tails: list[str], chrome: str) -> Column:
+    """A post's own text: cut at the first of ``tails``, without lines that match ``chrome``, counts and single characters."""
+    cut = text
+    for t in tails:
+        cut = F.substring_index(cut, t, 1)
+    lines = F.filter(F.transform(F.split(cut, "\n"), F.trim), lambda x: (F.length(x) > 1) & ~F.regexp_like(x, F.lit(chrome)) & ~F.regexp_like(x, F.lit("^[0-9.,KM ]+$")))
+    return F.array_join(lines, "\n")
+
+
+def core_token(name: Column, generic: list[str]) -> Column:
+    """The longest word of a name that is not a generic one, of equal ones the first; null if all are."""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: ~w.isin(*generic) & (w != ""))
+    return F.get(F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), F.lit(0))["w"]
+
+
+def escape_markdown(text: Column) -> Column:
+    return F.regexp_replace(text, r"([_*\[\]()~`>#+\-=|{}.!\\])", r"\\$1")
+
+
+def script_json(value: Column) -> Column:
+    """JSON that can stand in a script element."""
+    out = F.to_json(value)
+    for mark, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        out = F.replace(out, F.lit(mark), F.lit(code))
+    return out
+
+
+def with_comments(text: Column, comments: Column, label: str = "\n\n") -> Column:
+    """A post's text with its comments behind it, where it has any."""
+    return F.concat_ws(label, text, F.nullif(comments, F.lit("")))
+
+
+def pictures(urls: Column, sizes: Column, most: int = 6) -> Column:
+    """The ``most`` largest distinct web addresses of pictures."""
+    both = F.array_sort(F.transform(F.arrays_zip(urls.alias("u"), sizes.alias("s")), lambda x: F.struct((-F.coalesce(x["s"], F.lit(0))).alias("s"), x["u"].alias("u"))))
+    web = F.filter(F.transform(both, lambda x: x["u"]), lambda u: F.coalesce(F.startswith(u, F.lit("http")), F.lit(False)))
+    return F.slice(F.array_distinct(web), 1, most)
+
+
+def every_index_once(indexes: Column, n: Column) -> Column:
+    """Whether an answer has each of the numbers 0 to n - 1 exactly once."""
+    return F.coalesce(F.array_sort(indexes) == F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), F.lit(False))

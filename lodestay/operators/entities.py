@@ -5,31 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestay.operators.graph import components
+from lodestay.storage import Scratch
+
 
 def shared_contact_clusters(rows: DataFrame, key: str, address: str, contact: str) -> DataFrame:
     """(key, cluster) of rows (key, address, contact), one line for each contact of a row.
 
     Rows of one address that share a contact, directly or through others, are one cluster, named by its smallest
-    key; a row whose contacts are all null stands alone. Labels pass from rows to contacts and back until none
-    changes, so no group is gathered in a task; each round is checkpointed, and the rounds are as many as the
-    longest chain of contacts in one address, which is short.
+    key; a row whose contacts are all null stands alone. Each row is linked to the smallest key of each of its
+    contacts, and the links' components are found in a number of steps that grows with the logarithm of the longest
+    chain; no group is gathered in a task.
     """
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestay-checkpoints")
     alone = rows.select(F.col(key).alias("k")).distinct()
     ties = rows.where(F.col(contact).isNotNull() & F.col(address).isNotNull())
-    ties = ties.select(F.col(key).alias("k"), F.col(address).alias("a"), F.col(contact).alias("c")).distinct().checkpoint()
-    labels = ties.groupBy("k").agg(F.min("k").alias("label"))
-    while True:
-        groups = ties.join(labels, "k").groupBy("a", "c").agg(F.min("label").alias("least"))
-        least = ties.join(groups, ["a", "c"]).groupBy("k").agg(F.min("least").alias("least"))
-        moved = labels.join(least, "k").select("k", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")).checkpoint()
-        labels = moved.select("k", "label")
-        if moved.where("moved").isEmpty():
-            break
-    found = alone.join(labels, "k", "left")
-    return found.select(F.col("k").alias(key), F.coalesce("label", "k").alias("cluster"))
+    ties = ties.select(F.col(key).alias("k"), F.col(address).alias("a"), F.col(contact).alias("c")).distinct()
+    least = ties.groupBy("a", "c").agg(F.min("k").alias("first"))
+    with Scratch(rows.sparkSession) as scratch:
+        edges = scratch.write(ties.join(least, ["a", "c"]).select("k", "first").where("k <> first").distinct(), "ties")
+        found = alone.join(components(edges, "k", "first", scratch).withColumnRenamed("id", "k"), "k", "left")
+        return scratch.keep(found.select(F.col("k").alias(key), F.coalesce("component", "k").alias("cluster")), "clusters")
 
 
 def prune_orphans(rows: DataFrame, group: str, reachable: Column, order: list[Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestay.operators import reports
 from lodestay.plans.registry import load, query
 
 
@@ -110,15 +111,12 @@ def before_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "anchor_gap",
-    """WITH r AS (SELECT l_suppkey, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1), w AS (SELECT l_suppkey, unnest(generate_series(a, least(b, a + 100), 2)) AS n FROM r)
-       SELECT l_suppkey, n FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = w.l_suppkey AND l.l_partkey = w.n)""",
+    """WITH r AS (SELECT l_suppkey, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY 1), w AS (SELECT l_suppkey, unnest(generate_series(a, b, 2)) AS n FROM r)
+       SELECT l_suppkey, count(*) AS missing FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = w.l_suppkey AND l.l_partkey = w.n) GROUP BY 1""",
 )
 def anchor_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of one parity that are missing inside the known range of a street."""
-    have = load(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select("l_suppkey", F.col("l_partkey").alias("n"))
-    ends = have.groupBy("l_suppkey").agg(F.min("n").alias("a"), F.max("n").alias("b"))
-    wanted = ends.select("l_suppkey", F.explode(F.sequence("a", F.least(F.col("b"), F.col("a") + 100), F.lit(2).cast("long"))).alias("n"))
-    return wanted.join(have, ["l_suppkey", "n"], "left_anti")
+    """How many numbers of its first one's parity each street lacks in its whole range; ``anchor_gap_ranges`` says which."""
+    return gap_ranges(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey").groupBy("l_suppkey").agg(F.sum("missing").alias("missing"))
 
 
 @query(
@@ -152,9 +150,8 @@ def gap_ranges(rows: DataFrame, street: str, number: str) -> DataFrame:
 def median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median is the element n // 2 of the sorted gaps."""
     before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    gaps = load(spark, sf_dir, "orders").select("o_custkey", F.date_diff("o_orderdate", before).cast("long").alias("d")).where("d is not null")
-    rows = gaps.groupBy("o_custkey").agg(F.sort_array(F.collect_list("d")).alias("v"))
-    return rows.select("o_custkey", F.size("v").cast("long").alias("n"), F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median_days"))
+    gaps = load(spark, sf_dir, "orders").select("o_custkey", F.date_diff("o_orderdate", before).cast("long").alias("d"))
+    return reports.ranked_values(gaps, ["o_custkey"], "d", {"median_days": F.floor(F.col("n") / 2)})
 
 
 @query(

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
-from lodestay.operators import scoring
+from lodestay.operators import amenities, houses, scoring
 from lodestay.plans.registry import load, query
 
 #: A synthetic zone: a rectangle of latitudes and longitudes.
 ZONE = [(32.00, 34.70), (32.00, 34.80), (32.10, 34.80), (32.10, 34.70)]
 GATES = [(32.02, 34.72), (32.08, 34.78), (32.05, 34.75), (32.15, 34.85)]
+_GATES = [(f"g{i}", a, b) for i, (a, b) in enumerate(GATES)]
 
 
 def _points(df: DataFrame, key: str) -> DataFrame:
@@ -83,13 +84,191 @@ def radius_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("s_suppkey", "c_custkey", "rank", F.round("m").cast("long").alias("metres"))
 
 
-@query("classify_listings")
+_WALK = f"least({', '.join(_hav(str(a), str(b)) for a, b in GATES)}) * 1.25 / 80.0"
+
+
+@query(
+    "classify_listings",
+    f"""WITH p AS ({_POINTS.format(key="p_partkey", table="part")}), m AS (SELECT p.p_partkey, p_name AS address, p_retailprice AS price, p_size % 5 AS rooms, p_size % 7 AS mates, p_size % 2 = 0 AS furnished,
+        p_size % 3 = 0 AS balcony, lat >= 32.0 AND lat < 32.1 AND lon >= 34.7 AND lon < 34.8 AS inside, {_WALK} AS walk FROM p JOIN part ON p.p_partkey = part.p_partkey),
+        t AS (SELECT *, CASE WHEN inside THEN 'GREEN' WHEN walk <= 20 THEN 'AMBER' ELSE 'RED' END AS tier FROM m),
+        s AS (SELECT *, CASE tier WHEN 'GREEN' THEN 25 WHEN 'AMBER' THEN 10 ELSE 0 END + CASE WHEN walk <= 10 THEN 25 WHEN walk <= 14 THEN 20 WHEN walk <= 18 THEN 13 WHEN walk <= 20 THEN 7 ELSE 0 END
+          + CASE WHEN price <= 1200 THEN 25 WHEN price <= 1500 THEN 22 WHEN price <= 1600 THEN 20 WHEN price <= 1700 THEN 18 WHEN price <= 2000 THEN 15 ELSE 0 END
+          + CASE WHEN rooms <> 0 AND mates <> 0 THEN round_even(15 * least(1.0, rooms / mates), 0) WHEN rooms >= 3 THEN 10 WHEN rooms <> 0 THEN 6 ELSE 0 END
+          + CASE WHEN mates <= 2 THEN 15 WHEN mates = 3 THEN 10 WHEN mates = 4 THEN 5 ELSE 0 END + CASE WHEN furnished THEN 10 ELSE 0 END + CASE WHEN balcony THEN 18 ELSE 0 END AS total FROM t),
+        r AS (SELECT *, greatest(0, least(100, round_even(100 * total / 125, 0)))::INT AS score FROM s)
+        SELECT p_partkey, tier, score, CASE WHEN score >= 90 THEN 5 WHEN score >= 75 THEN 4 WHEN score >= 60 THEN 3 WHEN score >= 45 THEN 2 ELSE 1 END::INT AS stars,
+          CASE WHEN price > 2000 OR rooms < 2 OR mates > 4 OR tier = 'RED' THEN 'DROP' ELSE 'MATCH' END AS status,
+          CASE WHEN price > 2000 THEN 'price ' || floor(price)::BIGINT || ' > 2000' WHEN rooms < 2 THEN 'only ' || rooms || ' rooms free' WHEN mates > 4 THEN mates || ' flatmates > 4'
+          WHEN tier = 'RED' THEN 'more than 20 min walk from a gate' WHEN tier = 'GREEN' THEN 'in the zone' ELSE 'near the zone' END AS reason FROM r""",
+)
 def classify_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict cascade and score over listings made of the part table."""
     ring = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ZONE))
     part = load(spark, sf_dir, "part")
     points = _points(part, "p_partkey").join(part.select("p_partkey", "p_name", "p_size", "p_retailprice"), "p_partkey")
-    walk = geo.walk_minutes(F.least(*(geo.haversine(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b)) for a, b in GATES)))
-    rows = points.select("p_partkey", F.col("p_name").alias("address"), F.col("p_retailprice").alias("price"), (F.col("p_size") % 5).alias("rooms"), (F.col("p_size") % 7).alias("mates"), (F.col("p_size") % 2 == 0).alias("furnished"), (F.col("p_size") % 3 == 0).alias("balcony"), F.lit(True).alias("is_ad"), geo.in_ring(F.col("lat"), F.col("lon"), ring).alias("inside"), walk.alias("walk_minutes"))
-    rows = rows.withColumn("tier", geo.tier(F.col("inside"), F.col("walk_minutes")))
-    return scoring.verdict(scoring.with_score(rows)).select("p_partkey", "tier", "score", scoring.stars(F.col("score")).alias("stars"), "status", "reason")
+    rows = points.select(
+        "p_partkey", F.col("p_name").alias("address"), F.col("p_retailprice").alias("price"), (F.col("p_size") % 5).alias("rooms"), (F.col("p_size") % 7).alias("mates"),
+        (F.col("p_size") % 2 == 0).alias("furnished"), (F.col("p_size") % 3 == 0).alias("balcony"), F.lit(True).alias("is_ad"), F.lit("osm_addr").alias("geo_source"),
+        geo.in_ring(F.col("lat"), F.col("lon"), ring).alias("inside"), geo.walk_or_estimate(F.lit(None).cast("double"), F.col("lat"), F.col("lon"), _GATES).alias("walk_minutes"),
+    )
+    rows = scoring.verdict(scoring.with_score(scoring.with_tier(rows)))
+    return rows.select("p_partkey", "tier", "score", scoring.stars(F.col("score")).alias("stars"), "status", "reason")
+
+
+@query(
+    "effective_tiers",
+    f"""WITH p AS ({_POINTS.format(key="p_partkey", table="part")}), m AS (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE lat >= 32.0 AND lat < 32.1 AND lon >= 34.7 AND lon < 34.8 END AS inside,
+        CASE WHEN p_partkey % 5 = 0 THEN 12.0 ELSE {_WALK} END AS walk FROM p),
+        t AS (SELECT *, CASE WHEN inside IS NULL THEN 'UNKNOWN' WHEN inside THEN 'GREEN' WHEN walk <= 20 THEN 'AMBER' ELSE 'RED' END AS tier FROM m)
+        SELECT p_partkey, tier AS base, CASE WHEN tier IN ('GREEN', 'AMBER') AND ((tier = 'AMBER' AND lat < 32.05) OR lon >= 34.85) THEN 'RED' ELSE tier END AS tier FROM t""",
+)
+def effective_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers with known and estimated walks, points missing, and both masks."""
+    c = F.col
+    ring = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ZONE))
+    known = F.when(c("p_partkey") % 5 == 0, 12.0)
+    rows = _points(load(spark, sf_dir, "part"), "p_partkey").withColumn("inside", F.when(c("p_partkey") % 9 != 0, geo.in_ring(c("lat"), c("lon"), ring)))
+    rows = rows.withColumn("base", geo.tier(c("inside"), geo.walk_or_estimate(known, c("lat"), c("lon"), _GATES)))
+    return rows.select("p_partkey", "base", geo.effective_tier(c("base"), c("lat") < 32.05, c("lon") < 34.85).alias("tier"))
+
+
+_SLOTS = f"""s AS ({_POINTS.format(key="s_suppkey", table="supplier")}), c AS (SELECT c_custkey, lat AS clat, lon AS clon, c_custkey % 3 AS target, c_custkey % 2 AS direction, CASE WHEN c_custkey % 7 <> 0 THEN (5 + c_custkey % 20)::INT END AS headway,
+        CASE c_custkey % 3 WHEN 0 THEN 800 WHEN 1 THEN 1500 ELSE 400 END AS reach FROM ({_POINTS.format(key="c_custkey", table="customer")})),
+        d AS (SELECT s_suppkey AS key, c.*, {_hav("clat", "clon")} AS m FROM s, c), w AS (SELECT *, m * 1.25 / 80 AS minutes FROM d WHERE m <= reach)"""
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    amenities_ = _points(load(spark, sf_dir, "customer"), "c_custkey").select(
+        (k % 3).alias("target"), F.concat(F.lit("a"), F.lpad(k.cast("string"), 8, "0")).alias("name"), (k % 2).alias("direction"), F.when(k % 7 != 0, (5 + k % 20).cast("int")).alias("headway"),
+        F.element_at(F.array(F.lit(800.0), F.lit(1500.0), F.lit(400.0)), (k % 3 + 1).cast("int")).alias("reach"), "lat", "lon",
+    )
+    homes = _points(load(spark, sf_dir, "supplier"), "s_suppkey").withColumnRenamed("s_suppkey", "key")
+    return amenities.within_reach(homes, amenities_, 1500.0)
+
+
+@query("amenities_in_reach", f"WITH {_SLOTS} SELECT key, target, 'a' || lpad(c_custkey::VARCHAR, 8, '0') AS name, round(m)::BIGINT AS metres FROM w")
+def amenities_in_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amenities within the reach of their own target."""
+    return _slots(spark, sf_dir).select("key", "target", "name", F.round("metres").cast("long").alias("metres"))
+
+
+@query(
+    "amenity_slots",
+    f"""WITH {_SLOTS}, n AS (SELECT *, min(minutes) OVER (PARTITION BY key, target, direction) AS near FROM w),
+        r AS (SELECT *, row_number() OVER (PARTITION BY key, target, direction ORDER BY headway NULLS LAST, minutes, c_custkey) AS i FROM n WHERE minutes <= near + 2)
+        SELECT key, target, direction, 'a' || lpad(c_custkey::VARCHAR, 8, '0') AS name, headway FROM r WHERE i = 1""",
+)
+def amenity_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amenity that wins each slot of a home."""
+    return amenities.slot_winners(_slots(spark, sf_dir)).select("key", "target", "direction", "name", "headway")
+
+
+@query("walk_rings", "SELECT i::INT AS gate, m::INT AS minutes, m * 80.0 / 1.25 AS metres FROM range(4) t(i), (VALUES (5), (10), (15), (20)) v(m)")
+def walk_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return amenities.rings(spark.createDataFrame([(i,) for i in range(len(GATES))], "gate int"))
+
+
+@query(
+    "tier_runs",
+    f"""WITH c AS (SELECT i // 60 AS r, i % 60 AS k, 31.95 + (i // 60 + 0.5) * (0.3 / 40) AS lat, 34.6 + (i % 60 + 0.5) * (0.4 / 60) AS lon FROM range(2400) t(i)),
+        t AS (SELECT r, k, CASE WHEN lat >= 32.0 AND lat < 32.1 AND lon >= 34.7 AND lon < 34.8 THEN 'GREEN' WHEN {_WALK} <= 20 THEN 'AMBER' ELSE 'RED' END AS tier FROM c),
+        g AS (SELECT *, k - row_number() OVER (PARTITION BY r, tier ORDER BY k) AS i FROM t)
+        SELECT r AS row, tier, min(k) AS first, max(k) AS last FROM g GROUP BY r, tier, i""",
+)
+def tier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of tiers, merged into runs of cells."""
+    ring = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ZONE))
+    cells = amenities.raster(spark, 31.95, 34.6, 32.25, 35.0, 40, 60)
+    walk = geo.walk_or_estimate(F.lit(None).cast("double"), F.col("lat"), F.col("lon"), _GATES)
+    return amenities.merged_cells(cells.withColumn("tier", geo.tier(geo.in_ring(F.col("lat"), F.col("lon"), ring), walk)), "tier")
+
+
+@query(
+    "edge_distances",
+    f"""WITH p AS ({_POINTS.format(key="s_suppkey", table="supplier")}), x AS (SELECT *, radians(lon) * 6371000.0 * cos(radians(32.05)) AS x, radians(lat) * 6371000.0 AS y FROM p),
+        e AS (SELECT radians(34.7) * 6371000.0 * cos(radians(32.05)) AS w, radians(34.8) * 6371000.0 * cos(radians(32.05)) AS e, radians(32.0) * 6371000.0 AS s, radians(32.1) * 6371000.0 AS n)
+        SELECT s_suppkey, round(CASE WHEN x BETWEEN w AND e AND y BETWEEN s AND n THEN least(x - w, e - x, y - s, n - y) ELSE sqrt(pow(greatest(w - x, 0, x - e), 2) + pow(greatest(s - y, 0, y - n), 2)) END)::BIGINT AS metres FROM x, e""",
+)
+def edge_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metres to the edge of the zone, inside and outside."""
+    ring = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ZONE))
+    rows = _points(load(spark, sf_dir, "supplier"), "s_suppkey")
+    return rows.select("s_suppkey", F.round(geo.edge_metres(F.col("lat"), F.col("lon"), ring, 32.05)).cast("long").alias("metres"))
+
+
+# A made city: ten straight streets, each with anchors of some house numbers.
+_STREETS = """a AS (SELECT DISTINCT 's' || (s_suppkey % 10) AS street, (s_suppkey // 10 * 3 + 1)::INT AS number FROM supplier WHERE s_suppkey % 10 <> 3),
+       n AS (SELECT DISTINCT 's' || (c_custkey % 10) AS street, (c_custkey % 61)::INT AS number FROM customer)"""
+STEP = 0.0001
+
+
+def _street(k):
+    return F.concat(F.lit("s"), (k % 10).cast("string"))
+
+
+def made_city(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(anchors, vertices, wanted): a street runs north, a number is STEP degrees; even numbers lie east of it."""
+    s = F.col("s_suppkey")
+    number = (F.floor(s / 10) * 3 + 1).cast("int")
+    anchors = load(spark, sf_dir, "supplier").where(s % 10 != 3).select(_street(s).alias("street"), number.alias("number"), (32.0 + number * STEP).alias("lat"), F.when(number % 2 == 0, 34.0003).otherwise(34.0).alias("lon")).distinct()
+    vertices = spark.range(100).select(_street(F.col("id")).alias("street"), (31.99 + F.floor(F.col("id") / 10) * 0.01).alias("lat"), F.lit(34.0001).alias("lon"))
+    wanted = load(spark, sf_dir, "customer").select(_street(F.col("c_custkey")).alias("street"), (F.col("c_custkey") % 61).cast("int").alias("number"))
+    return anchors, vertices, wanted
+
+
+@query(
+    "house_points",
+    f"""WITH {_STREETS}, f AS (SELECT n.street, n.number, max(a.number = n.number) AS hit, min(a.number) FILTER (WHERE a.number % 2 = n.number % 2) AS slow, max(a.number) FILTER (WHERE a.number % 2 = n.number % 2) AS shigh,
+       min(a.number) AS low, max(a.number) AS high, count(*) FILTER (WHERE a.number % 2 = n.number % 2) AS same, count(*) AS every,
+       min(abs(a.number - n.number)) FILTER (WHERE a.number % 2 = n.number % 2) AS far FROM n JOIN a ON a.street = n.street GROUP BY 1, 2)
+       SELECT street, number, CASE WHEN hit THEN 'osm_addr' WHEN (slow > number OR shigh < number) AND far <= 2 THEN 'anchor_neighbour' WHEN every >= 2 AND low <= number AND high >= number THEN 'interpolated'
+       WHEN every >= 2 AND greatest(low - number, number - high) * {STEP} * 111320 <= 150 THEN 'extrapolated' WHEN every = 1 AND abs(low - number) * {STEP} * 111320 <= 150 THEN 'projected' END AS how
+       FROM f WHERE how IS NOT NULL""",
+)
+def house_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """House numbers placed between and beside the anchors of their street."""
+    return houses.place(made_city(spark, sf_dir)[2], *made_city(spark, sf_dir)[:2], typical=STEP * 111_320).select("street", "number", "how")
+
+
+@query(
+    "house_errors",
+    f"""WITH {_STREETS}, f AS (SELECT n.street, n.number, max(a.number = n.number) AS hit, min(a.number) AS low, max(a.number) AS high, min(a.number) FILTER (WHERE a.number % 2 = n.number % 2) AS slow,
+       max(a.number) FILTER (WHERE a.number % 2 = n.number % 2) AS shigh, min(abs(a.number - n.number)) FILTER (WHERE a.number % 2 = n.number % 2) AS far, count(*) AS every FROM n JOIN a ON a.street = n.street GROUP BY 1, 2)
+       SELECT street, number FROM f WHERE every >= 2 AND low <= number AND high >= number AND NOT hit AND NOT ((slow > number OR shigh < number) AND far <= 2)""",
+)
+def house_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interpolated numbers that lie within a metre of the line on which they were made to lie."""
+    anchors, vertices, wanted = made_city(spark, sf_dir)
+    placed = houses.place(wanted, anchors, vertices, typical=STEP * 111_320).where("how = 'interpolated'")
+    return placed.where(F.abs(F.col("lat") - 32.0 - F.col("number") * STEP) * 111_320 <= 1).select("street", "number")
+
+
+@query("outward_numbers", f"""WITH {_STREETS}, e AS (SELECT street, min(number) AS low, max(number) AS high FROM a GROUP BY 1)
+       SELECT street, 'up' AS way, 10::INT AS numbers, high + 2 AS first FROM e UNION ALL SELECT street, 'down', least(10, (low - 1) // 2)::INT, low - 2 FROM e WHERE low > 2""")
+def outward_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = houses.outward(made_city(spark, sf_dir)[0])
+    return found.select("street", "way", F.size("numbers").alias("numbers"), F.col("numbers")[0].alias("first"))
+
+
+@query("thin_streets", f"WITH {_STREETS} SELECT DISTINCT n.street FROM n WHERE n.street NOT IN (SELECT street FROM a GROUP BY 1 HAVING count(*) >= 2)")
+def thin_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors, _, wanted = made_city(spark, sf_dir)
+    return houses.thin_streets(wanted, anchors)
+
+
+@query("gap_order", """WITH a AS (SELECT DISTINCT 's' || (s_suppkey % 10) AS street, (s_suppkey // 10 * 3 + 1)::INT AS number FROM supplier), e AS (SELECT street, min(number) AS low, max(number) AS high FROM a GROUP BY 1),
+       m AS (SELECT street, unnest(range(low, high + 1, 2))::INT AS number FROM e), g AS (SELECT m.* FROM m ANTI JOIN a ON m.street = a.street AND m.number = a.number),
+       s AS (SELECT street, count(*) AS lacks FROM g GROUP BY 1 ORDER BY lacks DESC, street DESC LIMIT 3), t AS (SELECT g.*, lacks, row_number() OVER (PARTITION BY g.street ORDER BY number) AS turn FROM g JOIN s USING (street))
+       SELECT street, number FROM t ORDER BY turn, lacks DESC, street DESC LIMIT 30""")
+def gap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The missing numbers to ask for first, street by street in turns."""
+    from lodestay.plans.operations import gap_ranges
+
+    s = F.col("s_suppkey")
+    anchors = load(spark, sf_dir, "supplier").select(_street(s).alias("street"), (F.floor(s / 10) * 3 + 1).cast("int").alias("number")).distinct()
+    ends = anchors.groupBy("street").agg(F.min("number").alias("low"))
+    gaps = gap_ranges(anchors, "street", "number").join(ends, "street").where(F.col("first_n") % 2 == F.col("low") % 2)
+    gaps = gaps.select("street", F.explode(F.sequence("first_n", "last_n", F.lit(2).cast("int"))).alias("number"))
+    return houses.round_robin(gaps, 30)

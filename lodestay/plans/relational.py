@@ -125,7 +125,7 @@ def detection_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
        ORDER BY p_retailprice DESC, p_partkey LIMIT 10""",
 )
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = search.parse("<1500 3rooms a")
+    wanted = search.Request(max_price=1500, rooms=3, terms=["a"])
     found = load(spark, sf_dir, "part").where(search.predicate(wanted, "p_retailprice", "p_size", "p_brand", "p_retailprice", ["p_name", "p_type"]))
     return found.orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey", "p_name", "p_retailprice")
 

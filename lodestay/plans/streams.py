@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestay.plans.registry import load, query
+from lodestay.storage import kept_path
 from lodestay.streaming import feeds
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder where driver and executors both see it; a local one only if the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lodestay-streams")
-    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _drained(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    folder = _folder(spark, "stream")
+    folder = kept_path(spark, "stream")
     return feeds.drain(result, f"{folder}/rows", f"{folder}/state", mode)
 
 

@@ -35,7 +35,12 @@ def merge_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("sig", (-F.col("b.m")).alias("doc_id"))
 
 
-@query("token_jaccard")
+@query(
+    "token_jaccard",
+    """WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}'))) AS x FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, x, len(x) AS n, array_to_string(x, ' ') AS h FROM t WHERE len(x) >= 8),
+       c AS (SELECT h, min(doc_id) AS a, any_value(x) AS x, any_value(n) AS n FROM k GROUP BY h), p AS (SELECT c.a AS a, d.a AS b, len(list_intersect(c.x, d.x)) AS s, c.n + d.n AS total FROM c JOIN c d ON c.a < d.a AND least(c.n, d.n) >= 0.72 * greatest(c.n, d.n))
+       SELECT a, b, s / (total - s) AS similarity, 'pair' AS kind FROM p WHERE s / (total - s) >= 0.72 UNION ALL SELECT c.a, k.doc_id, 1.0, 'member' FROM k JOIN c USING (h) WHERE k.doc_id <> c.a""",
+)
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents alike at 0.72 or more, eight tokens at least; the inverted index does without a pair join."""
     return alike(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text_functions.tokens(F.col("text")).alias("tokens")))

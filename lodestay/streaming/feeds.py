@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestay.operators.upserts import earlier_time
-
 #: How late a row may come; state older than this is dropped.
 DELAY = "2 hours"
 
@@ -50,13 +48,16 @@ def dangling(starts: DataFrame, ends: DataFrame, key: str, delay: str = DELAY, p
 def merge_earliest(posts: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The archive ``posts`` (key, posted_at, first_seen) after a micro-batch of the same columns.
 
-    The first sighting of a key stays; its publication time only moves back, and one after the first sighting is
-    refused. A batch may hold a key many times, and the same batch may come again: the result is the same.
+    The first sighting of a key stays; its publication time only moves back. One of the batch that is after the first
+    sighting is refused, and what the archive has is kept. A batch may hold a key many times, and the same batch may
+    come again: the result is the same.
     """
-    rows = posts.select(key, "posted_at", "first_seen").unionByName(batch.select(key, "posted_at", "first_seen"))
+    old = posts.select(key, "posted_at", "first_seen", F.lit(True).alias("archived"))
+    rows = old.unionByName(batch.select(key, "posted_at", "first_seen", F.lit(False).alias("archived")))
     seen = rows.groupBy(key).agg(F.min("first_seen").alias("first_seen"))
-    kept = rows.select(key, "posted_at").join(seen, key).groupBy(key, "first_seen")
-    return kept.agg(F.min(earlier_time(F.lit(None).cast("timestamp"), F.col("posted_at"), F.col("first_seen"))).alias("posted_at")).select(key, "posted_at", "first_seen")
+    kept = rows.select(key, "posted_at", "archived").join(seen, key).groupBy(key, "first_seen")
+    fits = F.when(F.col("archived") | (F.col("posted_at") <= F.col("first_seen")), F.col("posted_at"))
+    return kept.agg(F.min(fits).alias("posted_at")).select(key, "posted_at", "first_seen")
 
 
 def drain(result: DataFrame, path: str, state: str, mode: str) -> DataFrame:

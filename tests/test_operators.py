@@ -35,15 +35,16 @@ def test_ring_tier_and_null_point(spark):
     points = spark.createDataFrame([(0.5, 0.5), (1.8, 1.0), (3.0, 1.0), (None, 1.0)], "lat double, lon double")
     got = [r[0] for r in points.select(geo.in_ring(F.col("lat"), F.col("lon"), ring)).collect()]
     assert got == [True, False, False, None]
-    tiers = spark.sql("select cast(null as boolean) i, cast(null as double) m union all select false, 19.0 union all select false, 21.0")
-    assert [r[0] for r in tiers.select(geo.tier(F.col("i"), F.col("m"))).collect()] == ["UNKNOWN", "AMBER", "RED"]
+    tiers = spark.sql("select cast(null as boolean) i, cast(null as double) m union all select false, 19.0 union all select false, 21.0 union all select null, 19.0 union all select false, null")
+    assert [r[0] for r in tiers.select(geo.tier(F.col("i"), F.col("m"))).collect()] == ["UNKNOWN", "AMBER", "RED", "UNKNOWN", "RED"]
 
 
 def test_verdict_order_and_null_passes(spark):
     schema = "is_ad boolean, price int, rooms int, mates int, tier string, address string"
     rows = [(False, 1, 2, 1, "GREEN", "x"), (True, 2001, 1, 1, "GREEN", "x"), (True, None, 2, 1, "RED", "x"), (True, None, None, 1, "GREEN", "x"), (True, 900, 2, None, "AMBER", "x")]
-    got = [(r.status, r.reason) for r in scoring.verdict(spark.createDataFrame(rows, schema)).collect()]
-    assert [g[0] for g in got] == ["NOT_AD", "DROP", "DROP", "NEEDS_DATA", "MATCH"] and got[1][1] == "too expensive"
+    listings = spark.createDataFrame(rows, schema).withColumn("geo_source", F.lit("manual"))
+    got = [(r.status, r.reason) for r in scoring.verdict(listings).collect()]
+    assert [g[0] for g in got] == ["NOT_AD", "DROP", "DROP", "NEEDS_DATA", "MATCH"] and got[1][1] == "price 2001 > 2000"
 
 
 def test_signature_ignores_marks_and_spacing(spark):
@@ -52,8 +53,11 @@ def test_signature_ignores_marks_and_spacing(spark):
 
 
 def test_search_parse():
-    found = search.parse("<1500 3rooms amber score>60 lift")
-    assert (found.max_price, found.rooms, found.tier, found.min_score, found.terms) == (1500.0, 3, "AMBER", 60, ["lift"])
+    found = search.parse("2 rooms under 1500 green october 4 stars רגר")
+    assert (found.max_price, found.rooms, found.tier, found.min_score, found.month, found.terms) == (1500, 2, "GREEN", 70, 10, ["רגר"])
+    found = search.parse("עד 1800 צהוב 15.9 ניקוד מעל 80")
+    assert (found.max_price, found.tier, found.month, found.min_score, found.terms) == (1800, "AMBER", 9, 80, [])
+    assert search.parse("") == search.Request()
 
 
 def test_alike_gives_every_pair_of_copies_and_near_copies(spark):

@@ -231,7 +231,7 @@ def test_tier_rules(spark):
 
 def test_html_sections_and_small_texts(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(text.html_text(F.lit("<p>a&#1502;b &amp; c</p><style>x</style><br>d&#x41;"))) == "aמb & c\ndA"
+    assert one(text.html_text(F.lit("<p>a&#1502;b &amp; c</p><style>x</style><br>d&#x41;"))) == "aמb & c\n\ndA"
     body = "intro\n" + "\n".join(f"FLAT {i} " + "word " * 10 for i in range(3))
     assert len(one(text.sections(F.lit(body), "^FLAT", None, 20))) == 3
     assert len(one(text.sections(F.lit("a" * 50 + "\n\n" + "b" * 50 + "\n\nshort"), "^FLAT"))) == 2

@@ -18,18 +18,21 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: distinct 4-word shingles and the smallest doc_id that links of similarity 0.85 or more lead to."""
     from lodestay.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score and prediction of the factorisation machine."""
     from lodestay.llm.quality import classify_quality
 
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: what the archive, written and read back, says of its record. Null pages are empty payloads."""
     from lodestay.llm.warc import read_archive, write_archive
 
     path = kept_path(spark, "archive")
@@ -38,18 +41,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: counts and digest of base spans, all spans, and the novelty of each."""
     from lodestay.llm.secrets import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query vector: its ten nearest vectors by Euclidean distance."""
     from lodestay.llm.binary_codes import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: where it lies in the packed sequences."""
     from lodestay.llm.packing import pack
 
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -57,6 +63,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, predicted language and its probability."""
     from lodestay.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
@@ -72,6 +79,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: where its ids lie in the token files, how many there are, and their crc32, read from the files."""
     from lodestay.llm.wavelet import read_documents, write_tokens
 
     path = kept_path(spark, "tokens")
@@ -80,6 +88,7 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query vector: its five highest integer inner products."""
     from lodestay.llm.inner_products import top_products
 
     return top_products(table(spark, sf_dir, "embeddings"))

@@ -185,7 +185,21 @@ def post_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_posts(spark, sf_dir).select(_KEYS, "tier", "score", scoring.stars(F.col("score")).alias("stars"), "status", "reason")
 
 
-@query("post_traces")
+_STEPS = ["keywords", "not seen", "advertisement", "address", "rooms", "located", "tier", "verdict", "alert"]
+#: Steps passed (1) or not (0), in order, and the factors that weigh most.
+TRACES = [
+    ("111111111", "zone +25, walk +25, price +25, comment price -3, derived price -3"), ("111111110", "walk +25, price +25, rooms +15, floor -6, comment price -3"),
+    ("111101100", "price +22, walk +20, zone +10, derived price -3"), ("111010000", "rooms +15, mates +15, walk +13"), ("011000000", "price +25, walk +13, mates +5, comment price -3"),
+    ("111111100", "zone +25, price +25, mates +10, women -15"), ("010001000", "price +10, mates +5, no price -6"), ("111111000", "price +22, rooms +10, mates +10"),
+    ("111110000", "price +18, rooms +15, walk +13, comment price -3"), ("111111110", "zone +25, price +25, balcony +18, fresh -12, broker -12"),
+]
+
+
+def _steps(passed: str) -> str:
+    return " ".join(f"{name}={'true' if ok == '1' else 'false'}" for name, ok in zip(_STEPS, passed, strict=True))
+
+
+@query("post_traces", answers("steps VARCHAR, factors VARCHAR", [(_steps(passed), why) for passed, why in TRACES]))
 def post_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gate of every post, and the factors that weigh most."""
     rows = scoring.trace(judged_posts(spark, sf_dir))

@@ -62,15 +62,6 @@ def typical_gap(anchors: DataFrame, axis: DataFrame) -> float:
     return TYPICAL if found is None else float(found)
 
 
-def _bracket(known: Column, n: Column) -> tuple[Column, Column, Column]:
-    """The anchors to use for a number, and those at or below it and at or above it: of its parity if these bracket it."""
-    same = F.filter(known, lambda a: F.pmod(a["number"], F.lit(2)) == F.pmod(n, F.lit(2)))
-    inside = (F.size(same) >= 2) & (same[0]["number"] <= n) & (F.element_at(same, -1)["number"] >= n)
-    used = F.when(inside, same).otherwise(known)
-    low, high = F.filter(used, lambda a: a["number"] <= n), F.filter(used, lambda a: a["number"] >= n)
-    return used, F.try_element_at(low, F.lit(-1)), F.get(high, F.lit(0))
-
-
 def _on_axis(points: Column, target: Column) -> Column:
     """The cross coordinate of a street at a place on its axis: between the two points beside it, or at its end."""
     low = F.try_element_at(F.filter(points, lambda p: p["at"] <= target), F.lit(-1))
@@ -94,38 +85,49 @@ def place(wanted: DataFrame, anchors: DataFrame, vertices: DataFrame, typical: f
     turned = semi(vertices).join(axis, "street").withColumn("p", F.when(F.col("along") == "lat", F.struct(F.col("lat").alias("at"), F.col("lon").alias("cross"))).otherwise(F.struct(F.col("lon").alias("at"), F.col("lat").alias("cross"))))
     line = turned.groupBy("street", "along", "low", "high").agg(F.array_sort(F.collect_set("p")).alias("points"))
     rows = asked.join(known, "street").join(line, "street", "left")
-    n, up = F.col("number"), F.col("along") == "lat"
-    at = lambda a: F.when(up, a["lat"]).otherwise(a["lon"])
-    cross = lambda a: F.when(up, a["lon"]).otherwise(a["lat"])
+    n, up, step = F.col("number"), F.col("along") == "lat", typical / METRES
+    turn = lambda a: F.struct(a["number"].alias("number"), F.when(up, a["lat"]).otherwise(a["lon"]).alias("at"), F.when(up, a["lon"]).otherwise(a["lat"]).alias("cross"), a["lat"].alias("lat"), a["lon"].alias("lon"))
     point = lambda along, over, how: F.struct(F.when(up, along).otherwise(over).alias("lat"), F.when(up, over).otherwise(along).alias("lon"), F.lit(how).alias("how"))
 
-    hit = F.get(F.filter("known", lambda a: a["number"] == n), F.lit(0))
-    exact = F.when(hit.isNotNull(), F.struct(hit["lat"].alias("lat"), hit["lon"].alias("lon"), F.lit("osm_addr").alias("how")))
-    same = F.filter("known", lambda a: F.pmod(a["number"], F.lit(2)) == F.pmod(n, F.lit(2)))
-    outside = (same[0]["number"] > n) | (F.element_at(same, -1)["number"] < n)
-    beside = F.array_min(F.transform(same, lambda a: F.struct(F.abs(a["number"] - n).alias("far"), a["number"].alias("number"), a["lat"].alias("lat"), a["lon"].alias("lon"))))
-    neighbour = F.when((F.size(same) > 0) & outside & (beside["far"] <= MOST_NUMBERS), F.struct(beside["lat"].alias("lat"), beside["lon"].alias("lon"), F.lit("anchor_neighbour").alias("how")))
-
-    used, low, high = _bracket(F.col("known"), n)
-    share = F.coalesce((n - low["number"]) / F.nullif(high["number"] - low["number"], F.lit(0)), F.lit(0.0))
-    target = at(low) + share * (at(high) - at(low))
-    off = lambda a: (at(a) - F.least(F.greatest(at(a), F.col("low")), F.col("high")), cross(a) - _on_axis(F.col("points"), at(a)))
-    (a0, c0), (a1, c1) = off(low), off(high)
-    held = F.least(F.greatest(target, F.col("low")), F.col("high"))
-    between = F.when((F.size(used) >= 2) & low.isNotNull() & high.isNotNull() & F.col("points").isNotNull(), point(held + a0 + share * (a1 - a0), _on_axis(F.col("points"), target) + c0 + share * (c1 - c0), "interpolated"))
-
-    first, last = F.col("known")[0], F.element_at("known", -1)
-    step = typical / METRES
-    per = (at(last) - at(first)) / F.nullif(last["number"] - first["number"], F.lit(0))
-    per = F.when(F.abs(per).between(0.25 * step, 4 * step), per).when(per >= 0, step).otherwise(-step)
-    edge = F.when(n > last["number"], last).otherwise(first)
-    onward = at(edge) + (n - edge["number"]) * per
-    heading = F.when(at(first) - F.col("low") < F.col("high") - at(first), 1.0).otherwise(-1.0)
-    lone = at(first) + heading * (n - first["number"]) * step
-    reach = lambda place, start: (F.abs(place - start) * METRES <= MOST_BEYOND) & place.between(F.col("low"), F.col("high"))
-    beyond = F.when((F.size("known") >= 2) & (last["number"] > first["number"]) & reach(onward, at(edge)), point(onward, _on_axis(F.col("points"), onward), "extrapolated"))
-    from_one = F.when((F.size("known") == 1) & reach(lone, at(first)), point(lone, _on_axis(F.col("points"), lone), "projected"))
-    found = rows.select("street", "number", F.coalesce(exact, neighbour, between, beyond, from_one).alias("p")).where("p is not null")
+    # Each step is a column of its own: as one expression the plan would repeat the inner ones a thousand times.
+    rows = rows.withColumn("known", F.transform("known", turn))
+    rows = rows.withColumn("same", F.filter("known", lambda a: F.pmod(a["number"], F.lit(2)) == F.pmod(n, F.lit(2))))
+    lowest, highest = F.get("same", F.lit(0)), F.try_element_at("same", F.lit(-1))
+    rows = rows.withColumns({
+        "hit": F.get(F.filter("known", lambda a: a["number"] == n), F.lit(0)), "first": F.col("known")[0], "last": F.element_at("known", -1),
+        "inside": (F.size("same") >= 2) & (lowest["number"] <= n) & (highest["number"] >= n),
+        "outside": (F.size("same") > 0) & ((lowest["number"] > n) | (highest["number"] < n)),
+        "beside": F.array_min(F.transform("same", lambda a: F.struct(F.abs(a["number"] - n).alias("far"), a["number"].alias("number"), a["lat"].alias("lat"), a["lon"].alias("lon")))),
+    })
+    rows = rows.withColumn("used", F.when(F.col("inside"), F.col("same")).otherwise(F.col("known")))
+    rows = rows.withColumns({
+        "lo": F.try_element_at(F.filter("used", lambda a: a["number"] <= n), F.lit(-1)), "hi": F.get(F.filter("used", lambda a: a["number"] >= n), F.lit(0)),
+        "edge": F.when(n > F.col("last.number"), F.col("last")).otherwise(F.col("first")),
+        "slope": (F.col("last.at") - F.col("first.at")) / F.nullif(F.col("last.number") - F.col("first.number"), F.lit(0)),
+        "heading": F.when(F.col("first.at") - F.col("low") < F.col("high") - F.col("first.at"), 1.0).otherwise(-1.0),
+    })
+    believed = F.when(F.abs("slope").between(0.25 * step, 4 * step), F.col("slope")).when(F.col("slope") >= 0, step).otherwise(-step)
+    rows = rows.withColumns({
+        "share": F.coalesce((n - F.col("lo.number")) / F.nullif(F.col("hi.number") - F.col("lo.number"), F.lit(0)), F.lit(0.0)),
+        "lo_at": F.col("lo.at"), "hi_at": F.col("hi.at"),
+        "onward": F.col("edge.at") + (n - F.col("edge.number")) * believed, "lone": F.col("first.at") + F.col("heading") * (n - F.col("first.number")) * step,
+    }).withColumn("target", F.col("lo_at") + F.col("share") * (F.col("hi_at") - F.col("lo_at")))
+    rows = rows.withColumns({f"{at}_cross": _on_axis(F.col("points"), F.col(at)) for at in ("lo_at", "hi_at", "target", "onward", "lone")})
+
+    held = lambda at: F.least(F.greatest(F.col(at), F.col("low")), F.col("high"))
+    mixed = lambda a, b: a + F.col("share") * (b - a)
+    reach = lambda place, start: (F.abs(F.col(place) - F.col(start)) * METRES <= MOST_BEYOND) & F.col(place).between(F.col("low"), F.col("high"))
+    beside = F.col("beside")
+    exact = F.when(F.col("hit").isNotNull(), F.struct(F.col("hit.lat").alias("lat"), F.col("hit.lon").alias("lon"), F.lit("osm_addr").alias("how")))
+    neighbour = F.when(F.col("outside") & (beside["far"] <= MOST_NUMBERS), F.struct(beside["lat"].alias("lat"), beside["lon"].alias("lon"), F.lit("anchor_neighbour").alias("how")))
+    off_along, off_across = mixed(F.col("lo_at") - held("lo_at"), F.col("hi_at") - held("hi_at")), mixed(F.col("lo.cross") - F.col("lo_at_cross"), F.col("hi.cross") - F.col("hi_at_cross"))
+    bracketed = (F.size("used") >= 2) & F.col("lo").isNotNull() & F.col("hi").isNotNull() & F.col("points").isNotNull()
+    between = F.when(bracketed, point(held("target") + off_along, F.col("target_cross") + off_across, "interpolated"))
+    several = (F.size("known") >= 2) & (F.col("last.number") > F.col("first.number"))
+    beyond = F.when(several & reach("onward", "edge.at"), point(F.col("onward"), F.col("onward_cross"), "extrapolated"))
+    from_one = F.when((F.size("known") == 1) & reach("lone", "first.at"), point(F.col("lone"), F.col("lone_cross"), "projected"))
+    # Grouped by keys that are distinct already: a filter does not pass an aggregate, or it would carry all steps down in one expression.
+    found = rows.groupBy("street", "number").agg(F.min(F.coalesce(exact, neighbour, between, beyond, from_one)).alias("p")).where("p is not null")
     return found.select("street", "number", "p.lat", "p.lon", "p.how")
 
 

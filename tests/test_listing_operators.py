@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestay import storage
 from lodestay.functions import facts, geo, text
-from lodestay.operators import amenities, dedup, entities, houses, reports, scoring, search, streets, upserts
+from lodestay.operators import amenities, dedup, entities, houses, reports, resolver, scoring, search, streets, upserts
+from lodestay.plans import addresses as made
 
 
 def test_landlords_join_by_phone_and_contactless_rows(spark):
@@ -252,3 +253,34 @@ def test_no_shared_folder_outside_local_mode(spark, monkeypatch):
         storage.shared_dir(Session)
     Session.sparkContext.master = "local[2]"
     assert storage.shared_dir(Session)
+
+
+def test_resolver_without_tables_and_with_odd_texts(spark):
+    tables = {name: df.limit(0) for name, df in made.made_places(spark).items()}
+    asked = spark.createDataFrame([("רגר 11",), ("רגר 11",), (None,), (" ",), ("x" * 5000,), ("ליד",)], "address string")
+    found = resolver.resolve(asked, **tables, typical=8.0).collect()
+    assert sorted((r.address, r.lat, r.source, r.confidence) for r in found) == sorted([("רגר 11", None, None, "none"), ("x" * 5000, None, None, "none"), ("ליד", None, None, "none")])
+
+
+def test_places_are_found_where_python_finds_them(spark):
+    r = random.Random(5)
+    word = lambda most: "".join(r.choice("abc ") for _ in range(r.randrange(1, most)))
+    texts = {resolver_text(word(14)) for _ in range(60)} - {""}
+    names = {resolver_text(word(5)) for _ in range(40)}
+    names = {n for n in names if len(n) >= 2}
+    asked = spark.createDataFrame([(t, t) for t in texts], "address string, folded string")
+    places = spark.createDataFrame([(n, 1) for n in names], "key string, rank int")
+    found = {(x.address, x.key): x.pos for x in resolver.contained(asked, places).collect()}
+    assert found == {(t, n): t.find(n) for t in texts for n in names if n in t} and len(found) > 50
+    longer = {(x.address, x.key) for x in resolver.containing(spark.createDataFrame([(n * 2, n * 2) for n in names], "address string, folded string"), spark.createDataFrame([(f"{n * 2}a{n}", 1) for n in names], "key string, rank int")).collect()}
+    assert longer == {(a * 2, f"{b * 2}a{b}") for a in names for b in names if len(a) >= 2 and a * 2 in f"{b * 2}a{b}"}
+
+
+def resolver_text(text):
+    return " ".join(text.split())
+
+
+def test_a_word_of_nearness_governs_only_its_own_place(spark):
+    cases = [("ליד הבלוק", 4, True), ("רגר 5, ליד הבלוק", 11, True), ("ליד הבלוק, מגדלי דוד", 11, False), ("הבלוק", 0, False), ("ליד " + "א" * 20 + " הבלוק", 25, False)]
+    rows = spark.createDataFrame(cases, "t string, pos int, wanted boolean")
+    assert all(r.found == r.wanted for r in rows.withColumn("found", resolver.governed(F.col("t"), F.col("pos"))).collect())

@@ -94,14 +94,31 @@ def op10_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: leaf, roots and proof of the manifest, and whether the text, where tampered with, still verifies.
+
+    The text of a document with an even crc32 of its id loses its line breaks; null ids and null texts stay.
+    """
+    from lodestay.llm.merkle import fold, leaf_digest, manifest, proof_digest
+
+    docs = table(spark, sf_dir, "documents")
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = F.when(hit, leaf_digest([*plain, F.replace("text", F.lit("\n"), F.lit(""))]))
+    rows = manifest(spark, docs, "source", "doc_id", leaf_digest([*plain, F.col("text")]), {"tampered": tampered})
+    rows = rows.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = proof_digest(F.col("path")).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products)
+    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products, op11_merkle)
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries whose rows it can state: the archive's digests and the exact product search."""
-    return {"op3_warc": _WARC, "op10_inner_products": _PRODUCTS}
+    """SQL for the queries whose rows it can state: the archive's digests, the exact product search, the manifest."""
+    return {"op3_warc": _WARC, "op10_inner_products": _PRODUCTS, "op11_merkle": _MERKLE}
 
 
 #: Base32 from the SHA-1's hex digits: every five bits, most significant first, pick a letter.
@@ -124,3 +141,51 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGIN
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+#: crc32 of a text: byte by byte through the table of the 256 remainders, which eight halvings of each number give.
+_CRC = """
+r AS (SELECT i, 0 AS step, i::BIGINT AS v FROM range(256) t(i)
+      UNION ALL SELECT i, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM r WHERE step < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM r WHERE step = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII or Latin-1 text, where ``crc`` is joined."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(crc.t[xor(c & 255, b) + 1], c >> 8)), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+_MERKLE = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, source, sha256({_HEAD} || {_field("text")}) AS leaf,
+             CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN sha256({_HEAD} || {_field("replace(text, chr(10), '')")}) END AS tampered
+      FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM d),
+up AS (SELECT source, 0 AS height, place, n, leaf AS h FROM leaves
+       UNION ALL SELECT source, height + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM up WHERE n > 1 GROUP BY source, height, place // 3, n),
+subroots AS (SELECT source, height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS height, place, n, h FROM subroots
+        UNION ALL SELECT height + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY height, place // 3, n),
+line AS (SELECT l.*, s.h AS subroot, s.height AS depth, s.place AS tree FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source),
+beside AS (
+  SELECT l.source, l.place, u.height AS step, u.place AS other, (l.place // (3 ** u.height)::BIGINT) AS own, u.h
+  FROM line l JOIN up u ON u.source IS NOT DISTINCT FROM l.source AND u.height < l.depth AND u.place // 3 = l.place // (3 ** (u.height + 1))::BIGINT
+  UNION ALL
+  SELECT l.source, l.place, l.depth + t.height, t.place, (l.tree // (3 ** t.height)::BIGINT), t.h
+  FROM line l JOIN top t ON t.n > 1 AND t.place // 3 = l.tree // (3 ** (t.height + 1))::BIGINT),
+steps AS (SELECT source, place, step, coalesce(string_agg(h, '' ORDER BY other) FILTER (other < own), '') AS before,
+                 coalesce(string_agg(h, '' ORDER BY other) FILTER (other > own), '') AS after FROM beside GROUP BY source, place, step),
+proofs AS (SELECT source, place, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY source, place),
+fold AS (SELECT source, place, 0 AS step, coalesce(tampered, leaf) AS h FROM line
+         UNION ALL SELECT f.source, f.place, f.step + 1, sha256(s.before || f.h || s.after)
+         FROM fold f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.place = f.place AND s.step = f.step),
+folded AS (SELECT source, place, max_by(h, step) AS folded_root FROM fold GROUP BY source, place)
+SELECT l.doc_id, l.leaf, l.subroot, t.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.h AS verified
+FROM line l JOIN top t ON t.n = 1 JOIN folded f ON f.source IS NOT DISTINCT FROM l.source AND f.place = l.place
+LEFT JOIN proofs p ON p.source IS NOT DISTINCT FROM l.source AND p.place = l.place
+"""

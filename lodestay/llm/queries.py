@@ -111,14 +111,21 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per frequent word: its form, root, occurrences, near words and the form's occurrences."""
+    from lodestay.llm.spelling import variants
+
+    return variants(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products, op11_merkle)
+    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products, op11_merkle, op13_spelling)
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries whose rows it can state: the archive's digests, the exact product search, the manifest."""
-    return {"op3_warc": _WARC, "op10_inner_products": _PRODUCTS, "op11_merkle": _MERKLE}
+    """SQL for the queries whose rows it can state: the archive's digests, the exact product search, the manifest, the spellings."""
+    return {"op3_warc": _WARC, "op10_inner_products": _PRODUCTS, "op11_merkle": _MERKLE, "op13_spelling": _SPELLING}
 
 
 #: Base32 from the SHA-1's hex digits: every five bits, most significant first, pick a letter.
@@ -189,3 +196,23 @@ SELECT l.doc_id, l.leaf, l.subroot, t.h AS root, coalesce(p.proof_sha256, sha256
 FROM line l JOIN top t ON t.n = 1 JOIN folded f ON f.source IS NOT DISTINCT FROM l.source AND f.place = l.place
 LEFT JOIN proofs p ON p.source IS NOT DISTINCT FROM l.source AND p.place = l.place
 """
+
+_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: One ASCII character that no word holds for each of U+00C0 to U+00FF: the edit distance of DuckDB counts bytes.
+_WIDE = "".join(map(chr, range(0xC0, 0x100)))
+_STAND_INS = _A_TO_Z + "0123456789" + "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+_SPELLING = f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_A_TO_Z}', '{_A_TO_Z.lower()}') AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS said, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+checked AS (SELECT run, n, {_crc32("said")} AS h FROM counted, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM checked),
+w AS (SELECT word, sum(n)::BIGINT AS n, translate(word, '{_WIDE}', '{_STAND_INS}') AS plain FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+near AS (SELECT a.word, b.word AS other, a.n, b.n AS other_n FROM w a JOIN w b ON abs(length(a.plain) - length(b.plain)) <= 1 WHERE levenshtein(a.plain, b.plain) = 1),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near),
+f AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 5 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 5 * w.n THEN r.other_n END AS form_n
+      FROM w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chain AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, max_by(root, step) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM f JOIN last l USING (word)
+"""

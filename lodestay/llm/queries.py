@@ -111,6 +111,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: places of the base phrases, labels of all templates, and the share of words that they cover."""
+    from lodestay.llm.licenses import digest, license_spans
+
+    return digest(license_spans(table(spark, sf_dir, "documents")))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per frequent word: its form, root, occurrences, near words and the form's occurrences."""
     from lodestay.llm.spelling import variants
@@ -119,7 +126,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products, op11_merkle, op13_spelling)
+    found = (op1_ngram_jaccard, op2_quality, op3_warc, op4_secrets, op5_nearest, op6_packing, op7_language, op8_sentencepiece, op9_wavelet_tokens, op10_inner_products, op11_merkle, op12_licenses, op13_spelling)
     return {q.__name__: q for q in found}
 
 

@@ -23,6 +23,8 @@ from lodestay.llm.shingles import mix, padded, same_spans, span_hashes
 REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 26
 
 _WORD = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Added tokens that units cannot hold whole: with white space inside, or of the form of a plain word and its marks.
+_PLAIN = re.compile(r".*\s.*|[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\[-`{-~]*", re.DOTALL)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: First two bytes of white space beyond ASCII, and the third bytes that go with them (none: there are only two).
@@ -150,14 +152,20 @@ class UnitCache:
 
 
 class UnitEncoder(UnitCache):
-    """Encodes lists of texts into one flat id array with lengths; equal to the library's ``encode`` of each text."""
+    """Encodes lists of texts into one flat id array with lengths; equal to the library's ``encode`` of each text.
+
+    Added tokens of the file, such as an end mark, are found in the text as the library finds them.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            # Such a token could reach over the end of a unit, or hide in a plain word.
+            if token.lstrip or token.rstrip or token.single_word or _PLAIN.fullmatch(token.content):
+                raise ValueError(f"added token {token.content!r} cannot be told from plain text unit by unit")
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.bytes = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in _byte_alphabet().items()})

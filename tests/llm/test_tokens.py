@@ -13,14 +13,13 @@ from lodestay.llm.sentencepieces import ViterbiEncoder, decode, encode, load, me
 from lodestay.llm.tokens import UnitEncoder  # noqa: E402
 from lodestay.llm.wavelet import WaveletMatrix, read_documents, write_tokens  # noqa: E402
 
-ODD = [None, "", " ", "a   b", "a \n b", "\n \n", "a\n", "x  y", "don't 'S IT'S", "ﬁ é é ΑΣ İI", "12 3a b4", "<|endoftext|> a", "日本 テ", "\x1c \x1d", "a  b", "a\n　b", "word\x1c!! x"]
+ODD = [None, "", " ", "a   b", "a \n b", "\n \n", "a\n", "x  y", "don't 'S IT'S", "ﬁ é é ΑΣ İI", "12 3a b4", "<|endoftext|> a", "日本 テ", "\x1c \x1d", "a  b", "a\n　b", "word\x1c!! x", "<|endoftext|>", "a<|endoftext|>b", "two <|endoftext|> <|endoftext|>\n<|startoftext|>.", "it's<|startoftext|>  x<|EndOfText|>", "é<|endoftext|>́ <|endoftext|", "!<|endoftext|>!! a\n<|endoftext|>\n\nb <|endoftext|>"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_units_equal_whole_texts(name):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     wanted = [whole.encode(x or "", add_special_tokens=False).ids for x in ODD]
     ids, lengths = UnitEncoder(path).encode(pa.array(ODD, pa.string()))
     assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
@@ -29,7 +28,6 @@ def test_units_equal_whole_texts(name):
 def test_packing_places_every_id_once(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [*ODD, "word " * 5000, "a long text of words, " * 20_000, *thue_morse(9), *["some words here. " * k for k in range(40)]]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, offset long").coalesce(2)
     rows = pack(docs, path).collect()
@@ -110,7 +108,6 @@ def test_wavelet_questions_to_shard_files(spark, tmp_path, monkeypatch):
 def test_token_files_in_id_order(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     write_tokens(docs, str(tmp_path / "t"), path)
     at, wanted = 0, []

@@ -5,16 +5,19 @@ password of a connection string; unbroken lines beside a found one belong to it.
 zstandard frame of the text around it, copies of itself left out, with a dictionary already known to the compressor:
 common identifiers, and the words of the sensitive lines of all documents that stand in the most different ones. Words and
 identifiers repeat what is near them or in the dictionary and add little; random strings add nearly their whole
-length. A token that is novel once is reported wherever it stands in the text. The novelty of base spans is measured too.
+length: a whole byte for each character, or, beside tokens of their kind, what their alphabet needs. A token that is novel once
+is reported wherever it stands in the text. The novelty of base spans is measured too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,8 +45,10 @@ _JOINTS = re.compile(r"[/_=+-]+")
 _UNBROKEN = re.compile(r"^[^A-Za-z0-9+/_=\n-]*[A-Za-z0-9+/_=-]{16,}[^A-Za-z0-9+/_=\n-]*$", re.MULTILINE)
 #: Characters on both sides of a sensitive word that count as its context beside its line, and characters kept around a candidate.
 REACH, AROUND = 64, 256
-#: A candidate is reported when it adds this many bytes for each of its characters.
-NOVELTY = 0.7
+#: A candidate is reported when it adds this many bytes for each of its characters, or this share of what a random string of its
+#: alphabet adds at least: tokens of one kind close to each other teach the compressor their alphabet, which makes a hexadecimal
+#: digit half a byte, but never less.
+NOVELTY, ALPHABET_SHARE = 0.7, 0.8
 #: Words of the learned dictionary at most, and the different lines that one must stand in.
 WORDS, LEAST_LINES = 2000, 3
 _IDENTIFIERS = (
@@ -61,6 +66,15 @@ def core(token: str) -> str:
     return longest if len(longest) >= 16 else token
 
 
+def least_novelty(token: str) -> float:
+    """Bytes for each character from which on a token is reported: ``NOVELTY``, less for a small alphabet."""
+    plain = "".join(c for c in token if c.isalnum())
+    hexed = re.fullmatch("[0-9a-f]*|[0-9A-F]*", plain) is not None
+    letters = 6 * any(c.isalpha() for c in plain) if hexed else 26 * any(c.islower() for c in plain) + 26 * any(c.isupper() for c in plain)
+    size = letters + 10 * any(c.isdigit() for c in plain) + len(set(token) - set(plain))
+    return min(NOVELTY, ALPHABET_SHARE * math.log2(max(size, 10)) / 8)
+
+
 def _without(text: str, value: str, lo: int, hi: int, least: int, most: int) -> str:
     """text[lo:hi] without what belongs to copies of ``value`` that lie in text[least:most]."""
     kept, at = [], lo
@@ -80,8 +94,20 @@ class NoveltyMeter:
         known = " ".join(reversed(words or [])) + " " + _IDENTIFIERS
         primed = zstandard.ZstdCompressionDict(known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.text, self.known = "", {}
 
     def of(self, text: str, start: int, end: int) -> float:
+        """``measure``, once for each place of a text."""
+        if text is not self.text:
+            self.text, self.known = text, {}
+        if (start, end) not in self.known:
+            self.known[start, end] = self.measure(text, start, end)
+        return self.known[start, end]
+
+    def novel(self, text: str, start: int, end: int) -> bool:
+        return self.of(text, start, end) >= least_novelty(text[start:end])
+
+    def measure(self, text: str, start: int, end: int) -> float:
         """Compressed bytes that text[start:end] adds to its surroundings, for each of its characters.
 
         Copies of itself do not count as surroundings, else a secret that stands twice would be no news at both places;
@@ -191,7 +217,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter
         taken[a:b] = b"\1" * (b - a)
     contexts, found = _contexts(text, words), []
     for a, b in urls:
-        if not _plain(text[a:b]) and 1 not in taken[a:b] and meter.of(text, a, b) >= NOVELTY:
+        if not _plain(text[a:b]) and 1 not in taken[a:b] and meter.novel(text, a, b):
             found.append((a, 3, b))
             taken[a:b] = b"\1" * (b - a)
     at = 0
@@ -203,7 +229,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter
         if m.end() <= contexts[at][0]:
             continue
         for a, b in _parts(text, m.start(), m.end(), words, ends):
-            if b - a >= 16 and not _plain(text[a:b]) and 1 not in taken[a:b] and meter.of(text, a, b) >= NOVELTY:
+            if b - a >= 16 and not _plain(text[a:b]) and 1 not in taken[a:b] and meter.novel(text, a, b):
                 found.append((a, 3, b))
                 break
     for a, _, b in found:
@@ -216,19 +242,28 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter
 
 
 def repeats(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Every further occurrence of a found token in the text that no span touches."""
+    """Every further occurrence of a found token in the text that no span touches; one pass finds those of all tokens."""
     taken = bytearray(len(text))
     for a, _, b in [*base, *found]:
         taken[a:b] = b"\1" * (b - a)
+    places: dict[str, list[int]] = {core(text[a:b]): [] for a, _, b in found}
+    if not places:
+        return []
+    automaton = ahocorasick.Automaton()
+    for value in places:
+        automaton.add_word(value, value)
+    automaton.make_automaton()
+    for last, value in automaton.iter(text):
+        place = last + 1 - len(value)
+        if not places[value] or place >= places[value][-1] + len(value):
+            places[value].append(place)
     more = []
-    for value in sorted({core(text[a:b]) for a, _, b in found}, key=lambda v: (-len(v), v)):
-        place = text.find(value)
-        while place >= 0:
+    for value in sorted(places, key=lambda v: (-len(v), v)):
+        for place in places[value]:
             end = place + len(value)
             if 1 not in taken[place:end]:
                 more.append((place, 3, end))
                 taken[place:end] = b"\1" * len(value)
-            place = text.find(value, end)
     return more
 
 

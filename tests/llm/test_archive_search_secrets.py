@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from lodestay.llm import secrets
 from lodestay.llm.binary_codes import nearest
@@ -239,6 +240,56 @@ def test_repeated_secrets_are_all_found():
         assert x not in _cleaned(f"Bearer {x} " + ("q w " * 80)[:k] + f"Bearer {x}")
 
 
+def _uuid(draw):
+    return "-".join(draw(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))
+
+
+ALPHABETS = {
+    "upper hex": lambda draw: draw(40, "0123456789ABCDEF"),
+    "lower hex": lambda draw: draw(28, "0123456789abcdef"),
+    "uuid": _uuid,
+    "base62": lambda draw: draw(24, LETTERS_DIGITS),
+    "base64": lambda draw: draw(40, LETTERS_DIGITS + "+/"),
+    "base32": lambda draw: draw(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("count", [1, 2, 3, 5, 10, 50])
+def test_lists_of_secrets_are_found_in_each_alphabet(alphabet, count):
+    r = np.random.default_rng(count)
+    draw = lambda n, letters: "".join(r.choice(list(letters), n))
+    planted = found = touched = 0
+    for _ in range(max(1, 60 // count)):
+        secrets_of = [ALPHABETS[alphabet](draw) for _ in range(count)]
+        lines = [f"Authorization: Bearer {x}\nGET /orders/{i}/state_of_delivery with the usual words" for i, x in enumerate(secrets_of)]
+        cleaned = _cleaned("\n".join(lines))
+        planted, found = planted + count, found + sum(x not in cleaned for x in secrets_of)
+        touched += sum(f"GET /orders/{i}/state_of_delivery with the usual words" not in cleaned for i in range(count))
+    assert found >= 0.9 * planted and touched <= 0.1 * found
+
+
+def test_lists_of_harmless_tokens_are_left():
+    for k in range(1, 12):
+        lines = [f"authorization: see handler_of_request_number_{i:06d} in module/path/of_service_{i % 7}/authorization_handlers" for i in range(k)]
+        lines += [f"the token is read from settings_for_environment_{i}_and_region by load_credential_settings_{i}" for i in range(k)]
+        text = "\n".join(lines)
+        assert _cleaned(text).count("[SECRET]") <= 0.1 * 2 * k
+
+
+def test_long_texts_of_many_secrets_take_time_in_proportion():
+    import time
+
+    r, took = np.random.default_rng(0), []
+    for n in (3000, 30_000):
+        text = "\n".join(f"bearer {x}" for x in ("".join(c) for c in r.choice(list(LETTERS_DIGITS), (n, 24))))
+        began = time.time()
+        cleaned = _cleaned(text)
+        took.append(time.time() - began)
+        assert cleaned.count("[SECRET]") >= 0.9 * n
+    assert took[1] < 25 * took[0] + 1
+
+
 def test_secrets_of_a_line_and_of_key_bodies():
     raw = base64.b64encode(hashlib.shake_256(b"key").digest(700)).decode() + "Zg9="
     lines = [raw[i : i + 64] for i in range(0, len(raw), 64)]

@@ -12,6 +12,11 @@ _INSTITUTION = (
     r"אוניברסיט\S*(?:\s+בן\s+גוריון)?|בן\s+גוריון\s+אוניברסיט\S*"
     r"|סורוקה|בית\s+חולים|ביה[\"״']?ח|הקריה\s+הרפואית|קמפוס|שער\s+האוניברסיטה"
 )
+#: The city's name; floors, entrances and asides behind an address; numbers and quarters; words for a road.
+CITY = "(?iu)באר\\s*שבע|ב['\"׳״]ש(?![\\p{L}\\p{N}_])|beer\\s*sheva"
+TAIL = r"\([^)]*\)|(?<![\p{L}\p{N}_])קומ[הת]\s*\S*|(?<![\p{L}\p{N}_])כניס[הת]\s*\S*|(?<![\p{L}\p{N}_])דיר[הת]\s+[0-9]+|(?<![\p{L}\p{N}_])מעל\s+\S+"
+NUMBERS = r"\d+(?:/\d+)?|שכונ[הת]\s*[א-י]?['׳]?"
+ROADS = "רחוב|רח['׳]|שדרות|שדרה|שד['׳]|דרך|סמטת|סמטה|שביל|רחבת|רחבה|כיכר|משעול"
 _QUARTER_PHRASE = "שכונ[הת]\\s*[א-ת]['׳\"״]?"
 PRECISE_SOURCES = ["static", "google", "osm_addr", "interpolated", "manual"]
 CONFIDENCE = {
@@ -52,6 +57,27 @@ def only_bearing(address: Column, names_street: Column | None = None) -> Column:
     return _yes(said & ~numbered) & (~_yes(names_street) if names_street is not None else F.lit(True))
 
 
+def street_core(address: Column) -> Column:
+    """What of an address may be the name of a street: without the city, floors, numbers, quarters and words for a road."""
+    bare = address
+    for pattern in (CITY, TAIL, f"{NUMBERS}|{ROADS}"):
+        bare = F.regexp_replace(bare, pattern, " ")
+    return F.trim(F.regexp_replace(F.translate(bare, '"\\/,', ""), r"\s+", " "))
+
+
+def with_number_of(address: Column, text: Column) -> Column:
+    """An address without a number, with the one that follows its street's name in the text; any other address as it is.
+
+    The name is sought as it stands, so the pattern is another one in each row: the name, white space, one to four digits that
+    end there. Of several places the first counts. Quarters, and names of fewer than three letters, stay without a number.
+    """
+    core = street_core(address)
+    pattern = F.concat(F.lit(r"\Q"), core, F.lit(r"\E\s+(\d{1,4})(?![\p{L}\p{N}_])"))
+    number = F.get(F.regexp_extract_all(text, pattern, F.lit(1)), F.lit(0))
+    open_ = ~F.regexp_like(address, F.lit(r"\d")) & ~bare_quarter(address) & (F.length(core) >= 3)
+    return F.coalesce(F.when(open_, F.concat(address, F.lit(" "), number)), address)
+
+
 def confidence(source: Column) -> Column:
     """exact, high, street, area or none; an unknown source is street."""
     grades = F.create_map(*(F.lit(x) for pair in CONFIDENCE.items() for x in pair))

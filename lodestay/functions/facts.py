@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestay.functions import addresses
+
 # Words and patterns of the posts' language.
 PRICE_MARKERS = ["₪", 'ש"ח', "ש״ח", "שח", 'שכ"ד', "שכ״ד", "שכד", "לחודש", "מחיר"]
 NUMERALS = {"שני": 2, "שתי": 2, "שניים": 2, "שתיים": 2, "שלושה": 3, "שלוש": 3, "ארבעה": 4, "ארבע": 4}
@@ -214,5 +216,5 @@ def postprocess(posts: DataFrame) -> DataFrame:
     step = step.withColumn("rooms", F.coalesce("rooms", rooms_from_text(c("text"))))
     step = step.withColumn("_share", divided_price(c("price"), c("mates"), c("rooms"), c("text")))
     step = step.withColumns({"price": F.coalesce("_share", "price"), "price_is_derived": c("_share").isNotNull()})
-    done = {"address": clean_address(c("address")), "lease": entry_date(c("lease")), "contact": phones(c("contact"))}
+    done = {"address": addresses.with_number_of(clean_address(c("address")), c("text")), "lease": entry_date(c("lease")), "contact": phones(c("contact"))}
     return step.withColumns(done).drop("_near", "_share")

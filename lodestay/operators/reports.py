@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestay.functions import addresses, facts
+from lodestay.operators.numbering import running_total
 from lodestay.operators.upserts import first_per_key
+from lodestay.storage import Scratch
 
 #: Distinct posts of one numbered address from which on it is a house of many flats; addresses of one phone of an agency.
 MULTI_UNIT, BROKER = 15, 4
@@ -113,34 +115,56 @@ def reliability(days: DataFrame, in_flight: int = 0) -> DataFrame:
     return one.select("started", "completed", "aborted", crashed.alias("crashed"), F.round(F.col("completed") / F.nullif(F.col("started"), F.lit(0)), 4).alias("ratio"))
 
 
-def flagged_ends(log: DataFrame, flag: str) -> DataFrame:
-    """(ts, flagged) of every END of a log: whether a ``flag`` event lies between the END before it and itself.
+def _log_order(log: DataFrame) -> list[Column]:
+    """Lines in order: by time, then by ``line`` where the log has it, else a flag before an END and that before a START."""
+    tie = F.col("line") if "line" in log.columns else F.when(F.col("event") == "START", 2).when(F.col("event") == "END", 1).otherwise(0)
+    return [F.col("ts"), tie]
 
-    Log lines are numbered by the count of ENDs from them on, which is one group for an END and all before it; days bound the groups
-    to what one writer of a log does.
+
+def flagged_ends(log: DataFrame, flag: str, scratch: Scratch) -> DataFrame:
+    """(ts, flagged) of every END of a log (ts, event): whether a ``flag`` event lies between the END before it and itself.
+
+    A line belongs to the END that as many ENDs lie before as before itself, however far that is: a run may cross
+    midnight. Flags after the last END belong to none.
     """
-    day = F.to_date("ts")
-    ends = F.count_if(F.col("event") == "END").over(Window.partitionBy(day).orderBy(F.desc("ts"), F.desc(F.col("event") == "END")))
-    grouped = log.withColumn("_day", day).withColumn("_end", ends)
-    return grouped.groupBy("_day", "_end").agg(F.max(F.when(F.col("event") == "END", F.col("ts"))).alias("ts"), F.max(F.col("event") == flag).alias("flagged")).where("ts is not null").select("ts", "flagged")
+    lines = log.where(F.col("event").isin("END", flag))
+    lines = running_total(lines, _log_order(log), F.when(F.col("event") == "END", 1), "_end", scratch)
+    marks = lines.groupBy("_end").agg(F.max(F.when(F.col("event") == "END", F.col("ts"))).alias("ts"), F.max(F.col("event") == flag).alias("flagged"))
+    return marks.where("ts is not null").select("ts", "flagged")
 
 
-def degraded_share(log: DataFrame, flag: str) -> DataFrame:
+def degraded_share(log: DataFrame, flag: str, scratch: Scratch) -> DataFrame:
     """One row: completed runs, those with a flag, and their share."""
-    runs = flagged_ends(log, flag).agg(F.count("*").alias("runs"), F.count_if("flagged").alias("degraded"))
+    runs = flagged_ends(log, flag, scratch).agg(F.count("*").alias("runs"), F.count_if("flagged").alias("degraded"))
     return runs.withColumn("share", F.round(F.col("degraded") / F.nullif(F.col("runs"), F.lit(0)), 4))
 
 
-def weekly(log: DataFrame, since: Column) -> DataFrame:
-    """One row over a log from ``since`` on: runs, skipped, blocked, dangling starts, and sums of what the ends report."""
+#: What the detail of an END reports, each group in one piece.
+_REPORTED = [("posts", "match", "needs"), ("read", "age_skip", "seen_skip")]
+
+
+def weekly(log: DataFrame, since: Column, now: Column, scratch: Scratch, patience_hours: int = 2) -> DataFrame:
+    """One row over a log (ts, event, detail) from ``since`` on: runs, skipped, blocked, dangling, and sums of what runs report.
+
+    A blocked END is no run and its numbers do not count. A START dangles if the next START comes before an END, whatever
+    else lies between, or if neither comes within ``patience_hours`` before ``now``. Days do not matter.
+    """
     rows = log.where(F.col("ts") >= since)
-    named = {n: F.coalesce(F.sum(F.when(F.col("event") == "END", facts.found(F.col("detail"), rf"(?:^|\s){n}=(\d+)", 1).cast("long"))), F.lit(0)).alias(n) for n in ("posts", "match", "needs", "read", "age_skip", "seen_skip")}
-    order = Window.partitionBy(F.to_date("ts")).orderBy("ts")
-    next_event = F.lead("event").over(order)
-    rows = rows.where(F.col("event").isin("START", "END", "SKIP", "ABORT")).withColumn("_dangling", (F.col("event") == "START") & (next_event == "START"))
-    of = lambda event: F.count_if(F.col("event") == event)
-    blocked = F.count_if((F.col("event") == "END") & F.contains("detail", F.lit("block=")))
-    return rows.agg(of("END").alias("runs"), of("SKIP").alias("skipped"), blocked.alias("blocked"), F.count_if("_dangling").alias("dangling"), *named.values())
+    is_end = F.col("event") == "END"
+    stopped = F.contains("detail", F.lit("BLOCKED")) | F.contains("detail", F.lit("block="))
+    run, blocked = is_end & ~F.coalesce(stopped, F.lit(False)), is_end & stopped
+    sums = []
+    for names in _REPORTED:
+        pattern = r"\s+".join(rf"{n}=(\d+)" for n in names)
+        sums += [F.coalesce(F.sum(F.when(run, facts.found(F.col("detail"), pattern, i).cast("long"))), F.lit(0)).alias(n) for i, n in enumerate(names, 1)]
+    counted = rows.agg(F.count_if(run).alias("runs"), F.count_if(F.col("event") == "SKIP").alias("skipped"), F.count_if(blocked).alias("blocked"), *sums)
+
+    marks = running_total(rows.where(F.col("event").isin("START", "END")), _log_order(log), F.when(is_end, 1), "_end", scratch)
+    between = marks.groupBy("_end").agg(F.count_if(F.col("event") == "START").alias("starts"), F.max(is_end).alias("ended"), F.max("ts").alias("last"))
+    late = F.col("last") < now - F.make_dt_interval(hours=F.lit(patience_hours))
+    lost = F.when(F.col("starts") > 0, F.col("starts") - 1 + (~F.col("ended") & late).cast("int")).otherwise(0)
+    dangling = between.agg(F.coalesce(F.sum(lost), F.lit(0)).alias("dangling"))
+    return counted.crossJoin(dangling).select("runs", "skipped", "blocked", "dangling", *(n for names in _REPORTED for n in names))
 
 
 def quota_windows(calls: DataFrame, cap: int, windows: int = 8) -> DataFrame:

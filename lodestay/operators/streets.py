@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestay.functions.addresses import CITY, NUMBERS, TAIL
+
 # Prefixes that stick to names, words for roads, titles.
 PREFIXES = "הבלמוש"
 ROAD_TYPES = ["דרך", "רחוב", "שדרות", "שדרת", "סמטת", "סמטה", "שביל", "כביש", "כיכר", "ככר"]
@@ -20,10 +22,7 @@ TITLES = ["הרב", "רב", 'ד"ר', "דר", "פרופ", "פרופסור", "הר
 LEAST_LIKENESS, TOUCH_M = 0.82, 50.0
 #: Street names up to which likeness is tried; a city has some thousands.
 MOST_NAMES = 100_000
-_CITY = "(?iu)באר\\s*שבע|ב['\"׳״]ש(?![\\p{L}\\p{N}_])|beer\\s*sheva"
-_TAIL = r"\([^)]*\)|(?<![\p{L}\p{N}_])קומ[הת]\s*\S*|(?<![\p{L}\p{N}_])כניס[הת]\s*\S*|(?<![\p{L}\p{N}_])דיר[הת]\s+[0-9]+|(?<![\p{L}\p{N}_])מעל\s+\S+"
-_PARTS = r"[,/|]|(?<![\p{L}\p{N}_])(?:פינת|פינה|מול|ליד)(?![\p{L}\p{N}_])"
-_NUMBERS = r"[0-9]+(?:/[0-9]+)?|שכונ[הת]\s*[א-י]?['׳]?"
+_PARTS = r"[,/|]|(?<![\p{L}\p{N}_])(?:(?:פינת|פינה|מול|ליד)(?![\p{L}\p{N}_])|בין(?![\p{L}\p{N}_])(?=.*(?<![\p{L}\p{N}_])ל))"
 
 
 def norm(name: Column) -> Column:
@@ -159,8 +158,8 @@ def pools_of(vertices: DataFrame, touch: float = TOUCH_M) -> DataFrame:
 
 def candidates(address: Column) -> Column:
     """The parts of an address that may be streets, in order: city, floors and entrances away, split, numbers away."""
-    base = F.regexp_replace(F.regexp_replace(address, _CITY, " "), _TAIL, " ")
-    clean = lambda p: F.trim(F.regexp_replace(F.translate(F.regexp_replace(p, _NUMBERS, " "), '"\\/,', ""), r"\s+", " "))
+    base = F.regexp_replace(F.regexp_replace(address, CITY, " "), TAIL, " ")
+    clean = lambda p: F.trim(F.regexp_replace(F.translate(F.regexp_replace(p, NUMBERS, " "), '"\\/,', ""), r"\s+", " "))
     return F.array_distinct(F.filter(F.transform(F.split(base, _PARTS), clean), lambda p: F.length(p) >= 2))
 
 

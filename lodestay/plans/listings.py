@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestay.operators import reports, search, upserts
+from lodestay.operators import numbering, reports, search, upserts
 from lodestay.plans.registry import load, query
+from lodestay.storage import Scratch
 
 #: The moment that counts as now.
 NOW = "1998-08-02 12:00:00"
@@ -77,10 +78,11 @@ def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("digest", f"""WITH {_LISTINGS} SELECT key, status, score, row_number() OVER (ORDER BY status = 'MATCH' DESC, score DESC NULLS LAST, key)::INT AS place FROM l
        WHERE status IN ('MATCH', 'NEEDS_DATA') AND first_seen >= TIMESTAMP '{NOW}' - INTERVAL 40 DAY""")
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest's rows in order; a digest is a page, so one place numbers all of it."""
-    rows = search.digest(listings(spark, sf_dir), now(), 40)
-    ordered = rows.agg(F.collect_list(F.struct("key", "status", "score")).alias("r")).select(F.posexplode("r").alias("place", "x"))
-    return ordered.select("x.*", (F.col("place") + 1).cast("int").alias("place"))
+    order = [F.desc(F.col("status") == "MATCH"), F.desc_nulls_last("score"), "key"]
+    with Scratch(spark) as scratch:
+        rows = search.digest(listings(spark, sf_dir), now(), 40).select("key", "status", "score")
+        placed = numbering.numbered(rows, order, "_place", scratch)
+        return scratch.keep(placed.select("key", "status", "score", (F.col("_place") + 1).cast("int").alias("place")), "digest")
 
 
 @query("pending_alerts", f"""WITH {_LISTINGS} SELECT key, score FROM l WHERE status = 'MATCH' AND score >= 75 AND key NOT IN (SELECT key FROM c) AND first_seen >= TIMESTAMP '{NOW}' - INTERVAL 3000 HOUR""")
@@ -230,16 +232,23 @@ def unknown_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.unknown_locations(events, placed, F.col("location").endswith("A"), F.lit("1996-01-01").cast("timestamp"))
 
 
-_LOG = """g AS (SELECT ts, CASE event_type WHEN 'click' THEN 'START' WHEN 'view' THEN 'END' WHEN 'error' THEN 'ABORT' ELSE 'SKIP' END AS event,
-     CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'full' END || '  ' || (user_id % 90) || 's  posts=' || (user_id % 17) || ' match=' || (user_id % 5) || CASE WHEN user_id % 11 = 0 THEN ' block=1' ELSE '' END AS detail, user_id FROM events)"""
+#: A log over months: runs cross midnight, skips and aborts stand between starts, some ENDs are blocked, some report half of their numbers.
+_LOG = """g AS (SELECT ts, event_id AS line, CASE event_type WHEN 'click' THEN 'START' WHEN 'view' THEN 'END' WHEN 'error' THEN 'ABORT' WHEN 'purchase' THEN 'DOWN' ELSE 'SKIP' END AS event,
+     CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'full' END || '  ' || (user_id % 90) || 's  posts=' || (user_id % 17) || ' match=' || (user_id % 5) || CASE WHEN user_id % 7 <> 0 THEN ' needs=' || (user_id % 4) ELSE '' END
+     || CASE WHEN user_id % 2 = 0 THEN ' read=' || (user_id % 23) || ' age_skip=' || (user_id % 6) || ' seen_skip=' || (user_id % 8) ELSE '' END || CASE WHEN user_id % 11 = 0 THEN ' block=1' ELSE '' END AS detail, user_id FROM events)"""
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, kind = F.col("user_id"), F.col("event_type")
-    event = F.when(kind == "click", "START").when(kind == "view", "END").when(kind == "error", "ABORT").otherwise("SKIP")
+    event = F.when(kind == "click", "START").when(kind == "view", "END").when(kind == "error", "ABORT").when(kind == "purchase", "DOWN").otherwise("SKIP")
     text = lambda n: (u % n).cast("string")
-    detail = F.concat(F.when(u % 3 == 0, "hot").otherwise("full"), F.lit("  "), text(90), F.lit("s  posts="), text(17), F.lit(" match="), text(5), F.when(u % 11 == 0, " block=1").otherwise(""))
-    return load(spark, sf_dir, "events").select("ts", event.alias("event"), detail.alias("detail"))
+    detail = F.concat(
+        F.when(u % 3 == 0, "hot").otherwise("full"), F.lit("  "), text(90), F.lit("s  posts="), text(17), F.lit(" match="), text(5),
+        F.when(u % 7 != 0, F.concat(F.lit(" needs="), text(4))).otherwise(""),
+        F.when(u % 2 == 0, F.concat(F.lit(" read="), text(23), F.lit(" age_skip="), text(6), F.lit(" seen_skip="), text(8))).otherwise(""),
+        F.when(u % 11 == 0, " block=1").otherwise(""),
+    )
+    return load(spark, sf_dir, "events").select("ts", F.col("event_id").alias("line"), event.alias("event"), detail.alias("detail"))
 
 
 _TALLIES = """SELECT ts::DATE::VARCHAR AS day, count(*) FILTER (WHERE event = 'START') AS started, count(*) FILTER (WHERE event = 'END' AND user_id % 3 <> 0) AS full_runs,
@@ -258,12 +267,45 @@ def log_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.reliability(reports.run_tallies(run_log(spark, sf_dir)), in_flight=2)
 
 
-@query("log_weekly", f"""WITH {_LOG}, w AS (SELECT *, lead(event) OVER (PARTITION BY ts::DATE ORDER BY ts) AS following FROM g WHERE ts >= TIMESTAMP '2024-01-10')
-       SELECT count(*) FILTER (WHERE event = 'END') AS runs, count(*) FILTER (WHERE event = 'SKIP') AS skipped, count(*) FILTER (WHERE event = 'END' AND user_id % 11 = 0) AS blocked,
-       count(*) FILTER (WHERE event = 'START' AND following = 'START') AS dangling, coalesce(sum(user_id % 17) FILTER (WHERE event = 'END'), 0)::BIGINT AS posts, coalesce(sum(user_id % 5) FILTER (WHERE event = 'END'), 0)::BIGINT AS match,
-       0::BIGINT AS needs, 0::BIGINT AS read, 0::BIGINT AS age_skip, 0::BIGINT AS seen_skip FROM w""")
+@query("log_weekly", f"""WITH {_LOG}, w AS (SELECT * FROM g WHERE ts >= TIMESTAMP '2024-01-10'),
+       s AS (SELECT *, lead(event) OVER (ORDER BY ts, line) AS following FROM w WHERE event IN ('START', 'END')), ok AS (SELECT * FROM w WHERE event = 'END' AND user_id % 11 <> 0)
+       SELECT (SELECT count(*) FROM ok) AS runs, count(*) FILTER (WHERE event = 'SKIP') AS skipped, count(*) FILTER (WHERE event = 'END' AND user_id % 11 = 0) AS blocked,
+       (SELECT count(*) FROM s WHERE event = 'START' AND (following = 'START' OR (following IS NULL AND ts < TIMESTAMP '2030-01-01' - INTERVAL 2 HOUR))) AS dangling,
+       (SELECT coalesce(sum(user_id % 17), 0)::BIGINT FROM ok WHERE user_id % 7 <> 0) AS posts, (SELECT coalesce(sum(user_id % 5), 0)::BIGINT FROM ok WHERE user_id % 7 <> 0) AS match,
+       (SELECT coalesce(sum(user_id % 4), 0)::BIGINT FROM ok WHERE user_id % 7 <> 0) AS needs, (SELECT coalesce(sum(user_id % 23), 0)::BIGINT FROM ok WHERE user_id % 2 = 0) AS read,
+       (SELECT coalesce(sum(user_id % 6), 0)::BIGINT FROM ok WHERE user_id % 2 = 0) AS age_skip, (SELECT coalesce(sum(user_id % 8), 0)::BIGINT FROM ok WHERE user_id % 2 = 0) AS seen_skip FROM w""")
 def log_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.weekly(run_log(spark, sf_dir), F.lit("2024-01-10").cast("timestamp"))
+    """The last START without an END counts, as the report is made years after the log."""
+    with Scratch(spark) as scratch:
+        row = reports.weekly(run_log(spark, sf_dir), F.lit("2024-01-10").cast("timestamp"), F.lit("2030-01-01").cast("timestamp"), scratch)
+        return scratch.keep(row, "weekly")
+
+
+@query("log_degraded", f"""WITH {_LOG}, f AS (SELECT *, count(*) FILTER (WHERE event = 'END') OVER (ORDER BY ts, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM g WHERE event IN ('END', 'DOWN')),
+       e AS (SELECT run, max(ts) FILTER (WHERE event = 'END') AS ts, bool_or(event = 'DOWN') AS flagged FROM f GROUP BY run)
+       SELECT ts::DATE::VARCHAR AS day, count(*) AS runs, count(*) FILTER (WHERE flagged) AS degraded FROM e WHERE ts IS NOT NULL GROUP BY 1""")
+def log_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By day of their END, the runs that a DOWN line precedes."""
+    with Scratch(spark) as scratch:
+        ends = reports.flagged_ends(run_log(spark, sf_dir), "DOWN", scratch)
+        by_day = ends.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("runs"), F.count_if("flagged").alias("degraded"))
+        return scratch.keep(by_day, "degraded")
+
+
+@query("post_batches", """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS i, count(*) OVER () AS total FROM documents),
+       b AS (SELECT doc_id, i // 8 AS batch, (i % 8)::INT AS index, least(8, total - 8 * (i // 8)) AS size FROM n)
+       SELECT doc_id, batch, index, CASE WHEN batch % 5 IN (1, 2, 3) THEN NULL ELSE 'answer ' || doc_id END AS answer, batch % 5 IN (1, 2, 3) AS alone FROM b""")
+def post_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of eight, answered batch by batch; batches that come short, with one index twice or with one too many are asked again alone."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    with Scratch(spark) as scratch:
+        rows = numbering.batched(docs, ["source", "doc_id"], 8, scratch).drop("source")
+        said = rows.select("batch", "index", F.concat(F.lit("answer "), F.col("doc_id").cast("string")).alias("answer"))
+        kind, first = F.col("batch") % 5, F.col("index") == 0
+        kept = said.where(~((kind == 1) & first))
+        twice = said.where((kind == 2) & first)
+        beyond = said.where((kind == 3) & first).withColumn("index", F.lit(99))
+        return scratch.keep(numbering.regrouped(rows, kept.unionByName(twice).unionByName(beyond), "answer"), "batches")
 
 
 @query("quota_windows", """WITH d AS (SELECT (ts - INTERVAL 10 HOUR)::DATE::VARCHAR AS quota_day, event_type AS model, count(*) AS c, bool_or(value < 0.01) AS refused FROM events GROUP BY 1, 2)

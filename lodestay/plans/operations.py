@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestay.operators import reports
+from lodestay.operators import intervals, reports
 from lodestay.plans.registry import load, query
+from lodestay.storage import Scratch
 
 
 def _ordered(*keys: str):
@@ -36,22 +37,57 @@ def start_end_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("end_ts", end).where("event_type = 'signup'").select("user_id", "event_id", F.col("ts").alias("start_ts"), "end_ts")
 
 
-@query(
-    "slot_in_run",
-    """WITH runs AS (SELECT event_id, ts AS a, ts + INTERVAL 90 MINUTE AS b FROM events WHERE event_type = 'error'),
-       slots AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 HOUR)) AS slot)
-       SELECT slot, count(event_id) AS runs FROM slots LEFT JOIN runs ON slot BETWEEN a AND b GROUP BY slot""",
-)
+_RUNS = "runs AS (SELECT event_id, ts AS a, ts + (CASE WHEN event_id % 50 = 0 THEN INTERVAL 40 HOUR ELSE INTERVAL 90 MINUTE END) AS b FROM events WHERE event_type = 'error')"
+_SLOTS = "slots AS (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(ts) FROM events)), date_trunc('hour', (SELECT max(ts) FROM events)), INTERVAL 1 HOUR)) AS slot)"
+
+
+def _error_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 90 minutes, every fiftieth of 40 hours."""
+    length = F.when(F.col("event_id") % 50 == 0, F.expr("INTERVAL 40 HOURS")).otherwise(F.expr("INTERVAL 90 MINUTES"))
+    return load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("ts").alias("a"), (F.col("ts") + length).alias("b"))
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours from the first event's to the last one's."""
+    hour = lambda ts: F.date_trunc("hour", ts).cast("timestamp_ntz")
+    ends = load(spark, sf_dir, "events").agg(hour(F.min("ts")).alias("first"), hour(F.max("ts")).alias("last"))
+    return ends.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 HOUR"))).alias("slot"))
+
+
+@query("slot_in_run", f"WITH {_RUNS}, {_SLOTS} SELECT slot, count(event_id) AS runs FROM slots LEFT JOIN runs ON slot BETWEEN a AND b GROUP BY slot")
 def slot_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots inside a run: each run is exploded to the hours it holds, so the range join is an equality."""
-    ends = F.col("ts") + F.expr("INTERVAL 90 MINUTES")
-    runs = load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "ts", ends.alias("b"))
-    hour = F.expr("INTERVAL 1 HOUR")
-    inside = F.filter(F.sequence(F.date_trunc("hour", "ts"), F.date_trunc("hour", "b"), hour), lambda h: (h >= F.col("ts")) & (h <= F.col("b")))
-    held = runs.select("event_id", F.explode(inside).alias("slot"))
-    first, last = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-30").cast("timestamp")
-    slots = spark.range(1).select(F.explode(F.sequence(first, last, hour)).alias("slot"))
-    return slots.join(held, "slot", "left").groupBy("slot").agg(F.count("event_id").alias("runs"))
+    """How many runs hold each hour of the whole table, by one running total over begins, ends and hours."""
+    with Scratch(spark) as scratch:
+        return scratch.keep(intervals.held(_hourly(spark, sf_dir), _error_runs(spark, sf_dir), "slot", "a", "b", "runs", scratch), "slots")
+
+
+@query("runs_of_slots", f"WITH {_RUNS}, {_SLOTS} SELECT slot, event_id FROM slots JOIN runs ON slot BETWEEN a AND b")
+def runs_of_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which runs hold each hour, by buckets as wide as the runs."""
+    return intervals.containing(_hourly(spark, sf_dir), _error_runs(spark, sf_dir), "slot", "a", "b").select("slot", "event_id")
+
+
+@query("overlapping_runs", f"""WITH {_RUNS}, v AS (SELECT event_id AS view_id, ts AS c, ts + INTERVAL 2 MINUTE * (user_id % 9) AS d FROM events WHERE event_type = 'purchase')
+       SELECT event_id, view_id FROM runs JOIN v ON a <= d AND c <= b""")
+def overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minutes = F.make_dt_interval(mins=(2 * (F.col("user_id") % 9)).cast("int"))
+    views = load(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("view_id"), F.col("ts").alias("c"), (F.col("ts") + minutes).alias("d"))
+    return intervals.overlapping(_error_runs(spark, sf_dir), views, ("a", "b"), ("c", "d")).select("event_id", "view_id")
+
+
+@query("silent_slots", """WITH g AS (SELECT ts, event_id AS line, CASE event_type WHEN 'click' THEN 'START' WHEN 'view' THEN 'END' WHEN 'signup' THEN 'SKIP' ELSE 'OTHER' END AS event FROM events WHERE event_id % 20 = 0 OR hour(ts) < 12),
+       s AS (SELECT *, lag(event) OVER (ORDER BY ts, line) AS before, lag(ts) OVER (ORDER BY ts, line) AS begun FROM g WHERE event IN ('START', 'END')), runs AS (SELECT begun AS a, ts AS b FROM s WHERE event = 'END' AND before = 'START'),
+       said AS (SELECT DISTINCT ts::DATE AS day, hour(ts) AS hour FROM g WHERE event IN ('START', 'SKIP')), days AS (SELECT DISTINCT day FROM said ORDER BY day DESC LIMIT 20),
+       w AS (SELECT day::TIMESTAMP + to_hours(h) AS slot FROM days, unnest([8, 10, 14, 16, 18, 20]) t(h) WHERE (day, h) NOT IN (SELECT day, hour FROM said))
+       SELECT slot, CASE WHEN EXISTS (SELECT 1 FROM runs WHERE slot BETWEEN a AND b) THEN 'eaten' ELSE 'silent' END AS fate FROM w""")
+def silent_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned hours of the last twenty days in which nothing was logged: whether a run was still going on."""
+    kind = F.col("event_type")
+    event = F.when(kind == "click", "START").when(kind == "view", "END").when(kind == "signup", "SKIP").otherwise("OTHER")
+    rows = load(spark, sf_dir, "events").where("event_id % 20 = 0 or hour(ts) < 12").select("ts", F.col("event_id").alias("line"), event.alias("event"))
+    with Scratch(spark) as scratch:
+        found = intervals.silent_slots(rows, [8, 10, 14, 16, 18, 20], 20, scratch)
+        return scratch.keep(found.withColumn("slot", F.col("slot").cast("timestamp_ntz")), "silent")
 
 
 @query("quota_window", "SELECT (ts - INTERVAL 10 HOUR)::DATE::VARCHAR AS quota_day, event_type AS model, count(*) AS calls FROM events GROUP BY 1, 2")
@@ -88,13 +124,13 @@ def hot_groups_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "headway",
-    """SELECT event_type AS route, count(*) AS departures, greatest(1, round_even(900.0 / count(*), 0))::INT AS headway_min FROM events
-       WHERE hour(ts) >= 7 AND hour(ts) < 22 AND ts::DATE = DATE '2024-01-10' GROUP BY 1""",
+    """SELECT ts::DATE::VARCHAR AS day, event_type AS route, count(*) AS departures, greatest(1, round_even(900.0 / count(*), 0))::INT AS headway_min FROM events
+       WHERE hour(ts) >= 7 AND hour(ts) < 22 GROUP BY 1, 2""",
 )
 def headway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes of a 15-hour day for each departure, one at least."""
-    day = load(spark, sf_dir, "events").where((F.to_date("ts") == F.lit("2024-01-10").cast("date")) & (F.hour("ts") >= 7) & (F.hour("ts") < 22))
-    counted = day.groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("departures"))
+    """Minutes of each 15-hour day for each departure of a route, one at least."""
+    rows = load(spark, sf_dir, "events").where((F.hour("ts") >= 7) & (F.hour("ts") < 22))
+    counted = rows.groupBy(F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("route")).agg(F.count("*").alias("departures"))
     return counted.withColumn("headway_min", F.greatest(F.lit(1), F.bround(900 / F.col("departures"), 0).cast("int")))
 
 

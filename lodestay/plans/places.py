@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
-from lodestay.operators import amenities, houses, scoring
+from lodestay.operators import amenities, houses, nearest, scoring
 from lodestay.plans.registry import load, query
+from lodestay.storage import Scratch
 
 #: A synthetic zone: a rectangle of latitudes and longitudes.
 ZONE = [(32.00, 34.70), (32.00, 34.80), (32.10, 34.80), (32.10, 34.70)]
@@ -165,24 +166,76 @@ def amenity_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amenities.slot_winners(_slots(spark, sf_dir)).select("key", "target", "direction", "name", "headway")
 
 
-@query("walk_rings", "SELECT i::INT AS gate, m::INT AS minutes, m * 80.0 / 1.25 AS metres FROM range(4) t(i), (VALUES (5), (10), (15), (20)) v(m)")
+@query("walk_rings", "SELECT s_suppkey AS gate, m::INT AS minutes, m * 80.0 / 1.25 AS metres FROM supplier, (VALUES (5), (10), (15), (20)) v(m)")
 def walk_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return amenities.rings(spark.createDataFrame([(i,) for i in range(len(GATES))], "gate int"))
+    """Rings of walking time around each supplier."""
+    return amenities.rings(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gate")))
 
 
 @query(
     "tier_runs",
-    f"""WITH c AS (SELECT i // 60 AS r, i % 60 AS k, 31.95 + (i // 60 + 0.5) * (0.3 / 40) AS lat, 34.6 + (i % 60 + 0.5) * (0.4 / 60) AS lon FROM range(2400) t(i)),
+    f"""WITH p AS ({_POINTS.format(key="c_custkey", table="customer")}), b AS (SELECT min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM p),
+        c AS (SELECT i // 60 AS r, i % 60 AS k, s + (i // 60 + 0.5) * ((n - s) / 40) AS lat, w + (i % 60 + 0.5) * ((e - w) / 60) AS lon FROM range(2400) t(i), b),
         t AS (SELECT r, k, CASE WHEN lat >= 32.0 AND lat < 32.1 AND lon >= 34.7 AND lon < 34.8 THEN 'GREEN' WHEN {_WALK} <= 20 THEN 'AMBER' ELSE 'RED' END AS tier FROM c),
-        g AS (SELECT *, k - row_number() OVER (PARTITION BY r, tier ORDER BY k) AS i FROM t)
-        SELECT r AS row, tier, min(k) AS first, max(k) AS last FROM g GROUP BY r, tier, i""",
+        g AS (SELECT *, k - row_number() OVER (PARTITION BY r, tier ORDER BY k) AS i FROM t), m AS (SELECT r, tier, min(k) AS first, max(k) AS last FROM g GROUP BY r, tier, i),
+        h AS (SELECT least(39, floor((lat - s) / ((n - s) / 40)))::BIGINT AS r, least(59, floor((lon - w) / ((e - w) / 60)))::BIGINT AS k FROM p, b)
+        SELECT m.r AS row, tier, first, last, count(h.r) AS customers FROM m LEFT JOIN h ON h.r = m.r AND h.k BETWEEN first AND last GROUP BY 1, 2, 3, 4""",
 )
 def tier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raster of tiers, merged into runs of cells."""
+    """A raster of tiers over the extent of all customers, merged into runs of cells, with the customers in each."""
     ring = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ZONE))
-    cells = amenities.raster(spark, 31.95, 34.6, 32.25, 35.0, 40, 60)
+    points = _points(load(spark, sf_dir, "customer"), "c_custkey")
+    south, west, north, east = points.agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
+    cells = amenities.raster(spark, south, west, north, east, 40, 60)
     walk = geo.walk_or_estimate(F.lit(None).cast("double"), F.col("lat"), F.col("lon"), _GATES)
-    return amenities.merged_cells(cells.withColumn("tier", geo.tier(geo.in_ring(F.col("lat"), F.col("lon"), ring), walk)), "tier")
+    runs = amenities.merged_cells(cells.withColumn("tier", geo.tier(geo.in_ring(F.col("lat"), F.col("lon"), ring), walk)), "tier")
+    cell = lambda value, low, high, n: F.least(F.lit(n - 1), F.floor((value - low) / ((high - low) / n)))
+    homes = points.groupBy(cell(F.col("lat"), south, north, 40).alias("row"), cell(F.col("lon"), west, east, 60).alias("k")).agg(F.count("*").alias("c"))
+    held = runs.join(homes, (runs["row"] == homes["row"]) & F.col("k").between(F.col("first"), F.col("last")), "left")
+    return held.groupBy(runs["row"], "tier", "first", "last").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("customers"))
+
+
+#: Streets of five vertices for each supplier, and houses near and far from them for each part; a third of the houses name no street.
+_CITY = """n AS (SELECT count(*) AS s FROM supplier), v AS (SELECT 's' || s_suppkey AS street, 32 + (s_suppkey * 7919 % 10007) / 10007.0::DOUBLE * 0.2 + k * 0.0004::DOUBLE AS lat, 34.6 + (s_suppkey * 104729 % 10009) / 10009.0::DOUBLE * 0.3 + k * 0.0003::DOUBLE AS lon
+    FROM supplier, range(5) t(k)),
+    h AS (SELECT p_partkey AS house, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'u' || (p_partkey % 5) ELSE 's' || (p_partkey % s) END AS street,
+    32 + (p_partkey % s * 7919 % 10007) / 10007.0::DOUBLE * 0.2 + (p_partkey % 50) * 0.00002::DOUBLE - CASE WHEN p_partkey % 7 = 0 THEN 0.01::DOUBLE ELSE 0 END AS lat, 34.6 + (p_partkey % s * 104729 % 10009) / 10009.0::DOUBLE * 0.3 - (p_partkey % 13) * 0.00003::DOUBLE AS lon FROM part, n)"""
+
+
+def _city(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    suppliers, parts = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "part")
+    many = suppliers.count()
+    lat = lambda key: 32 + (key * 7919 % 10007) / 10007 * 0.2
+    lon = lambda key: 34.6 + (key * 104729 % 10009) / 10009 * 0.3
+    key, p, k = F.col("s_suppkey").cast("long"), F.col("p_partkey").cast("long"), F.col("k")
+    named = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    vertices = suppliers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(named(key).alias("street"), (lat(key) + k * 0.0004).alias("lat"), (lon(key) + k * 0.0003).alias("lon"))
+    street = F.when(p % 3 == 0, None).when(p % 11 == 0, F.concat(F.lit("u"), (p % 5).cast("string"))).otherwise(named(p % many))
+    houses_ = parts.select(p.alias("house"), street.alias("street"), (lat(p % many) + (p % 50) * 0.00002 - F.when(p % 7 == 0, 0.01).otherwise(0.0)).alias("lat"), (lon(p % many) - (p % 13) * 0.00003).alias("lon"))
+    return houses_, vertices
+
+
+_NEAR = "sqrt(pow((v.lat - h.lat) * 111320, 2) + pow((v.lon - h.lon) * 111320 * cos(radians(h.lat)), 2))"
+
+
+@query("nearest_street", f"""WITH {_CITY}, d AS (SELECT house, v.street, min({_NEAR}) AS metres FROM h, v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY house ORDER BY metres, street) AS i FROM d)
+       SELECT house, street, round(metres, 3) AS metres FROM r WHERE i = 1""")
+def nearest_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest street of every house, however far it is."""
+    rows, vertices = _city(spark, sf_dir)
+    with Scratch(spark) as scratch:
+        found = nearest.nearest(rows, vertices, "street", scratch)
+        return scratch.keep(rows.drop("street").join(found, ["lat", "lon"]).select("house", F.col("name").alias("street"), F.round("metres", 3).alias("metres")), "streets")
+
+
+@query("address_bind", f"""WITH {_CITY}, own AS (SELECT house, min({_NEAR}) AS m FROM h JOIN v USING (street) GROUP BY 1), d AS (SELECT house, v.street, min({_NEAR}) AS m FROM h, v WHERE h.street IS NULL GROUP BY 1, 2),
+       any_ AS (SELECT house, arg_min(street, m) AS street, min(m) AS m FROM d GROUP BY 1), b AS (SELECT h.house, CASE WHEN h.street IS NOT NULL AND (own.m IS NULL OR own.m <= 200) THEN 'by name' WHEN h.street IS NOT NULL THEN 'far from name' WHEN any_.m <= 40 THEN 'by distance' ELSE 'too far' END AS how,
+       h.street AS said, any_.street AS near FROM h LEFT JOIN own USING (house) LEFT JOIN any_ USING (house)) SELECT house, how, CASE how WHEN 'by name' THEN said WHEN 'by distance' THEN near END AS bound FROM b""")
+def address_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which street each house belongs to: by the name it gives or by distance, or why to none."""
+    rows, vertices = _city(spark, sf_dir)
+    with Scratch(spark) as scratch:
+        return scratch.keep(nearest.bound_to_streets(rows, vertices, scratch).select("house", "how", "bound"), "bound")
 
 
 @query(

@@ -7,6 +7,7 @@ from lodestay import storage
 from lodestay.functions import facts, geo, text
 from lodestay.operators import amenities, dedup, entities, houses, reports, resolver, scoring, search, streets, upserts
 from lodestay.plans import addresses as made
+from lodestay.storage import Scratch
 
 
 def test_landlords_join_by_phone_and_contactless_rows(spark):
@@ -188,11 +189,41 @@ def test_stops_and_lines(spark):
     assert amenities.without_crowds(points, 2).count() == 1
 
 
-def test_flags_belong_to_the_next_end(spark):
-    log = [("2024-01-01 01:00:00", "DOWN"), ("2024-01-01 02:00:00", "END"), ("2024-01-01 03:00:00", "END"), ("2024-01-01 04:00:00", "DOWN"), ("2024-01-02 01:00:00", "END")]
-    rows = spark.createDataFrame(log, "ts string, event string").withColumn("ts", F.col("ts").cast("timestamp"))
-    assert [r.flagged for r in reports.flagged_ends(rows, "DOWN").orderBy("ts").collect()] == [True, False, False]
-    assert tuple(reports.degraded_share(rows, "DOWN").first()) == (3, 1, 0.3333)
+def made_log(spark, lines):
+    return spark.createDataFrame([(t, e, d) for t, e, *rest in lines for d in [rest[0] if rest else ""]], "ts string, event string, detail string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_flags_belong_to_the_next_end_whatever_the_day(spark):
+    lines = [("2024-01-01 01:00:00", "DOWN"), ("2024-01-01 02:00:00", "END"), ("2024-01-01 03:00:00", "END"), ("2024-01-01 23:55:00", "DOWN"), ("2024-01-03 00:10:00", "END"), ("2024-01-03 00:20:00", "DOWN")]
+    rows = made_log(spark, lines)
+    with Scratch(spark) as scratch:
+        assert [r.flagged for r in reports.flagged_ends(rows, "DOWN", scratch).orderBy("ts").collect()] == [True, False, True]
+        assert tuple(reports.degraded_share(rows, "DOWN", scratch).first()) == (3, 2, 0.6667)
+        assert tuple(reports.degraded_share(rows.limit(0), "DOWN", scratch).first()) == (0, 0, None)
+
+
+def plain_week(lines, now):
+    pending, dangling, runs, blocked = None, 0, 0, 0
+    for ts, event, *rest in lines:
+        if event == "START":
+            dangling += pending is not None
+            pending = ts
+        elif event == "END":
+            pending = None
+            stopped = bool(rest) and "block=" in rest[0]
+            blocked, runs = blocked + stopped, runs + (not stopped)
+    return runs, blocked, dangling + (pending is not None and pending < now)
+
+
+def test_weekly_follows_starts_over_midnight_skips_and_blocks(spark):
+    night = [("2024-01-01 23:58:00", "START"), ("2024-01-02 00:30:00", "START"), ("2024-01-02 00:31:00", "SKIP"), ("2024-01-02 00:40:00", "START"), ("2024-01-02 00:50:00", "ABORT"), ("2024-01-02 01:00:00", "END", "full  60s posts=5 match=2 needs=1 read=9 age_skip=3 seen_skip=1"), ("2024-01-02 02:00:00", "END", "full posts=50 match=2 needs=1 block=1"), ("2024-01-02 03:00:00", "END", "posts=7")]
+    with Scratch(spark) as scratch:
+        for end in ([], [("2024-01-02 04:00:00", "START")], [("2024-01-02 05:30:00", "START")]):
+            row = reports.weekly(made_log(spark, night + end), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02 07:00:00").cast("timestamp"), scratch).first()
+            runs, blocked, dangling = plain_week(night + end, "2024-01-02 05:00:00")
+            assert tuple(row) == (runs, 1, blocked, dangling, 5, 2, 1, 9, 3, 1)
+        empty = reports.weekly(made_log(spark, night).limit(0), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp"), scratch).first()
+        assert tuple(empty) == (0,) * 10
 
 
 def test_refusals_health_and_accuracy(spark):

@@ -12,6 +12,7 @@ something nearer than its k-th neighbour so far, and in them it ranks only vecto
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestay.llm.vectors import BLOCK, against_blocks, best, into_tiles, matrix, result, usable
+from lodestay.llm.vectors import BLOCK, TILE, against_blocks, best, matrix, result, usable
+from lodestay.operators.numbering import numbered
 from lodestay.storage import Scratch
 
 #: Vectors from which the centre and the centroids are taken at most, bits of a query coordinate, width of the error bound.
@@ -28,6 +30,10 @@ SAMPLE, QUERY_BITS, EPSILON = 4096, 4, 2.4
 CELL_ROWS, CELLS, FIRST_ROWS = 1024, 256, 2048
 
 
+#: Components beyond which vectors are scaled down before they are squared.
+LARGE = 2.0**400
+
+
 def code_length(dims: int) -> int:
     """Bits of a code: four for each dimension, in whole words of 64."""
     return 64 * -(-4 * dims // 64)
@@ -174,7 +180,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOC
     columns are ignored.
     """
     with Scratch(vectors.sparkSession) as scratch:
-        return scratch.keep(_nearest(usable(vectors, zero=False), scratch, every, k, block), "nearest")
+        rows = usable(vectors, zero=False)
+        most = rows.agg(F.max(F.greatest(F.array_max("vector"), -F.array_min("vector")))).first()[0] or 1.0
+        # A power of two changes no digit of a distance, but keeps the squares of very long vectors finite.
+        unit = 2.0 ** (math.frexp(most)[1] - 400) if most > LARGE else 1.0
+        if unit != 1.0:
+            rows = rows.withColumn("vector", F.transform("vector", lambda x: x / unit))
+        found = _nearest(rows, scratch, every, k, block)
+        return scratch.keep(found.withColumn("score", F.col("score") * unit), "nearest")
 
 
 def _nearest(rows: DataFrame, scratch: Scratch, every: int, k: int, block: int) -> DataFrame:
@@ -205,7 +218,9 @@ def _nearest(rows: DataFrame, scratch: Scratch, every: int, k: int, block: int)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("rid", "vector", "dims")).alias("q"))
     asked = asked.select(F.col("q.rid").alias("rid"), "vec_id", F.col("q.vector").alias("vector"), F.col("q.dims").alias("dims"))
     schema = "rid long, vec_id long, vector array<double>, dims int, first array<int>, later array<int>, bounds array<double>"
-    planned = into_tiles(scratch.write(asked.mapInArrow(_plan(shared, spark.sparkContext.broadcast(cells)), schema), "planned"), "rid")
+    planned = asked.mapInArrow(_plan(shared, spark.sparkContext.broadcast(cells)), schema).withColumn("own", F.get("first", F.lit(0)))
+    # Queries of one cell make a tile, so that a block is copied for the few tiles that are near it.
+    planned = numbered(planned, ["dims", "own", "rid"], "place", scratch).withColumn("tile", F.floor(F.col("place") / TILE).cast("int"))
     into_blocks = F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)).alias("block")
     columns = ["vec_id", "vector", "dims", "tile", "limit"]
     near_cells = planned.withColumn("limit", F.lit(float("inf"))).withColumn("cell", F.explode("first"))

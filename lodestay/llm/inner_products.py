@@ -103,7 +103,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     embedding) are searched, but for the query's own vec_id. Vectors that are null, empty or hold null or
     non-finite numbers take no part; vectors meet those of their own length only. Ties go to the smaller vec_id,
     rows that repeat a vec_id count each as candidates, and once as a query. An empty table gives no rows. Further
-    columns are ignored.
+    columns are ignored. Scores are 64-bit: vectors of lengths whose square reaches 2^63 after scaling are an error.
     """
     with Scratch(vectors.sparkSession) as scratch:
         return scratch.keep(_top_products(usable(vectors, zero=True), scratch, every, k, scale, block), "products")
@@ -122,6 +122,8 @@ def _top_products(rows: DataFrame, scratch: Scratch, every: int, k: int, scale:
     edges = sorted(set(edges), reverse=True)
     # Vectors of one length may be more than a block: those of a bin are dealt on by their ids.
     sized = rows.withColumn("bin", _bin(edges)).groupBy("dims", "bin").agg(F.count("*").alias("rows"), F.max("norm").alias("most")).collect()
+    if any(r["most"] ** 2 >= 2.0**63 for r in sized):
+        raise ValueError("inner products of these vectors do not fit 64 bits")
     numbers, base, first = [], 0, {}
     for r in sorted(sized):
         head = first.setdefault(r["dims"], r["bin"]) == r["bin"]

@@ -309,6 +309,13 @@ class ViterbiEncoder(UnitCache):
 
     def _bytes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, ends = text_buffers(texts)
+        marks = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        if len(marks):  # the pieces' own sign for a blank is one, and makes one run with blanks beside it
+            data, kept = data.copy(), np.ones(len(data), bool)
+            data[marks] = 32
+            kept[marks + 1] = kept[marks + 2] = False
+            ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+            data = data[kept]
         filled = ends[:-1][np.diff(ends) > 0]
         added = np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
         return np.insert(data, filled, 32), ends + added

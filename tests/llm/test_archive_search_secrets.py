@@ -336,3 +336,47 @@ def test_pipeline_stages(spark):
         assert p.packing(spark, table, sf).count() == table.count()
     pieces = p.packing(spark, kept, sf)
     assert pieces.select("doc_id").distinct().count() == kept.count()
+
+
+def test_products_that_do_not_fit_are_an_error(spark):
+    rows = spark.createDataFrame([(i, [1e9, 1.0 * i]) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_products(rows)
+    large = spark.createDataFrame([(i, [1e6, 1.0 * i]) for i in range(60)], "vec_id long, embedding array<double>")
+    whole = {i: [int(256e6), 256 * i] for i in range(60)}
+    dot = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+    wanted = {(q, r + 1, v, dot(q, v)) for q in (0, 50) for r, v in enumerate(sorted((i for i in whole if i != q), key=lambda i: (-dot(q, i), i))[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_products(large).collect()} == wanted
+
+
+def test_nearest_of_very_long_vectors(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 6)) * 1e160
+    x[::7] *= 1e-150
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(q.query_id, q["rank"]): (q.vec_id, q.score) for q in nearest(rows).collect()}
+    for q in (0, 100, 200):
+        far = np.sqrt(((x / 1e160 - x[q] / 1e160) ** 2).sum(1))
+        order = [i for i in np.argsort(far, kind="stable").tolist() if i != q][:10]
+        assert sum(found[q, k + 1][0] == i for k, i in enumerate(order)) >= 9
+        assert all(np.isclose(found[q, k][1], far[found[q, k][0]] * 1e160, rtol=1e-12) for k in range(1, 11))
+
+
+def test_queries_of_one_cell_share_a_tile(spark, monkeypatch):
+    from lodestay.llm import binary_codes
+
+    monkeypatch.setattr(binary_codes, "TILE", 8)
+    monkeypatch.setattr(binary_codes, "CELL_ROWS", 64)
+    monkeypatch.setattr(binary_codes, "FIRST_ROWS", 100)
+    seen = []
+    before = binary_codes.against_blocks
+    monkeypatch.setattr(binary_codes, "against_blocks", lambda q, c, *rest: (seen.append(q.select("dims", "block", "tile").distinct().count()), before(q, c, *rest))[1])
+    r = np.random.default_rng(1)
+    x = np.repeat(r.normal(size=(20, 8)) * 50, 200, axis=0) + r.normal(size=(4000, 8))
+    x = x[r.permutation(4000)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for q in binary_codes.nearest(rows, every=20).collect():
+        found.setdefault(q.query_id, set()).add(q.vec_id)
+    hits = sum(len(found[q] & {i for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:11].tolist() if i != q}) for q in range(0, 4000, 20))
+    assert hits >= 0.95 * 10 * 200 and seen[0] < 200

@@ -239,7 +239,7 @@ def test_bpe_ids_equal_the_library_on_whole_texts(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    texts += [*ODD, "the information", "      six     blanks ", "日本語の文章です" * 40, "ab" * 500, "x▁y ▁▁ z", "aaaaaaaaaaaaaaaaaaaaaaa", "😀" * 70]
+    texts += [*ODD, "the information", "      six     blanks ", "日本語の文章です" * 40, "ab" * 500, "x▁y ▁▁ z", "▁  a ▁ ▁b", "a\u2581  b  \u2581", "▁", "▁ ", " ▁▁  c▁", "aaaaaaaaaaaaaaaaaaaaaaa", "😀" * 70]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in encode(rows, path).collect():
         assert np.frombuffer(r.ids or b"", "<u4").tolist() == library.encode(r.text or ""), r.text

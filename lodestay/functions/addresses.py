@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Words of addresses, sources of points and how exact they are.
 STREET_WORDS = ["רחוב", "רח'", "רח׳", "שדרות", "שד'", "שד׳", "דרך", "סמטת", "סמטה", "שביל", "רחבת", "כיכר", "משעול"]
-_NEAR = r"ליד|קרוב\s+ל|בסמוך|קרבת|צמוד\s+ל|מול\s+שער|במרחק"
+NEAR = r"ליד|קרוב\s+ל|בסמוך|קרבת|צמוד\s+ל|מול\s+שער|במרחק"
 _INSTITUTION = (
     r"אוניברסיט\S*(?:\s+בן\s+גוריון)?|בן\s+גוריון\s+אוניברסיט\S*"
     r"|סורוקה|בית\s+חולים|ביה[\"״']?ח|הקריה\s+הרפואית|קמפוס|שער\s+האוניברסיטה"
@@ -44,6 +44,12 @@ def bare_street(address: Column) -> Column:
     return _yes((F.length(address) > 0) & ~F.regexp_like(address, F.lit("[0-9]"))) & ~bare_quarter(address)
 
 
+def vague(address: Column) -> Column:
+    """Whether an address names neither a quarter nor a street by a word for one nor a number behind letters: nothing can be pinned."""
+    street = F.exists(F.array(*map(F.lit, STREET_WORDS)), lambda w: F.contains(address, w))
+    return _yes(~bare_quarter(address) & ~street & ~F.regexp_like(address, F.lit(r"[א-ת]\s*\d")))
+
+
 def only_quarter(address: Column) -> Column:
     """Whether nothing is left of an address when the names of quarters are taken away."""
     left = F.regexp_replace(F.regexp_replace(address, _QUARTER_PHRASE, " "), "^[\\s,\\-–'\"׳״־]+|[\\s,\\-–'\"׳״־]+$", "")
@@ -52,7 +58,7 @@ def only_quarter(address: Column) -> Column:
 
 def only_bearing(address: Column, names_street: Column | None = None) -> Column:
     """Whether an address is only near something, or an institution: no number and, where that is known, no street."""
-    said = F.regexp_like(address, F.lit(f"{_NEAR}|{_INSTITUTION}"))
+    said = F.regexp_like(address, F.lit(f"{NEAR}|{_INSTITUTION}"))
     numbered = F.regexp_like(address, F.lit(r"(?<![\p{L}\p{N}_])[0-9]{1,4}(?![\p{L}\p{N}_])"))
     return _yes(said & ~numbered) & (~_yes(names_street) if names_street is not None else F.lit(True))
 

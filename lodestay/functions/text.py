@@ -57,7 +57,7 @@ def html_text(html: Column) -> Column:
 
 def blocks(text: Column, least: int = 40) -> Column:
     """Lines that have ``least`` characters or more."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda b: F.length(b) >= least)
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda b: F.length(b) >= least)
 
 
 def sections(text: Column, heading: str, chrome: str | None = None, least: int = 40) -> Column:
@@ -68,12 +68,13 @@ def sections(text: Column, heading: str, chrome: str | None = None, least: int =
     seams = F.size(F.regexp_extract_all(text, F.lit(f"(?m){heading}"), F.lit(0)))
     parts = F.when(seams >= 2, F.split(text, f"(?m)(?={heading})")).otherwise(F.split(text, r"\n\s*\n"))
     good = lambda b: (F.length(b) >= least) & (~F.regexp_like(b, F.lit(chrome)) if chrome else F.lit(True))
-    return F.filter(F.transform(parts, F.trim), good)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), good)
 
 
 def post_id(url: Column) -> Column:
     """The number of a post in its address."""
-    return F.nullif(F.regexp_extract(url, r"/(?:posts|permalink)/([0-9]+)|[?&]story_fbid=([0-9]+)", 1), F.lit(""))
+    pattern = r"/(?:posts|permalink)/([0-9]+)|[?&]story_fbid=([0-9]+)"
+    return F.coalesce(*(F.nullif(F.regexp_extract(url, pattern, i), F.lit("")) for i in (1, 2)))
 
 
 def clean_url(url: Column) -> Column:
@@ -92,10 +93,40 @@ def story(text: Column, tails: list[str], chrome: str) -> Column:
     cut = text
     for t in tails:
         cut = F.substring_index(cut, t, 1)
-    lines = F.filter(F.transform(F.split(cut, "\n"), F.trim), lambda x: (F.length(x) > 1) & ~F.regexp_like(x, F.lit(chrome)) & ~F.regexp_like(x, F.lit("^[0-9.,KM ]+$")))
+    lines = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & ~F.regexp_like(x, F.lit(chrome)) & ~F.regexp_like(x, F.lit("^[0-9.,KM ]+$")))
     return F.array_join(lines, "\n")
 
 
+#: The age that stands under the author of a post; an author's name is no longer than this.
+STORY_AGE, AUTHOR = r"^[0-9]{1,2}\s*[smhdw]$", 40
+#: A post has this many characters at least, and a letter of the posts' language.
+LEAST_POST, LETTER = 40, "[\u0590-\u05ff]"
+
+
+def first_story(text: Column) -> Column:
+    """The lines of a text without blank ones, up to the author and age of a second post that was captured with it.
+
+    Such a header is an age alone in its line, with a short line above it; the first two lines are the post's own.
+    """
+    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    places = F.when(F.size(lines) > 2, F.sequence(F.lit(2), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    header = lambda i: F.regexp_like(F.get(lines, i), F.lit(STORY_AGE)) & (F.length(F.get(lines, i - 1)) <= AUTHOR)
+    first = F.get(F.filter(places, header), F.lit(0))
+    return F.array_join(F.slice(lines, F.lit(1), F.coalesce(first - 1, F.size(lines))), "\n")
+
+
+def holds_another_story(text: Column) -> Column:
+    """Whether a text runs on into a second post."""
+    lines = F.array_join(F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    return F.coalesce(first_story(text) != lines, F.lit(False))
+
+
+def is_post(text: Column, images: Column) -> Column:
+    """Whether something captured is a post: long enough and in the posts' language, or with a picture that may hold its text."""
+    said = F.coalesce((F.length(text) >= LEAST_POST) & F.regexp_like(text, F.lit(LETTER)), F.lit(False))
+    return said | (F.coalesce(F.size(images), F.lit(0)) > 0)
+
+
 def core_token(name: Column, generic: list[str]) -> Column:
     """The longest word of a name that is not a generic one, of equal ones the first; null if all are."""
     words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: ~w.isin(*generic) & (w != ""))

@@ -14,6 +14,8 @@ from lodestay.functions import geo
 METRES = geo.METRES_A_DEGREE
 #: Metres that a number may lie beyond the last anchor, numbers to a neighbour on one side, metres to a building it is moved to.
 MOST_BEYOND, MOST_NUMBERS, SNAP = 150.0, 2, 25.0
+#: Metres from its street within which an address is believed.
+MOST_OFFSET = 200.0
 TYPICAL = 8.0
 #: Bounds of believable metres for each number; of the audit of an order: anchors at least, share that must agree.
 PER_NUMBER, LEAST_ANCHORS, CONSENSUS, MOST_GAP = (0.5, 40.0), 4, 0.6, 300.0
@@ -289,3 +291,33 @@ def stitched(ways: DataFrame, ring: str = "ring") -> DataFrame:
     kind = ways.schema["points"].dataType.simpleString()
     gathered = ways.groupBy(ring).agg(F.to_json(F.array_sort(F.collect_list("points"))).alias("ways"))
     return gathered.mapInPandas(join, f"{ring} string, points {kind}")
+
+
+def chained(candidates: DataFrame, scratch: Scratch, most: float = MOST_OFFSET) -> DataFrame:
+    """The candidates (street, place, lat, lon, off) that are accepted one after another in the order of their unique places.
+
+    One is accepted if it lies within ``most`` metres of its street's geometry (``off``; null: nobody knows that), or of an
+    accepted one of its street that came before it. Each round tests only those that the round before accepted against
+    those still open, in cells around them; rounds end when none is new, after as many as the longest chain has links.
+    A candidate without a point, and with an off beyond ``most``, is not.
+    """
+    near = F.col("off").isNull() | (F.col("off") <= most)
+    new = scratch.write(candidates.where(near), "accepted")
+    open_ = scratch.write(candidates.where(~near & F.col("lat").isNotNull() & F.col("lon").isNotNull()), "open")
+    accepted = [new]
+    high = most / geo.METRES_A_DEGREE * 1.01
+    # A degree of longitude is shorter than one of latitude: up to 80 degrees north, six times.
+    row, column = F.floor(F.col("lat") / high).alias("_i"), F.floor(F.col("lon") / (6 * high)).alias("_j")
+    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct(i.alias("di"), j.alias("dj"))))))
+    while not new.isEmpty():
+        spread = new.select("street", F.col("place").alias("_before"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), row, column, around.alias("d"))
+        spread = spread.select("street", "_before", "_lat", "_lon", (F.col("_i") + F.col("d.di")).alias("_i"), (F.col("_j") + F.col("d.dj")).alias("_j"))
+        met = open_.withColumns({"_i": F.floor(F.col("lat") / high), "_j": F.floor(F.col("lon") / (6 * high))}).join(spread, ["street", "_i", "_j"])
+        close = met.where((F.col("_before") < F.col("place")) & (geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= most))
+        new = scratch.write(open_.join(close.select("street", "place").distinct(), ["street", "place"], "left_semi"), "accepted")
+        open_ = scratch.write(open_.join(new.select("street", "place"), ["street", "place"], "left_anti"), "open")
+        accepted.append(new)
+    out = accepted[0]
+    for more in accepted[1:]:
+        out = out.unionByName(more)
+    return out

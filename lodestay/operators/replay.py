@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestay.functions import addresses
+from lodestay.functions import text as texts
 from lodestay.operators.snapshots import Snapshots
 from lodestay.operators.upserts import enrich
 
@@ -15,8 +16,9 @@ from lodestay.operators.upserts import enrich
 LISTED = ("MATCH", "NEEDS_DATA")
 
 
-def selected(posts: DataFrame, least_score: int | None = None, only_imprecise: bool = False, only_bare_quarter: bool = False) -> DataFrame:
-    """Posts (address, score, ...) worth judging anew: of a stored score, or of a place that is no more than a street or a quarter.
+def selected(posts: DataFrame, least_score: int | None = None, only_imprecise: bool = False, only_bare_quarter: bool = False, only_merged: bool = False) -> DataFrame:
+    """Posts (address, text, score, ...) worth judging anew: of a stored score, of a place that is no more than a street or a
+    quarter, or of a text that runs on into a second post.
 
     A post without a score counts as 0, one without an address is never imprecise.
     """
@@ -26,7 +28,7 @@ def selected(posts: DataFrame, least_score: int | None = None, only_imprecise: b
     if only_imprecise or only_bare_quarter:
         vague = addresses.bare_quarter(F.col("address"))
         kept = kept.where(vague if only_bare_quarter else vague | addresses.bare_street(F.col("address")))
-    return kept
+    return kept.where(texts.holds_another_story(F.col("text"))) if only_merged else kept
 
 
 def judged(posts: DataFrame, classify: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -214,13 +214,27 @@ def pin_worklist(listings: DataFrame, limit: int = 8) -> DataFrame:
     return rows.orderBy(F.desc("fixes"), facts.house_number(F.col("address")).isNull(), "address", "key").limit(limit).select("key", "address", "fixes")
 
 
-def unknown_locations(events: DataFrame, placed: DataFrame, by_design: Column, since: Column, limit: int = 8) -> DataFrame:
-    """(location, n, last_seen) of names (location, ts) that could not be placed since then, the commonest first.
+def split_unknowns(events: DataFrame, placed: DataFrame, by_design: Column, since: Column) -> DataFrame:
+    """(location, n, last_seen, kind) of names (location, ts) that could not be placed since then.
 
-    Names that are ``placed`` (location) by now are left out, as are those that never should be.
+    kind is resolved for a name that is ``placed`` (location) by now, by design for one that must never be pinned, else
+    pinnable; what is resolved is so whatever else it is.
     """
-    rows = events.where(F.col("ts") >= since).groupBy("location").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
-    left = rows.join(placed.select("location").distinct(), "location", "left_anti").where(~F.coalesce(by_design, F.lit(False)))
+    rows = events.where((F.col("ts") >= since) & F.col("location").isNotNull()).groupBy("location").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
+    done = placed.select("location").distinct().withColumn("_placed", F.lit(True))
+    kind = F.when(F.col("_placed"), "resolved").when(F.coalesce(by_design, F.lit(False)), "by design").otherwise("pinnable")
+    return rows.join(done, "location", "left").select("location", "n", "last_seen", kind.alias("kind"))
+
+
+def unknown_counts(split: DataFrame) -> DataFrame:
+    """One row over ``split_unknowns``: how many names were logged, how many are worth a pin, and the two groups that are not shown."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return split.agg(F.count("*").alias("logged"), of("pinnable").alias("pinnable"), of("resolved").alias("resolved"), of("by design").alias("by_design"))
+
+
+def unknown_locations(events: DataFrame, placed: DataFrame, by_design: Column, since: Column, limit: int = 8) -> DataFrame:
+    """(location, n, last_seen) of the names worth a pin, the commonest first."""
+    left = split_unknowns(events, placed, by_design, since).where("kind = 'pinnable'").select("location", "n", "last_seen")
     return left.orderBy(F.desc("n"), F.desc("last_seen"), "location").limit(limit)
 
 

@@ -14,7 +14,6 @@ from lodestay.functions import facts, geo
 from lodestay.operators import houses, streets
 from lodestay.storage import Scratch
 
-NEAR = r"ליד|קרוב\s+ל|בסמוך|קרבת|צמוד\s+ל|מול\s+שער|במרחק"
 QUARTER = "^שכונ[הת]"
 #: Characters before a place in which a word of nearness governs it, least length of an address found inside a name,
 #: parts of an address that are tried as the street of its number.
@@ -80,7 +79,7 @@ def containing(asked: DataFrame, places: DataFrame) -> DataFrame:
 def governed(text: Column, pos: Column) -> Column:
     """Whether a word of nearness stands just before a position, with no comma, stop, bar or slash between."""
     before = F.substr(text, F.greatest(pos - LOOKBACK, F.lit(0)) + 1, F.least(pos, F.lit(LOOKBACK)))
-    return (pos > 0) & F.regexp_like(F.regexp_extract(before, "[^,.|/،]*$", 0), F.lit(NEAR))
+    return (pos > 0) & F.regexp_like(F.regexp_extract(before, "[^,.|/،]*$", 0), F.lit(kinds.NEAR))
 
 
 def _place_tier(asked: DataFrame, places: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def resolve(
         house = tries.join(placed, ["street", "number"])
         house = house.groupBy("address").agg(F.min(F.struct("place", "lat", "lon", "how")).alias("b")).select("address", _point(F.col("b.lat"), F.col("b.lon"), F.col("b.how")).alias("house"))
         middle = houses.street_middle(vertices).select(F.col("street").alias("named"), _point(F.col("lat"), F.col("lon"), F.lit("street_geom")).alias("middle"))
-        said = asked.where(F.regexp_like("folded", F.lit(NEAR)))
+        said = asked.where(F.regexp_like("folded", F.lit(kinds.NEAR)))
         bearing = contained(said, every.where("kind = 'bearing'")).groupBy("address").agg(F.min(F.struct("rank", "lat", "lon")).alias("b"))
         bearing = bearing.select("address", _point(F.col("b.lat"), F.col("b.lon"), F.lit("landmark")).alias("near_to"))
 

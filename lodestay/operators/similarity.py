@@ -2,26 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestay.operators.numbering import numbered, running_total
+from lodestay.storage import Scratch
 
-def similar_texts(rows: DataFrame, key: str, tokens: str, threshold: float, least: int = 8) -> DataFrame:
-    """(a, b, similarity) of row pairs, a < b, whose distinct-token arrays of ``least`` or more reach a Jaccard value.
+#: Similarity from which a post is a repost, tokens that both must have, and days that may lie between them.
+REPOST, LEAST_TOKENS, REPOST_DAYS = 0.72, 8, 4
 
-    A pair at the threshold shares one of the first ``n - ceil(t n) + 1`` tokens in one order of rarity, so only
-    those are joined; the number of tokens in common is then counted on the candidates alone.
-    """
-    rows = rows.select(F.col(key).alias("k"), F.col(tokens).alias("t"), F.size(tokens).alias("n")).where(F.col("n") >= least)
-    said = rows.select("k", "n", F.explode("t").alias("token"))
-    rarity = said.groupBy("token").agg(F.count("*").alias("rows"))
-    ordered = said.join(rarity, "token").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    keyed = ordered.select("k", "n", F.explode(prefix).alias("x")).select("k", "n", F.col("x.token").alias("token"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    close = (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & close).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = rows.select(F.col("k").alias("a"), F.col("t").alias("ta")), rows.select(F.col("k").alias("b"), F.col("t").alias("tb"))
+
+def token_sets(rows: DataFrame, key: str, tokens: str, least: int, scratch: Scratch) -> DataFrame:
+    """(k, n, ids) of rows with ``least`` distinct tokens or more: their tokens as numbers in order, the rarest first."""
+    sized = rows.select(F.col(key).alias("k"), F.col(tokens).alias("t"), F.size(tokens).alias("n")).where(F.col("n") >= least)
+    said = sized.select("k", "n", F.explode("t").alias("token"))
+    rarity = numbered(said.groupBy("token").agg(F.count("*").alias("rows")), ["rows", "token"], "id", scratch).select("token", "id")
+    return scratch.write(said.join(rarity, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list("id")).alias("ids")), "sets")
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(k, n, id, place) of the first ``n - ceil(threshold n) + 1`` tokens of each set: two that are alike share one of them."""
+    first = F.slice("ids", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    return sets.select("k", "n", F.posexplode(first).alias("place", "id"))
+
+
+def _may_be_alike(a: str, b: str, threshold: float) -> Column:
+    """Whether two sets can be alike by their sizes and by what is left of both from a common token on, if it is their first."""
+    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
+    needed = F.ceil(threshold / (1 + threshold) * (n + m) - F.lit(1e-9))
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs (a, b) that reach ``threshold``."""
+    left, right = sets.select(F.col("k").alias("a"), F.col("ids").alias("ta")), sets.select(F.col("k").alias("b"), F.col("ids").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both))
     return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+def similar_texts(rows: DataFrame, key: str, tokens: str, threshold: float, least: int, scratch: Scratch) -> DataFrame:
+    """(a, b, similarity) of row pairs, a < b, whose distinct-token arrays of ``least`` or more reach a Jaccard value.
+
+    Tokens are numbered by rarity. A pair at the threshold shares one of its first tokens, so only those are joined; from the
+    first one that two sets share, enough must be left of both. What is common is then counted on the candidates alone.
+    """
+    sets = token_sets(rows, key, tokens, least, scratch)
+    index = prefixes(sets, threshold)
+    a, b = index.alias("a"), index.alias("b")
+    met = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.k") < F.col("b.k")) & _may_be_alike("a", "b", threshold))
+    return verified(met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), sets, threshold)
+
+
+def best_reposts(rows: DataFrame, scratch: Scratch, days: int = REPOST_DAYS, threshold: float = REPOST, least: int = LEAST_TOKENS) -> DataFrame:
+    """(key, earlier, similarity): for each row (key, ts, tokens) the most similar row of the ``days`` before it, if one reaches ``threshold``.
+
+    Of equally similar ones the earliest counts, then the least key; a row of the same moment is not earlier. Rows with
+    fewer than ``least`` distinct tokens, without a key or without a time take no part. Equal token sets are one class, and
+    classes meet only if they have rows in the same or the next band of ``days``. Which row of a class is the first one
+    in reach is a place in the order of all rows, found by a running count: copies make no pairs, however many they are.
+    """
+    span = days * 86_400_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    good = rows.select("key", micros.alias("ts"), F.array_distinct("tokens").alias("tokens")).where(F.col("key").isNotNull() & F.col("ts").isNotNull() & (F.size("tokens") >= least))
+    good = good.withColumn("h", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256))
+    classes = numbered(good.groupBy("h").agg(F.first("tokens").alias("tokens")), ["h"], "class", scratch)
+    placed = scratch.write(good.select("key", "ts", "h").join(classes.select("h", "class"), "h").select("key", "ts", "class"), "placed")
+    sets = token_sets(classes, "class", "tokens", least, scratch)
+    bands = scratch.write(placed.select(F.col("class").alias("k"), F.floor(F.col("ts") / span).alias("band")).distinct(), "bands")
+
+    index = prefixes(sets, threshold).join(bands, "k")
+    probe = index.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    a, b = probe.alias("a"), index.alias("b")
+    met = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.k") != F.col("b.k")) & _may_be_alike("a", "b", threshold))
+    pairs = verified(met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), sets, threshold)
+    own = placed.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    links = scratch.write(pairs.unionByName(own), "links")
+
+    # All rows by class and time, and among them for each row the moment from which a row of a like class is in reach.
+    line = placed.select("class", "ts", F.lit(1).alias("order"), "key", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("until"))
+    asks = placed.join(links, F.col("class") == F.col("a")).select(F.col("b").alias("class"), (F.col("ts") - span).alias("ts"), F.lit(0).alias("order"), "key", "similarity", F.col("ts").alias("until"))
+    total = running_total(line.unionByName(asks), ["class", "ts", "order", "key"], F.col("order"), "place", scratch)
+    earlier = total.where("order = 1").select("place", F.col("class").alias("_class"), F.col("ts").alias("_ts"), F.col("key").alias("earlier"))
+    found = total.where("order = 0").join(earlier, "place").where("class = _class and _ts < until")
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "_ts", "earlier")).alias("best")
+    return found.groupBy("key").agg(best).select("key", F.col("best.earlier").alias("earlier"), (-F.col("best.s")).alias("similarity"))

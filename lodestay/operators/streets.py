@@ -2,7 +2,7 @@
 
 A token is tried as it is, without a one-letter prefix, without its word for a road, as a run of words that only one
 street has, then by runs of words inside it, and last by likeness. All tries of all tokens are keys of one join; the
-best try wins. Only what is left is compared with every name.
+best try wins. What is left is compared with the names that share enough pairs of letters with it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ PREFIXES = "הבלמוש"
 ROAD_TYPES = ["דרך", "רחוב", "שדרות", "שדרת", "סמטת", "סמטה", "שביל", "כביש", "כיכר", "ככר"]
 TITLES = ["הרב", "רב", 'ד"ר', "דר", "פרופ", "פרופסור", "הרבי"]
 LEAST_LIKENESS, TOUCH_M = 0.82, 50.0
-#: Street names up to which likeness is tried; a city has some thousands.
-MOST_NAMES = 100_000
 _PARTS = r"[,/|]|(?<![\p{L}\p{N}_])(?:(?:פינת|פינה|מול|ליד)(?![\p{L}\p{N}_])|בין(?![\p{L}\p{N}_])(?=.*(?<![\p{L}\p{N}_])ל))"
 
 
@@ -112,27 +110,42 @@ def canonical(tokens: DataFrame, streets: DataFrame, pools: DataFrame | None = N
     return found.unionByName(_alike(asked.join(found, "token", "left_anti"), known.where("kind = 'index'"), likeness))
 
 
+def _numbered_pairs(name: Column) -> Column:
+    """All pairs of neighbouring letters of a name, each with how often it stood before: equal pairs are told apart."""
+    pair = lambda i: F.substring(name, i, F.lit(2))
+    before = lambda i: F.size(F.filter(F.sequence(F.lit(1), i), lambda j: pair(j) == pair(i)))
+    return F.when(F.length(name) >= 2, F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.concat(pair(i), before(i).cast("string"))))
+
+
+def _ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The share of letters in matching blocks, as difflib counts them, of each (form, key)."""
+    import difflib
+
+    for frame in frames:
+        ratio = [difflib.SequenceMatcher(None, key, form).ratio() for form, key in zip(frame["form"], frame["key"], strict=True)]
+        yield frame.assign(ratio=ratio)
+
+
 def _alike(asked: DataFrame, index: DataFrame, least: float) -> DataFrame:
-    """The street whose key is most like a token (matching blocks, as difflib counts them), if it is like enough."""
-    names = index.select("key", "street").limit(MOST_NAMES + 1).collect()
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} street names")
-    keys = {r["key"]: r["street"] for r in sorted(names)}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
-
-        for frame in frames:
-            rows = []
-            for token, n in zip(frame["token"], frame["n"], strict=True):
-                for form in (n, n[1:] if len(n) >= 3 and n[0] in PREFIXES else None):
-                    best = difflib.get_close_matches(form, list(keys), n=1, cutoff=least) if form else []
-                    if best:
-                        rows.append((token, keys[best[0]], "fuzzy"))
-                        break
-            yield pd.DataFrame(rows, columns=["token", "street", "how"])
-
-    return asked.select("token", "n").mapInPandas(run, "token string, street string, how string")
+    """The street whose key is most like a token by matching blocks, if it is like enough; a token as it is before one without its prefix.
+
+    Of a pair of lengths that add up to s, at least m = ceil(least s / 2) letters match, in at most s - 2m + 1 blocks, so
+    3m - s - 1 pairs of neighbouring letters are common; for 0.8 and more that is one at least. Names and tokens meet
+    on such pairs, and only those that have enough of them are compared. Any number of names will do.
+    """
+    if least < 0.8:
+        raise ValueError("likeness below 0.8 is not bounded by common pairs of letters")
+    forms = asked.select("token", F.posexplode(F.array("n", without_prefix(F.col("n")))).alias("place", "form")).where("form is not null")
+    sought = forms.select("*", F.explode(_numbered_pairs(F.col("form"))).alias("pair"))
+    known = index.select("key", "street").select("*", F.explode(_numbered_pairs(F.col("key"))).alias("pair"))
+    total = F.length("form") + F.length("key")
+    enough = F.ceil(F.lit(least) / 2 * total)
+    possible = (F.least(F.length("form"), F.length("key")) >= enough) & (F.col("common") >= 3 * enough - total - 1)
+    met = sought.join(known, "pair").where(F.least(F.length("form"), F.length("key")) >= enough)
+    met = met.groupBy("token", "place", "form", "key", "street").agg(F.count("*").alias("common")).where(possible).drop("common")
+    scored = met.mapInPandas(_ratios, "token string, place int, form string, key string, street string, ratio double").where(F.col("ratio") >= least)
+    best = scored.groupBy("token").agg(F.max_by("street", F.struct(-F.col("place"), "ratio", "key")).alias("street"))
+    return best.select("token", "street", F.lit("fuzzy").alias("how"))
 
 
 def pools_of(vertices: DataFrame, touch: float = TOUCH_M) -> DataFrame:

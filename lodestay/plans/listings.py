@@ -225,11 +225,23 @@ def field_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unknown_locations", """SELECT n_name AS location, count(*) AS n, max(o_orderdate)::TIMESTAMP AS last_seen FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND n_regionkey <> 2 AND n_name NOT LIKE '%A' GROUP BY 1 ORDER BY n DESC, last_seen DESC, location LIMIT 8""")
 def unknown_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, placed = _unplaced(spark, sf_dir)
+    return reports.unknown_locations(events, placed, F.col("location").endswith("A"), F.lit("1996-01-01").cast("timestamp"))
+
+
+def _unplaced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("location"), "n_regionkey")
     named = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(nation, "c_nationkey")
     events = load(spark, sf_dir, "orders").join(named, "o_custkey").select("location", F.col("o_orderdate").cast("timestamp").alias("ts"))
-    placed = nation.where("n_regionkey = 2").select("location")
-    return reports.unknown_locations(events, placed, F.col("location").endswith("A"), F.lit("1996-01-01").cast("timestamp"))
+    return events, nation.where("n_regionkey = 2").select("location")
+
+
+@query("unknown_counts", """WITH u AS (SELECT n_name, any_value(n_regionkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+       SELECT count(*) AS logged, count(*) FILTER (WHERE r <> 2 AND n_name NOT LIKE '%A') AS pinnable, count(*) FILTER (WHERE r = 2) AS resolved, count(*) FILTER (WHERE r <> 2 AND n_name LIKE '%A') AS by_design FROM u""")
+def unknown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of the report: all names, those worth a pin, and both groups that it leaves out."""
+    events, placed = _unplaced(spark, sf_dir)
+    return reports.unknown_counts(reports.split_unknowns(events, placed, F.col("location").endswith("A"), F.lit("1996-01-01").cast("timestamp")))
 
 
 #: A log over months: runs cross midnight, skips and aborts stand between starts, some ENDs are blocked, some report half of their numbers.

@@ -325,3 +325,14 @@ def gap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = gap_ranges(anchors, "street", "number").join(ends, "street").where(F.col("first_n") % 2 == F.col("low") % 2)
     gaps = gaps.select("street", F.explode(F.sequence("first_n", "last_n", F.lit(2).cast("int"))).alias("number"))
     return houses.round_robin(gaps, 30)
+
+
+@query("chained_anchors", """WITH RECURSIVE c AS (SELECT p_partkey AS place, 's' || (p_partkey % 40) AS street, 32 + ((p_partkey * 37 % 997) % 100) * 0.0005::DOUBLE AS lat, ((p_partkey * 37 % 997) % 100) * 55.6 AS off FROM part),
+       a AS (SELECT * FROM c WHERE off <= 200 UNION SELECT c.* FROM c JOIN a ON c.street = a.street AND a.place < c.place AND abs(c.lat - a.lat) * 111195 <= 200) SELECT street, place FROM a""")
+def chained_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that are believed because they are near their street, or near one of it that was believed before."""
+    key = F.col("p_partkey").cast("long")
+    step = (key * 37 % 997) % 100
+    rows = load(spark, sf_dir, "part").select(key.alias("place"), F.concat(F.lit("s"), (key % 40).cast("string")).alias("street"), (32 + step * 0.0005).alias("lat"), F.lit(34.8).alias("lon"), (step * 55.6).alias("off"))
+    with Scratch(spark) as scratch:
+        return scratch.keep(houses.chained(rows, scratch).select("street", "place"), "chained")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestay.functions import text as text_functions
 from lodestay.operators import similarity, upserts
 from lodestay.plans.registry import load, query
+from lodestay.storage import Scratch
 
 #: Trimmed of white space at both ends, runs collapsed: what a signature is taken from.
 _FLAT = "trim(regexp_replace(regexp_replace(text, '[\u200E\u200F\u202A-\u202E\u2066-\u2069\uFEFF]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -43,10 +44,12 @@ def merge_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents alike at 0.72 or more, eight tokens at least; the inverted index does without a pair join."""
-    return alike(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text_functions.tokens(F.col("text")).alias("tokens")))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text_functions.tokens(F.col("text")).alias("tokens"))
+    with Scratch(spark) as scratch:
+        return scratch.keep(alike(rows, scratch), "alike")
 
 
-def alike(rows: DataFrame, threshold: float = 0.72, least: int = 8) -> DataFrame:
+def alike(rows: DataFrame, scratch: Scratch, threshold: float = 0.72, least: int = 8) -> DataFrame:
     """(a, b, similarity, kind) for rows (key, tokens): what every similar pair follows from, without a row for each pair of copies.
 
     Keys with equal tokens are a class, named by its least key. A ``member`` row says that b is in the class of a, at
@@ -57,10 +60,27 @@ def alike(rows: DataFrame, threshold: float = 0.72, least: int = 8) -> DataFrame
     several = classes.where("keys > 1").select("h", "a")
     copies = rows.select("h", F.col("key").alias("b")).distinct().join(several, "h").where("a <> b")
     members = copies.select("a", "b", F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
-    pairs = similarity.similar_texts(classes, "a", "tokens", threshold, least).withColumn("kind", F.lit("pair"))
+    pairs = similarity.similar_texts(classes, "a", "tokens", threshold, least, scratch).withColumn("kind", F.lit("pair"))
     return pairs.unionByName(members)
 
 
+@query(
+    "best_reposts",
+    """WITH t AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_hours((doc_id * 7 % 2400)::INT) AS ts, list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS x FROM documents WHERE text IS NOT NULL),
+       p AS (SELECT a.doc_id AS key, b.doc_id AS earlier, b.ts, len(list_intersect(a.x, b.x)) AS s, len(a.x) + len(b.x) AS total FROM t a JOIN t b ON b.ts < a.ts AND b.ts >= a.ts - INTERVAL 4 DAY
+       AND len(a.x) >= 8 AND len(b.x) >= 8 AND least(len(a.x), len(b.x)) >= 0.72 * greatest(len(a.x), len(b.x))),
+       r AS (SELECT key, earlier, s / (total - s) AS similarity, row_number() OVER (PARTITION BY key ORDER BY s / (total - s) DESC, ts, earlier) AS i FROM p WHERE s / (total - s) >= 0.72)
+       SELECT key, earlier, similarity FROM r WHERE i = 1""",
+)
+def best_reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with made times over a hundred days, and the one of the four days before that each repeats best."""
+    hours = F.make_dt_interval(hours=(F.col("doc_id") * 7 % 2400).cast("int"))
+    rows = load(spark, sf_dir, "documents").where("text is not null")
+    rows = rows.select(F.col("doc_id").alias("key"), (F.lit("2024-01-01").cast("timestamp") + hours).alias("ts"), text_functions.tokens(F.col("text")).alias("tokens"))
+    with Scratch(spark) as scratch:
+        return scratch.keep(similarity.best_reposts(rows, scratch), "reposts")
+
+
 @query("near_post_text", "SELECT doc_id FROM documents WHERE contains(lower(text), 'token')")
 def near_post_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("token"))).select("doc_id")

@@ -142,6 +142,35 @@ def test_selectors_of_posts(spark):
     assert {r.sig for r in replay.selected(posts, only_bare_quarter=True).collect()} == {"a"}
     assert {r.sig for r in replay.selected(posts, only_imprecise=True).collect()} == {"a", "c"}
     assert replay.selected(posts).count() == 4
+    merged = spark.createDataFrame([("a", "Dana\n3 h\nflat\nDan\n5d\nother"), ("b", "Dana\n3 h\nflat"), ("c", None)], "sig string, text string")
+    assert {r.sig for r in replay.selected(merged, only_merged=True).collect()} == {"a"}
+
+
+def test_a_text_is_cut_where_a_second_post_begins(spark):
+    import re
+
+    from lodestay.functions import addresses, text
+
+    def plain(t):
+        lines = [x.strip() for x in (t or "").splitlines() if x.strip()]
+        for i in range(2, len(lines)):
+            if re.match(r"^\d{1,2}\s*[smhdw]$", lines[i]) and len(lines[i - 1]) <= 40:
+                return "\n".join(lines[: i - 1])
+        return "\n".join(lines)
+
+    r = random.Random(5)
+    bits = ["Dana Levi", "3 h", "12d", "x" * 41, "a flat of three rooms", "", "  ", "5 weeks", "99 m "]
+    cases = ["\n".join(r.choice(bits) for _ in range(r.randrange(9))) for _ in range(200)] + ["a\r\nb\r\nDana\r\n3h\r\nrest"]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").coalesce(1)
+    found = rows.select(text.first_story(F.col("t")).alias("s"), text.holds_another_story(F.col("t")).alias("h")).collect()
+    assert [x.s for x in found] == [plain(c) for c in cases]
+    assert [x.h for x in found] == [plain(c) != "\n".join(x.strip() for x in c.splitlines() if x.strip()) for c in cases]
+    shapes = spark.createDataFrame([("דירה " * 10, None), ("short דירה", None), ("english only " * 5, None), ("short", ["u"]), (None, ["u"]), (None, [])], "t string, i array<string>").coalesce(1)
+    assert [x[0] for x in shapes.select(text.is_post(F.col("t"), F.col("i"))).collect()] == [True, False, False, True, True, False]
+    places = spark.createDataFrame([("מרכז העיר",), ("רחוב רגר",), ("רגר 5",), ("שכונה ד",), ("5 דקות מהים",), (None,)], "a string").coalesce(1)
+    assert [x[0] for x in places.select(addresses.vague(F.col("a"))).collect()] == [True, False, False, False, True, False]
+    urls = spark.createDataFrame([("https://x.org/groups/1/posts/22/?a",), ("https://x.org/p?story_fbid=33&id=1",), ("https://x.org",)], "u string").coalesce(1)
+    assert [x[0] for x in urls.select(text.post_id(F.col("u"))).collect()] == ["22", "33", None]
 
 
 def test_numbers_totals_and_batches_of_any_partitioning(spark):
@@ -158,7 +187,7 @@ def test_numbers_totals_and_batches_of_any_partitioning(spark):
                 assert x.t == total
                 total += x.v or 0
             batches = numbering.batched(df, ["b"], 7, scratch).collect()
-            assert {(x.batch, x.index) for x in batches} == {divmod(i, 7) for i in range(300)} and all(x.b == 7 * x.batch + x.index for x in batches)
+            assert {(x.batch, x["index"]) for x in batches} == {divmod(i, 7) for i in range(300)} and all(x.b == 7 * x.batch + x["index"] for x in batches)
             assert numbering.numbered(df.limit(0), ["b"], "n", scratch).count() == 0
 
 
@@ -166,5 +195,5 @@ def test_answers_of_a_batch_count_only_when_each_row_has_one(spark):
     rows = spark.createDataFrame([(b, i) for b in range(6) for i in range(3 if b < 5 else 1)], "batch long, index int")
     said = [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 1), (3, 0), (3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (4, 3), (5, 0), (9, 0)]
     answers = spark.createDataFrame([(b, i, f"{b}.{i}") for b, i in said], "batch long, index int, answer string")
-    found = {(r.batch, r.index): (r.answer, r.alone) for r in numbering.regrouped(rows, answers, "answer").collect()}
+    found = {(r.batch, r["index"]): (r.answer, r.alone) for r in numbering.regrouped(rows, answers, "answer").collect()}
     assert found == {(b, i): ((f"{b}.{i}", False) if b in (0, 5) else (None, True)) for b in range(6) for i in range(3 if b < 5 else 1)}

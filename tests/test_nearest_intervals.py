@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodestay.operators import intervals, nearest
+from lodestay.operators import houses, intervals, nearest
 from lodestay.storage import Scratch
 
 
@@ -104,3 +104,33 @@ def test_runs_and_slots_without_a_line(spark):
         found = {x.slot: x.fate for x in intervals.silent_slots(rows, [8, 10, 14], 7, scratch).collect()}
         assert found == {hour(0, 10): "eaten", hour(0, 14): "silent", hour(1, 8): "eaten", hour(1, 10): "silent"}
         assert intervals.silent_slots(rows.limit(0), [8], 7, scratch).count() == 0
+
+
+def test_chains_of_anchors_equal_the_sequential_loop(spark):
+    r = random.Random(6)
+    for _ in range(3):
+        rows, place = [], 0
+        for street in "abc":
+            for _ in range(60):
+                place += 1
+                off = r.choice([None, 50.0]) if r.random() < 0.06 else 900.0
+                rows.append((street, place, 32 + r.random() * 0.01, 34.8 + r.random() * 0.01, off) if r.random() < 0.95 else (street, place, None, None, off))
+        r.shuffle(rows)
+        held, wanted = {}, set()
+        for street, k, lat, lon, off in sorted(rows, key=lambda x: x[1]):
+            ok = off is None or off <= 200
+            if not ok and lat is not None:
+                ok = any(haversine(lat, lon, *o) <= 200 for o in held.get(street, []))
+            if ok:
+                wanted.add(k)
+                if lat is not None:
+                    held.setdefault(street, []).append((lat, lon))
+        with Scratch(spark) as scratch:
+            df = spark.createDataFrame(rows, "street string, place int, lat double, lon double, off double")
+            assert {x.place for x in houses.chained(df, scratch).collect()} == wanted and len(wanted) > 20
+            assert houses.chained(df.limit(0), scratch).count() == 0
+
+
+def haversine(lat1, lon1, lat2, lon2):
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371000 * math.asin(math.sqrt(a))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from lodestay.functions import geo, text
 from lodestay.operators import scoring, search, similarity, upserts
+from lodestay.storage import Scratch
 
 
 def test_enrich_keeps_facts_and_overwrites_verdicts(spark):
@@ -21,7 +22,8 @@ def test_earlier_time_refuses_later_than_seen(spark):
 def test_similar_texts_equals_brute_force(spark):
     words = [f"w{i:02d}" for i in range(14)]
     rows = [(i, [w for j, w in enumerate(words) if (i * 7 + j * j) % 9 != i % 4]) for i in range(30)]
-    found = {(r.a, r.b) for r in similarity.similar_texts(spark.createDataFrame(rows, "k int, t array<string>"), "k", "t", 0.72).collect()}
+    with Scratch(spark) as scratch:
+        found = {(r.a, r.b) for r in similarity.similar_texts(spark.createDataFrame(rows, "k int, t array<string>"), "k", "t", 0.72, 8, scratch).collect()}
     wanted = set()
     for a, x in rows:
         for b, y in rows:
@@ -65,7 +67,8 @@ def test_alike_gives_every_pair_of_copies_and_near_copies(spark):
 
     words = [f"w{i:02}" for i in range(12)]
     sets = {1: words, 2: words, 3: words, 4: words[:11], 5: words[:11], 6: [*words[:7], "zz"], 7: [f"q{i}" for i in range(9)], 8: [f"q{i}" for i in range(9)], 9: words[:5], 10: words[:5], 11: None}
-    rows = alike(spark.createDataFrame(list(sets.items()), "key long, tokens array<string>")).collect()
+    with Scratch(spark) as scratch:
+        rows = alike(spark.createDataFrame(list(sets.items()), "key long, tokens array<string>"), scratch).collect()
     of = {k: k for k in sets} | {r.b: r.a for r in rows if r.kind == "member"}
     linked = {(r.a, r.b) for r in rows if r.kind == "pair"}
     found = {(i, j) for i in sets for j in sets if i < j and (of[i] == of[j] or tuple(sorted((of[i], of[j]))) in linked)}
@@ -85,3 +88,74 @@ def test_gap_ranges_equal_brute_force(spark):
     missing = sorted((r.street, n) for r in found for n in range(r.first_n, r.last_n + 1, 2))
     assert missing == sorted((s, n) for s, ns in streets.items() for n in range(min(ns), max(ns) + 1, 2) if n not in ns)
     assert all(r.missing == len(range(r.first_n, r.last_n + 1, 2)) for r in found)
+
+
+def test_best_repost_of_the_days_before_equals_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    base = [[f"w{g}x{i}" for i in range(14)] for g in range(4)]
+    rows = []
+    for k in range(160):
+        words = [w for w in r.choice(base) if r.random() < 0.93] if r.random() < 0.7 else base[0]
+        rows.append((k, r.randrange(12 * 24) * 3600 if r.random() < 0.95 else None, r.sample(words, len(words)) if r.random() < 0.95 else words[:5]))
+    rows += [(None, 3600, base[0]), (900, 7200, None), (901, 7200, []), (902, 7200, [f"lone{i}" for i in range(9)])]
+    wanted = {}
+    for k, t, x in rows:
+        near = []
+        for j, u, y in rows:
+            if k is None or j is None or t is None or u is None or not t - 4 * 86400 <= u < t or min(len(x or ()), len(y or ())) < 8:
+                continue
+            s = len({*x} & {*y}) / len({*x} | {*y})
+            if s >= 0.72:
+                near.append((-s, u, j))
+        if near:
+            wanted[k] = (min(near)[2], -min(near)[0])
+    df = spark.createDataFrame(rows, "key int, t long, tokens array<string>").select("key", F.timestamp_seconds("t").alias("ts"), "tokens")
+    with Scratch(spark) as scratch:
+        found = {x.key: (x.earlier, x.similarity) for x in similarity.best_reposts(df.repartition(3), scratch).collect()}
+        assert found == wanted and len(wanted) > 50
+        assert similarity.best_reposts(df.limit(0), scratch).count() == 0
+
+
+def test_street_likeness_equals_comparing_with_every_name(spark):
+    import difflib
+    import random
+
+    from lodestay.operators import streets
+
+    r = random.Random(3)
+    names = sorted({"".join(r.choice("abcdeאבג ") for _ in range(r.randrange(2, 16))).strip() or "xx" for _ in range(300)})
+    spoil = lambda w: "".join(c if r.random() > 0.12 else r.choice(["", c + "z", "q"]) for c in w)
+    asked = sorted({spoil(r.choice(names)) for _ in range(250)} | {"ה" + spoil(r.choice(names)) for _ in range(60)} | {"x", ""})
+    wanted = {}
+    for token in asked:
+        for form in (token, token[1:] if len(token) >= 3 and token[0] in streets.PREFIXES else None):
+            best = difflib.get_close_matches(form, names, n=1, cutoff=0.82) if form and len(form) >= 2 else []
+            if best and len(best[0]) >= 2:
+                wanted[token] = f"s-{best[0]}"
+                break
+    index = spark.createDataFrame([(n, f"s-{n}") for n in names], "key string, street string")
+    tokens = spark.createDataFrame([(t, t) for t in asked], "token string, n string")
+    assert {x.token: x.street for x in streets._alike(tokens, index, 0.82).collect()} == wanted and len(wanted) > 100
+
+
+def test_house_numbers_are_recovered_from_the_text(spark):
+    import re
+
+    from lodestay.functions import addresses
+
+    cases = [
+        ("רגר", "דירה ברגר 93, קומה 2", "רגר 93"), ("רחוב רגר", "רחוב רגר   12", "רחוב רגר 12"), ("רגר 5", "רגר 93", "רגר 5"), ("שכונה ב", "שכונה ב 12", "שכונה ב"), ("רגר", "רגר 12345", "רגר"),
+        ("רגר", "רגר 12א", "רגר"), ("רגר", "רגר 93 או רגר 7", "רגר 93"), ("בז", "בז 12", "בז"), ("רגר", None, "רגר"), (None, "רגר 5", None), ("", "5", ""), ("a.c (x)", "abc 7 a.c 8", "a.c (x) 8"),
+        ("רגר, באר שבע", "ליד רגר 44", "רגר, באר שבע 44"), ("דרך מצדה", "מצדה 69", "דרך מצדה 69"), ("רגר", "רגר\n17 שקט", "רגר 17"), (r"x\E+y", r"x\E+y 3 xE+y 4", r"x\E+y 4"),
+    ]
+    rows = spark.createDataFrame([c[:2] for c in cases], "address string, text string").coalesce(1)
+    found = [r[0] for r in rows.select(addresses.with_number_of(F.col("address"), F.col("text"))).collect()]
+    assert found == [c[2] for c in cases]
+    again = [r[0] for r in spark.createDataFrame(list(zip(found, [c[1] for c in cases], strict=True)), "address string, text string").coalesce(1).select(addresses.with_number_of(F.col("address"), F.col("text"))).collect()]
+    assert again == found and re.escape("a.c") != "a.c"
+    parts = spark.createDataFrame([("בין רגר לבזל",), ("בין הערביים",), ("רגר בין כך",)], "address string").coalesce(1)
+    from lodestay.operators import streets
+
+    assert [r[0] for r in parts.select(streets.candidates(F.col("address"))).collect()] == [["רגר לבזל"], ["בין הערביים"], ["רגר בין כך"]]

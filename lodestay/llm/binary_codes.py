@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestay.llm.vectors import BLOCK, TILE, against_blocks, best, matrix, result, usable
-from lodestay.operators.numbering import numbered
 from lodestay.storage import Scratch
 
 #: Vectors from which the centre and the centroids are taken at most, bits of a query coordinate, width of the error bound.
@@ -170,6 +169,18 @@ def _search(shared, k: int) -> Callable:
     return run
 
 
+def _tiles(counts: list) -> list[tuple[int, int, int, int]]:
+    """(dims, cell, first tile, tiles) for the cells' counts of queries: small cells share a tile, large ones have several."""
+    out, base, held = [], 0, 0
+    for r in sorted(counts):
+        if held and held + r["queries"] > TILE:
+            base, held = base + 1, 0
+        parts = -(-r["queries"] // TILE)
+        out.append((r["dims"], r["own"], base, parts))
+        base, held = (base, held + r["queries"]) if parts == 1 else (base + parts, 0)
+    return out
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance for each vec_id divisible by ``every``.
 
@@ -219,8 +230,10 @@ def _nearest(rows: DataFrame, scratch: Scratch, every: int, k: int, block: int)
     asked = asked.select(F.col("q.rid").alias("rid"), "vec_id", F.col("q.vector").alias("vector"), F.col("q.dims").alias("dims"))
     schema = "rid long, vec_id long, vector array<double>, dims int, first array<int>, later array<int>, bounds array<double>"
     planned = asked.mapInArrow(_plan(shared, spark.sparkContext.broadcast(cells)), schema).withColumn("own", F.get("first", F.lit(0)))
-    # Queries of one cell make a tile, so that a block is copied for the few tiles that are near it.
-    planned = numbered(planned, ["dims", "own", "rid"], "place", scratch).withColumn("tile", F.floor(F.col("place") / TILE).cast("int"))
+    planned = scratch.write(planned, "planned")
+    # Queries of one cell, or of a few small ones, make a tile, so that a block is copied for the few tiles that are near it.
+    tiles = spark.createDataFrame(_tiles(planned.groupBy("dims", "own").agg(F.count("*").alias("queries")).collect()), "dims int, own int, tile0 int, tiles int")
+    planned = planned.join(F.broadcast(tiles), ["dims", "own"]).withColumn("tile", (F.col("tile0") + F.pmod(F.xxhash64(F.lit(7), "rid"), "tiles")).cast("int"))
     into_blocks = F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)).alias("block")
     columns = ["vec_id", "vector", "dims", "tile", "limit"]
     near_cells = planned.withColumn("limit", F.lit(float("inf"))).withColumn("cell", F.explode("first"))

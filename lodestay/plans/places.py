@@ -74,15 +74,11 @@ def grid_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT s_suppkey, c_custkey, rank::INT AS rank, round(m)::BIGINT AS metres FROM r WHERE rank <= 3""",
 )
 def radius_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within 1,500 m: one side goes to its nine neighbouring grid cells, so the join is an equality on cells."""
-    size = 0.02  # over 1,500 m in either direction at these latitudes
-    cells = lambda df: df.withColumn("i", F.floor(F.col("lat") / size)).withColumn("j", F.floor(F.col("lon") / size))
-    stops = cells(_points(load(spark, sf_dir, "customer"), "c_custkey")).withColumnsRenamed({"lat": "clat", "lon": "clon"})
-    near = F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    homes = cells(_points(load(spark, sf_dir, "supplier"), "s_suppkey")).withColumn("cell", F.explode(near)).drop("i", "j").select("*", "cell.i", "cell.j")
-    pairs = homes.join(stops, ["i", "j"]).withColumn("m", geo.haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))).where("m <= 1500")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.round("m"), "c_custkey"))).where("rank <= 3")
-    return ranked.select("s_suppkey", "c_custkey", "rank", F.round("m").cast("long").alias("metres"))
+    """Within 1,500 m, by places: of the customers at one place only the first three can count."""
+    stops = _points(load(spark, sf_dir, "customer"), "c_custkey").withColumnRenamed("c_custkey", "stop")
+    homes = _points(load(spark, sf_dir, "supplier"), "s_suppkey").withColumnRenamed("s_suppkey", "key")
+    found = amenities.first_within(homes, stops, 1500.0, 3)
+    return found.select(F.col("key").alias("s_suppkey"), F.col("stop").alias("c_custkey"), "rank", F.col("metres").cast("long").alias("metres"))
 
 
 _WALK = f"least({', '.join(_hav(str(a), str(b)) for a, b in GATES)}) * 1.25 / 80.0"

@@ -135,20 +135,20 @@ _SLOTS = f"""s AS ({_POINTS.format(key="s_suppkey", table="supplier")}), c AS (S
         d AS (SELECT s_suppkey AS key, c.*, {_hav("clat", "clon")} AS m FROM s, c), w AS (SELECT *, m * 1.25 / 80 AS minutes FROM d WHERE m <= reach)"""
 
 
-def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _slots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("c_custkey")
     amenities_ = _points(load(spark, sf_dir, "customer"), "c_custkey").select(
         (k % 3).alias("target"), F.concat(F.lit("a"), F.lpad(k.cast("string"), 8, "0")).alias("name"), (k % 2).alias("direction"), F.when(k % 7 != 0, (5 + k % 20).cast("int")).alias("headway"),
         F.element_at(F.array(F.lit(800.0), F.lit(1500.0), F.lit(400.0)), (k % 3 + 1).cast("int")).alias("reach"), "lat", "lon",
     )
     homes = _points(load(spark, sf_dir, "supplier"), "s_suppkey").withColumnRenamed("s_suppkey", "key")
-    return amenities.within_reach(homes, amenities_, 1500.0)
+    return homes, amenities_
 
 
 @query("amenities_in_reach", f"WITH {_SLOTS} SELECT key, target, 'a' || lpad(c_custkey::VARCHAR, 8, '0') AS name, round(m)::BIGINT AS metres FROM w")
 def amenities_in_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amenities within the reach of their own target."""
-    return _slots(spark, sf_dir).select("key", "target", "name", F.round("metres").cast("long").alias("metres"))
+    return amenities.within_reach(*_slots(spark, sf_dir), 1500.0).select("key", "target", "name", F.round("metres").cast("long").alias("metres"))
 
 
 @query(
@@ -159,7 +159,7 @@ def amenities_in_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def amenity_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The amenity that wins each slot of a home."""
-    return amenities.slot_winners(_slots(spark, sf_dir)).select("key", "target", "direction", "name", "headway")
+    return amenities.slot_winners(amenities.within_reach(*_slots(spark, sf_dir), 1500.0)).select("key", "target", "direction", "name", "headway")
 
 
 @query("walk_rings", "SELECT s_suppkey AS gate, m::INT AS minutes, m * 80.0 / 1.25 AS metres FROM supplier, (VALUES (5), (10), (15), (20)) v(m)")

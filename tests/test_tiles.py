@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lodestay.operators import amenities
+from lodestay.functions import geo
+from lodestay.operators import amenities, tiles
 
 
 def test_copies_of_places_are_one(spark):
@@ -14,3 +15,28 @@ def test_copies_of_places_are_one(spark):
     assert len(rows) == 1200
     assert {(r.key % 2, r.stop, r.rank, r.metres) for r in rows} == {(0, 0, 1, 0.0), (0, 2, 2, 0.0), (0, 4, 3, 0.0), (1, 1, 1, 0.0), (1, 3, 2, 0.0), (1, 5, 3, 0.0)}
     assert amenities.first_within(homes, stops.where("stop > 398"), 1500.0, 3).where("key < 2").orderBy("key").select("stop", "rank", F.round("metres")).collect() == [(399, 1, 111.0), (399, 1, 0.0)]
+
+
+def test_slots_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tiles.tiled_join, "__defaults__", (3,))
+    k = F.col("id")
+    place = lambda m: ((32 + k % m * 0.004).alias("lat"), (34.8 + k % 3 * 0.003).alias("lon"))
+    homes = spark.range(40).select(k.alias("key"), *place(5))
+    offers = spark.range(300).select((k % 3).alias("target"), F.concat(F.lit("a"), k.cast("string")).alias("name"), F.when(k % 4 > 0, k % 2).alias("direction"), F.when(k % 7 > 0, (k * 31 % 23).cast("int")).alias("headway"),
+                                     F.when(k % 5 > 0, 300.0 + k % 5 * 300).alias("reach"), *place(7))
+    far = geo.haversine(F.col("h.lat"), F.col("h.lon"), F.col("o.lat"), F.col("o.lon"))
+    wanted = homes.alias("h").join(offers.alias("o"), far <= F.least("reach", F.lit(1000.0))).select("key", "target", "name", "direction", "headway", far.alias("metres"))
+    wanted = wanted.withColumn("minutes", geo.walk_minutes(F.col("metres")))
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    pairs = amenities.within_reach(homes, offers, 1000.0)
+    assert rows(pairs) == rows(wanted) and len(rows(wanted)) > 1000
+    assert rows(amenities.slots(homes, offers, 1000.0)) == rows(amenities.slot_winners(wanted))
+
+
+def test_tiles_bound_what_a_task_makes(spark):
+    """One key of 900 rows on both sides: 810,000 results, of which no partition makes them all."""
+    a, b = spark.range(900).select(F.lit(1).alias("k"), F.col("id").alias("x")), spark.range(900).select(F.lit(1).alias("k"), F.col("id").alias("y"))
+    made = tiles.tiled_join(a, b, ["k"], 100)
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 810_000 and max(sizes) < 405_000
+    assert made.distinct().count() == 810_000

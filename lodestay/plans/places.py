@@ -159,7 +159,7 @@ def amenities_in_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def amenity_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The amenity that wins each slot of a home."""
-    return amenities.slot_winners(amenities.within_reach(*_slots(spark, sf_dir), 1500.0)).select("key", "target", "direction", "name", "headway")
+    return amenities.slots(*_slots(spark, sf_dir), 1500.0).select("key", "target", "direction", "name", "headway")
 
 
 @query("walk_rings", "SELECT s_suppkey AS gate, m::INT AS minutes, m * 80.0 / 1.25 AS metres FROM supplier, (VALUES (5), (10), (15), (20)) v(m)")

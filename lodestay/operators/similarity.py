@@ -10,27 +10,38 @@ from lodestay.storage import Scratch
 
 #: Similarity from which a post is a repost, tokens that both must have, and days that may lie between them.
 REPOST, LEAST_TOKENS, REPOST_DAYS = 0.72, 8, 4
+#: Words of 64 bits in a sketch.
+WORDS = 8
+_SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
 def token_sets(rows: DataFrame, key: str, tokens: str, least: int, scratch: Scratch) -> DataFrame:
-    """(k, n, ids) of rows with ``least`` distinct tokens or more: their tokens as numbers in order, the rarest first."""
-    sized = rows.select(F.col(key).alias("k"), F.col(tokens).alias("t"), F.size(tokens).alias("n")).where(F.col("n") >= least)
-    said = sized.select("k", "n", F.explode("t").alias("token"))
-    rarity = numbered(said.groupBy("token").agg(F.count("*").alias("rows")), ["rows", "token"], "id", scratch).select("token", "id")
-    return scratch.write(said.join(rarity, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list("id")).alias("ids")), "sets")
+    """(k, n, ids, s0, ...) of rows with ``least`` distinct tokens or more: their tokens as numbers in order, the rarest first, and their sketch.
+
+    A bit of the sketch says whether the set has an odd number of the tokens that fall to it: two sets differ in at least as many
+    tokens as their sketches in bits.
+    """
+    sized = rows.select(F.col(key).alias("k"), F.col(tokens).alias("t")).where(F.size("t") >= least)
+    said = sized.select("k", F.explode("t").alias("token"))
+    rarity = numbered(said.groupBy("token").agg(F.count("*").alias("rows")), ["rows", "token"], "id", scratch).select("token", F.col("id").cast("int").alias("id"))
+    bit = F.pmod(F.xxhash64("id"), F.lit(64 * WORDS)).cast("int")
+    sketch = [F.bit_xor(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))).alias(s) for i, s in enumerate(_SKETCH)]
+    sets = said.join(rarity, "token").groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("ids"), *sketch)
+    return scratch.write(sets.select("k", F.size("ids").alias("n"), "ids", *_SKETCH), "sets")
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(k, n, id, place) of the first ``n - ceil(threshold n) + 1`` tokens of each set: two that are alike share one of them."""
+    """(k, n, id, place, s0, ...) of the first ``n - ceil(threshold n) + 1`` tokens of each set: two that are alike share one of them."""
     first = F.slice("ids", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    return sets.select("k", "n", F.posexplode(first).alias("place", "id"))
+    return sets.select("k", "n", *_SKETCH, F.posexplode(first).alias("place", "id"))
 
 
 def _may_be_alike(a: str, b: str, threshold: float) -> Column:
-    """Whether two sets can be alike by their sizes and by what is left of both from a common token on, if it is their first."""
+    """Whether two sets can be alike by their sizes, by what is left of both from a common token on, if it is their first, and by their sketches."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
     needed = F.ceil(threshold / (1 + threshold) * (n + m) - F.lit(1e-9))
-    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed)
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed) & (differ <= n + m - 2 * needed)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

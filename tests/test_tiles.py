@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
-from lodestay.operators import amenities, tiles
+from lodestay.operators import amenities, similarity, tiles
+from lodestay.storage import Scratch
 
 
 def test_copies_of_places_are_one(spark):
@@ -40,3 +41,18 @@ def test_tiles_bound_what_a_task_makes(spark):
     sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 810_000 and max(sizes) < 405_000
     assert made.distinct().count() == 810_000
+
+
+def test_sketches_spare_candidates(spark):
+    """Sixty sets of eighty tokens that share four rare ones alone are no candidates; two that differ in two tokens are."""
+    k = F.col("id")
+    shared = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("r"), i.cast("string")))
+    own = lambda key: F.transform(F.sequence(F.lit(0), F.lit(75)), lambda i: F.concat_ws("_", F.lit("t"), key.cast("string"), i.cast("string")))
+    rows = spark.range(60).select(k, F.concat(shared, own(k)).alias("tokens")).unionByName(spark.range(60, 61).select(k, F.concat(F.array(F.lit("x"), F.lit("y")), F.slice(shared, 3, 2), own(F.lit(7))).alias("tokens")))
+    with Scratch(spark) as scratch:
+        sets = similarity.token_sets(rows, "id", "tokens", 8, scratch)
+        index = similarity.prefixes(sets, 0.72)
+        a, b = index.alias("a"), index.alias("b")
+        met = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.k") < F.col("b.k")) & similarity._may_be_alike("a", "b", 0.72)).select("a.k", "b.k").distinct()
+        assert [tuple(r) for r in met.collect()] == [(7, 60)]
+        assert [(r.a, r.b, round(r.similarity, 6)) for r in similarity.similar_texts(rows, "id", "tokens", 0.72, 8, scratch).collect()] == [(7, 60, round(78 / 82, 6))]

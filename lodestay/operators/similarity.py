@@ -77,7 +77,8 @@ def best_reposts(rows: DataFrame, scratch: Scratch, days: int = REPOST_DAYS, thr
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     good = rows.select("key", micros.alias("ts"), F.array_distinct("tokens").alias("tokens")).where(F.col("key").isNotNull() & F.col("ts").isNotNull() & (F.size("tokens") >= least))
     good = good.withColumn("h", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256))
-    classes = numbered(good.groupBy("h").agg(F.first("tokens").alias("tokens")), ["h"], "class", scratch)
+    # Written, so that the numbers stay; they tell classes apart and have no other meaning.
+    classes = scratch.write(good.groupBy("h").agg(F.first("tokens").alias("tokens")).withColumn("class", F.monotonically_increasing_id()), "classes")
     placed = scratch.write(good.select("key", "ts", "h").join(classes.select("h", "class"), "h").select("key", "ts", "class"), "placed")
     sets = token_sets(classes, "class", "tokens", least, scratch)
     bands = scratch.write(placed.select(F.col("class").alias("k"), F.floor(F.col("ts") / span).alias("band")).distinct(), "bands")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestay.functions import addresses, facts, text
 from lodestay.operators import dedup, scoring, streets
+from lodestay.operators.tiles import width
 from lodestay.plans.registry import load, query
 
 #: (text, comments, price, rooms, mates, address, lease, contact)
@@ -32,8 +33,9 @@ _SCHEMA = "i int, text string, comments string, price double, rooms int, mates i
 def made_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A post for each part, its text by the part's key."""
     texts = spark.createDataFrame([(i, *row) for i, row in enumerate(POSTS)], _SCHEMA)
-    parts = load(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(POSTS))).cast("int").alias("i"))
-    return parts.join(F.broadcast(texts), "i")
+    # Keys are few bytes and posts much work: they are dealt to all tasks, whatever the table's files are.
+    keys = load(spark, sf_dir, "part").select("p_partkey").repartition(width(spark))
+    return keys.withColumn("i", F.pmod("p_partkey", F.lit(len(POSTS))).cast("int")).join(F.broadcast(texts), "i")
 
 
 def _sql(value) -> str:

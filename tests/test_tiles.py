@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
-from lodestay.operators import amenities, similarity, tiles
+from lodestay.operators import amenities, intervals, similarity, tiles
+from lodestay.plans import posts, varied
 from lodestay.storage import Scratch
 
 
@@ -56,3 +57,21 @@ def test_sketches_spare_candidates(spark):
         met = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.k") < F.col("b.k")) & similarity._may_be_alike("a", "b", 0.72)).select("a.k", "b.k").distinct()
         assert [tuple(r) for r in met.collect()] == [(7, 60)]
         assert [(r.a, r.b, round(r.similarity, 6)) for r in similarity.similar_texts(rows, "id", "tokens", 0.72, 8, scratch).collect()] == [(7, 60, round(78 / 82, 6))]
+
+
+def test_crowded_bucket_is_shared_out(spark, monkeypatch):
+    """Six hundred runs and slots of one minute: no partition makes all their pairs."""
+    monkeypatch.setattr(tiles.tiled_join, "__defaults__", (200,))
+    at = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 10)).alias("at")
+    runs = spark.range(600).select(F.col("id").alias("run"), at.alias("a"), (at + F.expr("INTERVAL 30 SECONDS")).alias("b"))
+    slots = spark.range(4000).select(F.col("id").alias("slot"), at)
+    found = intervals.containing(slots, runs, "at", "a", "b")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60 * 400 * 55 and max(sizes) < sum(sizes)
+
+
+def test_posts_are_written_by_all_tasks(spark):
+    """The table of parts is one small file, the work on its keys is not."""
+    parts = lambda df: {r[0] for r in df.select(F.spark_partition_id()).distinct().collect()}
+    assert parts(posts.made_posts(spark, "/root/testdata/sf0.001")) == {0, 1, 2, 3}
+    assert parts(varied.written_posts(spark, "/root/testdata/sf0.001")) == {0, 1, 2, 3}

@@ -293,6 +293,25 @@ def stitched(ways: DataFrame, ring: str = "ring") -> DataFrame:
     return gathered.mapInPandas(join, f"{ring} string, points {kind}")
 
 
+def _since(open_: DataFrame, new: DataFrame, most: float) -> DataFrame:
+    """(street, lat, lon, _since): of each point of ``open_`` the least place of ``new`` on its street within ``most`` metres.
+
+    Of the new ones at one point the first decides, and open ones at one point have the same: points meet, not rows.
+    """
+    at = ["street", "lat", "lon"]
+    high = most / geo.METRES_A_DEGREE * 1.01
+    # A degree of longitude is shorter than one of latitude: up to 80 degrees north, six times.
+    row, column = F.floor(F.col("lat") / high).alias("_i"), F.floor(F.col("lon") / (6 * high)).alias("_j")
+    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct(i.alias("di"), j.alias("dj"))))))
+    first = new.groupBy("street", "lat", "lon").agg(F.min("place").alias("_before"))
+    spread = first.select("street", "_before", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), row, column, around.alias("d"))
+    spread = spread.select("street", "_before", "_lat", "_lon", (F.col("_i") + F.col("d.di")).alias("_i"), (F.col("_j") + F.col("d.dj")).alias("_j"))
+    spots = open_.select(*at).distinct()
+    met = spots.withColumns({"_i": F.floor(F.col("lat") / high), "_j": F.floor(F.col("lon") / (6 * high))}).join(spread, ["street", "_i", "_j"])
+    close = met.where(geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= most)
+    return close.groupBy(*at).agg(F.min("_before").alias("_since"))
+
+
 def chained(candidates: DataFrame, scratch: Scratch, most: float = MOST_OFFSET) -> DataFrame:
     """The candidates (street, place, lat, lon, off) that are accepted one after another in the order of their unique places.
 
@@ -304,17 +323,10 @@ def chained(candidates: DataFrame, scratch: Scratch, most: float = MOST_OFFSET)
     near = F.col("off").isNull() | (F.col("off") <= most)
     new = scratch.write(candidates.where(near), "accepted")
     open_ = scratch.write(candidates.where(~near & F.col("lat").isNotNull() & F.col("lon").isNotNull()), "open")
-    accepted = [new]
-    high = most / geo.METRES_A_DEGREE * 1.01
-    # A degree of longitude is shorter than one of latitude: up to 80 degrees north, six times.
-    row, column = F.floor(F.col("lat") / high).alias("_i"), F.floor(F.col("lon") / (6 * high)).alias("_j")
-    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct(i.alias("di"), j.alias("dj"))))))
+    accepted, at = [new], ["street", "lat", "lon"]
     while not new.isEmpty():
-        spread = new.select("street", F.col("place").alias("_before"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), row, column, around.alias("d"))
-        spread = spread.select("street", "_before", "_lat", "_lon", (F.col("_i") + F.col("d.di")).alias("_i"), (F.col("_j") + F.col("d.dj")).alias("_j"))
-        met = open_.withColumns({"_i": F.floor(F.col("lat") / high), "_j": F.floor(F.col("lon") / (6 * high))}).join(spread, ["street", "_i", "_j"])
-        close = met.where((F.col("_before") < F.col("place")) & (geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= most))
-        new = scratch.write(open_.join(close.select("street", "place").distinct(), ["street", "place"], "left_semi"), "accepted")
+        since = _since(open_, new, most)
+        new = scratch.write(open_.join(since, at).where(F.col("place") > F.col("_since")).select(*open_.columns), "accepted")
         open_ = scratch.write(open_.join(new.select("street", "place"), ["street", "place"], "left_anti"), "open")
         accepted.append(new)
     out = accepted[0]

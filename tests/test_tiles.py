@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
-from lodestay.operators import amenities, intervals, similarity, tiles
+from lodestay.operators import amenities, houses, intervals, similarity, tiles
 from lodestay.plans import posts, varied
 from lodestay.storage import Scratch
 
@@ -75,3 +75,12 @@ def test_posts_are_written_by_all_tasks(spark):
     parts = lambda df: {r[0] for r in df.select(F.spark_partition_id()).distinct().collect()}
     assert parts(posts.made_posts(spark, "/root/testdata/sf0.001")) == {0, 1, 2, 3}
     assert parts(varied.written_posts(spark, "/root/testdata/sf0.001")) == {0, 1, 2, 3}
+
+
+def test_anchors_at_one_point_do_not_meet_in_pairs(spark):
+    """Four hundred candidates at each of three points: one row for each point in reach, and all with one before them are accepted."""
+    k = F.col("id")
+    rows = spark.range(1200).select(k.alias("place"), F.lit("s").alias("street"), (32 + k % 3 * 0.0015).alias("lat"), F.lit(34.8).alias("lon"), (k % 3 * 166.8).alias("off"))
+    assert [r._since for r in houses._since(rows.where("off > 0"), rows.where("off = 0"), 200.0).collect()] == [0]
+    with Scratch(spark) as scratch:
+        assert houses.chained(rows, scratch).select("place").distinct().count() == houses.chained(rows, scratch).count() == 1200

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestay.operators.graph import components
+from lodestay.operators.tiles import shares
 from lodestay.storage import Scratch
 
 
@@ -15,15 +16,17 @@ def shared_contact_clusters(rows: DataFrame, key: str, address: str, contact: st
     Rows of one address that share a contact, directly or through others, are one cluster, named by its smallest
     key; a row whose contacts are all null stands alone. Each row is linked to the smallest key of each of its
     contacts, and the links' components are found in a number of steps that grows with the logarithm of the longest
-    chain; no group is gathered in a task.
+    chain. The rows are written once and dealt into shares of a bounded number, so that a task's memory does not grow
+    with them; a contact of very many rows is sorted by one task, which Spark spills, and none is gathered.
     """
-    alone = rows.select(F.col(key).alias("k")).distinct()
-    ties = rows.where(F.col(contact).isNotNull() & F.col(address).isNotNull())
-    ties = ties.select(F.col(key).alias("k"), F.col(address).alias("a"), F.col(contact).alias("c")).distinct()
-    least = ties.groupBy("a", "c").agg(F.min("k").alias("first"))
     with Scratch(rows.sparkSession) as scratch:
-        edges = scratch.write(ties.join(least, ["a", "c"]).select("k", "first").where("k <> first").distinct(), "ties")
-        found = alone.join(components(edges, "k", "first", scratch).withColumnRenamed("id", "k"), "k", "left")
+        rows = scratch.write(rows.select(F.col(key).alias("k"), F.col(address).alias("a"), F.col(contact).alias("c")), "rows")
+        n = shares(rows)
+        ties = rows.where("k is not null and a is not null and c is not null").repartition(n, "a", "c")
+        least = ties.groupBy("a", "c").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
+        edges = scratch.write(ties.join(least, ["a", "c"]).where("k <> first").select("k", "first").distinct(), "ties")
+        linked = components(edges, "k", "first", scratch).withColumnRenamed("id", "k").repartition(n, "k")
+        found = rows.select("k").repartition(n, "k").distinct().join(linked, "k", "left")
         return scratch.keep(found.select(F.col("k").alias(key), F.coalesce("component", "k").alias("cluster")), "clusters")
 
 

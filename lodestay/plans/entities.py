@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestay.operators import entities
+from lodestay.operators.tiles import shares
 from lodestay.plans.registry import load, query
 
 
@@ -20,7 +21,9 @@ def landlord_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer that share a supplier, directly or through other orders."""
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    return entities.shared_contact_clusters(orders.join(lines, "o_orderkey"), "o_orderkey", "o_custkey", "l_suppkey")
+    n = shares(lines)
+    rows = orders.repartition(n, "o_orderkey").join(lines.repartition(n, "o_orderkey"), "o_orderkey")
+    return entities.shared_contact_clusters(rows, "o_orderkey", "o_custkey", "l_suppkey")
 
 
 @query(

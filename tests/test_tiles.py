@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
-from lodestay.operators import amenities, houses, intervals, similarity, tiles
+from lodestay.operators import amenities, entities, houses, intervals, similarity, tiles
 from lodestay.plans import posts, varied
 from lodestay.storage import Scratch
 
@@ -84,3 +84,13 @@ def test_anchors_at_one_point_do_not_meet_in_pairs(spark):
     assert [r._since for r in houses._since(rows.where("off > 0"), rows.where("off = 0"), 200.0).collect()] == [0]
     with Scratch(spark) as scratch:
         assert houses.chained(rows, scratch).select("place").distinct().count() == houses.chained(rows, scratch).count() == 1200
+
+
+def test_clusters_are_made_in_shares(spark, monkeypatch):
+    """Ten thousand orders in chains of ten, in shares of five hundred rows: more tasks than the session's four partitions have a part of the result."""
+    monkeypatch.setattr(tiles, "SHARE", 500, raising=False)
+    k = F.col("id")
+    rows = spark.range(10_000).select(k.alias("key"), F.lit("a").alias("address"), F.explode(F.array(k, k + F.when(k % 10 < 9, 1).otherwise(0))).alias("contact"))
+    found = entities.shared_contact_clusters(rows, "key", "address", "contact")
+    assert found.where("cluster = key - key % 10").count() == found.count() == 10_000
+    assert len(found.inputFiles()) == 40

@@ -7,16 +7,17 @@ what cannot be nearer than another cell's farthest is dropped. Whether a target
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestay.functions.geo import METRES_A_DEGREE, flat_metres
+from lodestay.operators.tiles import shares
 from lodestay.storage import Scratch
 
 #: Targets of a leaf, and levels of the tree, each of which cuts a cell into four by four.
 LEAF, DEPTH = 32, 10
 #: Cells of a level up to which they are broadcast; beyond, they are joined by shuffling.
-BROADCAST_CELLS = 1 << 16
+BROADCAST_CELLS = 1 << 17
 
 
 def _at_level(value: Column, level: Column) -> Column:
@@ -34,7 +35,7 @@ def _cells(targets: DataFrame, by: list[str]) -> DataFrame:
     parents = cells.where("not leaf").select(*by, (level + 1).alias("level"), F.col("x").alias("px"), F.col("y").alias("py"))
     placed = cells.withColumns({"px": F.shiftright("x", 2), "py": F.shiftright("y", 2)})
     inner = placed.join(parents, [*by, "level", "px", "py"], "left_semi")
-    return placed.where("level = 0").unionByName(inner, allowMissingColumns=True).select(*by, "level", "x", "y", "px", "py", "box", "leaf")
+    return placed.where("level = 0").unionByName(inner, allowMissingColumns=True).select(*by, "level", "x", "y", "px", "py", "box", "leaf", "targets")
 
 
 def _reach(box: Column) -> tuple[Column, Column]:
@@ -67,33 +68,35 @@ def nearest(points: DataFrame, targets: DataFrame, name: str, scratch: Scratch,
     sizes = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}
 
     key = ["lat", "lon", *by]
-    leaves: list[DataFrame] = []
-    now = placed(points).select(*by, "lat", "lon").distinct().withColumns({"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long"), "most": F.lit(float("inf"))})
+    if not sizes:
+        return placed(points).select(*by, "lat", "lon").limit(0).withColumns({"name": F.lit(None).cast(targets.schema[name].dataType), "metres": F.lit(0.0)})
+    # Places have numbers, since Spark deals out doubles anew for every step that groups by them.
+    now = scratch.write(placed(points).select(*by, "lat", "lon").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    # Dealt by place once: levels that are broadcast need no further shuffle. A place meets some thirty cells of a level.
+    start = {"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long"), "most": F.lit(float("inf")), **{c: F.lit(0).cast("long") for c in ("_x", "_y")}}
+    now = now.repartition(shares(now, 32), "place").withColumns(start | {"_leaf": F.lit(False), "_least": F.lit(0.0), "_level": F.lit(0)})
+    near = F.col("least") * (1 - 1e-9) <= F.col("most")
     for level in sorted(sizes):
-        here = cells.where(F.col("level") == level).drop("level")
+        here = cells.where(F.col("level") == level).select(*by, "px", "py", "x", "y", "leaf", "box")
         here = F.broadcast(here) if sizes[level] <= BROADCAST_CELLS else here
-        met = now.join(here, [*by, "px", "py"])
+        met = now.join(here, [*by, "px", "py"], "left" if level else "inner")
         least, most = _reach(F.col("box"))
-        met = met.withColumns({"least": least, "_most": most}).drop("box")
-        bound = met.groupBy(*key).agg(F.min(F.least("most", "_most")).alias("bound"))
-        kept = met.join(bound, key).where(F.col("least") * (1 - 1e-9) <= F.col("bound"))
-        kept = scratch.write(kept.select(*key, "x", "y", "leaf", "least", F.col("bound").alias("most")), "met")
-        leaves.append(kept.where("leaf").select(*key, "x", "y", "least", "most", F.lit(level).alias("level")))
-        now = kept.where("not leaf").select(*key, F.col("x").alias("px"), F.col("y").alias("py"), "most")
-    if not leaves:
-        return placed(points).select(*by, "lat", "lon").limit(0).withColumns({"name": F.lit(None).cast(targets.schema[name].dataType), "metres": F.lit(0.0)})
-    found = leaves[0]
-    for more in leaves[1:]:
-        found = found.unionByName(more)
-    bound = found.groupBy(*key).agg(F.min("most").alias("bound"))
-    found = found.join(bound, key).where(F.col("least") * (1 - 1e-9) <= F.col("bound"))
+        # A leaf met at an earlier level stays as it is.
+        met = met.select("place", *key, F.least("most", most).alias("most"), F.coalesce(least, "_least").alias("least"), F.coalesce("leaf", "_leaf").alias("_leaf"),
+                         F.when(F.col("_leaf"), F.col("_level")).otherwise(level).alias("_level"), F.coalesce("x", "_x").alias("_x"), F.coalesce("y", "_y").alias("_y"))
+        met = met.where(near).withColumn("most", F.min("most").over(Window.partitionBy("place"))).where(near).withColumnRenamed("least", "_least")
+        # No cell lies at a negative place, and these are many.
+        now = met.withColumns({"px": F.when(F.col("_leaf"), -1 - F.pmod(F.xxhash64("lat", "lon"), F.lit(1 << 20))).otherwise(F.col("_x")), "py": F.col("_y")})
+    found = now.select(*key, *(F.col(f"_{c}").alias(c) for c in ("level", "x", "y")))
     level = F.col("level")
     housed = sites.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumns({"x": _at_level(F.col("cx"), level), "y": _at_level(F.col("cy"), level)})
-    housed = housed.join(cells.where("leaf").select(*by, "level", "x", "y"), [*by, "level", "x", "y"], "left_semi")
-    housed = housed.select(*by, "level", "x", "y", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), "name")
-    pairs = found.join(housed, [*by, "level", "x", "y"])
-    metres = flat_metres(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
-    best = pairs.groupBy(*key).agg(F.min(F.struct(metres.alias("metres"), F.col("name"))).alias("best"))
+    housed = housed.join(cells.where("leaf").select(*by, "level", "x", "y", "targets"), [*by, "level", "x", "y"])
+    # Leaves of the last level may hold many targets; they are cut, so that no list is long.
+    housed = housed.withColumn("part", F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("targets") / LEAF)))
+    housed = housed.groupBy(*by, "level", "x", "y", "part").agg(F.collect_list(F.struct("lat", "lon", "name")).alias("housed"))
+    metres = lambda t: flat_metres(F.col("lat"), F.col("lon"), t["lat"], t["lon"])
+    least = F.array_min(F.transform("housed", lambda t: F.struct(metres(t).alias("metres"), t["name"].alias("name"))))
+    best = found.join(housed, [*by, "level", "x", "y"]).select(*key, least.alias("best")).groupBy(*key).agg(F.min("best").alias("best"))
     return scratch.write(best.select(*by, "lat", "lon", F.col("best.name").alias("name"), F.col("best.metres").alias("metres")), "nearest")
 
 

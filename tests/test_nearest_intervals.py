@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lodestay.functions.geo import flat_metres
 from lodestay.operators import houses, intervals, nearest
 from lodestay.storage import Scratch
 
@@ -134,3 +135,24 @@ def test_chains_of_anchors_equal_the_sequential_loop(spark):
 def haversine(lat1, lon1, lat2, lon2):
     a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
     return 2 * 6371000 * math.asin(math.sqrt(a))
+
+
+def test_descent_keeps_no_cells(spark, monkeypatch):
+    """Of 800 points that go down six levels and more, tables hold the points and their answers alone, not the cells that they meet."""
+    monkeypatch.setattr(nearest, "LEAF", 1)
+    k, kept = F.col("id"), []
+
+    class Counted(Scratch):
+        def write(self, df, label):
+            table = super().write(df, label)
+            kept.append((label, table.count()))
+            return table
+
+    points = spark.range(800).select((32 + k * 37 % 801 * 0.0001).alias("lat"), (34 + k * 53 % 799 * 0.0001).alias("lon"))
+    targets = spark.range(400).select(k.cast("string").alias("name"), (32 + k * 7 % 401 * 0.0002).alias("lat"), (34 + k * 11 % 397 * 0.0002).alias("lon"))
+    with Counted(spark) as scratch:
+        found = {(r.lat, r.lon): r.metres for r in nearest.nearest(points, targets, "name", scratch).collect()}
+        far = flat_metres(F.col("lat"), F.col("lon"), F.col("t.lat"), F.col("t.lon"))
+        wanted = points.crossJoin(targets.select(F.struct("lat", "lon").alias("t"))).groupBy("lat", "lon").agg(F.min(far).alias("metres"))
+        assert found == {(r.lat, r.lon): r.metres for r in wanted.collect()} and len(found) == 800
+    assert sum(n for label, n in kept if label not in ("sites", "cells")) == 1600

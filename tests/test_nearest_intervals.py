@@ -156,3 +156,17 @@ def test_descent_keeps_no_cells(spark, monkeypatch):
         wanted = points.crossJoin(targets.select(F.struct("lat", "lon").alias("t"))).groupBy("lat", "lon").agg(F.min(far).alias("metres"))
         assert found == {(r.lat, r.lon): r.metres for r in wanted.collect()} and len(found) == 800
     assert sum(n for label, n in kept if label not in ("sites", "cells")) == 1600
+
+
+def test_crowded_leaves_are_cut(spark, monkeypatch):
+    """One level of sixteen cells of at most two targets a list: leaves of many targets are several lists, of which the nearest counts."""
+    monkeypatch.setattr(nearest, "LEAF", 2)
+    monkeypatch.setattr(nearest, "DEPTH", 1)
+    r = random.Random(5)
+    points, targets = scattered(r, 40), scattered(r, 90)
+    p = spark.createDataFrame(points, "lat double, lon double")
+    t = spark.createDataFrame([(f"t{i}", *x) for i, x in enumerate(targets)], "name string, lat double, lon double")
+    with Scratch(spark) as scratch:
+        found = {(x.lat, x.lon): x.metres for x in nearest.nearest(p, t, "name", scratch).collect()}
+    assert set(found) == set(points)
+    assert all(math.isclose(found[x], min(metres(x, y) for y in targets), rel_tol=1e-9, abs_tol=1e-6) for x in points)

@@ -20,32 +20,45 @@ LEAF, DEPTH = 32, 10
 BROADCAST_CELLS = 1 << 17
 
 
-def _at_level(value: Column, level: Column) -> Column:
-    return F.call_function("shiftright", value, (2 * (DEPTH - level)).cast("int"))
+def _few(cells: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(cells) if count <= BROADCAST_CELLS else cells
 
 
-def _cells(targets: DataFrame, by: list[str]) -> DataFrame:
-    """Every cell on the way to a leaf: (by, level, x, y, box, leaf), of ``targets`` (by, lat, lon, cx, cy)."""
-    level = F.col("level")
-    spread = targets.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
-    spread = spread.withColumns({"x": _at_level(F.col("cx"), level), "y": _at_level(F.col("cy"), level)})
+def _tree(targets: DataFrame, by: list[str], scratch: Scratch) -> tuple[list[tuple[DataFrame, int]], DataFrame | None]:
+    """The cells on the way to a leaf, (by, level, x, y, px, py, box, leaf, targets) and their number for each level, and ``targets`` (by, lat, lon, cx, cy, ...) with their leaf.
+
+    Levels are made from the root down, each of the targets in crowded cells alone, so no target is copied to levels below its leaf.
+    """
+    levels, housed, held = [], None, targets
     box = F.struct(F.min("lat").alias("s"), F.min("lon").alias("w"), F.max("lat").alias("n"), F.max("lon").alias("e"))
-    cells = spread.groupBy(*by, "level", "x", "y").agg(F.count("*").alias("targets"), box.alias("box"))
-    cells = cells.withColumn("leaf", (F.col("targets") <= LEAF) | (level == DEPTH))
-    parents = cells.where("not leaf").select(*by, (level + 1).alias("level"), F.col("x").alias("px"), F.col("y").alias("py"))
-    placed = cells.withColumns({"px": F.shiftright("x", 2), "py": F.shiftright("y", 2)})
-    inner = placed.join(parents, [*by, "level", "px", "py"], "left_semi")
-    return placed.where("level = 0").unionByName(inner, allowMissingColumns=True).select(*by, "level", "x", "y", "px", "py", "box", "leaf", "targets")
+    for level in range(DEPTH + 1):
+        at = {to: F.shiftright(of, 2 * (DEPTH - level)) for to, of in (("x", "cx"), ("y", "cy"))}
+        held = held.withColumns(at)
+        cells = held.groupBy(*by, "x", "y").agg(F.count("*").alias("targets"), box.alias("box"))
+        cells = cells.withColumns({"leaf": (F.col("targets") <= LEAF) | F.lit(level == DEPTH), "level": F.lit(level), "px": F.shiftright("x", 2), "py": F.shiftright("y", 2)})
+        cells = scratch.write(cells, "cells")
+        count, crowded = cells.agg(F.count("*"), F.count_if(~F.col("leaf"))).first()
+        if not count:
+            break
+        levels.append((cells, count))
+        full = _few(cells.where("not leaf").select(*by, "x", "y"), crowded)
+        own = held.join(full, [*by, "x", "y"], "left_anti") if crowded else held
+        housed = own.withColumn("level", F.lit(level)) if housed is None else housed.unionByName(own.withColumn("level", F.lit(level)))
+        if not crowded:
+            break
+        held = targets.withColumns(at).join(full, [*by, "x", "y"], "left_semi")
+    return levels, housed
 
 
 def _reach(box: Column) -> tuple[Column, Column]:
-    """How near and how far the targets of a box can be, in metres."""
-    lat, lon = F.col("lat"), F.col("lon")
+    """How near and how far the nearest target of a box can be, in metres: a target lies on each side of it."""
     over = lambda low, high, at: F.greatest(low - at, at - high, F.lit(0.0))
+    side = lambda low, high, at: F.least(F.abs(high - at), F.abs(low - at))
     most = lambda low, high, at: F.greatest(F.abs(low - at), F.abs(high - at))
-    shrink = F.cos(F.radians(lat))
-    far = lambda f: F.hypot(f(box["s"], box["n"], lat) * METRES_A_DEGREE, f(box["w"], box["e"], lon) * METRES_A_DEGREE * shrink)
-    return far(over), far(most)
+    shrink = F.cos(F.radians("lat"))
+    north = lambda f: f(box["s"], box["n"], F.col("lat")) * METRES_A_DEGREE
+    east = lambda f: f(box["w"], box["e"], F.col("lon")) * METRES_A_DEGREE * shrink
+    return F.hypot(north(over), east(over)), F.least(F.hypot(north(side), east(most)), F.hypot(north(most), east(side)))
 
 
 def nearest(points: DataFrame, targets: DataFrame, name: str, scratch: Scratch, by: list[str] = ()) -> DataFrame:
@@ -64,11 +77,10 @@ def nearest(points: DataFrame, targets: DataFrame, name: str, scratch: Scratch,
     side = max(north - south, east - west) * (1 + 1e-9) + 1e-12
     cell = lambda value, low: F.least(F.floor((value - low) / side * 4**DEPTH), F.lit(4**DEPTH - 1))
     sites = scratch.write(sites.withColumns({"cx": cell(F.col("lat"), south), "cy": cell(F.col("lon"), west)}), "sites")
-    cells = scratch.write(_cells(sites, by), "cells")
-    sizes = {r["level"]: r["count"] for r in cells.groupBy("level").count().collect()}
+    levels, housed = _tree(sites, by, scratch)
 
     key = ["lat", "lon", *by]
-    if not sizes:
+    if not levels:
         return placed(points).select(*by, "lat", "lon").limit(0).withColumns({"name": F.lit(None).cast(targets.schema[name].dataType), "metres": F.lit(0.0)})
     # Places have numbers, since Spark deals out doubles anew for every step that groups by them.
     now = scratch.write(placed(points).select(*by, "lat", "lon").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
@@ -76,9 +88,8 @@ def nearest(points: DataFrame, targets: DataFrame, name: str, scratch: Scratch,
     start = {"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long"), "most": F.lit(float("inf")), **{c: F.lit(0).cast("long") for c in ("_x", "_y")}}
     now = now.repartition(shares(now, 32), "place").withColumns(start | {"_leaf": F.lit(False), "_least": F.lit(0.0), "_level": F.lit(0)})
     near = F.col("least") * (1 - 1e-9) <= F.col("most")
-    for level in sorted(sizes):
-        here = cells.where(F.col("level") == level).select(*by, "px", "py", "x", "y", "leaf", "box")
-        here = F.broadcast(here) if sizes[level] <= BROADCAST_CELLS else here
+    for level, (cells, count) in enumerate(levels):
+        here = _few(cells.select(*by, "px", "py", "x", "y", "leaf", "box"), count)
         met = now.join(here, [*by, "px", "py"], "left" if level else "inner")
         least, most = _reach(F.col("box"))
         # A leaf met at an earlier level stays as it is.
@@ -88,11 +99,12 @@ def nearest(points: DataFrame, targets: DataFrame, name: str, scratch: Scratch,
         # No cell lies at a negative place, and these are many.
         now = met.withColumns({"px": F.when(F.col("_leaf"), -1 - F.pmod(F.xxhash64("lat", "lon"), F.lit(1 << 20))).otherwise(F.col("_x")), "py": F.col("_y")})
     found = now.select(*key, *(F.col(f"_{c}").alias(c) for c in ("level", "x", "y")))
-    level = F.col("level")
-    housed = sites.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumns({"x": _at_level(F.col("cx"), level), "y": _at_level(F.col("cy"), level)})
-    housed = housed.join(cells.where("leaf").select(*by, "level", "x", "y", "targets"), [*by, "level", "x", "y"])
     # Leaves of the last level may hold many targets; they are cut, so that no list is long.
-    housed = housed.withColumn("part", F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("targets") / LEAF)))
+    part = F.lit(0)
+    if len(levels) > DEPTH:
+        housed = housed.join(levels[DEPTH][0].where(F.col("targets") > LEAF).select(*by, "level", "x", "y", "targets"), [*by, "level", "x", "y"], "left")
+        part = F.pmod(F.xxhash64("lat", "lon"), F.coalesce(F.ceil(F.col("targets") / LEAF), F.lit(1)))
+    housed = housed.withColumn("part", part)
     housed = housed.groupBy(*by, "level", "x", "y", "part").agg(F.collect_list(F.struct("lat", "lon", "name")).alias("housed"))
     metres = lambda t: flat_metres(F.col("lat"), F.col("lon"), t["lat"], t["lon"])
     least = F.array_min(F.transform("housed", lambda t: F.struct(metres(t).alias("metres"), t["name"].alias("name"))))

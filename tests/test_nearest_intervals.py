@@ -170,3 +170,21 @@ def test_crowded_leaves_are_cut(spark, monkeypatch):
         found = {(x.lat, x.lon): x.metres for x in nearest.nearest(p, t, "name", scratch).collect()}
     assert set(found) == set(points)
     assert all(math.isclose(found[x], min(metres(x, y) for y in targets), rel_tol=1e-9, abs_tol=1e-6) for x in points)
+
+
+def shuffled(spark) -> dict[int, int]:
+    """Records that each stage so far has written for shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_targets_are_not_copied_below_their_leaf(spark):
+    """Of 3000 targets whose leaves lie three levels down, and no cell is large, shuffles take a few rows each and not one for every level of the tree."""
+    k = F.col("id")
+    targets = spark.range(3000).select(k, k.cast("string").alias("name"), (32 + k * 37 % 3001 * 0.0001).alias("lat"), (34 + k * 53 % 2999 * 0.0001).alias("lon"))
+    before = shuffled(spark)
+    with Scratch(spark) as scratch:
+        assert [x.name for x in nearest.nearest(targets.where("id = 77"), targets, "name", scratch).collect()] == ["77"]
+    assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 5 * 3000

@@ -17,7 +17,7 @@ def signature(text: Column) -> Column:
 
 def tokens(text: Column, least: int = 3) -> Column:
     """Sorted distinct lower-case words of ``least`` letters or more, in any script."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,10 +1,13 @@
 """Work that grows with places and results, not with the square of copies."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lodestay.functions import geo
 from lodestay.operators import amenities, entities, houses, intervals, similarity, tiles
 from lodestay.plans import posts, varied
+from lodestay.plans import texts as texts_plans
 from lodestay.storage import Scratch
 
 
@@ -94,3 +97,49 @@ def test_clusters_are_made_in_shares(spark, monkeypatch):
     found = entities.shared_contact_clusters(rows, "key", "address", "contact")
     assert found.where("cluster = key - key % 10").count() == found.count() == 10_000
     assert len(found.inputFiles()) == 40
+
+
+def test_tiles_of_sizes_give_all_pairs(spark, monkeypatch):
+    """Sets of many sizes in tiles of a few rows, sizes of several parts, tiles that ask several tasks: the pairs of brute force, each once."""
+    r = random.Random(7)
+    monkeypatch.setattr(similarity, "MOST_TOKENS", 200)
+    monkeypatch.setattr(similarity, "ASKING", 2)
+    monkeypatch.setattr(similarity, "FREQUENT", 40)
+    sets = {}
+    for k in range(240):
+        g, size = r.randrange(3), r.choice([9, 12, 12, 12, 17, 30])
+        base = [f"g{g}x{i}" for i in range(size)]
+        sets[f"k{k}"] = r.sample(base, len(base) - r.randrange(3)) + [f"own{k}"] * r.randrange(2)
+    sets |= {"short": ["a"] * 3, "none": None}
+    with Scratch(spark) as scratch:
+        rows = similarity.similar_texts(spark.createDataFrame(list(sets.items()), "k string, t array<string>").repartition(3), "k", "t", 0.72, 8, scratch).collect()
+    wanted = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and min(len(x or ()), len(y or ())) >= 8 and len({*x} & {*y}) / len({*x} | {*y}) >= 0.72:
+                wanted[a, b] = len({*x} & {*y}) / len({*x} | {*y})
+    assert {(x.a, x.b): x.similarity for x in rows} == wanted and len(rows) == len(wanted) > 500
+    tasks, _ = similarity.tile_tasks([(12, 12, 1), (13, 13, 5), (14, 16, 1), (40, 50, 1)], 0.72)
+    met = sorted(tuple(sorted((t, u))) for t, k, side in tasks if side < 2 for u, j, other in tasks if j == k and (other == 2 or u == t and side == 0))
+    assert met == [*((i, j) for i in range(7) for j in range(i, 7)), (7, 7)]
+
+
+def test_texts_are_cut_once_and_candidates_stay_where_they_are(spark):
+    """Each text is cut into tokens once, a repeated key keeps its texts apart, and pairs are found behind one exchange of the sets."""
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        cuts.add(1)
+        return sorted(set(text.split()))
+
+    words = [f"w{i:02}" for i in range(12)]
+    texts = [(1, words), (2, words[:11]), (2, [*words[1:], "zz"]), (3, words), (4, words[:5])]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "key long, text string").select("key", cut("text").alias("tokens"))
+    with Scratch(spark) as scratch:
+        found = sorted((x.a, x.b, x.kind, round(x.similarity, 6)) for x in texts_plans.alike(rows, scratch).collect())
+        assert cuts.value == len(texts)
+        assert found == [(1, 2, "pair", round(11 / 13, 6)), (1, 2, "pair", round(11 / 12, 6)), (1, 3, "member", 1.0)]
+        sets = similarity.numbered_sets(rows.where("key <> 2 or size(tokens) = 11"), "key", "tokens", 8, scratch)
+        plan = similarity.alike(sets, 0.72)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1

@@ -87,14 +87,6 @@ def _may_be_alike(a: str, b: str, threshold: float) -> Column:
     return (F.least(n, m) >= threshold * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed) & (differ <= n + m - 2 * needed)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs (a, b) that reach ``threshold``."""
-    left, right = sets.select(F.col("k").alias("a"), F.col("ids").alias("ta")), sets.select(F.col("k").alias("b"), F.col("ids").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    scored = pairs.join(left, "a").join(right, "b").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both))
-    return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-
-
 def size_tiles(sizes: list[tuple[int, int]], tokens: int) -> list[tuple[int, int, int]]:
     """(least, most, parts) of ranges of sizes, at most twofold, that hold about ``tokens`` tokens, from ascending (size, sets).
 
@@ -287,30 +279,23 @@ def best_reposts(rows: DataFrame, scratch: Scratch, days: int = REPOST_DAYS, thr
 
     Of equally similar ones the earliest counts, then the least key; a row of the same moment is not earlier. Rows with
     fewer than ``least`` distinct tokens, without a key or without a time take no part. Equal token sets are one class, and
-    classes meet only if they have rows in the same or the next band of ``days``. Which row of a class is the first one
+    a row asks only for classes that have rows in its band of ``days`` or the one before. Which row of a class is the first one
     in reach is a place in the order of all rows, found by a running count: copies make no pairs, however many they are.
     """
     span = days * 86_400_000_000
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    good = rows.select("key", micros.alias("ts"), F.array_distinct("tokens").alias("tokens")).where(F.col("key").isNotNull() & F.col("ts").isNotNull() & (F.size("tokens") >= least))
-    good = good.withColumn("h", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256))
-    # Written, so that the numbers stay; they tell classes apart and have no other meaning.
-    classes = scratch.write(good.groupBy("h").agg(F.first("tokens").alias("tokens")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    placed = scratch.write(good.select("key", "ts", "h").join(classes.select("h", "class"), "h").select("key", "ts", "class"), "placed")
-    sets = token_sets(classes, "class", "tokens", least, scratch)
-    bands = scratch.write(placed.select(F.col("class").alias("k"), F.floor(F.col("ts") / span).alias("band")).distinct(), "bands")
-
-    index = prefixes(sets, threshold).join(bands, "k")
-    probe = index.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    a, b = probe.alias("a"), index.alias("b")
-    met = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.k") != F.col("b.k")) & _may_be_alike("a", "b", threshold))
-    pairs = verified(met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), sets, threshold)
+    good = rows.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("key").isNotNull() & F.col("ts").isNotNull(), F.col("tokens")).alias("tokens"))
+    placed, classes = classes_of(good, least, scratch)
+    placed = placed.withColumn("band", F.floor(F.col("ts") / span))
+    pairs = scratch.write(alike(numbered_sets(classes, "class", "tokens", least, scratch), threshold), "pairs")
     own = placed.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")).distinct()
-    links = scratch.write(pairs.unionByName(own), "links")
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(own)
+    bands = scratch.write(placed.select("class", "band").distinct(), "bands")
+    reached = bands.select(F.col("class").alias("b"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).distinct()
+    links = scratch.write(links.join(bands.withColumnRenamed("class", "a"), "a").join(reached, ["b", "band"], "left_semi").select("a", "band", "b", "similarity"), "links")
 
     # All rows by class and time, and among them for each row the moment from which a row of a like class is in reach.
     line = placed.select("class", "ts", F.lit(1).alias("order"), "key", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("until"))
-    asks = placed.join(links, F.col("class") == F.col("a")).select(F.col("b").alias("class"), (F.col("ts") - span).alias("ts"), F.lit(0).alias("order"), "key", "similarity", F.col("ts").alias("until"))
+    asks = placed.withColumnRenamed("class", "a").join(links, ["a", "band"]).select(F.col("b").alias("class"), (F.col("ts") - span).alias("ts"), F.lit(0).alias("order"), "key", "similarity", F.col("ts").alias("until"))
     total = running_total(line.unionByName(asks), ["class", "ts", "order", "key"], F.col("order"), "place", scratch)
     earlier = total.where("order = 1").select("place", F.col("class").alias("_class"), F.col("ts").alias("_ts"), F.col("key").alias("earlier"))
     found = total.where("order = 0").join(earlier, "place").where("class = _class and _ts < until")

@@ -143,3 +143,22 @@ def test_texts_are_cut_once_and_candidates_stay_where_they_are(spark):
         sets = similarity.numbered_sets(rows.where("key <> 2 or size(tokens) = 11"), "key", "tokens", 8, scratch)
         plan = similarity.alike(sets, 0.72)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1
+
+
+def test_reposts_cut_texts_once_and_ship_no_candidates(spark):
+    """Each text is cut into tokens once; like classes whose rows are far apart in time ask nothing of each other."""
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        cuts.add(1)
+        return text.split()
+
+    words = [f"w{i:02}" for i in range(12)]
+    texts = [(1, 0, words), (2, 3, words[:11]), (3, 50, words[1:]), (4, 51, [*words, "w00"]), (5, 51, words[:5]), (6, None, words), (7, 55, words[:11])]
+    rows = spark.createDataFrame([(k, d, " ".join(t)) for k, d, t in texts], "key long, day int, text string")
+    rows = rows.select("key", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("day"))).alias("ts"), cut("text").alias("tokens"))
+    with Scratch(spark) as scratch:
+        found = sorted((x.key, x.earlier, round(x.similarity, 6)) for x in similarity.best_reposts(rows, scratch).collect())
+    assert cuts.value == len(texts)
+    assert found == [(2, 1, round(11 / 12, 6)), (4, 3, round(11 / 12, 6)), (7, 4, round(11 / 12, 6))]

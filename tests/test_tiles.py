@@ -162,3 +162,21 @@ def test_reposts_cut_texts_once_and_ship_no_candidates(spark):
         found = sorted((x.key, x.earlier, round(x.similarity, 6)) for x in similarity.best_reposts(rows, scratch).collect())
     assert cuts.value == len(texts)
     assert found == [(2, 1, round(11 / 12, 6)), (4, 3, round(11 / 12, 6)), (7, 4, round(11 / 12, 6))]
+
+
+def test_crowded_keys_are_copied_few_times(spark):
+    """Six and five thousand rows of one key meet in one tile: what is shuffled is the rows, not a copy for each two thousand."""
+
+    def shuffled(node):
+        metric = node.metrics().get("shuffleRecordsWritten")
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return (metric.get().value() if metric.isDefined() else 0) + sum(map(shuffled, below))
+
+    a, b = spark.range(6000).select(F.lit(1).alias("k"), F.col("id").alias("x")), spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("y"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = tiles.tiled_join(a, b, ["k"])._jdf.queryExecution()
+        assert made.toRdd().count() == 30_000_000
+        assert shuffled(made.executedPlan()) == 11_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
